@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tsquorum.llm import mixing, neardup, packing, pii, quality
+from tsquorum.llm import mixing, neardup, packing, pii, quality, sharding, warc
+from tsquorum.llm.common import Cuts
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -27,6 +28,11 @@ def op2_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return planned.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).cast("long").alias("taken"))
 
 
+def op3_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = sharding.shard(read(spark, sf_dir, "documents"))
+    return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 def op4_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = packing.pack_documents(read(spark, sf_dir, "documents"), tokenizer_path())
     return placed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
@@ -49,10 +55,15 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *map(counted, pii.BASE_KINDS), F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
 
 
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    archives = Cuts(spark).cut(warc.write_archives(read(spark, sf_dir, "pages")), "archives")
+    return warc.read_archives(spark, archives).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality.judge(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op2_mix, op4_pack, op5_neardup, op7_pii, op9_quality)}
+    return {f.__name__: f for f in (op2_mix, op3_shard, op4_pack, op5_neardup, op7_pii, op8_warc, op9_quality)}
