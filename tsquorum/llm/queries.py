@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tsquorum.llm import mixing, neardup, packing, pii, quality, sharding, warc
+from tsquorum.llm import mixing, neardup, packing, pii, quality, sharding, vectors, warc
 from tsquorum.llm.common import Cuts
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -65,5 +65,9 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op10_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_vectors(read(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op2_mix, op3_shard, op4_pack, op5_neardup, op7_pii, op8_warc, op9_quality)}
+    return {f.__name__: f for f in (op2_mix, op3_shard, op4_pack, op5_neardup, op7_pii, op8_warc, op9_quality, op10_vectors)}
