@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tsquorum.llm import mixing, neardup, packing, pii, quality, sharding, vectors, warc
+from tsquorum.llm import html, mixing, neardup, packing, pii, quality, sharding, vectors, warc
 from tsquorum.llm.common import Cuts
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -23,6 +23,11 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = html.extract(read(spark, sf_dir, "pages"))
+    return found.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
+
+
 def op2_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     planned = mixing.plan_mix(read(spark, sf_dir, "documents"))
     return planned.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).cast("long").alias("taken"))
@@ -70,4 +75,4 @@ def op10_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op2_mix, op3_shard, op4_pack, op5_neardup, op7_pii, op8_warc, op9_quality, op10_vectors)}
+    return {f.__name__: f for f in (op1_html, op2_mix, op3_shard, op4_pack, op5_neardup, op7_pii, op8_warc, op9_quality, op10_vectors)}
