@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tsquorum.llm import html, mixing, neardup, packing, pii, quality, sharding, vectors, warc
+from tsquorum.llm import html, lm, mixing, neardup, packing, pii, quality, sharding, vectors, warc
 from tsquorum.llm.common import Cuts
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -47,6 +47,11 @@ def op5_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(read(spark, sf_dir, "documents"))
 
 
+def op6_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    return lm.score(docs, lm.train(docs))
+
+
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find_spans(read(spark, sf_dir, "documents"))
     base = F.filter("spans", lambda s: s["kind"].isin(*pii.BASE_KINDS))
@@ -75,4 +80,4 @@ def op10_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_html, op2_mix, op3_shard, op4_pack, op5_neardup, op7_pii, op8_warc, op9_quality, op10_vectors)}
+    return {f.__name__: f for f in (op1_html, op2_mix, op3_shard, op4_pack, op5_neardup, op6_likelihood, op7_pii, op8_warc, op9_quality, op10_vectors)}
