@@ -31,7 +31,6 @@ TREES, DEPTH, LEAST_PREFIX, REACH = 16, 6, 2, 6
 FLOOR = 0.5
 #: Estimated similarity from which a document takes its smallest partner to be confirmed first.
 LIKELY = 0.82
-CACHED_WORDS = 1_000_000
 
 _rng = np.random.default_rng(20240613)
 _ODD = _rng.integers(0, 2**63, 16, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -45,34 +44,19 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-class Shingler:
-    """Shingle sets as sorted 64-bit hashes, with a bounded memory of word hashes."""
-
-    def __init__(self, size: int = SHINGLE) -> None:
-        self.size, self.seen = size, {}
-
-    def set_of(self, text: bytes | None) -> np.ndarray:
-        """Distinct shingles of the text's words, A-Z lower-cased; of fewer words, one of all; none without words."""
-        words = (text or b"").lower().split()  # bytes: both know ASCII only
-        if not words:
-            return np.zeros(0, np.uint64)
-        found = list(map(self.seen.get, words))
-        if None in found:
-            if len(self.seen) > CACHED_WORDS:
-                self.seen = {}
-            for w in words:
-                if w not in self.seen:
-                    self.seen[w] = xxhash.xxh3_64_intdigest(w)
-            found = list(map(self.seen.get, words))
-        one = np.array(found, np.uint64)
-        k = min(self.size, len(one))
-        many = len(one) - k + 1
-        mixed = np.full(many, k * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF, np.uint64)
-        for i in range(k):
-            mixed += one[i : i + many] * _ODD[i % 16] if k == self.size else np.uint64(0)
-        if k < self.size:
-            mixed[:] = xxhash.xxh3_64_intdigest(b" ".join(words), seed=k)
-        return np.unique(_mixed(mixed))
+def shingle_set(text: bytes | None, size: int = SHINGLE) -> np.ndarray:
+    """Distinct shingles, as sorted 64-bit hashes, of the text's words, A-Z lower-cased; of fewer words, one of all; none without words."""
+    words = (text or b"").lower().split()  # bytes: both know ASCII only
+    if not words:
+        return np.zeros(0, np.uint64)
+    if len(words) < size:
+        return _mixed(np.array([xxhash.xxh3_64_intdigest(b" ".join(words), seed=len(words))], np.uint64))
+    one = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
+    many = len(one) - size + 1
+    mixed = np.zeros(many, np.uint64)
+    for i in range(size):
+        mixed += one[i : i + many] * _ODD[i]
+    return np.unique(_mixed(mixed))
 
 
 def signature(shingles: np.ndarray) -> np.ndarray:
@@ -85,10 +69,9 @@ def signature(shingles: np.ndarray) -> np.ndarray:
 
 
 def _described(texts: list[bytes | None]) -> tuple[list, list, list, list]:
-    shingler = _described.shingler = getattr(_described, "shingler", None) or Shingler()
     sizes, prints, sigs, sketches = [], [], [], []
     for text in texts:
-        s = shingler.set_of(text)
+        s = shingle_set(text)
         sizes.append(len(s))
         if not len(s):
             prints.append(None), sigs.append(None), sketches.append(None)
@@ -164,15 +147,15 @@ def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """The (a, b) of ``pairs`` whose full sets are similar enough; ``texts`` has node and text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler, last, last_set = Shingler(), None, None
+        last, last_set = None, None
         for whole in batches:
             for lo in range(0, whole.num_rows, 512):
                 batch = whole.slice(lo, 512)
                 ok = []
                 for ta, tb in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
                     if last is None or ta != last:
-                        last, last_set = ta, shingler.set_of(ta)
-                    other = shingler.set_of(tb)
+                        last, last_set = ta, shingle_set(ta)
+                    other = shingle_set(tb)
                     both = len(np.intersect1d(last_set, other, assume_unique=True))
                     ok.append(100 * both >= PERCENT * (len(last_set) + len(other) - both))
                 yield batch.select([0, 1]).filter(pa.array(ok, pa.bool_()))
