@@ -16,6 +16,7 @@ from __future__ import annotations
 import os
 import zlib
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -25,8 +26,11 @@ from pyspark.sql import functions as F
 from tsquorum.llm.common import Cuts, ranked
 
 CAPACITY = 2048
-#: Words whose ids a worker remembers before it starts afresh; bounds its memory.
-CACHED_WORDS = 1_000_000
+#: Words whose ids a worker remembers; bounds its memory.
+CACHED_WORDS = 500_000
+
+#: A character whose token can come from no other text; words that hold it are encoded one by one.
+BORDER = "\x01"
 
 _tokenizers: dict[str, WordTokenizer] = {}
 
@@ -36,6 +40,8 @@ class WordTokenizer:
 
     The tokenizer never joins text across blanks or newlines, so encoding the stretches between them one by one
     gives the ids of the whole text. Strings of special tokens within a text are ordinary text.
+
+    The words of the first texts stay, up to ``CACHED_WORDS``; words learned later last for one call.
     """
 
     def __init__(self, path: str) -> None:
@@ -44,39 +50,56 @@ class WordTokenizer:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.forget()
-
-    def forget(self) -> None:
+        border = self.tokenizer.encode(BORDER, add_special_tokens=False).ids
+        self.border = border[0] if len(border) == 1 else None
         self.place: dict[str, int] = {"": 0}
         self.start, self.length = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
         self.ids, self.used = np.zeros(1 << 18, np.uint32), 0
 
+    def _encode(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all words in a row, and their number by word."""
+        encode = self.tokenizer.encode_batch_fast
+        if self.border is None or any(BORDER in w for w in words):
+            codes = [c.ids for c in encode(words, add_special_tokens=False)]
+            return np.fromiter((i for c in codes for i in c), np.uint32), np.fromiter(map(len, codes), np.int64, len(codes))
+        # Long stretches are encoded faster than single words; a token that none of the words has marks their borders.
+        stretches = [f" {BORDER} ".join([*words[i : i + 500], ""]) for i in range(0, len(words), 500)]
+        ids = np.concatenate([np.array(c.ids, np.uint32) for c in encode(stretches, add_special_tokens=False)])
+        borders = np.flatnonzero(ids == self.border)
+        return ids[ids != self.border], np.diff(borders, prepend=-1) - 1
+
     def _learn(self, words: list[str]) -> None:
-        codes = self.tokenizer.encode_batch_fast(words, add_special_tokens=False)
-        first, lengths = len(self.place), np.fromiter((len(c.ids) for c in codes), np.int64, len(words))
-        flat = np.fromiter((i for c in codes for i in c.ids), np.uint32, int(lengths.sum()))
-        while first + len(words) > len(self.start):
-            self.start, self.length = np.resize(self.start, 2 * len(self.start)), np.resize(self.length, 2 * len(self.length))
-        while self.used + len(flat) > len(self.ids):
-            self.ids = np.resize(self.ids, 2 * len(self.ids))
+        flat, lengths = self._encode(words)
+        first = len(self.place)
+        if first + len(words) > len(self.start):
+            more = np.zeros(max(len(self.start), len(words)), np.int64)
+            self.start, self.length = np.concatenate([self.start, more]), np.concatenate([self.length, more])
+        if self.used + len(flat) > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros(max(len(self.ids), len(flat)), np.uint32)])
         self.length[first : first + len(words)] = lengths
         self.start[first : first + len(words)] = self.used + np.cumsum(lengths) - lengths
         self.ids[self.used : self.used + len(flat)] = flat
         self.used += len(flat)
         self.place.update(zip(words, range(first, first + len(words)), strict=True))
 
-    def encode(self, text: str) -> np.ndarray:
-        words = text.replace("\n", " ").split(" ")
+    def encode_all(self, texts: list[str]) -> list[np.ndarray]:
+        rows = [text.replace("\n", " ").split(" ") for text in texts]
+        places = [np.fromiter(map(self.place.get, words, repeat(-1)), np.int64, len(words)) for words in rows]
+        unknown = [np.flatnonzero(p < 0) for p in places]
+        new = list(dict.fromkeys(words[i] for words, at in zip(rows, unknown, strict=True) for i in at.tolist()))
+        used, out = self.used, []
+        if new:
+            self._learn(new)
+        for words, p, at in zip(rows, places, unknown, strict=True):
+            p[at] = [self.place[words[i]] for i in at.tolist()]
+            lengths = self.length[p]
+            ends = np.cumsum(lengths)
+            out.append(self.ids[np.arange(ends[-1]) + np.repeat(self.start[p] - (ends - lengths), lengths)])
         if len(self.place) > CACHED_WORDS:
-            self.forget()
-        found = list(map(self.place.get, words))
-        if None in found:
-            self._learn(list(dict.fromkeys(w for w, p in zip(words, found, strict=True) if p is None)))
-            found = list(map(self.place.get, words))
-        places = np.array(found, np.int64)
-        lengths = self.length[places]
-        ends = np.cumsum(lengths)
-        return self.ids[np.arange(ends[-1]) + np.repeat(self.start[places] - (ends - lengths), lengths)]
+            self.used = used
+            for w in new:
+                del self.place[w]
+        return out
 
 
 def _tokenizer(path: str) -> WordTokenizer:
@@ -97,8 +120,9 @@ def tokenized_pieces(docs: DataFrame, tokenizer_path: str, *, id_col: str = "doc
             for lo in range(0, whole.num_rows, 512):
                 batch = whole.slice(lo, 512)
                 rows, pieces, starts, parts, crcs = [], [], [], [], []
-                for row, text in enumerate(batch.column(1).to_pylist()):
-                    ids = np.append(tokenizer.encode(text or ""), np.uint32(end_id)).astype("<u4")
+                encoded = tokenizer.encode_all([text or "" for text in batch.column(1).to_pylist()])
+                for row, ids in enumerate(encoded):
+                    ids = np.append(ids, np.uint32(end_id)).astype("<u4")
                     for piece, start in enumerate(range(0, len(ids), capacity)):
                         part = ids[start : start + capacity]
                         rows.append(row), pieces.append(piece), starts.append(start), parts.append(part), crcs.append(zlib.crc32(part.tobytes()))
