@@ -365,10 +365,10 @@ def e11_range_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""{SC},\n{ISLANDS}, k AS (SELECT series_id, count(*) AS k FROM islands GROUP BY 1),
 pr AS (SELECT *, lag(score) OVER (PARTITION BY series_id, instance ORDER BY t) AS prev FROM scores),
-st AS (SELECT series_id, instance, score AS at, 1 AS d FROM pr UNION ALL SELECT series_id, instance, least(score, prev), -1 FROM pr WHERE prev IS NOT NULL),
-per AS (SELECT series_id, instance, at, sum(d) AS d FROM st GROUP BY 1, 2, 3),
-run AS (SELECT *, sum(d) OVER (PARTITION BY series_id, instance ORDER BY at DESC ROWS UNBOUNDED PRECEDING) AS n FROM per)
-SELECT series_id, instance, coalesce(max(CASE WHEN n >= k THEN at END), min(at)) AS threshold FROM run JOIN k USING (series_id) GROUP BY 1, 2""")
+st AS (SELECT series_id, instance, score AS th, 1 AS d FROM pr UNION ALL SELECT series_id, instance, least(score, prev), -1 FROM pr WHERE prev IS NOT NULL),
+per AS (SELECT series_id, instance, th, sum(d) AS d FROM st GROUP BY 1, 2, 3),
+run AS (SELECT *, sum(d) OVER (PARTITION BY series_id, instance ORDER BY th DESC ROWS UNBOUNDED PRECEDING) AS n FROM per)
+SELECT series_id, instance, coalesce(max(CASE WHEN n >= k THEN th END), min(th)) AS threshold FROM run JOIN k USING (series_id) GROUP BY 1, 2""")
 def k10_top_k_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = _islands(spark, sf_dir).groupBy(*S).agg(F.count(F.lit(1)).alias("k"))
     s = v.user_scores(spark, sf_dir)

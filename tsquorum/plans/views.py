@@ -135,7 +135,7 @@ baseline AS (
     round(o_totalprice / 200, 6) AS runtime, (o_orderkey * 104729 % 1000) / 1000.0 AS range_pr_auc
   FROM orders WHERE o_orderstatus = 'F'),
 scoring AS (
-  SELECT l_orderkey * 10 + l_linenumber AS id, l_orderkey AS ranking_id, l_linenumber - 1 AS rank, l_orderkey % 10 AS experiment_id, 'algo' || (l_suppkey % 8) AS algorithm,
+  SELECT l_orderkey * 10 + l_linenumber AS id, l_orderkey AS ranking_id, (l_linenumber - 1)::BIGINT AS rank, l_orderkey % 10 AS experiment_id, 'algo' || (l_suppkey % 8) AS algorithm,
     l_partkey % 1000 AS window_size, round(l_discount * 10, 6) AS range_pr_auc, l_quantity AS runtime
   FROM lineitem),
 trace AS (
