@@ -16,21 +16,26 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tsquorum.llm.common import BROADCAST_ROWS, Cuts
+from tsquorum.llm.common import BROADCAST_ROWS, Cuts, released
 from tsquorum.llm.graph import components
 
 SHINGLE = 5
 PERCENT = 75
-TREES, DEPTH, LEAST_PREFIX, REACH = 16, 6, 2, 6
+TREES, DEPTH, LEAST_PREFIX, REACH = 16, 6, 2, 4
 #: Estimated similarity below which a pair isn't looked at; the estimate's standard deviation is about 0.045.
 FLOOR = 0.5
 #: Estimated similarity from which a document takes its smallest partner to be confirmed first.
 LIKELY = 0.82
+#: Estimated similarity that a document needs with members of a component that it met without a link.
+ALLOWED = 0.58
+#: Rows of a block when components are compared.
+BLOCK = 2048
 
 _rng = np.random.default_rng(20240613)
 _ODD = _rng.integers(0, 2**63, 16, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -95,7 +100,7 @@ def described(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), *[pa.array(x, pa.binary()) for x in (prints, sigs, sketches)]], ["doc_id", "n_shingles", "print", "sig", "sketch"])
 
     slim = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
-    return slim.mapInArrow(run, f"doc_id {slim.schema['doc_id'].dataType.simpleString()}, n_shingles bigint, print binary, sig binary, sketch binary")
+    return slim.mapInArrow(released(run), f"doc_id {slim.schema['doc_id'].dataType.simpleString()}, n_shingles bigint, print binary, sig binary, sketch binary")
 
 
 def _fixed(column: pa.Array, width: int) -> np.ndarray:
@@ -160,9 +165,10 @@ def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
                     ok.append(100 * both >= PERCENT * (len(last_set) + len(other) - both))
                 yield batch.select([0, 1]).filter(pa.array(ok, pa.bool_()))
 
-    right = pairs.join(texts.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b")
-    both = right.join(texts.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a").select("a", "b", "ta", "tb")
-    return both.mapInArrow(run, "a bigint, b bigint")
+    # Merge joins at every size: texts are dealt once per side, whatever the number of pairs.
+    right = pairs.hint("merge").join(texts.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b")
+    both = right.hint("merge").join(texts.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a").select("a", "b", "ta", "tb")
+    return both.mapInArrow(released(run), "a bigint, b bigint")
 
 
 def _crossing(candidates: DataFrame, comps: DataFrame) -> DataFrame:
@@ -173,6 +179,53 @@ def _crossing(candidates: DataFrame, comps: DataFrame) -> DataFrame:
     return joined.select("a", "b", "alike", F.coalesce("ca", "a").alias("ca"), F.coalesce("cb", "b").alias("cb")).where("ca <> cb")
 
 
+def _leftovers(candidates: DataFrame, comps: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links (a, b) between components that met without one, if there are any.
+
+    A document may link with few members of a large region only, and those needn't be among its neighbours in any
+    list. So the smaller of two such components is compared with the whole larger one, in blocks of both sides:
+    by sketch, then on full sets, until a link joins the two.
+    """
+    node = nodes.select("node", "sketch").join(comps, "node", "left").select("node", "sketch", F.coalesce("component", "node").alias("component"))
+    size = node.groupBy("component").agg(F.count(F.lit(1)).alias("n"))
+    met = _crossing(candidates, comps).groupBy(F.least("ca", "cb").alias("x"), F.greatest("ca", "cb").alias("y")).agg(F.count(F.lit(1)).alias("met"))
+    sized = met.join(size.select(F.col("component").alias("x"), F.col("n").alias("nx")), "x").join(size.select(F.col("component").alias("y"), F.col("n").alias("ny")), "y")
+    smaller = F.col("nx") < F.col("ny")
+    sides = sized.where(F.col("nx") * F.col("ny") > F.col("met")).select(F.when(smaller, F.col("x")).otherwise(F.col("y")).alias("small"), F.when(smaller, F.col("y")).otherwise(F.col("x")).alias("large"), F.greatest("nx", "ny").alias("n"))
+    sides = Cuts(comps.sparkSession).cut(sides, "sides")
+    if sides.isEmpty():
+        return comps.sparkSession.createDataFrame([], "a bigint, b bigint")
+    asking = sides.join(node.withColumnRenamed("component", "small"), "small").select("large", "small", "node", "sketch")
+    grid = sides.select("large", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")).distinct().join(asking.groupBy("large").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("askers")), "large")
+    own, other = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"), F.pmod(F.xxhash64("node"), F.col("askers")).cast("int")
+    rows = node.withColumnRenamed("component", "large").join(grid, "large").select("large", own.alias("p"), F.explode(F.sequence(F.lit(0), F.col("askers") - 1)).alias("q"), "node", "sketch", F.lit(None).cast("bigint").alias("small"))
+    ask = asking.join(grid, "large").select("large", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("p"), other.alias("q"), "node", "sketch", "small")
+
+    def compare(tile: pd.DataFrame) -> pd.DataFrame:
+        asks = tile["small"].notna().to_numpy()
+        ids, text, small = tile["node"].to_numpy(), tile["text"].to_numpy(), tile["small"].to_numpy()
+        sketch = np.frombuffer(b"".join(tile["sketch"]), np.uint8).reshape(len(tile), -1)
+        ours = np.flatnonzero(~asks)
+        sets: dict[int, np.ndarray] = {}
+        joined, found = set(), []
+        for i in np.flatnonzero(asks):
+            if small[i] in joined:
+                continue
+            mine, like = shingle_set(text[i]), _alike(sketch[ours], sketch[i])
+            for j in ours[np.argsort(-like, kind="stable")[: int((like >= ALLOWED).sum())]]:
+                if j not in sets:
+                    sets[j] = shingle_set(text[j])
+                both = len(np.intersect1d(mine, sets[j], assume_unique=True))
+                if 100 * both >= PERCENT * (len(mine) + len(sets[j]) - both) and ids[i] != ids[j]:
+                    joined.add(small[i])
+                    found.append((min(ids[i], ids[j]), max(ids[i], ids[j])))
+                    break
+        return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
+
+    tiles = rows.unionByName(ask).hint("merge").join(texts, "node")
+    return tiles.groupBy("large", "p", "q").applyInPandas(compare, "a bigint, b bigint")
+
+
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) per row of ``docs``; ids must be integers.
 
@@ -192,25 +245,22 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     trees = nodes.select(F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree"), "node", "sig", "sketch").select(
         "tree", F.expr(f"substring(sig, tree * {width} + 1, {width})").alias("sig"), "node", "sketch")
     lists = trees.repartitionByRange("tree", "sig", "node").sortWithinPartitions("tree", "sig", "node")
-    found = lists.mapInArrow(neighbours, "a bigint, b bigint, alike double")
+    found = lists.mapInArrow(released(neighbours), "a bigint, b bigint, alike double")
     candidates = cuts.cut(found.groupBy("a", "b").agg(F.max("alike").alias("alike")), "candidates")
 
     involved = candidates.select(F.col("a").alias("node")).union(candidates.select("b")).distinct()
     slim = docs.select(F.col(id_col).cast("bigint").alias("node"), F.col(text_col).cast("binary").alias("text"))
-    texts = cuts.cut(slim.join(involved, "node", "left_semi"), "texts")
-    cuts.drop("nodes")
+    texts = cuts.cut(slim.hint("merge").join(involved, "node", "left_semi"), "texts")
 
     first = candidates.groupBy("b").agg(F.coalesce(F.min(F.when(F.col("alike") >= LIKELY, F.col("a"))), F.max_by("a", "alike")).alias("a")).select("a", "b")
     links = cuts.cut(confirmed(first, texts), "links")
-    tried, comps = first, components(links, cuts, "first")
-    per_pair = _crossing(candidates, comps).groupBy(F.least("ca", "cb").alias("x"), F.greatest("ca", "cb").alias("y")).agg(F.max_by(F.struct("a", "b"), "alike").alias("p")).select("p.a", "p.b")
-    more = cuts.cut(confirmed(per_pair, texts), "links")
-    links = links.unionByName(more)
+    comps = components(links, cuts, "first")
+    rest = _crossing(candidates, comps).select("a", "b").join(first, ["a", "b"], "left_anti")
+    links = links.unionByName(cuts.cut(confirmed(rest, texts), "links"))
     comps = components(links, cuts, "second")
-    rest = cuts.cut(_crossing(candidates, comps).select("a", "b").join(tried, ["a", "b"], "left_anti"), "rest")
-    if not rest.isEmpty():
-        links = links.unionByName(cuts.cut(confirmed(rest, texts), "links"))
-        comps = components(links, cuts, "third")
+    more = cuts.cut(_leftovers(candidates, comps, nodes, texts), "links")
+    if not more.isEmpty():
+        comps = components(links.unionByName(more), cuts, "third")
 
     of_class = classes.join(comps, "node", "left").select("print", F.coalesce("component", "node").alias("component_id"))
     joined = rows.where("print is not null").select("doc_id", "n_shingles", "print").join(of_class, "print")
