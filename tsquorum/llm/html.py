@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tsquorum.llm.common import released
+
 #: Elements whose content isn't text of the page.
 _RAW = re.compile(r"(?i)^(?:script|style|noscript|template|iframe|title|svg|math|object|canvas|textarea)$")
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -349,4 +351,4 @@ def extract(pages: DataFrame, *, id_col: str = "page_id", html_col: str = "html"
 
     url = F.col(url_col) if url_col else F.lit(None)
     slim = pages.select(F.col(id_col).alias("page_id"), url.cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))
-    return slim.mapInArrow(run, f"page_id {slim.schema['page_id'].dataType.simpleString()}, url string, text string, n_main bigint, n_blocks bigint")
+    return slim.mapInArrow(released(run), f"page_id {slim.schema['page_id'].dataType.simpleString()}, url string, text string, n_main bigint, n_blocks bigint")

@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tsquorum.llm.common import released
+
 KINDS = ("email", "ip", "card", "phone", "iban", "ssn", "local")
 BASE_KINDS = KINDS[:4]
 MIN_SCORE = 0.6
@@ -167,7 +169,7 @@ def find_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(spans, _SPANS)], ["doc_id", "spans"])
 
     slim = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return slim.mapInArrow(run, f"doc_id {slim.schema['doc_id'].dataType.simpleString()}, spans {SPANS_DDL}")
+    return slim.mapInArrow(released(run), f"doc_id {slim.schema['doc_id'].dataType.simpleString()}, spans {SPANS_DDL}")
 
 
 def redact(docs: DataFrame, *, text_col: str = "text", length_col: str | None = "n_chars") -> DataFrame:
@@ -189,4 +191,4 @@ def redact(docs: DataFrame, *, text_col: str = "text", length_col: str | None =
                 batch = batch.set_column(j, field, pa.array(lengths, field.type))
             yield batch
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(released(run), docs.schema)

@@ -108,9 +108,9 @@ def safe_cutoffs(signals: DataFrame, labels: DataFrame, *, alpha: float = 0.02,
         F.struct(F.lit(rule).alias("rule"), F.lit(i).alias("place"), F.lit(cut).alias("cutoff"), F.col(f"{rule}_{i}").alias("k"))
         for rule, _, cuts in RULES for i, cut in enumerate(cuts)
     ])
-    strata = counts.groupBy().agg(F.count(F.lit(1)).alias("n_strata"))
-    tests = counts.select("stratum", "n", F.explode(grid).alias("t")).select("stratum", "n", "t.*").join(F.broadcast(strata))  # one row
-    level = F.lit(delta) / (F.col("n_strata") * F.lit(len(RULES)))
+    counts = Cuts(signals.sparkSession).cut(counts, "quality-strata")
+    level = F.lit(delta / (max(1, counts.count()) * len(RULES)))
+    tests = counts.select("stratum", "n", F.explode(grid).alias("t")).select("stratum", "n", "t.*")
     possible = F.col("k") < F.col("n") * F.lit(alpha)  # else the tail is about one half at least
     passed = F.when(possible, binomial_tail(F.col("k"), F.col("n"), alpha) <= level).otherwise(F.lit(False))
     tested = tests.withColumn("passed", passed)
@@ -127,16 +127,21 @@ def judge(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
     reject. An empty table gives no rows.
     """
     cuts = Cuts(docs.sparkSession)
-    stratum = F.coalesce(F.col("kept._stratum").cast("string"), F.lit(""))
-    named = docs.withColumn("_stratum", F.col(stratum_col)) if stratum_col in docs.columns else docs.withColumn("_stratum", F.lit(None).cast("string"))
-    counts = cuts.cut(measured(named, id_col=id_col, text_col=text_col, keep=("_stratum", *keep)), "quality-counts")
-    signals = counts.withColumns({"stratum": stratum, "base_failed": base_failed(), **{rule: F.expr(f"cast({signal} as double)") for rule, signal, _ in RULES}})
+    named = docs.withColumn("_stratum", F.col(stratum_col) if stratum_col in docs.columns else F.lit(None).cast("string"))
     names = [rule for rule, _, _ in RULES]
-    found = safe_cutoffs(signals.where(~F.col("base_failed")).select("doc_id", "stratum", *names), labels, alpha=alpha, delta=delta)
+
+    def signals(counts: DataFrame) -> DataFrame:
+        stratum = F.coalesce(F.col("kept._stratum").cast("string"), F.lit(""))
+        return counts.withColumns({"stratum": stratum, "base_failed": base_failed(), **{rule: F.expr(f"cast({signal} as double)") for rule, signal, _ in RULES}})
+
+    # The counts are kept, not the texts; only where columns are to stay, texts are measured again.
+    counts = cuts.cut(measured(named, id_col=id_col, text_col=text_col, keep=("_stratum",)), "quality-counts")
+    found = safe_cutoffs(signals(counts).where(~F.col("base_failed")).select("doc_id", "stratum", *names), labels, alpha=alpha, delta=delta)
     per_stratum = cuts.cut(found.groupBy("stratum").agg(F.map_from_entries(F.collect_list(F.struct("rule", "cutoff"))).alias("cutoffs")), "quality-cutoffs")
     side = F.broadcast(per_stratum) if per_stratum.count() <= BROADCAST_ROWS else per_stratum
     failed = F.array(*[F.when(F.col(rule) > F.col("cutoffs")[rule], F.lit(rule)) for rule in names])
-    return signals.join(side, "stratum", "left").select(
+    judged = counts if not keep else measured(named, id_col=id_col, text_col=text_col, keep=("_stratum", *keep))
+    return signals(judged).join(side, "stratum", "left").select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
         F.array_compact(failed).alias("failed_rules"), (~F.col("base_failed") & (F.size(F.array_compact(failed)) == 0)).alias("kept"), F.col("kept").alias("kept_cols"),
     )

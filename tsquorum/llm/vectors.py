@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tsquorum.llm.common import Cuts
+from tsquorum.llm.common import Cuts, released
 from tsquorum.llm.graph import components
 
 LEAST = 0.98
@@ -125,7 +125,7 @@ def _visits(classes: DataFrame, books: dict, least: float) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([taken.column("label"), taken.column("dim"), pa.array(cells, pa.int64()), pa.array(visitor), taken.column("node"), taken.column("n"), units], ["label", "dim", "cell", "visitor", "node", "n", "unit"])
 
     kind = classes.schema["label"].dataType.simpleString()
-    return classes.select("label", "dim", "node", "n", "embedding").mapInArrow(run, f"label {kind}, dim int, cell bigint, visitor boolean, node bigint, n bigint, unit binary")
+    return classes.select("label", "dim", "node", "n", "embedding").mapInArrow(released(run), f"label {kind}, dim int, cell bigint, visitor boolean, node bigint, n bigint, unit binary")
 
 
 def _tile(rows: pd.DataFrame, least: float) -> pd.DataFrame:

@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tsquorum.llm.common import fresh_path
+from tsquorum.llm.common import fresh_path, released
 
 #: Payloads from this size on are stored once; equal ones become revisit records.
 LEAST_REVISIT = 1000
@@ -149,7 +149,7 @@ def write_archives(pages: DataFrame, *, id_col: str = "page_id", url_col: str =
         store.move(own, final)
         yield pa.RecordBatch.from_arrays([pa.array([posixpath.join(folder, name)]), pa.array([n], pa.int64())], ["path", "n_records"])
 
-    return rows.select("page_id", "url", "payload", "digest", "refers_to").mapInArrow(run, "path string, n_records bigint")
+    return rows.select("page_id", "url", "payload", "digest", "refers_to").mapInArrow(released(run), "path string, n_records bigint")
 
 
 RECORDS = "page_id bigint, url string, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint, payload binary"
@@ -186,4 +186,4 @@ def read_archives(spark: SparkSession, archives: DataFrame) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
     paths = archives.select("path")
-    return paths.repartition(max(1, paths.count()), "path").mapInArrow(run, RECORDS)
+    return paths.repartition(max(1, paths.count()), "path").mapInArrow(released(run), RECORDS)
