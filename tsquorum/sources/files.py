@@ -12,7 +12,7 @@ from tsquorum.sources import schemas
 def _lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """(path, dataset_id, no, line): whole files, so that line numbers hold; the id is the MD5 of the content."""
     raw = spark.read.format("binaryFile").load(path)
-    text = F.decode("content", F.lit("UTF-8"))
+    text = F.decode("content", "UTF-8")
     lines = F.split(F.regexp_replace(F.regexp_replace(text, "\r\n?", "\n"), r"\n+\z", ""), "\n")
     return raw.select("path", F.md5("content").alias("dataset_id"), F.posexplode(lines).alias("no", "line"))
 
