@@ -36,10 +36,11 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0
         .withColumn("_total", F.sum("source_size").over(all_rows) * F.lit(float(share)))
         .withColumn("_capped", F.coalesce(F.sum("_limit").over(ramp.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)))
         .withColumn("_open", F.sum("_weight").over(ramp.rowsBetween(Window.currentRow, Window.unboundedFollowing)))
+        .withColumn("_place", F.row_number().over(ramp))
         .withColumn("_level", (F.col("_total") - F.col("_capped")) / F.col("_open"))
     )
     # The first source whose limit isn't reached at its level ends the capping; its level holds for all after it.
-    open_at = F.min(F.when(F.col("_limit") >= F.col("_weight") * F.col("_level"), F.struct(F.col("_limit") / F.col("_weight"), F.col("_level").alias("level")))).over(all_rows)
+    open_at = F.min(F.when(F.col("_limit") >= F.col("_weight") * F.col("_level"), F.struct("_place", F.col("_level").alias("level")))).over(all_rows)
     level = F.coalesce(open_at["level"], F.lit(float("inf")))
     target = F.round(F.least(F.col("_limit"), F.col("_weight") * level), 6)
     return steps.select("source", "source_size", F.when(F.col("source_size") > 0, target).otherwise(F.lit(0.0)).alias("target"))

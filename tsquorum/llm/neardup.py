@@ -263,8 +263,8 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         comps = components(links.unionByName(more), cuts, "third")
 
     of_class = classes.join(comps, "node", "left").select("print", F.coalesce("component", "node").alias("component_id"))
-    joined = rows.where("print is not null").select("doc_id", "n_shingles", "print").join(of_class, "print")
-    alone = rows.where("print is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    joined = usable.select("doc_id", "n_shingles", "print").join(of_class, "print")
+    alone = rows.where("print is null or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     every = joined.select("doc_id", "n_shingles", "component_id").unionByName(alone)
     component = F.when(F.col("doc_id").isNotNull(), F.col("component_id"))
     return every.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
