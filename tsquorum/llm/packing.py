@@ -14,6 +14,8 @@ the ranks and the matching of each piece with its sequence are distributed.
 from __future__ import annotations
 
 import os
+import re
+import unicodedata
 import zlib
 from collections.abc import Iterator
 from itertools import repeat
@@ -23,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tsquorum.llm.common import Cuts, ranked
+from tsquorum.llm.common import Cuts, ranked, released
 
 CAPACITY = 2048
 #: Words whose ids a worker remembers; bounds its memory.
@@ -35,6 +37,25 @@ BORDER = "\x01"
 _tokenizers: dict[str, WordTokenizer] = {}
 
 
+_JOINED = re.compile(r"[.,](?<![^\W_][.,])(?=[ \n]|\Z)")
+
+
+def _plain(text: str) -> str:
+    """A text with the same ids and fewer different words: A-Z lower-cased, single stops and commas set apart.
+
+    The tokenizer composes, then lower-cases, so A-Z may come first where the text is composed either way. A stop
+    after a letter or digit and before a blank is a token of its own anyway; texts with longer runs stay as they are.
+    """
+    lower = text.encode().lower().decode()
+    if not text.isascii() and ("\u0130" in text or not (unicodedata.is_normalized("NFC", text) and unicodedata.is_normalized("NFC", lower))):
+        return text  # U+0130 alone gets a mark when lower-cased
+    if _JOINED.search(lower):
+        return lower
+    for mark in ".,":
+        lower = lower.replace(f"{mark} ", f" {mark} ").replace(f"{mark}\n", f" {mark}\n")
+    return lower[:-1] + " " + lower[-1] if lower[-1:] in {".", ","} else lower
+
+
 class WordTokenizer:
     """A public word-level tokenizer with a bounded memory of words already encoded.
 
@@ -83,8 +104,8 @@ class WordTokenizer:
         self.place.update(zip(words, range(first, first + len(words)), strict=True))
 
     def encode_all(self, texts: list[str]) -> list[np.ndarray]:
-        rows = [text.replace("\n", " ").split(" ") for text in texts]
-        places = [np.fromiter(map(self.place.get, words, repeat(-1)), np.int64, len(words)) for words in rows]
+        rows = [_plain(text).replace("\n", " ").split(" ") for text in texts]
+        places = [np.array([*map(self.place.get, words, repeat(-1))], np.int64) for words in rows]
         unknown = [np.flatnonzero(p < 0) for p in places]
         new = list(dict.fromkeys(words[i] for words, at in zip(rows, unknown, strict=True) for i in at.tolist()))
         used, out = self.used, []
@@ -108,33 +129,39 @@ def _tokenizer(path: str) -> WordTokenizer:
     return _tokenizers[path]
 
 
-def tokenized_pieces(docs: DataFrame, tokenizer_path: str, *, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end_id: int = 0) -> DataFrame:
-    """(doc_id, piece, start, length, ids, ids_crc32): each document's ids and ``end_id``, cut every ``capacity`` ids.
+def tokenized_pieces(docs: DataFrame, tokenizer_path: str, *, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end_id: int = 0, with_ids: bool = True) -> DataFrame:
+    """(doc_id, piece, start, length, ids_crc32, and ids if asked for): each document's ids and ``end_id``, cut every ``capacity`` ids.
 
     Null text is empty and gives one piece with ``end_id`` alone; so every row of ``docs`` has a piece.
     """
 
+    names = ["doc_id", "piece", "start", "length", "ids_crc32", *["ids"] * with_ids]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = _tokenizer(tokenizer_path)
         for whole in batches:
             for lo in range(0, whole.num_rows, 512):
                 batch = whole.slice(lo, 512)
-                rows, pieces, starts, parts, crcs = [], [], [], [], []
+                rows, pieces, starts, lengths, crcs, parts = [], [], [], [], [], []
                 encoded = tokenizer.encode_all([text or "" for text in batch.column(1).to_pylist()])
                 for row, ids in enumerate(encoded):
                     ids = np.append(ids, np.uint32(end_id)).astype("<u4")
                     for piece, start in enumerate(range(0, len(ids), capacity)):
                         part = ids[start : start + capacity]
-                        rows.append(row), pieces.append(piece), starts.append(start), parts.append(part), crcs.append(zlib.crc32(part.tobytes()))
-                lengths = np.fromiter(map(len, parts), np.int64, len(parts))
-                offsets = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)
-                flat = np.concatenate(parts).astype(np.int32) if parts else np.zeros(0, np.int32)
-                columns = [batch.column(0).take(pa.array(rows, pa.int64())), pa.array(pieces, pa.int32()), pa.array(starts, pa.int64()), pa.array(lengths), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)), pa.array(crcs, pa.int64())]
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "piece", "start", "length", "ids", "ids_crc32"])
+                        rows.append(row), pieces.append(piece), starts.append(start), lengths.append(len(part)), crcs.append(zlib.crc32(part))
+                        if with_ids:
+                            parts.append(part)
+                columns = [batch.column(0).take(pa.array(rows, pa.int64())), *(pa.array(x, pa.int64()) for x in (pieces, starts, lengths, crcs))]
+                columns[1] = columns[1].cast(pa.int32())
+                if with_ids:
+                    offsets = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)
+                    flat = np.concatenate(parts).astype(np.int32) if parts else np.zeros(0, np.int32)
+                    columns.append(pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)))
+                yield pa.RecordBatch.from_arrays(columns, names)
 
     slim = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     kind = slim.schema["doc_id"].dataType.simpleString()
-    return slim.mapInArrow(run, f"doc_id {kind}, piece int, start bigint, length bigint, ids array<int>, ids_crc32 bigint")
+    return slim.mapInArrow(released(run), f"doc_id {kind}, piece int, start bigint, length bigint, ids_crc32 bigint" + ", ids array<int>" * with_ids)
 
 
 class _Gaps:
@@ -213,7 +240,7 @@ def pack(pieces: DataFrame, *, capacity: int = CAPACITY, order: tuple[str, ...]
     from pyspark.sql.types import LongType, StructField, StructType
 
     schema = StructType([*[with_rank.schema[c] for c in names], StructField("sequence_id", LongType()), StructField("offset", LongType())])
-    return with_rank.mapInArrow(run, schema)
+    return with_rank.mapInArrow(released(run), schema)
 
 
 def pack_documents(docs: DataFrame, tokenizer_path: str, *, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
@@ -222,7 +249,5 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, *, id_col: str = "doc_i
     Every row of ``docs`` is packed, repeated ones too. Tokens are made once and written to the shared folder.
     """
     cuts = Cuts(docs.sparkSession)
-    made = tokenized_pieces(docs, tokenizer_path, id_col=id_col, text_col=text_col, capacity=capacity)
-    if not with_ids:
-        made = made.drop("ids")
+    made = tokenized_pieces(docs, tokenizer_path, id_col=id_col, text_col=text_col, capacity=capacity, with_ids=with_ids)
     return pack(cuts.cut(made, "pieces"), capacity=capacity)
