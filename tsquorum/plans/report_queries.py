@@ -30,9 +30,17 @@ def q3_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return v.store(spark, sf_dir)["execution"].select("version", "config_id", "experiment_id").distinct()
 
 
-@query(f"WITH {v.SERIES_SQL} SELECT t, value, is_anomaly FROM ts WHERE series_id = 7 ORDER BY t")
+@query(f"WITH {v.SERIES_SQL} SELECT series_id, t, value, is_anomaly FROM ts ORDER BY series_id, t")
 def q4_load_series(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return v.series(spark, sf_dir).where("series_id = 7").orderBy("t").select("t", "value", "is_anomaly")
+    return v.series(spark, sf_dir).orderBy("series_id", "t").select("series_id", "t", "value", "is_anomaly")
+
+
+@query(f"""WITH {v.SERIES_SQL},\n{v.SCORES_SQL}, st AS (SELECT *, min(score) OVER w AS lo, max(score) OVER w AS hi FROM scores WINDOW w AS (PARTITION BY series_id, instance))
+SELECT series_id, t, round(avg((score - lo) / CASE WHEN hi > lo THEN hi - lo ELSE 1 END), 6) AS score FROM st GROUP BY 1, 2""")
+def q9_aggregated_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tsquorum.operators import scores
+
+    return scores.combined(v.user_scores(spark, sf_dir), ["series_id"], "minmax", "mean").withColumn("score", F.round("score", 6))
 
 
 @query(f"{ST} SELECT {METHOD} AS method, 'ensemble' AS type FROM execution UNION SELECT name, {TYPE} FROM baseline")
@@ -193,6 +201,60 @@ def j11_loose_anti_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.loose_missing(s.where("experiment_id >= 5").select("id", "algorithm", "window_size"), s.where("experiment_id < 1"), ["algorithm", "window_size"])
 
 
+@query(f"""{ST} SELECT e.id AS execution_id, d.name, d.collection, s.rank, s.algorithm, e.config_id FROM execution e, dataset d, scoring s
+WHERE e.dataset_id = d.hexhash AND s.ranking_id = e.algorithm_ranking_id AND d.paper AND s.rank = 0""")
+def j3_five_way(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = v.store(spark, sf_dir)
+    d = r.chosen(s["dataset"], paper=True).select(F.col("hexhash").alias("dataset_id"), "name", "collection")
+    first = r.top1(s["execution"], s["scoring"]).join(d, "dataset_id")
+    configs = s["execution"].select(F.col("id").alias("execution_id"), "config_id")
+    return first.join(configs, "execution_id").select("execution_id", "name", "collection", "rank", "algorithm", "config_id")
+
+
+@query(f"""{ST}, a AS (SELECT algorithm, window_size, avg(range_pr_auc) AS q FROM scoring WHERE experiment_id >= 5 GROUP BY 1, 2), b AS (SELECT algorithm, window_size, avg(range_pr_auc) AS q FROM scoring WHERE experiment_id < 5 GROUP BY 1, 2)
+SELECT a.algorithm, a.window_size, round(a.q - b.q, 6) AS difference FROM a JOIN b ON a.algorithm = b.algorithm AND a.window_size = b.window_size""")
+def j5_self_join_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s, keys = v.store(spark, sf_dir)["scoring"], ["algorithm", "window_size"]
+    a = s.where("experiment_id >= 5").groupBy(*keys).agg(F.avg("range_pr_auc").alias("_a"))
+    b = s.where("experiment_id < 5").groupBy(*keys).agg(F.avg("range_pr_auc").alias("_b"))
+    return a.join(b, keys).select(*keys, F.round(F.col("_a") - F.col("_b"), 6).alias("difference"))
+
+
+@query(f"""{ST}, c AS (SELECT algorithm, window_size, count(*) AS no_datasets FROM scoring WHERE experiment_id < 5 GROUP BY 1, 2)
+SELECT s.id, s.algorithm, s.window_size, c.no_datasets FROM scoring s LEFT JOIN c ON c.algorithm = s.algorithm AND c.window_size = s.window_size""")
+def j7_left_on_two_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s, keys = v.store(spark, sf_dir)["scoring"], ["algorithm", "window_size"]
+    c = s.where("experiment_id < 5").groupBy(*keys).agg(F.count(F.lit(1)).alias("no_datasets"))
+    return s.select("id", *keys).join(c, keys, "left")
+
+
+@query(f"""{ST}, q AS (SELECT algorithm, avg(range_pr_auc) AS q FROM scoring GROUP BY 1), t AS (SELECT algorithm, avg(runtime) AS t FROM scoring GROUP BY 1) SELECT algorithm, round(q, 6) AS quality, round(t, 6) AS runtime FROM q JOIN t USING (algorithm)""")
+def j8_proxy_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = v.store(spark, sf_dir)["scoring"]
+    q = s.groupBy("algorithm").agg(F.round(F.avg("range_pr_auc"), 6).alias("quality"))
+    return q.join(s.groupBy("algorithm").agg(F.round(F.avg("runtime"), 6).alias("runtime")), "algorithm")
+
+
+@query(f"""{ST}, o AS (SELECT *, row_number() OVER (PARTITION BY algorithm, window_size ORDER BY range_pr_auc DESC, runtime, id) AS n FROM scoring)
+SELECT s.id, p.id AS representative FROM scoring s LEFT JOIN o p ON p.algorithm = s.algorithm AND p.window_size = s.window_size AND p.n = 1""")
+def j9_representatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s, keys = v.store(spark, sf_dir)["scoring"], ["algorithm", "window_size"]
+    best = r.best_per_group(s, keys, "range_pr_auc", ["runtime", "id"]).select(*keys, F.col("id").alias("representative"))
+    return s.select("id", *keys).join(best, keys, "left").select("id", "representative")
+
+
+@query(f"""{ST} SELECT d.hexhash, count(*) AS n, round(max(e.range_pr_auc), 6) AS best FROM execution e JOIN (SELECT hexhash, collection, name FROM dataset) d ON e.dataset_id = d.hexhash GROUP BY 1""")
+def j19_external_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tsquorum.sources.store import external_baselines
+
+    s = v.store(spark, sf_dir)
+    names = s["dataset"].select(F.col("hexhash").alias("dataset_id"), "collection", F.col("name").alias("dataset"))
+    results = s["execution"].join(names, "dataset_id").select("collection", "dataset", F.col("ranking_method").alias("algorithm"), "range_pr_auc", "runtime")
+    best = external_baselines(results, s["dataset"], "range_pr_auc")["best-algo"].select("hexhash", F.round("range_pr_auc", 6).alias("best"))
+    n = s["execution"].groupBy(F.col("dataset_id").alias("hexhash")).agg(F.count(F.lit(1)).alias("n"))
+    return best.join(n, "hexhash").select("hexhash", "n", "best")
+
+
 @query(f"{ST} SELECT hexhash FROM dataset WHERE hexhash NOT IN (SELECT dataset_id FROM baseline)")
 def j12_not_in(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = v.store(spark, sf_dir)

@@ -358,6 +358,34 @@ def e11_pr_auc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.pr_auc(v.user_scores(spark, sf_dir), [*S, "instance"]).withColumn("pr_auc", R6(F.col("pr_auc")))
 
 
+@query(f"""{SC}, p AS (SELECT series_id, instance, avg(score) AS m, stddev_pop(score) AS d FROM scores GROUP BY 1, 2),
+z AS (SELECT s.series_id, s.instance, s.t, round(m + d, 6) AS back FROM scores s JOIN p USING (series_id, instance) WHERE d > 0) SELECT * FROM z""")
+def n2c_gaussian_inverse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One deviation above the mean is erf(1 / sqrt 2); its inverse is mean + deviation."""
+    w = Window.partitionBy(*S, "instance")
+    s = v.user_scores(spark, sf_dir).withColumns({"m": F.avg("score").over(w), "d": F.stddev_pop("score").over(w)}).where("d > 0")
+    back = scores.gaussian_inverse(scalar.erf(F.lit(0.5**0.5)), F.col("m"), F.col("d"))
+    return s.select(*S, "instance", "t", R6(back).alias("back"))
+
+
+@query()
+def e7_precision_at_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predictions at each instance's top-k-ranges threshold, joined by or, against the labelled ranges."""
+    s = v.user_scores(spark, sf_dir)
+    th = k10_top_k_ranges(spark, sf_dir)
+    flagged = s.join(th, [*S, "instance"]).withColumn("predicted", F.col("score") >= F.col("threshold"))
+    points = flagged.groupBy(*S, "t").agg(F.bool_or("predicted").alias("predicted"), F.bool_or("is_anomaly").alias("is_anomaly"))
+    return metrics.hit_percentage(points, S, 2).withColumn("hit_percentage", R6(F.col("hit_percentage")))
+
+
+@query()
+def e13_individual_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """ROC and PR areas and the confusion of every instance on its own, two-deviation predictions."""
+    p = _predicted(spark, sf_dir)
+    keys = [*S, "instance"]
+    return metrics.roc_auc(p, keys).join(metrics.pr_auc(p, keys), keys, "left").join(metrics.confusion(p, keys), keys)
+
+
 @query()
 def e11_range_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.range_metrics(_predicted(spark, sf_dir), [*S, "instance"])
@@ -556,21 +584,22 @@ def r11_kemeny(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _few(spark: SparkSession, sf_dir: str) -> DataFrame:
-    votes = _votes(spark, sf_dir).withColumn("rank", F.col("rank") + 1)
-    number = F.dense_rank().over(Window.partitionBy("g").orderBy("voter")) - 1
-    return votes.withColumn("voter", number.cast("long"))
+    return _votes(spark, sf_dir).withColumn("rank", F.col("rank") + 1)
 
 
-_TERMS = " ".join(f"WHEN {k} THEN " + " + ".join(f"{c}.0 * power(r, {j}) * power(1 - r, {4 - j})" for j, c in ((0, 1), (1, 4), (2, 6), (3, 4)) if j >= k) for k in range(4))
+_TERMS = " ".join(f"WHEN {k} THEN " + " + ".join(f"{c}.0 * power(r, {j}) * power(1 - r, {5 - j})" for j, c in ((0, 1), (1, 5), (2, 10), (3, 10), (4, 5)) if j >= k) for k in range(5))
 
 
-@query(f"""{VOTES}, n AS (SELECT g, dense_rank() OVER (PARTITION BY g ORDER BY voter) - 1 AS v, item, (rank + 1) / {len(v.INSTANCES)}.0 AS r FROM votes),
-t AS (SELECT g, item, round(min(CASE v {_TERMS} END), 6) AS rho FROM n WHERE v < 4 GROUP BY 1, 2)
-SELECT g, item, rho, row_number() OVER (PARTITION BY g ORDER BY rho, item) AS rank FROM t""")
+@query(f"""{SC}, n AS (SELECT series_id, CASE instance {' '.join(f"WHEN '{x}' THEN {i}" for i, x in enumerate(v.INSTANCES))} END AS v, t AS item,
+  row_number() OVER (PARTITION BY series_id, instance ORDER BY score DESC, t)::DOUBLE / count(*) OVER (PARTITION BY series_id, instance) AS r FROM scores)
+SELECT series_id, item, round(min(CASE v {_TERMS} END), 5) AS rho FROM n GROUP BY 1, 2""")
 def r13_robust(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = ranks.robust(_few(spark, sf_dir).where("voter < 4"), G, 4).withColumn("rho", R6(F.col("rho")))
-    order = Window.partitionBy("g").orderBy("rho", "item")
-    return found.select("g", "item", "rho", F.row_number().over(order).cast("long").alias("rank"))
+    """Detectors vote on the points of each series."""
+    s = v.user_scores(spark, sf_dir)
+    voter = F.array_position(F.lit(list(v.INSTANCES)), F.col("instance")) - 1
+    place = F.row_number().over(Window.partitionBy(*S, "instance").orderBy(F.col("score").desc(), "t"))
+    found = ranks.robust(s.select(*S, voter.alias("voter"), F.col("t").alias("item"), place.cast("long").alias("rank")), S, len(v.INSTANCES))
+    return found.select(*S, "item", F.round("rho", 5).alias("rho"))
 
 
 @query(f"""{VOTES}, m AS (SELECT g, item, round(avg(1.0 / (rank + 1)), 6) AS points FROM votes GROUP BY 1, 2)
