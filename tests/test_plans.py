@@ -62,7 +62,7 @@ def test_config():
 
 def test_reports_filters(spark):
     e = spark.createDataFrame([("a", 1), ("b", 2)], "version string, config_id bigint")
-    assert reports.filtered(e, autotune_versions=[]).count() == 2 and reports.filtered(e, autotune_versions=["a"], config_ids=[1, 2]).count() == 1
+    assert reports.filtered(e, versions=[]).count() == 2 and reports.filtered(e, versions=["a"], config_ids=[1, 2]).count() == 1
     with pytest.raises(ValueError, match="no such filter"):
         reports.filtered(e, nothing=[1])
 

@@ -137,11 +137,10 @@ def range_auc(label: np.ndarray, score: np.ndarray, buffer: int = 100, steps: in
     soft = label.astype(float)
     ranges = _ranges(label > 0)
     for b, e in ranges:
-        for at, d in ((np.arange(max(0, b - half), b), None), (np.arange(e, min(n, e + half)), None)):
-            del d
+        for at in (np.arange(max(0, b - half), b), np.arange(e, min(n, e + half))):
             away = np.where(at < b, b - at, at - e + 1)
             soft[at] = np.maximum(soft[at], np.sqrt(np.maximum(0, 1 - away / max(buffer, 1))))
-    hard, positive = label.sum(), (label.sum() + soft.sum()) / 2
+    positive = (label.sum() + soft.sum()) / 2
     if not ranges or positive >= n:
         return float("nan"), float("nan")
     order = np.sort(score)[::-1]
@@ -155,7 +154,6 @@ def range_auc(label: np.ndarray, score: np.ndarray, buffer: int = 100, steps: in
         fpr.append(min(max(fp / (n - positive), 0.0), 1.0))
         precision.append(tp / max(1, found.sum()))
     tpr.append(1.0), fpr.append(1.0)
-    del hard
     t, f, p = np.array(tpr), np.array(fpr), np.array(precision)
     roc = float(((f[1:] - f[:-1]) * (t[1:] + t[:-1]) / 2).sum())
     pr = float(((t[1:-1] - t[:-2]) * p[1:]).sum())

@@ -17,7 +17,7 @@ TYPE = "CASE WHEN name LIKE 'select%' THEN 'selective ensemble' WHEN name = 'bes
 @query(f"{ST} SELECT DISTINCT hexhash, name, collection FROM dataset WHERE hexhash IN (SELECT dataset_id FROM execution WHERE version IN ('F') AND ranking_method IN ('1-URGENT', '2-HIGH'))")
 def q1_list_datasets(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = v.store(spark, sf_dir)
-    return r.list_datasets(s["execution"], s["dataset"], autotune_versions=["F"], ranking_methods=["1-URGENT", "2-HIGH"], config_ids=[])
+    return r.list_datasets(s["execution"], s["dataset"], versions=["F"], ranking_methods=["1-URGENT", "2-HIGH"], config_ids=[])
 
 
 @query(f"{ST} SELECT collection, count(*) AS n FROM dataset WHERE paper GROUP BY 1")

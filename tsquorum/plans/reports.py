@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 #: Filter names and the columns they restrict.
 FILTERS = {
-    "autotune_versions": "version", "config_ids": "config_id", "ranking_methods": "ranking_method", "normalization_methods": "normalization_method",
+    "versions": "version", "config_ids": "config_id", "ranking_methods": "ranking_method", "normalization_methods": "normalization_method",
     "aggregation_methods": "aggregation_method", "experiments": "experiment_id",
 }
 
