@@ -216,6 +216,19 @@ def test_a_large_group_of_near_copies_loses_no_link(spark):
     assert got == brute_components(data)
 
 
+def test_a_crowd_below_the_threshold_hides_no_link(spark):
+    rng = random.Random(12)
+    base = " ".join(f"t{rng.randrange(10**6)}" for _ in range(80))
+    own = lambda n: [f"y{rng.randrange(10**9)}" for _ in range(n)]
+    data = [(i, f"{base} {' '.join(own(14))}") for i in range(1000)]  # a long shared passage, pairs at about 0.73
+    for i in range(1000, 1080, 2):
+        w = own(14)
+        data += [(i, f"{base} {' '.join(w)}"), (i + 1, f"{base} {' '.join(w[:2] + own(12))}")]  # at about 0.76
+    want = {i: i - 1 if i > 1000 and i % 2 else i for i, _ in data}
+    got = neardup.near_duplicates(spark.createDataFrame(data, "doc_id bigint, text string").repartition(8)).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == want
+
+
 def test_components_in_rounds(spark, monkeypatch):
     monkeypatch.setattr(graph, "LOCAL_EDGES", 0)
     rng = random.Random(4)

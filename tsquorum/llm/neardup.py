@@ -5,7 +5,8 @@ documents sorted by its sequence. Neighbours in a list share the longest prefixe
 at which documents meet adapts to the region: long prefixes where many are alike, short ones elsewhere, down to
 ``LEAST_PREFIX`` values. Documents meet their ``REACH`` next neighbours and the first of their region. A sketch of
 the MinHash values drops pairs that can't be similar; all others are confirmed on the full sets, except where
-confirmed links already connect both ends.
+confirmed links already connect both ends. Then all pairs of a region that neither met nor are connected are
+compared in tiles, so that a crowd of unlike documents between two alike ones hides no link.
 
 Documents with equal sets are one class from the start, so copies meet once. Lists are dealt by ranges of the
 whole sequence: a region of any size spreads over many tasks.
@@ -36,6 +37,8 @@ LIKELY = 0.82
 ALLOWED = 0.58
 #: Rows of a block when components are compared.
 BLOCK = 2048
+#: Rows of a side of a tile when the pairs of a region are compared.
+TILE = 1024
 
 _rng = np.random.default_rng(20240613)
 _ODD = _rng.integers(0, 2**63, 16, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -115,8 +118,11 @@ def _alike(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def neighbours(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Candidate pairs from rows (tree, sig, node, sketch) in sorted order; keeps ``REACH`` + 1 rows in memory."""
-    held = None
+    """Candidate pairs from rows (tree, sig, node, sketch) in sorted order; keeps ``REACH`` + 1 rows in memory.
+
+    The first and the last region, which may go on in other partitions, come as rows (tree, prefix, -1).
+    """
+    held, ends = None, []
     for batch in rows:
         if not batch.num_rows:
             continue
@@ -125,7 +131,9 @@ def neighbours(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key = np.stack([tree, prefix.view(">u8").ravel().astype(np.int64)], axis=1)
         node, sketch = batch.column("node").to_numpy(), _fixed(batch.column("sketch"), TREES * DEPTH // 2)
         old = 0
-        if held is not None:
+        if held is None:
+            ends.append(key[0])
+        else:
             old = len(held[1])
             key, node, sketch = (np.concatenate(x) for x in zip(held, (key, node, sketch), strict=True))
         n = len(node)
@@ -146,6 +154,9 @@ def neighbours(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(like[good])], ["a", "b", "alike"])
         keep = np.unique(np.concatenate([[centre[-1]], np.arange(max(centre[-1], n - REACH), n)]))
         held = key[keep], node[keep], sketch[keep]
+    if held is not None:
+        ends.append(held[0][-1])
+        yield pa.RecordBatch.from_arrays([pa.array([int(k[i]) for k in ends], pa.int64()) for i in (0, 1)] + [pa.array([-1.0] * 2)], ["a", "b", "alike"])
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -226,6 +237,106 @@ def _leftovers(candidates: DataFrame, comps: DataFrame, nodes: DataFrame, texts:
     return tiles.groupBy("large", "p", "q").applyInPandas(compare, "a bigint, b bigint")
 
 
+def _tiles(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """The tiles of rows that come sorted by their first four columns."""
+    parts, last = [], None
+    for batch in rows:
+        if not batch.num_rows:
+            continue
+        key = np.stack([batch.column(i).to_numpy() for i in range(4)], axis=1)
+        cuts = [0, *(np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1).tolist(), len(key)]
+        for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+            if parts and tuple(key[lo]) != last:
+                yield pa.Table.from_batches(parts)
+                parts = []
+            parts.append(batch.slice(lo, hi - lo))
+            last = tuple(key[lo])
+    if parts:
+        yield pa.Table.from_batches(parts)
+
+
+def _tile_pairs(tile: pa.Table) -> Iterator[tuple[int, np.ndarray]]:
+    """Rows of a tile, each with those of the other side that may be similar, are in another component, and share no earlier tree's region."""
+    tree, _, p, q = (tile.column(i)[0].as_py() for i in range(4))
+    left, component = tile.column("left").to_numpy(), tile.column("component").to_numpy()
+    sketch = _fixed(tile.column("sketch"), TREES * DEPTH // 2)
+    keys = _fixed(tile.column("prefixes"), TREES * 4 * LEAST_PREFIX).view(">u8")[:, :tree]
+    right = np.flatnonzero(~left) if p != q else np.arange(len(left))
+    for i in np.flatnonzero(left) if p != q else right:
+        others = right if p != q else right[i + 1 :]
+        others = others[component[others] != component[i]]
+        others = others[_alike(sketch[others], sketch[i]) >= FLOOR]
+        others = others[~(keys[others] == keys[i]).any(axis=1)]
+        if len(others):
+            yield i, others
+
+
+def _tile_rows(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of each tile that are in any of its pairs."""
+    for tile in _tiles(rows):
+        used = np.zeros(tile.num_rows, bool)
+        for i, others in _tile_pairs(tile):
+            used[i] = used[others] = True
+        yield from tile.filter(pa.array(used)).to_batches()
+
+
+def _tile_links(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links that connect all components of each tile which any pair of it links, on full sets."""
+    for tile in _tiles(rows):
+        node, component, sets = tile.column("node").to_numpy(), tile.column("component").to_pylist(), [shingle_set(t) for t in tile.column("text").to_pylist()]
+        size = np.array([len(s) for s in sets])
+        words, place = np.unique(np.concatenate(sets), return_inverse=True)
+        sets = np.split(place, np.cumsum(size)[:-1])
+        has, above, found = np.zeros(len(words), bool), {c: c for c in component}, []
+
+        def root(x: int, above=above) -> int:
+            while above[x] != x:
+                above[x] = x = above[above[x]]
+            return x
+
+        for i, others in _tile_pairs(tile):
+            others = np.array([j for j in others if size[j] and root(component[j]) != root(component[i])], np.int64)
+            if not size[i] or not len(others):
+                continue
+            has[sets[i]] = True
+            both = np.add.reduceat(has[np.concatenate([sets[j] for j in others])], np.cumsum(size[others]) - size[others], dtype=np.int64)
+            has[sets[i]] = False
+            for j in others[100 * both >= PERCENT * (size[i] + size[others] - both)]:
+                x, y = root(component[i]), root(component[j])
+                if x != y:
+                    above[max(x, y)] = min(x, y)
+                    found.append((min(node[i], node[j]), max(node[i], node[j])))
+        yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+
+def _unmet(nodes: DataFrame, comps: DataFrame, ends: DataFrame, slim: DataFrame, cuts: Cuts) -> DataFrame:
+    """Links (a, b) between components within the regions where not all pairs have met.
+
+    Those are regions of more than ``REACH`` + 1 documents, and regions at the ends of partitions. They are compared
+    in square tiles, by sketch, then on full sets; a pair only in the first tree where it shares a region.
+    """
+    width, key = 4 * DEPTH, ["tree", "prefix", "p", "q"]
+    prefixes = F.concat(*[F.substring("sig", t * width + 1, 4 * LEAST_PREFIX) for t in range(TREES)])
+    inner = nodes.join(comps, "node", "left").select("node", F.coalesce("component", "node").alias("component"), "sketch", prefixes.alias("prefixes"))
+    prefix = F.expr(f"cast(conv(hex(substring(prefixes, tree * {4 * LEAST_PREFIX} + 1, {4 * LEAST_PREFIX})), 16, -10) as bigint)")
+    every = inner.select(F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(TREES - 1).cast("bigint"))).alias("tree"), "*").withColumn("prefix", prefix)
+    sized = every.groupBy("tree", "prefix").agg(F.count(F.lit(1)).alias("n"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi")
+    ends = ends.select(F.col("a").alias("tree"), F.col("b").alias("prefix"), F.lit(True).alias("end")).distinct()
+    regions = cuts.cut(sized.join(ends, ["tree", "prefix"], "left").where(F.col("end") | (F.col("n") > REACH + 1)).select("tree", "prefix", F.ceil(F.col("n") / TILE).alias("blocks")), "regions")
+    nothing = cuts.spark.createDataFrame([], "a bigint, b bigint")
+    if regions.isEmpty():
+        return nothing
+    rows = every.join(regions, ["tree", "prefix"]).dropDuplicates(["tree", "prefix", "node"]).withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)))
+    rows = rows.select("tree", "prefix", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), (F.col("own") <= F.col("other")).alias("left"), "node", "component", "sketch", "prefixes")
+    tiled = rows.repartition(*key).sortWithinPartitions(*key)
+    active = cuts.cut(tiled.mapInArrow(released(_tile_rows), rows.schema), "active")
+    if active.isEmpty():
+        return nothing
+    texts = slim.hint("merge").join(active.select("node").distinct(), "node", "left_semi").distinct()
+    return active.hint("merge").join(texts, "node").select(*rows.columns, "text").repartition(*key).sortWithinPartitions(*key).mapInArrow(released(_tile_links), "a bigint, b bigint")
+
+
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) per row of ``docs``; ids must be integers.
 
@@ -246,7 +357,8 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         "tree", F.expr(f"substring(sig, tree * {width} + 1, {width})").alias("sig"), "node", "sketch")
     lists = trees.repartitionByRange("tree", "sig", "node").sortWithinPartitions("tree", "sig", "node")
     found = lists.mapInArrow(released(neighbours), "a bigint, b bigint, alike double")
-    candidates = cuts.cut(found.groupBy("a", "b").agg(F.max("alike").alias("alike")), "candidates")
+    found = cuts.cut(found.groupBy("a", "b", (F.col("alike") < 0).alias("end")).agg(F.max("alike").alias("alike")), "candidates")
+    candidates, ends = found.where("not end").drop("end"), found.where("end")
 
     involved = candidates.select(F.col("a").alias("node")).union(candidates.select("b")).distinct()
     slim = docs.select(F.col(id_col).cast("bigint").alias("node"), F.col(text_col).cast("binary").alias("text"))
@@ -258,6 +370,10 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     rest = _crossing(candidates, comps).select("a", "b").join(first, ["a", "b"], "left_anti")
     links = links.unionByName(cuts.cut(confirmed(rest, texts), "links"))
     comps = components(links, cuts, "second")
+    unmet = cuts.cut(_unmet(nodes, comps, ends, slim, cuts), "links")
+    if not unmet.isEmpty():
+        links = links.unionByName(unmet)
+        comps = components(links, cuts, "regions")
     more = cuts.cut(_leftovers(candidates, comps, nodes, texts), "links")
     if not more.isEmpty():
         comps = components(links.unionByName(more), cuts, "third")
