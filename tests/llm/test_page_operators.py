@@ -194,6 +194,16 @@ def test_context_beats_word_frequencies_and_order_matters(model):
     assert a.sum() / n.sum() > frequency + 0.5 and a.mean() > b.mean() + 2
 
 
+def test_the_vocabulary_follows_the_corpus(spark):
+    common, rare = [f"w{i}" for i in range(9000)], ["zzz", "q"]
+    counts = spark.createDataFrame([(w, 7) for w in common] + [(rare[0], 2), (rare[1], 1)], "word string, n bigint")
+    m = lm.vocabulary(counts)
+    assert set(m.ids) == {w.encode() for w in common} and len(m.weights[-1]) > lm.CLASSES
+    seen = Counter("".join(w * 7 for w in common) + "zzzzzz" + "q")
+    total = sum(seen.values()) + 63003 + 257
+    assert all(np.exp(m.letters[ord(c)]) == pytest.approx((n + 1) / total) for c, n in seen.items())
+
+
 def test_nothing_to_learn(spark):
     none = spark.createDataFrame([], "doc_id bigint, text string")
     m = lm.train(none)

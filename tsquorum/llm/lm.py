@@ -22,12 +22,13 @@ from pyspark.sql import functions as F
 
 from tsquorum.llm.common import Cuts, released
 
-VOCABULARY, CLASSES, WIDTH, HIDDEN, REACH = 8192, 64, 16, 24, 2
+#: Words seen as often as this are in the vocabulary; there are ``CLASSES`` classes, more with the fourth root of its size beyond 8192.
+LEAST, CLASSES = 5, 64
+WIDTH, HIDDEN, REACH = 16, 24, 2
 STRIDE, ROUNDS, RATE, BATCH = 16, 2, 0.08, 128
-#: Partial sums of weights that reach the driver in a round.
+#: Partial sums of weights in a round, which one more task adds up for the driver.
 PARTIALS = 8
 EDGE, UNKNOWN = 0, 1  # ids of the padding and of words beyond the vocabulary
-_SHAPES = ((VOCABULARY, WIDTH), (2 * REACH, WIDTH, HIDDEN), (HIDDEN,), (HIDDEN, CLASSES), (CLASSES,))
 
 
 class Model(NamedTuple):
@@ -49,25 +50,42 @@ def word_counts(docs: DataFrame, text_col: str) -> DataFrame:
     return words.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
 
 
-def vocabulary(counts: DataFrame, size: int = VOCABULARY) -> Model:
-    """The model before training, from the commonest words (ties by word) and the number of the rest."""
-    top = counts.orderBy(F.col("n").desc(), "word").limit(size - 2).collect()
+def letter_counts(counts: DataFrame) -> np.ndarray:
+    """Number of each byte in all words, and of words at 256, one more each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(257, np.int64)
+        for batch in batches:
+            words, n = [w.encode() for w in batch.column(0).to_pylist()], batch.column(1).to_numpy()
+            total[:256] += np.bincount(np.frombuffer(b"".join(words), np.uint8), np.repeat(n, [len(w) for w in words]), 256).astype(np.int64)
+            total[256] += n.sum()
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(257)), pa.array(total)], ["letter", "n"])
+
+    letters = np.ones(257)
+    for row in counts.select("word", "n").mapInArrow(run, "letter bigint, n bigint").groupBy("letter").agg(F.sum("n").alias("n")).collect():
+        letters[row["letter"]] += row["n"]
+    return letters
+
+
+def vocabulary(counts: DataFrame, least: int = LEAST) -> Model:
+    """The model before training, from all words seen ``least`` times (commonest first, ties by word) and the number of the rest."""
+    top = counts.where(F.col("n") >= least).orderBy(F.col("n").desc(), "word").select("word", "n").toArrow()
     total = counts.agg(F.sum("n")).first()[0] or 0
-    ids = {r["word"].encode(): i + 2 for i, r in enumerate(top)}
+    ids = {w.encode(): i + 2 for i, w in enumerate(top.column("word").to_pylist())}
+    n, size = top.column("n").to_numpy(), top.num_rows + 2
+    classes = int(CLASSES * max(1.0, size / 8192) ** 0.25)
     seen = np.ones(size)
-    seen[2 : 2 + len(top)] = [r["n"] for r in top]
-    seen[UNKNOWN] = max(1, total - sum(r["n"] for r in top))
+    seen[2:] = n
+    seen[UNKNOWN] = max(1, total - int(n.sum()))
     # Classes of about equal mass, the commonest words first; the unknown word has one of its own.
     mass = np.cumsum(seen[2:]) / seen[2:].sum()
-    of_class = np.concatenate([[0, 0], 1 + np.minimum((mass * (CLASSES - 1)).astype(int), CLASSES - 2)])
-    per_class = np.bincount(of_class, np.where(np.arange(size) == EDGE, 0, seen), CLASSES)
+    of_class = np.concatenate([[0, 0], 1 + np.minimum((mass * (classes - 1)).astype(int), classes - 2)])
+    per_class = np.bincount(of_class, np.where(np.arange(size) == EDGE, 0, seen), classes)
     share = np.log(seen / per_class[of_class])
-    letters = np.ones(257)
-    for word in ids:
-        np.add.at(letters, np.frombuffer(word, np.uint8), 1)
-        letters[256] += 1
+    letters = letter_counts(counts)
     rng = np.random.default_rng(3)
-    weights = [(rng.standard_normal(s) * spread).astype(np.float32) for s, spread in zip(_SHAPES, (0.7, 0.25, 0.0, 0.2, 0.0), strict=True)]
+    shapes = ((size, WIDTH), (2 * REACH, WIDTH, HIDDEN), (HIDDEN,), (HIDDEN, classes), (classes,))
+    weights = [(rng.standard_normal(s) * spread).astype(np.float32) for s, spread in zip(shapes, (0.7, 0.25, 0.0, 0.2, 0.0), strict=True)]
     return Model(ids, of_class, share, np.log(letters / letters.sum()), weights)
 
 
@@ -92,7 +110,7 @@ def log_classes(weights: list[np.ndarray], row: np.ndarray, at: np.ndarray) -> n
     embed, place, bias, out, out_bias = weights
     inner = np.repeat(bias[None], len(at), axis=0)
     for k, d in enumerate(_AROUND):
-        inner += (embed @ place[k])[row[at + d]] if len(at) > VOCABULARY else embed[row[at + d]] @ place[k]
+        inner += (embed @ place[k])[row[at + d]] if len(at) > len(embed) else embed[row[at + d]] @ place[k]
     scores = np.tanh(inner) @ out + out_bias
     scores -= scores.max(axis=1, keepdims=True)
     return scores - np.log(np.exp(scores).sum(axis=1, keepdims=True))
@@ -154,13 +172,13 @@ def train(docs: DataFrame, *, text_col: str = "text", rounds: int = ROUNDS, stri
                 yield pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([n], pa.int64()), pa.array([total.tobytes()], pa.binary())], ["slot", "n", "flat"])
 
         schema = "slot int, n bigint, flat binary"
-        partial = texts.mapInArrow(released(local), schema).repartition(PARTIALS, "slot").mapInArrow(released(added), schema).collect()
+        partial = texts.mapInArrow(released(local), schema).repartition(PARTIALS, "slot").mapInArrow(released(added), schema).repartition(1).mapInArrow(released(added), schema).collect()
         n = sum(p["n"] for p in partial)
         if not n:
             break
         flat = sum(np.frombuffer(p["flat"], np.float64) for p in partial) / n
-        ends = np.cumsum([0, *(int(np.prod(s)) for s in _SHAPES)])
-        model = model._replace(weights=[flat[a:b].reshape(s).astype(np.float32) for a, b, s in zip(ends[:-1], ends[1:], _SHAPES, strict=True)])
+        ends = np.cumsum([0, *(w.size for w in model.weights)])
+        model = model._replace(weights=[flat[a:b].reshape(w.shape).astype(np.float32) for a, b, w in zip(ends[:-1], ends[1:], model.weights, strict=True)])
     return model
 
 
@@ -169,9 +187,10 @@ def log_likelihoods(model: Model, texts: list[bytes | None]) -> tuple[np.ndarray
     rows = [_words(text) for text in texts]
     row, places, n = _ids(model, rows)
     logs = np.zeros(len(places))
-    for lo in range(0, len(places), 16384):
-        at = places[lo : lo + 16384]
-        logs[lo : lo + 16384] = log_classes(model.weights, row, at)[np.arange(len(at)), model.of_class[row[at]]] + model.share[row[at]]
+    step = max(1024, (1 << 20) // len(model.weights[-1]))
+    for lo in range(0, len(places), step):
+        at = places[lo : lo + step]
+        logs[lo : lo + step] = log_classes(model.weights, row, at)[np.arange(len(at)), model.of_class[row[at]]] + model.share[row[at]]
     sums = np.add.reduceat(np.append(logs, 0.0), np.minimum(np.cumsum(n) - n, len(logs))) if len(n) else np.zeros(0)
     sums = np.where(n > 0, sums, 0.0)
     for i, words in enumerate(rows):
