@@ -204,6 +204,15 @@ def test_the_vocabulary_follows_the_corpus(spark):
     assert all(np.exp(m.letters[ord(c)]) == pytest.approx((n + 1) / total) for c, n in seen.items())
 
 
+def test_every_word_is_masked_in_the_rounds(spark):
+    text, offsets = "the cat sees the food and the dog", {(r * lm.STRIDE) // lm.ROUNDS % lm.STRIDE for r in range(lm.ROUNDS)}
+    assert offsets == set(range(lm.STRIDE))
+    docs = spark.createDataFrame([(i, text) for i in range(400)], "doc_id bigint, text string")
+    m = lm.train(docs)
+    n, logs = lm.log_likelihoods(m, [text.encode(), b"dog the and food the sees cat the"])
+    assert logs[0] > logs[1] + 2
+
+
 def test_nothing_to_learn(spark):
     none = spark.createDataFrame([], "doc_id bigint, text string")
     m = lm.train(none)

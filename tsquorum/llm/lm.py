@@ -6,8 +6,8 @@ the vocabulary are spelled by letter frequencies. So every word has a proper con
 their logarithms scores the document.
 
 Counts of words come from the whole corpus. Training is data-parallel: each task starts from the shared weights,
-takes every ``stride``-th word of all its documents as masked examples (a different one each round), and the tasks'
-weights are averaged by their numbers of examples, in a bounded number of partial sums.
+takes every ``stride``-th word of all its documents as masked examples (other ones each round, all over the rounds), and the tasks'
+weights are averaged by their numbers of examples: each sends its changes, split over a bounded number of sums.
 """
 
 from __future__ import annotations
@@ -25,8 +25,8 @@ from tsquorum.llm.common import Cuts, released
 #: Words seen as often as this are in the vocabulary; there are ``CLASSES`` classes, more with the fourth root of its size beyond 8192.
 LEAST, CLASSES = 5, 64
 WIDTH, HIDDEN, REACH = 16, 24, 2
-STRIDE, ROUNDS, RATE, BATCH = 16, 2, 0.08, 128
-#: Partial sums of weights in a round, which one more task adds up for the driver.
+STRIDE, ROUNDS, RATE, BATCH = 2, 2, 0.08, 128
+#: Parts in which the changes of weights are summed up in a round; tasks send only the embeddings that they changed.
 PARTIALS = 8
 EDGE, UNKNOWN = 0, 1  # ids of the padding and of words beyond the vocabulary
 
@@ -123,7 +123,8 @@ def sgd(weights: list[np.ndarray], row: np.ndarray, at: np.ndarray, goal: np.nda
         here, y = at[lo : lo + BATCH], goal[lo : lo + BATCH]
         seen = row[here[:, None] + _AROUND]
         x = embed[seen]
-        h = np.tanh(np.einsum("bkw,kwh->bh", x, place, optimize=True) + bias)
+        flat = x.reshape(len(y), -1)
+        h = np.tanh(flat @ place.reshape(-1, HIDDEN) + bias)
         scores = h @ out + out_bias
         scores -= scores.max(axis=1, keepdims=True)
         p = np.exp(scores)
@@ -131,12 +132,12 @@ def sgd(weights: list[np.ndarray], row: np.ndarray, at: np.ndarray, goal: np.nda
         p[np.arange(len(y)), y] -= 1
         dh = (p @ out.T) * (1 - h * h)
         step = rate / len(y) * min(8.0, len(y) ** 0.5)
-        dx = np.einsum("bh,kwh->bkw", dh, place, optimize=True)
+        dx = dh @ place.reshape(-1, HIDDEN).T
         out -= step * (h.T @ p)
         out_bias -= step * p.sum(axis=0)
-        place -= step * np.einsum("bkw,bh->kwh", x, dh, optimize=True)
+        place -= step * (flat.T @ dh).reshape(place.shape)
         bias -= step * dh.sum(axis=0)
-        np.add.at(embed, seen.ravel(), -step * dx.reshape(-1, WIDTH))
+        np.add.at(embed.reshape(-1), (seen.ravel()[:, None] * WIDTH + np.arange(WIDTH)).ravel(), (-step * dx).ravel().astype(embed.dtype, copy=False))
 
 
 def train(docs: DataFrame, *, text_col: str = "text", rounds: int = ROUNDS, stride: int = STRIDE, rate: float = RATE) -> Model:
@@ -148,8 +149,6 @@ def train(docs: DataFrame, *, text_col: str = "text", rounds: int = ROUNDS, stri
         shared = spark.sparkContext.broadcast(model)
 
         def local(batches: Iterator[pa.RecordBatch], r: int = r, shared=shared) -> Iterator[pa.RecordBatch]:
-            from pyspark import TaskContext
-
             m = shared.value
             weights, n = [w.copy() for w in m.weights], 0
             for batch in batches:
@@ -159,26 +158,48 @@ def train(docs: DataFrame, *, text_col: str = "text", rounds: int = ROUNDS, stri
                     sgd(weights, row, at, m.of_class[row[at]], rate)
                     n += len(at)
             if n:
-                flat = np.concatenate([w.ravel() for w in weights]).astype(np.float64) * n
-                yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId() % PARTIALS], pa.int32()), pa.array([n], pa.int64()), pa.array([flat.tobytes()], pa.binary())], ["slot", "n", "flat"])
-
-        def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            total, n = None, 0
+                gone = [(w - old) * np.float32(n) for w, old in zip(weights, m.weights, strict=True)]
+                touched = np.flatnonzero(gone[0].any(axis=1)).astype(np.int32)
+                rest = np.concatenate([g.ravel() for g in gone[1:]])
+                for slot in range(PARTIALS):
+                    own = touched[touched % PARTIALS == slot]
+                    yield message(slot, own, gone[0][own], n if slot == 0 else 0, rest if slot == 0 else rest[:0])
+
+        def message(slot: int, rows: np.ndarray, embed: np.ndarray, n: int, rest: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([slot], pa.int32()), pa.array([n], pa.int64()), *[pa.array([x.tobytes()], pa.binary()) for x in (rows, embed, rest)]], ["slot", "n", "rows", "embed", "rest"])
+
+        def added(batches: Iterator[pa.RecordBatch], size: int = len(model.weights[0])) -> Iterator[pa.RecordBatch]:
+            embed, rest, n, used = None, np.zeros(0, np.float32), 0, None
             for batch in batches:
-                for k, flat in zip(batch.column("n").to_pylist(), batch.column("flat").to_pylist(), strict=True):
-                    one = np.frombuffer(flat, np.float64)
-                    total, n = one if total is None else total + one, n + k
-            if n:
-                yield pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([n], pa.int64()), pa.array([total.tobytes()], pa.binary())], ["slot", "n", "flat"])
-
-        schema = "slot int, n bigint, flat binary"
-        partial = texts.mapInArrow(released(local), schema).repartition(PARTIALS, "slot").mapInArrow(released(added), schema).repartition(1).mapInArrow(released(added), schema).collect()
+                for part in batch.to_pylist():
+                    if embed is None:
+                        embed, used = np.zeros((size, WIDTH), np.float32), np.zeros(size, bool)
+                    rows = np.frombuffer(part["rows"], np.int32)
+                    embed[rows] += np.frombuffer(part["embed"], np.float32).reshape(-1, WIDTH)
+                    used[rows] = True
+                    n += part["n"]
+                    if part["rest"]:
+                        one = np.frombuffer(part["rest"], np.float32)
+                        rest = rest + one if len(rest) else one
+            if embed is not None:
+                rows = np.flatnonzero(used).astype(np.int32)
+                yield message(0, rows, embed[rows], n, rest)
+
+        schema = "slot int, n bigint, rows binary, embed binary, rest binary"
+        partial = texts.mapInArrow(released(local), schema).repartition(PARTIALS, "slot").mapInArrow(released(added), schema).collect()
+        shared.unpersist()
         n = sum(p["n"] for p in partial)
         if not n:
             break
-        flat = sum(np.frombuffer(p["flat"], np.float64) for p in partial) / n
-        ends = np.cumsum([0, *(w.size for w in model.weights)])
-        model = model._replace(weights=[flat[a:b].reshape(w.shape).astype(np.float32) for a, b, w in zip(ends[:-1], ends[1:], model.weights, strict=True)])
+        weights = [w.copy() for w in model.weights]
+        for p in partial:
+            weights[0][np.frombuffer(p["rows"], np.int32)] += np.frombuffer(p["embed"], np.float32).reshape(-1, WIDTH) / np.float32(n)
+            if p["rest"]:
+                ends = np.cumsum([0, *(w.size for w in weights[1:])])
+                rest = np.frombuffer(p["rest"], np.float32) / np.float32(n)
+                for w, lo, hi in zip(weights[1:], ends[:-1], ends[1:], strict=True):
+                    w += rest[lo:hi].reshape(w.shape)
+        model = model._replace(weights=weights)
     return model
 
 
