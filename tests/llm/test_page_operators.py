@@ -149,33 +149,50 @@ def corpus():
 
 @pytest.fixture(scope="module")
 def model(spark):
-    return lm.train(spark.createDataFrame(corpus(), "doc_id bigint, text string"), stride=2, rounds=3)
-
-
-def test_conditionals_sum_to_one(model):
-    row, places, _ = lm._ids(model, [b"the cat sees the food . zebra the".split()])
-    p = np.exp(lm.log_classes(model.weights, row, places))
-    assert np.allclose(p.sum(axis=1), 1, atol=1e-4)
-    used = np.arange(len(model.share)) != lm.EDGE
-    for c in range(1, lm.CLASSES):
-        of = used & (model.of_class == c)
-        if of.any():
-            assert np.exp(model.share[of]).sum() == pytest.approx(1, abs=1e-6)
+    return lm.train(spark.createDataFrame(corpus(), "doc_id bigint, text string"))
+
+
+def chances(model, words, at):
+    """Probability of every id at one place of a text."""
+    row, places = lm._framed(lm._ids(model, words), np.array([len(words)]))
+    out = []
+    for i in range(lm.UNKNOWN, len(model.counts)):
+        row[places[at]] = i
+        out.append(math.exp(lm.log_words(model, row, places[at : at + 1])[0]))
+    return np.array(out)
+
+
+def test_conditionals_sum_to_one(spark, model):
+    words = b"the cat sees the food . zebra the".split()
+    assert all(chances(model, words, at).sum() == pytest.approx(1, abs=1e-4) for at in range(len(words)))
     assert np.exp(model.letters).sum() == pytest.approx(1)
+    rng = np.random.default_rng(1)
+    many = lm.vocabulary(spark.createDataFrame([(f"w{i}", int(n)) for i, n in enumerate(rng.zipf(1.3, 1500).clip(1, 10**6))], "word string, n bigint"))
+    assert len(many.first) > 8 and max(many.sizes) > 64
+    assert chances(many, [b"w1", b"w2"], 0) == pytest.approx(many.counts[1:] / many.counts.sum(), rel=1e-3)  # before training: shares
+    for w in many.weights[:2]:
+        w += rng.normal(size=w.shape).astype(np.float32)
+    assert chances(many, [b"w1", b"w2"], 0).sum() == pytest.approx(1, abs=1e-4)
 
 
 def test_scores_equal_a_plain_version(spark, model):
     texts = [None, "", " ", "the cat", "The CAT sees the snow .", "zq-unknown the dog zq2", "a " * 5000]
     got = {r["doc_id"]: r for r in lm.score(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string"), model).collect()}
-    embed, place, bias, out, out_bias = (w.astype(float) for w in model.weights)
+    embed, nodes, biases, place, bias, out, out_bias = (w.astype(float) for w in model.weights)
+    known = dict(zip(model.keys.tolist(), model.ids.tolist(), strict=True))
     for i, text in enumerate(texts):
         w = (text or "").lower().encode().split()
-        ids = [0, 0, *(model.ids.get(x, lm.UNKNOWN) for x in w), 0, 0]
+        ids = [0, 0, *(known.get(int(lm._hashed([x])[0]), lm.UNKNOWN) for x in w), 0, 0]
         total = 0.0
         for t in range(2, len(ids) - 2) if len(w) < 100 else []:
             h = np.tanh(bias + sum(embed[ids[t + d]] @ place[k] for k, d in enumerate((-2, -1, 1, 2))))
-            s = h @ out + out_bias
-            total += s[model.of_class[ids[t]]] - np.log(np.exp(s).sum()) + model.share[ids[t]]
+            s, c = h @ out + out_bias, model.of_class[ids[t]]
+            total += s[c] - np.log(np.exp(s).sum())
+            child = ids[t] - model.first[c] + model.sizes[c]
+            while child > 1:
+                odds = h @ nodes[model.first[c] + child // 2] + biases[model.first[c] + child // 2]
+                total -= np.log1p(np.exp(-odds if child % 2 else odds))
+                child //= 2
             if ids[t] == lm.UNKNOWN:
                 total += sum(model.letters[b] for b in w[t - 2]) + model.letters[256]
         assert got[i]["n_tokens"] == len(w) and (got[i]["mean_log_likelihood"] is None) == (not w)
@@ -194,31 +211,66 @@ def test_context_beats_word_frequencies_and_order_matters(model):
     assert a.sum() / n.sum() > frequency + 0.5 and a.mean() > b.mean() + 2
 
 
+def test_steps_follow_the_gradient(model):
+    """The change of one small step against differences of the score."""
+    row, places = lm._framed(lm._ids(model, b"the cat sees the food . the dog hears".split()), np.array([9]))
+    old = model._replace(weights=[w.astype(float) for w in model.weights])
+    new = model._replace(weights=[w.copy() for w in old.weights])
+    lm.sgd(new, row, places, 1e-3, np.full(len(model.counts), 1e-3))
+    rates = [1e-3, 1e-3 / (1 + 9 / len(model.first)) ** 0.5, 1e-3 / (1 + 9 / len(model.first)) ** 0.5, *[1e-3 / 12] * 4]
+    rng = np.random.default_rng(2)
+    for k, (w, moved, rate) in enumerate(zip(old.weights, new.weights, rates, strict=True)):
+        changed = np.argwhere(np.abs(moved - w) > 1e-7)
+        for at in changed[rng.permutation(len(changed))[:6]]:
+            both = []
+            for step in (1e-4, -1e-4):
+                bent = [x.copy() for x in old.weights]
+                bent[k][tuple(at)] += step
+                both.append(lm.log_words(old._replace(weights=bent), row, places).sum())
+            assert (moved - w)[tuple(at)] / rate == pytest.approx((both[0] - both[1]) / 2e-4, rel=0.02, abs=1e-3), (k, at)
+
+
 def test_the_vocabulary_follows_the_corpus(spark):
     common, rare = [f"w{i}" for i in range(9000)], ["zzz", "q"]
     counts = spark.createDataFrame([(w, 7) for w in common] + [(rare[0], 2), (rare[1], 1)], "word string, n bigint")
     m = lm.vocabulary(counts)
-    assert set(m.ids) == {w.encode() for w in common} and len(m.weights[-1]) > lm.CLASSES
+    assert set(m.keys.tolist()) == {int(lm._hashed([w.encode()])[0]) for w in common} and len(m.weights[1]) == 9002 and m.counts[lm.UNKNOWN] == 3
     seen = Counter("".join(w * 7 for w in common) + "zzzzzz" + "q")
     total = sum(seen.values()) + 63003 + 257
     assert all(np.exp(m.letters[ord(c)]) == pytest.approx((n + 1) / total) for c, n in seen.items())
 
 
-def test_every_word_is_masked_in_the_rounds(spark):
-    text, offsets = "the cat sees the food and the dog", {(r * lm.STRIDE) // lm.ROUNDS % lm.STRIDE for r in range(lm.ROUNDS)}
-    assert offsets == set(range(lm.STRIDE))
-    docs = spark.createDataFrame([(i, text) for i in range(400)], "doc_id bigint, text string")
-    m = lm.train(docs)
-    n, logs = lm.log_likelihoods(m, [text.encode(), b"dog the and food the sees cat the"])
-    assert logs[0] > logs[1] + 2
+def test_every_word_is_masked_once_over_the_rounds():
+    for n in (0, 1, 7, 1000):
+        for rounds in (1, 2, 3, lm.ROUNDS):
+            assert sorted(x for r in range(rounds) for x in lm.targets(np.arange(n), r, rounds)) == list(range(n))
+
+
+def test_production_training_on_documents(spark, sf_dir):
+    """On documents not trained on: better than word shares, and than the classes alone; reruns agree."""
+    docs = spark.read.parquet(f"{sf_dir.replace('sf0.001', 'sf0.01')}/documents.parquet")
+    taught, held = docs.where("doc_id % 10 <> 0"), [r["text"].encode() for r in docs.where("doc_id % 10 = 0 and text is not null").collect()]
+    m = lm.train(taught)
+    counts = Counter()
+    for r in taught.select("text").collect():
+        counts.update(lm._words((r["text"] or "").encode()))
+    before = lm.vocabulary(spark.createDataFrame([(w.decode(), n) for w, n in counts.items()], "word string, n bigint"))
+    assert (before.keys == m.keys).all() and (before.counts == m.counts).all()
+    flat = m._replace(weights=[m.weights[0], np.zeros_like(m.weights[1]), before.weights[2], *m.weights[3:]])
+    n = lm.log_likelihoods(m, held)[0].sum()
+    shares, classes, words = (lm.log_likelihoods(x, held)[1].sum() / n for x in (before, flat, m))
+    assert words > classes + 0.05 and classes > shares + 0.05
+    assert all((a == b).all() for a, b in zip(m.weights, lm.train(taught).weights, strict=True))
 
 
 def test_nothing_to_learn(spark):
     none = spark.createDataFrame([], "doc_id bigint, text string")
     m = lm.train(none)
-    assert lm.score(none, m).count() == 0
+    assert lm.score(none, m).count() == 0 and lm.train_and_score(none).count() == 0
     nulls = spark.createDataFrame([(1, None), (None, "a b")], "doc_id bigint, text string")
     assert lm.score(nulls, lm.train(nulls)).count() == 2
+    clash = nulls.withColumns({"ids": F.lit(1), "spelled": F.lit("x"), "_none": F.lit(2)})
+    assert {(r["doc_id"], r["n_tokens"], r["log_likelihood"] == 0) for r in lm.train_and_score(clash).collect()} == {(1, 0, True), (None, 2, False)}
 
 
 # ---- embeddings

@@ -1,13 +1,17 @@
 """Masked pseudo-likelihood: how likely each word of a document is, given the words on both sides.
 
-A window network sees ``REACH`` words on either side of a masked one: word embeddings, one matrix per place, a tanh
-layer, and a softmax over word classes; a word's share within its class comes from corpus counts, and words beyond
-the vocabulary are spelled by letter frequencies. So every word has a proper conditional probability; the sum of
-their logarithms scores the document.
-
-Counts of words come from the whole corpus. Training is data-parallel: each task starts from the shared weights,
-takes every ``stride``-th word of all its documents as masked examples (other ones each round, all over the rounds), and the tasks'
-weights are averaged by their numbers of examples: each sends its changes, split over a bounded number of sums.
+A window network sees ``REACH`` words on either side of a masked one: word embeddings, one matrix per place and a
+tanh layer. Its output is the masked word itself, in two levels: a softmax over about ``CLASSES`` classes of words,
+then the binary choices down a tree over the words of that class. Every class and every inner node of a tree has
+weights of its own on the hidden layer, so all of a word's conditional probability depends on both sides. Words
+beyond the vocabulary are one word to the network and are then spelled by letter frequencies. So the probabilities
+of all words sum to one; the sum of their logarithms scores the document.
+
+Counts of words come from the whole corpus, and the vocabulary and with it the trees grow with it. Training is
+data-parallel: each task starts from the shared weights, takes every ``rounds``-th word of all its documents as
+masked examples (the next ones each round, so that all words were masked once in the end), and the tasks' changes
+are averaged by their numbers of examples. Tasks send the rows of weights that they changed, which are summed up
+in slots of ``SLOT_ROWS`` rows, in the order of the tasks, so a rerun over the same partitions gives the same model.
 """
 
 from __future__ import annotations
@@ -17,26 +21,33 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tsquorum.llm.common import Cuts, released
 
-#: Words seen as often as this are in the vocabulary; there are ``CLASSES`` classes, more with the fourth root of its size beyond 8192.
-LEAST, CLASSES = 5, 64
-WIDTH, HIDDEN, REACH = 16, 24, 2
-STRIDE, ROUNDS, RATE, BATCH = 2, 2, 0.08, 128
-#: Parts in which the changes of weights are summed up in a round; tasks send only the embeddings that they changed.
-PARTIALS = 8
-EDGE, UNKNOWN = 0, 1  # ids of the padding and of words beyond the vocabulary
+#: Words seen as often as this are in the vocabulary.
+LEAST = 5
+CLASSES, WIDTH, HIDDEN, REACH = 128, 16, 16, 2
+ROUNDS, RATE, BATCH = 2, 0.1, 512
+#: Rows of weights whose changes one task sums up.
+SLOT_ROWS = 16_384
+EDGE, UNKNOWN, FIRST = 0, 1, 2  # ids of the padding, of words beyond the vocabulary, and of the commonest word
+
+_AROUND = np.array([d for d in range(-REACH, REACH + 1) if d])
 
 
 class Model(NamedTuple):
-    ids: dict[bytes, int]
+    keys: np.ndarray  # sorted 64-bit hashes of the vocabulary's words
+    ids: np.ndarray  # id of each key
+    counts: np.ndarray  # occurrences of each id
     of_class: np.ndarray  # class of each id
-    share: np.ndarray  # log share of each id within its class
+    first: np.ndarray  # first id of each class; its words follow by frequency
+    sizes: np.ndarray  # number of words of each class
     letters: np.ndarray  # log frequency of each byte, and of a word's end at 256
-    weights: list[np.ndarray]
+    weights: list[np.ndarray]  # embeddings, node weights and node biases by id; places, hidden bias, class weights, class biases
 
 
 def _words(text: bytes | None) -> list[bytes]:
@@ -50,191 +61,364 @@ def word_counts(docs: DataFrame, text_col: str) -> DataFrame:
     return words.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
 
 
-def letter_counts(counts: DataFrame) -> np.ndarray:
-    """Number of each byte in all words, and of words at 256, one more each."""
+def _hashed(words: list[bytes]) -> np.ndarray:
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
+
+
+def _tallies(counts: DataFrame, least: int) -> tuple[np.ndarray, np.ndarray, int, np.ndarray]:
+    """Hashes and counts of the words seen ``least`` times, the number of the other words, and of each letter in all words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(257, np.int64)
+        letters = np.zeros(257, np.int64)
+        rest = 0
         for batch in batches:
             words, n = [w.encode() for w in batch.column(0).to_pylist()], batch.column(1).to_numpy()
-            total[:256] += np.bincount(np.frombuffer(b"".join(words), np.uint8), np.repeat(n, [len(w) for w in words]), 256).astype(np.int64)
-            total[256] += n.sum()
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(257)), pa.array(total)], ["letter", "n"])
-
-    letters = np.ones(257)
-    for row in counts.select("word", "n").mapInArrow(run, "letter bigint, n bigint").groupBy("letter").agg(F.sum("n").alias("n")).collect():
-        letters[row["letter"]] += row["n"]
-    return letters
+            letters[:256] += np.bincount(np.frombuffer(b"".join(words), np.uint8), np.repeat(n, [len(w) for w in words]), 256).astype(np.int64)
+            letters[256] += n.sum()
+            rest += int(n[n < least].sum())
+            often = np.flatnonzero(n >= least)
+            keys = _hashed([words[i] for i in often]).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(often), np.int32)), pa.array(keys), pa.array(n[often])], ["kind", "key", "n"])
+        at = np.arange(258)
+        yield pa.RecordBatch.from_arrays([pa.array(np.ones(258, np.int32)), pa.array(at), pa.array(np.append(letters, rest))], ["kind", "key", "n"])
+
+    found = counts.select("word", "n").mapInArrow(released(run), "kind int, key bigint, n bigint").groupBy("kind", "key").agg(F.sum("n").alias("n")).toArrow()
+    kind, key, n = (found.column(c).to_numpy() for c in ("kind", "key", "n"))
+    letters = np.zeros(258, np.int64)
+    letters[key[kind == 1]] = n[kind == 1]
+    return key[kind == 0].view(np.uint64), n[kind == 0], int(letters[257]), letters[:257] + 1
+
+
+def _tree_biases(n: np.ndarray) -> np.ndarray:
+    """Log odds of going right at each inner node of the tree over words with counts ``n``; place 0 is unused.
+
+    Inner nodes are 1 to len(n) - 1, the words' leaves len(n) and on; the children of i are 2i and 2i + 1.
+    """
+    mass = np.concatenate([np.zeros(len(n)), n.astype(float)])
+    for i in range(len(n) - 1, 0, -1) if len(n) < 64 else ():
+        mass[i] = mass[2 * i] + mass[2 * i + 1]
+    if len(n) >= 64:
+        hi = len(n)
+        while hi > 1:  # all nodes whose children are known
+            lo = (hi + 1) // 2
+            at = np.arange(lo, hi)
+            mass[at] = mass[2 * at] + mass[2 * at + 1]
+            hi = lo
+    inner = np.arange(1, len(n))
+    return np.concatenate([[0.0], np.log(mass[2 * inner + 1] / mass[2 * inner])])
 
 
 def vocabulary(counts: DataFrame, least: int = LEAST) -> Model:
-    """The model before training, from all words seen ``least`` times (commonest first, ties by word) and the number of the rest."""
-    top = counts.where(F.col("n") >= least).orderBy(F.col("n").desc(), "word").select("word", "n").toArrow()
-    total = counts.agg(F.sum("n")).first()[0] or 0
-    ids = {w.encode(): i + 2 for i, w in enumerate(top.column("word").to_pylist())}
-    n, size = top.column("n").to_numpy(), top.num_rows + 2
-    classes = int(CLASSES * max(1.0, size / 8192) ** 0.25)
-    seen = np.ones(size)
-    seen[2:] = n
-    seen[UNKNOWN] = max(1, total - int(n.sum()))
+    """The model before training: its probabilities are the words' shares of the corpus, whatever is around.
+
+    All words seen ``least`` times, commonest first (ties by hash); the driver holds a hash and a count of each.
+    Words are told apart by 64-bit hashes.
+    """
+    keys, n, rest, letters = _tallies(counts, least)
+    order = np.lexsort([keys, -n])
+    keys, n = keys[order], n[order]
+    seen = np.concatenate([[0, max(1, rest)], n])
     # Classes of about equal mass, the commonest words first; the unknown word has one of its own.
-    mass = np.cumsum(seen[2:]) / seen[2:].sum()
-    of_class = np.concatenate([[0, 0], 1 + np.minimum((mass * (classes - 1)).astype(int), classes - 2)])
-    per_class = np.bincount(of_class, np.where(np.arange(size) == EDGE, 0, seen), classes)
-    share = np.log(seen / per_class[of_class])
-    letters = letter_counts(counts)
+    mass = np.cumsum(n) - n
+    found = np.unique((mass * (CLASSES - 1) // max(1, int(n.sum()))).astype(np.int64), return_inverse=True)[1] + 1
+    of_class = np.concatenate([[0, 0], found]).astype(np.int16)
+    first = np.concatenate([[UNKNOWN], FIRST + np.flatnonzero(np.diff(found, prepend=0))]).astype(np.int64)
+    sizes = np.diff(np.append(first, len(seen)))
+    biases = np.zeros(len(seen), np.float32)
+    for lo, k in zip(first, sizes, strict=True):
+        biases[lo : lo + k] = _tree_biases(seen[lo : lo + k])
+    prior = np.log(np.add.reduceat(seen, first) / seen.sum())
     rng = np.random.default_rng(3)
-    shapes = ((size, WIDTH), (2 * REACH, WIDTH, HIDDEN), (HIDDEN,), (HIDDEN, classes), (classes,))
-    weights = [(rng.standard_normal(s) * spread).astype(np.float32) for s, spread in zip(shapes, (0.7, 0.25, 0.0, 0.2, 0.0), strict=True)]
-    return Model(ids, of_class, share, np.log(letters / letters.sum()), weights)
+    weights = [
+        (rng.standard_normal((len(seen), WIDTH)) * 0.7).astype(np.float32), np.zeros((len(seen), HIDDEN), np.float32), biases,
+        (rng.standard_normal((len(_AROUND), WIDTH, HIDDEN)) * 0.25).astype(np.float32), np.zeros(HIDDEN, np.float32),
+        np.zeros((HIDDEN, len(first)), np.float32), prior.astype(np.float32),
+    ]
+    by_key = np.argsort(keys)
+    return Model(keys[by_key], (by_key + FIRST).astype(np.int32), seen, of_class, first, sizes, np.log(letters / letters.sum()), weights)
 
 
-def _ids(model: Model, texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Ids of all texts in a row, each framed by REACH edges; the places of the words; the number of words by text."""
-    known, edge = model.ids, [EDGE] * REACH
-    ids: list[int] = list(edge)
-    n = []
-    for words in texts:
-        ids += [known.get(w, UNKNOWN) for w in words]
-        ids += edge
-        n.append(len(words))
-    row = np.array(ids, np.int64)
-    return row, np.flatnonzero(row != EDGE), np.array(n, np.int64)
+def _ids(model: Model, words: list[bytes]) -> np.ndarray:
+    if not len(model.keys):
+        return np.full(len(words), UNKNOWN, np.int32)
+    wanted = _hashed(words)
+    at = np.minimum(np.searchsorted(model.keys, wanted), len(model.keys) - 1)
+    return np.where(model.keys[at] == wanted, model.ids[at], UNKNOWN).astype(np.int32)
 
 
-_AROUND = np.array([d for d in range(-REACH, REACH + 1) if d])
+def _encoded(model: Model, texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ids of all texts in a row, the number of words by text, and the log probability of spelling its unknown words."""
+    rows = [_words(text) for text in texts]
+    n = np.array([len(words) for words in rows], np.int64)
+    ids = _ids(model, [w for words in rows for w in words])
+    spelled, at = np.zeros(len(rows)), 0
+    for i, words in enumerate(rows):
+        unknown = np.flatnonzero(ids[at : at + len(words)] == UNKNOWN)
+        at += len(words)
+        if len(unknown):
+            letters = np.frombuffer(b"".join([words[k] for k in unknown]), np.uint8)
+            spelled[i] = model.letters[letters].sum() + len(unknown) * model.letters[256]
+    return ids, n, spelled
+
+
+def encoded(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, ids, spelled) per row: the ids of the words and the log probability of spelling the unknown ones."""
+    shared = docs.sparkSession.sparkContext.broadcast(model._replace(weights=[]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for lo in range(0, whole.num_rows, 256):
+                batch = whole.slice(lo, 256)
+                ids, n, spelled = _encoded(shared.value, batch.column(1).to_pylist())
+                lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(n)), pa.int32()), pa.array(ids))
+                yield pa.RecordBatch.from_arrays([batch.column(0), lists, pa.array(spelled)], ["doc_id", "ids", "spelled"])
+
+    slim = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
+    return slim.mapInArrow(released(run), f"doc_id {slim.schema['doc_id'].dataType.simpleString()}, ids array<int>, spelled double")
+
+
+def targets(places: np.ndarray, r: int, rounds: int) -> np.ndarray:
+    """The places masked in round ``r``; over all rounds each place once."""
+    return places[r::rounds]
+
+
+def _framed(ids: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All texts' ids in a row, with REACH edges around each, and the places of the words."""
+    row = np.full(len(ids) + REACH * (len(n) + 1), EDGE, np.int32)
+    at = np.arange(len(ids)) + np.repeat(REACH * np.arange(1, len(n) + 1), n)
+    row[at] = ids
+    return row, at
+
+
+def _lists(batch: pa.RecordBatch, size: int = 256) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    for lo in range(0, batch.num_rows, size):
+        lists = batch.slice(lo, size).column("ids")
+        ids = lists.flatten().to_numpy(zero_copy_only=False)
+        yield lo, ids, np.diff(lists.offsets.to_numpy())
+
+
+def _choices(model: Model, goal: np.ndarray, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The choices down to the words ``goal``: row of ``goal``, node (as a row of the weights), and right or not."""
+    start = model.first[classes]
+    leaf = goal - start + model.sizes[classes]
+    depth = np.frexp(leaf.astype(float))[1] - 1  # exact: leaf < 2 ** 53
+    which = np.repeat(np.arange(len(goal)), depth)
+    up = np.arange(len(which)) - np.repeat(np.cumsum(depth) - depth, depth)
+    child = leaf[which] >> up
+    return which, start[which] + (child >> 1), (child & 1).astype(bool)
+
 
+def _hidden(weights: list[np.ndarray], seen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    flat = weights[0][seen].reshape(len(seen), -1)
+    return flat, np.tanh(flat @ weights[3].reshape(-1, HIDDEN) + weights[4])
 
-def log_classes(weights: list[np.ndarray], row: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Log probabilities of all classes at the places ``at`` of ``row``, given the words around."""
-    embed, place, bias, out, out_bias = weights
-    inner = np.repeat(bias[None], len(at), axis=0)
-    for k, d in enumerate(_AROUND):
-        inner += (embed @ place[k])[row[at + d]] if len(at) > len(embed) else embed[row[at + d]] @ place[k]
-    scores = np.tanh(inner) @ out + out_bias
+
+def log_classes(weights: list[np.ndarray], hidden: np.ndarray) -> np.ndarray:
+    """Log probabilities of all classes by row of the hidden layer."""
+    scores = hidden @ weights[5]
+    scores += weights[6]
     scores -= scores.max(axis=1, keepdims=True)
     return scores - np.log(np.exp(scores).sum(axis=1, keepdims=True))
 
 
-def sgd(weights: list[np.ndarray], row: np.ndarray, at: np.ndarray, goal: np.ndarray, rate: float) -> None:
-    """One step per ``BATCH`` of masked places, in place; plain steps of bounded length."""
-    embed, place, bias, out, out_bias = weights
+def log_words(model: Model, row: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Log probability of each word at the places ``at`` of ``row``, given the words around it."""
+    goal = row[at].astype(np.int64)
+    classes = model.of_class[goal].astype(np.int64)
+    _, h = _hidden(model.weights, row[at[:, None] + _AROUND])
+    out = log_classes(model.weights, h)[np.arange(len(at)), classes].astype(float)
+    which, node, right = _choices(model, goal, classes)
+    odds = np.einsum("ij,ij->i", h[which], model.weights[1][node]) + model.weights[2][node]
+    steps = -np.logaddexp(0, np.where(right, -odds, odds))
+    return out + np.bincount(which, steps, len(at))
+
+
+def _rates(model: Model, rate: float) -> np.ndarray:
+    """Rate of each embedding: one that a batch is likely to meet k times takes steps shorter by the root of 1 + k."""
+    return (rate / np.sqrt(1 + len(_AROUND) * BATCH * model.counts / max(1, int(model.counts.sum())))).astype(np.float32)
+
+
+def sgd(model: Model, row: np.ndarray, at: np.ndarray, rate: float, slow: np.ndarray) -> None:
+    """One step per ``BATCH`` of masked places, in place; ``slow`` are the embeddings' rates."""
+    embed, nodes, biases, place, bias, out, out_bias = model.weights
     for lo in range(0, len(at), BATCH):
-        here, y = at[lo : lo + BATCH], goal[lo : lo + BATCH]
+        here = at[lo : lo + BATCH]
+        goal = row[here].astype(np.int64)
+        classes = model.of_class[goal].astype(np.int64)
         seen = row[here[:, None] + _AROUND]
-        x = embed[seen]
-        flat = x.reshape(len(y), -1)
-        h = np.tanh(flat @ place.reshape(-1, HIDDEN) + bias)
-        scores = h @ out + out_bias
+        flat, h = _hidden(model.weights, seen)
+        scores = h @ out
+        scores += out_bias
         scores -= scores.max(axis=1, keepdims=True)
-        p = np.exp(scores)
-        p /= p.sum(axis=1, keepdims=True)
-        p[np.arange(len(y)), y] -= 1
-        dh = (p @ out.T) * (1 - h * h)
-        step = rate / len(y) * min(8.0, len(y) ** 0.5)
-        dx = dh @ place.reshape(-1, HIDDEN).T
-        out -= step * (h.T @ p)
-        out_bias -= step * p.sum(axis=0)
-        place -= step * (flat.T @ dh).reshape(place.shape)
-        bias -= step * dh.sum(axis=0)
-        np.add.at(embed.reshape(-1), (seen.ravel()[:, None] * WIDTH + np.arange(WIDTH)).ravel(), (-step * dx).ravel().astype(embed.dtype, copy=False))
-
-
-def train(docs: DataFrame, *, text_col: str = "text", rounds: int = ROUNDS, stride: int = STRIDE, rate: float = RATE) -> Model:
-    """Counts the words of all documents, then trains on all documents; null and empty texts add nothing."""
-    spark = docs.sparkSession
-    model = vocabulary(Cuts(spark).cut(word_counts(docs, text_col), "words"))
-    texts = docs.select(F.col(text_col).cast("binary").alias("text"))
+        np.exp(scores, out=scores)
+        scores /= scores.sum(axis=1, keepdims=True)
+        scores[np.arange(len(here)), classes] -= 1
+        dh = scores @ out.T
+        which, node, right = _choices(model, goal, classes)
+        inner, hs = nodes[node], h[which]
+        off = 1 / (1 + np.exp(-(np.einsum("ij,ij->i", hs, inner) + biases[node]))) - right
+        off = off.astype(np.float32)
+        if len(which):
+            some, begins = np.unique(which, return_index=True)
+            dh[some] += np.add.reduceat(inner * off[:, None], begins, axis=0)
+            # Nodes near a root are met by a share of its class's words; classes have about equal mass.
+            step = off * np.float32(-rate / (1 + len(here) / max(1, len(model.first))) ** 0.5)
+            np.add.at(nodes.reshape(-1), (node[:, None] * HIDDEN + np.arange(HIDDEN)).ravel(), (hs * step[:, None]).ravel())
+            np.add.at(biases, node, step)
+        dh *= 1 - h * h
+        whole = np.float32(rate / len(here) ** 0.5 / 4)
+        dx = (dh @ place.reshape(-1, HIDDEN).T).reshape(-1, WIDTH)
+        out -= whole * (h.T @ scores)
+        out_bias -= whole * scores.sum(axis=0)
+        place -= whole * (flat.T @ dh).reshape(place.shape)
+        bias -= whole * dh.sum(axis=0)
+        seen = seen.ravel().astype(np.int64)
+        np.add.at(embed.reshape(-1), (seen[:, None] * WIDTH + np.arange(WIDTH)).ravel(), (dx * -slow[seen][:, None]).ravel())
+
+
+def _message(slot: int, part: int, n: int, rows: np.ndarray, *values: np.ndarray) -> pa.RecordBatch:
+    names = ["slot", "part", "n", "rows", "embed", "nodes", "biases", "dense"]
+    cells = [pa.array([x.tobytes()], pa.binary()) for x in (rows, *values)]
+    return pa.RecordBatch.from_arrays([pa.array([slot], pa.int32()), pa.array([part], pa.int32()), pa.array([n], pa.int64()), *cells], names)
+
+
+_MESSAGE = "slot int, part int, n bigint, rows binary, embed binary, nodes binary, biases binary, dense binary"
+
+
+def _one_round(ids: DataFrame, model: Model, r: int, rounds: int, rate: float) -> Model | None:
+    """The model after a pass over every ``rounds``-th word from the ``r``-th on; None if there is none."""
+    spark = ids.sparkSession
+    small = model._replace(keys=model.keys[:0], ids=model.ids[:0], weights=[w.astype(np.float16) for w in model.weights])
+    shared = spark.sparkContext.broadcast(small)
+    slots = -(-len(model.counts) // SLOT_ROWS)
+
+    def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = shared.value._replace(weights=[w.astype(np.float32) for w in shared.value.weights])
+        touched, n, part = np.zeros(len(m.counts), bool), 0, TaskContext.get().partitionId()
+        rng, slow = np.random.default_rng(part), _rates(m, rate)
+        for batch in batches:
+            for _, values, lengths in _lists(batch):
+                row, places = _framed(values, lengths)
+                at = rng.permutation(targets(places, r, rounds))
+                sgd(m, row, at, rate, slow)
+                touched[row] = True
+                goal = row[at].astype(np.int64)
+                for up in range(1, 64):  # the nodes above the masked words
+                    node = (goal - m.first[m.of_class[goal]] + m.sizes[m.of_class[goal]]) >> up
+                    goal, node = goal[node > 0], node[node > 0]
+                    if not len(goal):
+                        break
+                    touched[m.first[m.of_class[goal]] + node] = True
+                n += len(at)
+        if n:
+            gone = [(w - old.astype(np.float32)) for w, old in zip(m.weights, shared.value.weights, strict=True)]
+            rest = np.concatenate([g.ravel() for g in gone[3:]])
+            rows = np.flatnonzero(touched).astype(np.int32)
+            for slot in range(slots):
+                own = rows[slice(*np.searchsorted(rows, [slot * SLOT_ROWS, (slot + 1) * SLOT_ROWS]))]
+                if len(own) or slot == 0:
+                    yield _message(slot, part, n, own, *(g[own].astype(np.float16) for g in gone[:3]), rest if slot == 0 else rest[:0])
+
+    def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        slot, sums, n = None, [], 0
+
+        def done() -> pa.RecordBatch:
+            return _message(slot, 0, n, np.zeros(0, np.int32), *(s.astype(np.float32) for s in sums))
+
+        for batch in batches:
+            for message in batch.to_pylist():
+                if message["slot"] != slot:
+                    if slot is not None:
+                        yield done()
+                    slot, n = message["slot"], 0
+                    sums = [np.zeros((SLOT_ROWS, WIDTH)), np.zeros((SLOT_ROWS, HIDDEN)), np.zeros(SLOT_ROWS), np.zeros(len(message["dense"]) // 4)]
+                rows = np.frombuffer(message["rows"], np.int32) - slot * SLOT_ROWS
+                for total, name in zip(sums[:3], ("embed", "nodes", "biases"), strict=True):
+                    total[rows] += np.frombuffer(message[name], np.float16).astype(float).reshape(-1, *total.shape[1:]) * message["n"]
+                sums[3] += np.frombuffer(message["dense"], np.float32).astype(float) * message["n"]
+                n += message["n"]
+        if slot is not None:
+            yield done()
+
+    made = ids.select("ids").mapInArrow(released(local), _MESSAGE).repartition("slot").sortWithinPartitions("slot", "part")
+    weights, total = [w.copy() for w in model.weights], None
+    for part in sorted(made.mapInArrow(released(added), _MESSAGE).toLocalIterator(), key=lambda p: p["slot"]):  # as many bytes as the weights
+        total = total or part["n"]  # slot 0 has a message of every task
+        lo = part["slot"] * SLOT_ROWS
+        for w, name in zip(weights[:3], ("embed", "nodes", "biases"), strict=True):
+            w[lo : lo + SLOT_ROWS] += (np.frombuffer(part[name], np.float32).reshape(-1, *w.shape[1:]) / total)[: len(w) - lo]
+        if part["dense"]:
+            rest, at = np.frombuffer(part["dense"], np.float32) / total, 0
+            for w in weights[3:]:
+                w += rest[at : at + w.size].reshape(w.shape).astype(np.float32)
+                at += w.size
+    shared.unpersist()
+    return model._replace(weights=weights) if total else None
+
+
+def fit(ids: DataFrame, model: Model, *, rounds: int = ROUNDS, rate: float = RATE) -> Model:
+    """The model after ``rounds`` passes over ``ids`` (see ``encoded``), in which every word is masked once."""
     for r in range(rounds):
-        shared = spark.sparkContext.broadcast(model)
-
-        def local(batches: Iterator[pa.RecordBatch], r: int = r, shared=shared) -> Iterator[pa.RecordBatch]:
-            m = shared.value
-            weights, n = [w.copy() for w in m.weights], 0
-            for batch in batches:
-                for lo in range(0, batch.num_rows, 256):
-                    row, places, _ = _ids(m, [_words(t) for t in batch.column(0).slice(lo, 256).to_pylist()])
-                    at = places[(r * stride) // max(1, rounds) % stride :: stride]
-                    sgd(weights, row, at, m.of_class[row[at]], rate)
-                    n += len(at)
-            if n:
-                gone = [(w - old) * np.float32(n) for w, old in zip(weights, m.weights, strict=True)]
-                touched = np.flatnonzero(gone[0].any(axis=1)).astype(np.int32)
-                rest = np.concatenate([g.ravel() for g in gone[1:]])
-                for slot in range(PARTIALS):
-                    own = touched[touched % PARTIALS == slot]
-                    yield message(slot, own, gone[0][own], n if slot == 0 else 0, rest if slot == 0 else rest[:0])
-
-        def message(slot: int, rows: np.ndarray, embed: np.ndarray, n: int, rest: np.ndarray) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([slot], pa.int32()), pa.array([n], pa.int64()), *[pa.array([x.tobytes()], pa.binary()) for x in (rows, embed, rest)]], ["slot", "n", "rows", "embed", "rest"])
-
-        def added(batches: Iterator[pa.RecordBatch], size: int = len(model.weights[0])) -> Iterator[pa.RecordBatch]:
-            embed, rest, n, used = None, np.zeros(0, np.float32), 0, None
-            for batch in batches:
-                for part in batch.to_pylist():
-                    if embed is None:
-                        embed, used = np.zeros((size, WIDTH), np.float32), np.zeros(size, bool)
-                    rows = np.frombuffer(part["rows"], np.int32)
-                    embed[rows] += np.frombuffer(part["embed"], np.float32).reshape(-1, WIDTH)
-                    used[rows] = True
-                    n += part["n"]
-                    if part["rest"]:
-                        one = np.frombuffer(part["rest"], np.float32)
-                        rest = rest + one if len(rest) else one
-            if embed is not None:
-                rows = np.flatnonzero(used).astype(np.int32)
-                yield message(0, rows, embed[rows], n, rest)
-
-        schema = "slot int, n bigint, rows binary, embed binary, rest binary"
-        partial = texts.mapInArrow(released(local), schema).repartition(PARTIALS, "slot").mapInArrow(released(added), schema).collect()
-        shared.unpersist()
-        n = sum(p["n"] for p in partial)
-        if not n:
-            break
-        weights = [w.copy() for w in model.weights]
-        for p in partial:
-            weights[0][np.frombuffer(p["rows"], np.int32)] += np.frombuffer(p["embed"], np.float32).reshape(-1, WIDTH) / np.float32(n)
-            if p["rest"]:
-                ends = np.cumsum([0, *(w.size for w in weights[1:])])
-                rest = np.frombuffer(p["rest"], np.float32) / np.float32(n)
-                for w, lo, hi in zip(weights[1:], ends[:-1], ends[1:], strict=True):
-                    w += rest[lo:hi].reshape(w.shape)
-        model = model._replace(weights=weights)
+        model = _one_round(ids, model, r, rounds, rate) or model
     return model
 
 
+def train(docs: DataFrame, *, text_col: str = "text", rounds: int = ROUNDS, rate: float = RATE, least: int = LEAST) -> Model:
+    """Counts the words of all documents, then trains on all documents.
+
+    Null and empty texts add nothing; repeated rows count as often as they come; words of equal frequency are
+    ordered by hash. No words: a model that spells every word.
+    """
+    cuts = Cuts(docs.sparkSession)
+    model = vocabulary(cuts.cut(word_counts(docs, text_col), "words"), least)
+    ids = cuts.cut(encoded(docs.withColumn("_none", F.lit(0)), model, id_col="_none", text_col=text_col), "ids")
+    model = fit(ids, model, rounds=rounds, rate=rate)
+    cuts.drop("words"), cuts.drop("ids")
+    return model
+
+
+def _log_likelihoods(model: Model, ids: np.ndarray, n: np.ndarray, spelled: np.ndarray) -> np.ndarray:
+    row, places = _framed(ids, n)
+    logs = np.concatenate([log_words(model, row, places[lo : lo + 8192]) for lo in range(0, len(places), 8192)] or [np.zeros(0)])
+    return np.bincount(np.repeat(np.arange(len(n)), n), logs, len(n)) + spelled
+
+
 def log_likelihoods(model: Model, texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
     """Number of words and summed conditional log probability of each text."""
-    rows = [_words(text) for text in texts]
-    row, places, n = _ids(model, rows)
-    logs = np.zeros(len(places))
-    step = max(1024, (1 << 20) // len(model.weights[-1]))
-    for lo in range(0, len(places), step):
-        at = places[lo : lo + step]
-        logs[lo : lo + step] = log_classes(model.weights, row, at)[np.arange(len(at)), model.of_class[row[at]]] + model.share[row[at]]
-    sums = np.add.reduceat(np.append(logs, 0.0), np.minimum(np.cumsum(n) - n, len(logs))) if len(n) else np.zeros(0)
-    sums = np.where(n > 0, sums, 0.0)
-    for i, words in enumerate(rows):
-        if unknown := [w for w in words if w not in model.ids]:
-            sums[i] += model.letters[np.frombuffer(b"".join(unknown), np.uint8)].sum() + len(unknown) * model.letters[256]
-    return n, sums
+    ids, n, spelled = _encoded(model, texts)
+    return n, _log_likelihoods(model, ids, n, spelled)
+
+
+def score_encoded(ids: DataFrame, model: Model) -> DataFrame:
+    """As ``score``, of rows that ``encoded`` made with the same vocabulary."""
+    small = model._replace(keys=model.keys[:0], ids=model.ids[:0])
+    shared = ids.sparkSession.sparkContext.broadcast(small)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo, values, n in _lists(batch):
+                part = batch.slice(lo, len(n))
+                sums = _log_likelihoods(shared.value, values, n, part.column("spelled").to_numpy())
+                mean = pa.array(sums / np.maximum(n, 1), mask=n == 0)
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n.astype(np.int64)), pa.array(sums), mean], ["doc_id", "n_tokens", "log_likelihood", "mean_log_likelihood"])
+
+    return ids.select("doc_id", "ids", "spelled").mapInArrow(released(run), f"doc_id {ids.schema['doc_id'].dataType.simpleString()}, n_tokens bigint, log_likelihood double, mean_log_likelihood double")
 
 
 def score(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_tokens, log_likelihood, mean_log_likelihood) per row.
 
-    Texts that are null, empty or without words have n_tokens 0, log_likelihood 0 and a null mean. Null ids and
-    repeated rows are rows like any other; other columns aren't read; an empty table gives no rows.
+    Texts that are null, empty or without words have n_tokens 0, log_likelihood 0 and a null mean. Whole texts are
+    scored, long ones in stretches of words. Null ids and repeated rows are rows like any other; other columns
+    aren't read; an empty table gives no rows.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    return score_encoded(encoded(docs, model, id_col=id_col, text_col=text_col), model)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for lo in range(0, whole.num_rows, 256):
-                batch = whole.slice(lo, 256)
-                n, sums = log_likelihoods(shared.value, batch.column(1).to_pylist())
-                mean = [s / k if k else None for s, k in zip(sums.tolist(), n.tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(sums), pa.array(mean, pa.float64())], ["doc_id", "n_tokens", "log_likelihood", "mean_log_likelihood"])
 
-    slim = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
-    return slim.mapInArrow(released(run), f"doc_id {slim.schema['doc_id'].dataType.simpleString()}, n_tokens bigint, log_likelihood double, mean_log_likelihood double")
+def train_and_score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``score`` of all documents by a model of the same documents, which are cut into words once."""
+    cuts = Cuts(docs.sparkSession)
+    model = vocabulary(cuts.cut(word_counts(docs, text_col), "words"))
+    ids = cuts.cut(encoded(docs, model, id_col=id_col, text_col=text_col), "ids")
+    cuts.drop("words")
+    return score_encoded(ids, fit(ids, model))

@@ -48,8 +48,7 @@ def op5_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents")
-    return lm.score(docs, lm.train(docs))
+    return lm.train_and_score(read(spark, sf_dir, "documents"))
 
 
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
