@@ -12,8 +12,10 @@ from __future__ import annotations
 
 import html
 import re
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Container, Iterator
 from functools import lru_cache
+from math import fsum
 from typing import NamedTuple
 
 import numpy as np
@@ -23,14 +25,18 @@ from pyspark.sql import functions as F
 
 from tsquorum.llm.common import released
 
-#: Elements whose content isn't text of the page.
-_RAW = re.compile(r"(?i)^(?:script|style|noscript|template|iframe|title|svg|math|object|canvas|textarea)$")
+#: Elements whose content isn't text of the page; without an end tag the first two hold the rest of the page, the others are as any element.
+_RAW = ("script", "style", "title", "textarea", "iframe", "noscript")
+_RAW_END = {tag: re.compile(rf"(?i)</{tag}(?![A-Za-z0-9-])[^>]*>?") for tag in _RAW}
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 _ENDS = {  # a start tag ends an open element of these
     "li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",),
 }
-_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^'">])*+)>|<(/?)([A-Za-z][^\s/>]*)([^>]*)>|<[!?][^>]*>|[^<]+|<""", re.DOTALL)
+_NAME = re.compile(r"</?([A-Za-z][^\s/>]*)")
+_TAG_REST = re.compile(r"""(?:"[^"]*"|'[^']*'|[^'">])*+>""")
+#: Tags of a page whose quotes may lead past its end; afterwards every tag ends at the next ``>``.
+_ODD_QUOTES = 16
 _ATTRIBUTE = re.compile(r"""(?i)\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""")
 _HIDDEN = re.compile(r"""(?i)\bhidden(?:[\s=/]|$)|display\s*:\s*none|aria-hidden\s*=\s*["']?true""")
 _SPACE = re.compile(r"[\x20\x09-\x0D]+")
@@ -39,67 +45,113 @@ _CLASS_WORD = re.compile(r"[a-z]+")
 
 class Block(NamedTuple):
     text: str
-    tags: tuple[str, ...]
-    words: tuple[str, ...]
+    #: Features of all open elements, and the innermost one that isn't inline.
+    above: frozenset[str]
+    own: str
     linked: int
     hidden: bool
 
 
-def leaf_blocks(page: str | None) -> list[Block]:
-    """The page's leaf blocks in order: references decoded, white space made one blank, trimmed, empty ones left out."""
+class _Element(NamedTuple):
+    tag: str
+    above: frozenset[str]
+    own: str
+    linked: bool
+    hidden: bool
+
+
+def _tokens(page: str) -> Iterator[tuple[str, str, str, bool]]:
+    """(text, tag, attributes, is an end tag) in order; text and tag exclude each other. Time is linear in the page's length."""
+    at, text, last = 0, 0, page.rfind(">")
+    last_comment, odd, no_end = page.rfind("-->"), 0, set()
+    while (at := page.find("<", at)) >= 0 and at < last:
+        name = None
+        if page.startswith("<!--", at) and last_comment >= at + 2:
+            end = page.find("-->", at + 2) + 3
+        elif page.startswith(("<!", "<?"), at):
+            end = page.find(">", at) + 1
+        elif name := _NAME.match(page, at):
+            rest = _TAG_REST.match(page, name.end()) if odd < _ODD_QUOTES else None
+            odd += rest is None
+            end = rest.end() if rest else page.find(">", name.end()) + 1
+        if not name and not page.startswith(("<!", "<?"), at):
+            at += 1
+            continue
+        if text < at:
+            yield page[text:at], "", "", False
+        if name:
+            tag, closing, attributes = name[1].lower(), page.startswith("</", at), page[name.end() : end - 1]
+            if tag in _RAW_END and not closing and not attributes.endswith("/"):
+                found = None if tag in no_end else _RAW_END[tag].search(page, end)
+                if found or tag in _RAW[:2]:
+                    tag, end = "raw", found.end() if found else len(page)
+                else:
+                    no_end.add(tag)
+            yield "", tag, attributes, closing
+        at = text = end
+    if text < len(page):
+        yield page[text:], "", "", False
+
+
+def leaf_blocks(page: str | None, known: Container[str] | None = None) -> list[Block]:
+    """The page's leaf blocks in order: references decoded, white space made one blank, trimmed, empty ones left out.
+
+    With ``known``, only those features of open elements are kept, which bounds what a block holds.
+    """
     blocks: list[Block] = []
-    stack: list[tuple[str, tuple[str, ...], bool]] = []
+    stack, opened = [_Element("", frozenset(), "", False, False)], Counter()
     parts: list[str] = []
     linked = 0
-    at, page = 0, page or ""
 
     def flush() -> None:
         nonlocal linked
         if parts:
             text = _SPACE.sub(" ", html.unescape("".join(parts))).strip(" ")
             if text:
-                blocks.append(Block(text, tuple(t for t, _, _ in stack), tuple(w for _, ws, _ in stack for w in ws), min(linked, len(text)), any(h for _, _, h in stack)))
+                top = stack[-1]
+                blocks.append(Block(text, top.above, top.own, min(linked, len(text)), top.hidden))
             parts.clear()
         linked = 0
 
-    while m := _TOKEN.match(page, at):
-        at = m.end()
-        tag = (m[2] or m[5] or "").lower()
-        if not tag:
-            if m[0][0] != "<" or m[0] == "<":
-                parts.append(m[0])
-                if any(t == "a" for t, _, _ in stack):
-                    linked += len(m[0].strip())
-            continue
-        attributes = m[3] or m[6] or ""
-        if m[1] or m[4]:  # an end tag
+    def close() -> str:
+        tag = stack.pop().tag
+        opened[tag] -= 1
+        return tag
+
+    for text, tag, attributes, closing in _tokens(page or ""):
+        if text:
+            parts.append(text)
+            if stack[-1].linked:
+                linked += len(text.strip())
+        elif tag == "raw":
+            parts.append(" ")
+        elif closing:
             if tag not in _INLINE:
                 flush()
-            if any(t == tag for t, _, _ in stack):
-                while stack.pop()[0] != tag:
+            if opened[tag]:
+                while close() != tag:
                     pass
-            continue
-        if _RAW.match(tag):
-            if not attributes.rstrip().endswith("/"):
-                end = re.compile(rf"(?i)</{re.escape(tag)}\b[^>]*>?").search(page, at)
-                at = end.end() if end else len(page)
-            parts.append(" ")
-            continue
-        if tag not in _INLINE:
-            flush()
-            while stack and stack[-1][0] in _INLINE and any(t == "p" for t, _, _ in stack):
-                stack.pop()
-            if stack and stack[-1][0] == "p":
-                stack.pop()
-            for other in _ENDS.get(tag, ()):
-                if stack and any(t == other for t, _, _ in stack[-3:]):
-                    while stack.pop()[0] != other:
-                        pass
-        elif tag == "br":
-            parts.append(" ")
-        if tag not in _VOID:
-            words = tuple(w for a in _ATTRIBUTE.finditer(attributes) for w in _CLASS_WORD.findall((a[1] or a[2] or a[3] or "").lower())) if attributes else ()
-            stack.append((tag, words, bool(attributes and _HIDDEN.search(attributes))))
+        else:
+            if tag not in _INLINE:
+                flush()
+                while opened["p"] and stack[-1].tag in _INLINE:
+                    close()
+                if stack[-1].tag == "p":
+                    close()
+                for other in _ENDS.get(tag, ()):
+                    if any(e.tag == other for e in stack[-3:]):
+                        while close() != other:
+                            pass
+            elif tag == "br":
+                parts.append(" ")
+            if tag not in _VOID:
+                top, has = stack[-1], [f"tag:{tag}"]
+                if attributes:
+                    has += [f"class:{w}" for a in _ATTRIBUTE.finditer(attributes) for w in _CLASS_WORD.findall((a[1] or a[2] or a[3] or "").lower())]
+                new = [f for f in has if f not in top.above and (known is None or f in known)]
+                hidden = top.hidden or tag == "template" or bool(attributes and _HIDDEN.search(attributes))
+                stack.append(_Element(tag, top.above.union(new) if new else top.above, top.own if tag in _INLINE else tag, top.linked or tag == "a", hidden))
+                opened[tag] += 1
     flush()
     return blocks
 
@@ -112,8 +164,7 @@ def features(blocks: list[Block]) -> list[list[str]]:
     out = []
     for i, b in enumerate(blocks):
         n = len(b.text)
-        has = [f"tag:{t}" for t in set(b.tags)] + [f"class:{w}" for w in set(b.words)]
-        has.append(f"own:{next((t for t in reversed(b.tags) if t not in _INLINE), '')}")
+        has = [*b.above, f"own:{b.own}"]
         has += [f"longer:{s}" for s in _STEPS if n > s]
         has.append("linked:" + ("all" if b.linked >= 0.8 * n else "part" if b.linked > 0.3 * n else "little"))
         has.append("stop" if b.text[-1] in ".!?…\"'”»" else "nostop")
@@ -189,7 +240,7 @@ def decode(field: Field, blocks: list[Block]) -> list[bool]:
     other, main = field.start
     for i, has in enumerate(features(blocks)):
         known = [weights[n] for n in has if n in weights]
-        a, b = sum(k[0] for k in known), sum(k[1] for k in known)
+        a, b = fsum(k[0] for k in known), fsum(k[1] for k in known)  # in any order
         if i:
             from_other, from_main = (other + oo, main + mo), (other + om, main + mm)
             back.append((from_other[1] > from_other[0], from_main[1] > from_main[0]))
@@ -202,7 +253,7 @@ def decode(field: Field, blocks: list[Block]) -> list[bool]:
 
 
 def main_text(field: Field, page: str | None) -> str:
-    blocks = leaf_blocks(page)
+    blocks = leaf_blocks(page, field.weights)
     return "\n".join(b.text for b, keep in zip(blocks, decode(field, blocks), strict=True) if keep)
 
 
@@ -332,7 +383,8 @@ def default_field() -> Field:
 def extract(pages: DataFrame, *, id_col: str = "page_id", html_col: str = "html", url_col: str | None = "url", field: Field | None = None) -> DataFrame:
     """(page_id, url, text, n_main, n_blocks) per row: the main blocks' text, joined by newlines.
 
-    Null or empty html gives an empty text. One pass over whole pages without a shuffle. Null ids, null URLs and
+    Null or empty html gives an empty text. A page of any length and nesting takes time in proportion to its length.
+    An unclosed comment ends at the next ``>``, an unclosed script or style with the page. One pass over whole pages without a shuffle. Null ids, null URLs and
     repeated rows are rows like any other; columns other than the named ones aren't read; no rows, no rows.
     """
     shared = pages.sparkSession.sparkContext.broadcast(field or default_field())
@@ -343,7 +395,7 @@ def extract(pages: DataFrame, *, id_col: str = "page_id", html_col: str = "html"
                 batch = whole.slice(lo, 512)
                 texts, mains, counts = [], [], []
                 for page in batch.column(2).to_pylist():
-                    blocks = leaf_blocks(page)
+                    blocks = leaf_blocks(page, shared.value.weights)
                     keep = decode(shared.value, blocks)
                     texts.append("\n".join(b.text for b, k in zip(blocks, keep, strict=True) if k))
                     mains.append(sum(keep)), counts.append(len(blocks))
