@@ -14,7 +14,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tsquorum.llm import graph, mixing, neardup, packing, pii, quality, queries, sharding
+from tsquorum.llm import common, graph, mixing, neardup, packing, pii, quality, queries, sharding
 from tsquorum.llm.common import Cuts
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -229,8 +229,37 @@ def test_a_crowd_below_the_threshold_hides_no_link(spark):
     assert {r["doc_id"]: r["component_id"] for r in got} == want
 
 
+def test_texts_of_one_id_find_their_own_links(spark):
+    rng = random.Random(21)
+    a, b, c = (words(rng, 60) for _ in range(3))
+    near = lambda t: " ".join([*t.split()[:-2], "x1", "x2"])
+    data = [(1, a), (1, b), (2, near(b)), (3, near(a)), (4, c), (4, c), (5, near(c)), (5, "q " + near(c)), (6, None), (6, ""), (None, a), (None, c)]
+    df = spark.createDataFrame(data, "doc_id bigint, text string")
+    got = {r["doc_id"]: r["component_id"] for r in neardup.near_duplicates(df).collect()}
+    assert got == {1: 1, 2: 1, 3: 1, 4: 4, 5: 4, 6: 6, None: None}
+    extra = df.withColumns({"_gone": F.lit(1), "_row": F.lit("x"), "h": F.lit(2), "print": F.lit(3), "m": F.create_map(F.lit("k"), F.lit(1)), "node": F.lit(4), "times": F.lit(5)})
+    kept = neardup.without_duplicates(extra)
+    assert kept.columns == extra.columns
+    assert Counter((r["doc_id"], r["text"]) for r in kept.collect()) == Counter([(1, a), (1, b), (4, c), (6, None), (6, ""), (None, a), (None, c)])
+
+
+def test_hot_keys_are_split(spark, monkeypatch):
+    monkeypatch.setattr("tsquorum.llm.common.HOT", 20)
+    rows = spark.createDataFrame([(i, "hot" if i % 3 else f"k{i}") for i in range(900)], "i bigint, key string")
+    side = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).withColumn("v", F.length("key"))
+    got = common.join_hot(rows, side, "key", "n", 900).withColumn("part", F.spark_partition_id())
+    assert {(r["i"], r["v"]) for r in got.collect()} == {(i, len("hot" if i % 3 else f"k{i}")) for i in range(900)} and got.count() == 900
+    spread = common.join_spread(rows.unionByName(spark.createDataFrame([(-1, None), (-2, "none")], rows.schema)), side.unionByName(spark.createDataFrame([(None, 1, 9)], side.schema)), "key")
+    assert spread.count() == 902 and {r["i"]: r["v"] for r in spread.where("i < 0").collect()} == {-1: 9, -2: None}
+
+
+def test_long_texts_make_smaller_tiles(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "SHINGLES", 200)
+    test_a_large_group_of_near_copies_loses_no_link(spark)
+
+
 def test_components_in_rounds(spark, monkeypatch):
-    monkeypatch.setattr(graph, "LOCAL_EDGES", 0)
+    monkeypatch.setattr(graph, "CHUNK", 1)
     rng = random.Random(4)
     edges = [(rng.randrange(200), rng.randrange(200)) for _ in range(150)] + [(300 + i, 301 + i) for i in range(40)] + [(7, 7), (None, 3)]
     got = {r["node"]: r["component"] for r in graph.components(spark.createDataFrame(edges, "a bigint, b bigint"), Cuts(spark)).collect()}
@@ -244,7 +273,7 @@ def test_components_in_rounds(spark, monkeypatch):
             x, y = sorted((root(a), root(b)))
             above[y] = x
     assert got == {i: root(i) for i in range(400) if root(i) != i}
-    monkeypatch.setattr(graph, "LOCAL_EDGES", 1000)
+    monkeypatch.setattr(graph, "CHUNK", 1000)
     assert got == {r["node"]: r["component"] for r in graph.components(spark.createDataFrame(edges, "a bigint, b bigint"), Cuts(spark)).collect()}
 
 

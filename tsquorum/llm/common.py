@@ -17,18 +17,22 @@ from pyspark.sql import functions as F
 #: Word separators, as a Java/RE2 character class: space, tab, newline, vertical tab, form feed, return.
 SPACES = r"[\x20\x09-\x0D]+"
 
-#: Rows that a table may have to be broadcast; beyond it operators join by a shuffle.
-BROADCAST_ROWS = 100_000
+#: A key with more than one in so many of all rows is hot; so there are at most as many hot keys.
+HOT = 10_000
+#: Salts of a side that every row's key is looked up in.
+SALTS = 16
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share (``spark.checkpoint.dir``).
 
-    Only where the setting is absent, as in tests on one machine, a temporary folder takes its place;
-    it goes when the process ends.
+    Only where the setting is absent and all runs on one machine, as in tests, a temporary folder takes its place;
+    it goes when the process ends. On a cluster the setting must be there.
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = tempfile.mkdtemp(prefix="tsquorum-")
         spark.conf.set("spark.checkpoint.dir", base)
         atexit.register(shutil.rmtree, base, ignore_errors=True)
@@ -60,6 +64,11 @@ class Cuts:
         self.paths.setdefault(name, []).append(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def drop_all(self, but: str) -> None:
+        """Deletes all tables but those named ``but``."""
+        for name in [n for n in self.paths if n != but]:
+            self.drop(name)
+
     def drop(self, name: str, keep_last: bool = False) -> None:
         paths = self.paths.get(name, [])
         for path in paths[:-1] if keep_last else paths:
@@ -99,6 +108,34 @@ def let(expr: Column, body) -> Column:
     return F.transform(F.array(expr), body)[0]
 
 
+def join_spread(rows: DataFrame, side: DataFrame, key: str) -> DataFrame:
+    """``rows`` joined with ``side``, one row per ``key`` (nulls are equal), where few keys may hold most rows.
+
+    The side is repeated for ``SALTS`` salts, so no key's rows meet in one task; a side small enough to be broadcast
+    (by the session's threshold, from the sizes of its files) is, and then nothing is shuffled.
+    """
+    salted = side.withColumnRenamed(key, "_key").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    dealt = rows.withColumn("_salt_of", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int"))
+    return dealt.join(salted, F.col(key).eqNullSafe(F.col("_key")) & (F.col("_salt_of") == F.col("_salt")), "left").drop("_key", "_salt", "_salt_of")
+
+
+def join_hot(rows: DataFrame, side: DataFrame, key: str, n: str, total: int) -> DataFrame:
+    """``rows`` inner-joined with ``side``, which has one row per ``key`` and in ``n`` the number of rows with it.
+
+    Keys with more than ``total / HOT`` of the ``total`` rows are split into parts of that size. They are at most
+    ``HOT`` and are broadcast with their number of parts; the side is repeated by part, at most ``2 * HOT`` times in all.
+    """
+    hot = F.broadcast(side.where(F.col(n) * HOT > total).select(key, F.ceil(F.col(n) * F.lit(HOT) / F.lit(max(1, total))).cast("int").alias("_parts")))
+    dealt = rows.join(hot, key, "left").withColumn("_part", F.coalesce(F.pmod(F.monotonically_increasing_id(), F.col("_parts")).cast("int"), F.lit(0))).drop("_parts")
+    parts = side.join(hot, key, "left").withColumn("_part", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_parts"), F.lit(1)) - 1))).drop("_parts", n)
+    return dealt.hint("merge").join(parts, [key, "_part"]).drop("_part")
+
+
+def chunks_for(n: int) -> int:
+    """Chunks for ``ranked`` of ``n`` rows: enough that a chunk of one key stays small."""
+    return max(256, n // 100_000)
+
+
 def ranked(df: DataFrame, keys: list[str], order: list[str], name: str, chunks: int = 256, by: list[str] | None = None) -> DataFrame:
     """Adds ``name``: a gapless rank from 0 within ``keys``, without gathering a key in one task.
 

@@ -9,10 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tsquorum.llm.common import BROADCAST_ROWS, Cuts, unit_draw, word_count
-
-#: Source names are dealt over this many salts where the table of sources is too large to broadcast.
-SALTS = 64
+from tsquorum.llm.common import Cuts, join_spread, unit_draw, word_count
 
 
 def source_targets(sizes: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), share: float = 1.0, max_repeat: float = 3.0) -> DataFrame:
@@ -64,14 +61,8 @@ def plan_mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     cuts = Cuts(docs.sparkSession)
     sizes = docs.groupBy(F.col(source_col).alias("source")).agg(F.sum(word_count(F.col(text_col))).cast("long").alias("source_size"))
     table = cuts.cut(source_targets(sizes, **targets), "mix-targets")
-    if table.count() <= BROADCAST_ROWS:
-        side, on = F.broadcast(table.withColumnRenamed("source", "_source")), F.col("source").eqNullSafe(F.col("_source"))
-    else:  # a hot source must not meet in one task
-        salted = table.withColumnRenamed("source", "_source").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        slim = slim.withColumn("_salt_of", F.pmod(F.xxhash64("_draw"), F.lit(SALTS)).cast("int"))
-        side, on = salted, F.col("source").eqNullSafe(F.col("_source")) & (F.col("_salt") == F.col("_salt_of"))
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    joined = slim.join(side, on).withColumn("copies", copies(rate, F.col("_draw")))
+    joined = join_spread(slim, table, "source").withColumn("copies", copies(rate, F.col("_draw")))
     return joined.select("doc_id", "source", *[F.col("_kept")[c].alias(c) for c in keep], "size", "source_size", "target", "copies")
 
 

@@ -8,13 +8,14 @@ the MinHash values drops pairs that can't be similar; all others are confirmed o
 confirmed links already connect both ends. Then all pairs of a region that neither met nor are connected are
 compared in tiles, so that a crowd of unlike documents between two alike ones hides no link.
 
-Documents with equal sets are one class from the start, so copies meet once. Lists are dealt by ranges of the
-whole sequence: a region of any size spreads over many tasks.
+Documents with equal sets are one node from the start, so copies meet once. Lists are dealt by ranges of the
+whole sequence: a region of any size spreads over many tasks. Hot classes of copies and hot centres of regions are
+split where rows are joined with them.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -22,8 +23,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType, MapType, StructType, VariantType
 
-from tsquorum.llm.common import BROADCAST_ROWS, Cuts, released
+from tsquorum.llm.common import Cuts, join_hot, released
 from tsquorum.llm.graph import components
 
 SHINGLE = 5
@@ -39,6 +41,8 @@ ALLOWED = 0.58
 BLOCK = 2048
 #: Rows of a side of a tile when the pairs of a region are compared.
 TILE = 1024
+#: Shingles of a block or of a side of a tile; long texts make more, smaller ones.
+SHINGLES = 1 << 21
 
 _rng = np.random.default_rng(20240613)
 _ODD = _rng.integers(0, 2**63, 16, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -92,18 +96,17 @@ def _described(texts: list[bytes | None]) -> tuple[list, list, list, list]:
     return sizes, prints, sigs, sketches
 
 
-def described(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, n_shingles, print, sig, sketch) per row."""
+def described(slim: DataFrame) -> DataFrame:
+    """(doc_id, h, n_shingles, print, sig, sketch) per row of (doc_id, h, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for lo in range(0, whole.num_rows, 1024):
                 batch = whole.slice(lo, 1024)
-                sizes, prints, sigs, sketches = _described(batch.column(1).to_pylist())
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), *[pa.array(x, pa.binary()) for x in (prints, sigs, sketches)]], ["doc_id", "n_shingles", "print", "sig", "sketch"])
+                sizes, prints, sigs, sketches = _described(batch.column(2).to_pylist())
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), *[pa.array(x, pa.binary()) for x in (prints, sigs, sketches)]], ["doc_id", "h", "n_shingles", "print", "sig", "sketch"])
 
-    slim = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
-    return slim.mapInArrow(released(run), f"doc_id {slim.schema['doc_id'].dataType.simpleString()}, n_shingles bigint, print binary, sig binary, sketch binary")
+    return slim.select("doc_id", "h", "text").mapInArrow(released(run), "doc_id bigint, h bigint, n_shingles bigint, print binary, sig binary, sketch binary")
 
 
 def _fixed(column: pa.Array, width: int) -> np.ndarray:
@@ -176,10 +179,13 @@ def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
                     ok.append(100 * both >= PERCENT * (len(last_set) + len(other) - both))
                 yield batch.select([0, 1]).filter(pa.array(ok, pa.bool_()))
 
-    # Merge joins at every size: texts are dealt once per side, whatever the number of pairs.
-    right = pairs.hint("merge").join(texts.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b")
-    both = right.hint("merge").join(texts.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a").select("a", "b", "ta", "tb")
-    return both.mapInArrow(released(run), "a bigint, b bigint")
+    # Merge joins at every size: texts are dealt once per side, whatever the number of pairs. The centre of a region has many.
+    n = pairs.count()
+    for end in ("b", "a"):
+        partners = pairs.groupBy(end).agg(F.count(F.lit(1)).alias("_n"))
+        side = texts.select(F.col("node").alias(end), F.col("text").alias(f"t{end}")).hint("merge").join(partners, end)
+        joined = join_hot(pairs if end == "b" else joined, side, end, "_n", n)
+    return joined.sortWithinPartitions("a").select("a", "b", "ta", "tb").mapInArrow(released(run), "a bigint, b bigint")
 
 
 def _crossing(candidates: DataFrame, comps: DataFrame) -> DataFrame:
@@ -197,17 +203,18 @@ def _leftovers(candidates: DataFrame, comps: DataFrame, nodes: DataFrame, texts:
     list. So the smaller of two such components is compared with the whole larger one, in blocks of both sides:
     by sketch, then on full sets, until a link joins the two.
     """
-    node = nodes.select("node", "sketch").join(comps, "node", "left").select("node", "sketch", F.coalesce("component", "node").alias("component"))
-    size = node.groupBy("component").agg(F.count(F.lit(1)).alias("n"))
+    node = nodes.select("node", "n_shingles", "sketch").join(comps, "node", "left").select("node", "n_shingles", "sketch", F.coalesce("component", "node").alias("component"))
+    size = node.groupBy("component").agg(F.count(F.lit(1)).alias("n"), F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("n_shingles") / SHINGLES)).cast("int").alias("blocks"))
     met = _crossing(candidates, comps).groupBy(F.least("ca", "cb").alias("x"), F.greatest("ca", "cb").alias("y")).agg(F.count(F.lit(1)).alias("met"))
-    sized = met.join(size.select(F.col("component").alias("x"), F.col("n").alias("nx")), "x").join(size.select(F.col("component").alias("y"), F.col("n").alias("ny")), "y")
+    sized = met.join(size.select(F.col("component").alias("x"), F.col("n").alias("nx"), F.col("blocks").alias("bx")), "x").join(size.select(F.col("component").alias("y"), F.col("n").alias("ny"), F.col("blocks").alias("by")), "y")
     smaller = F.col("nx") < F.col("ny")
-    sides = sized.where(F.col("nx") * F.col("ny") > F.col("met")).select(F.when(smaller, F.col("x")).otherwise(F.col("y")).alias("small"), F.when(smaller, F.col("y")).otherwise(F.col("x")).alias("large"), F.greatest("nx", "ny").alias("n"))
+    sides = sized.where(F.col("nx") * F.col("ny") > F.col("met")).select(F.when(smaller, F.col("x")).otherwise(F.col("y")).alias("small"), F.when(smaller, F.col("y")).otherwise(F.col("x")).alias("large"), F.when(smaller, F.col("by")).otherwise(F.col("bx")).alias("blocks"))
     sides = Cuts(comps.sparkSession).cut(sides, "sides")
     if sides.isEmpty():
         return comps.sparkSession.createDataFrame([], "a bigint, b bigint")
-    asking = sides.join(node.withColumnRenamed("component", "small"), "small").select("large", "small", "node", "sketch")
-    grid = sides.select("large", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")).distinct().join(asking.groupBy("large").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("askers")), "large")
+    asking = sides.join(node.withColumnRenamed("component", "small"), "small").select("large", "small", "node", "n_shingles", "sketch")
+    askers = F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("n_shingles") / SHINGLES)).cast("int")
+    grid = sides.select("large", "blocks").distinct().join(asking.groupBy("large").agg(askers.alias("askers")), "large")
     own, other = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"), F.pmod(F.xxhash64("node"), F.col("askers")).cast("int")
     rows = node.withColumnRenamed("component", "large").join(grid, "large").select("large", own.alias("p"), F.explode(F.sequence(F.lit(0), F.col("askers") - 1)).alias("q"), "node", "sketch", F.lit(None).cast("bigint").alias("small"))
     ask = asking.join(grid, "large").select("large", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("p"), other.alias("q"), "node", "sketch", "small")
@@ -309,7 +316,7 @@ def _tile_links(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)], ["a", "b"])
 
 
-def _unmet(nodes: DataFrame, comps: DataFrame, ends: DataFrame, slim: DataFrame, cuts: Cuts) -> DataFrame:
+def _unmet(nodes: DataFrame, comps: DataFrame, ends: DataFrame, texts_of: Callable[[DataFrame], DataFrame], cuts: Cuts) -> DataFrame:
     """Links (a, b) between components within the regions where not all pairs have met.
 
     Those are regions of more than ``REACH`` + 1 documents, and regions at the ends of partitions. They are compared
@@ -317,12 +324,12 @@ def _unmet(nodes: DataFrame, comps: DataFrame, ends: DataFrame, slim: DataFrame,
     """
     width, key = 4 * DEPTH, ["tree", "prefix", "p", "q"]
     prefixes = F.concat(*[F.substring("sig", t * width + 1, 4 * LEAST_PREFIX) for t in range(TREES)])
-    inner = nodes.join(comps, "node", "left").select("node", F.coalesce("component", "node").alias("component"), "sketch", prefixes.alias("prefixes"))
+    inner = nodes.join(comps, "node", "left").select("node", "n_shingles", F.coalesce("component", "node").alias("component"), "sketch", prefixes.alias("prefixes"))
     prefix = F.expr(f"cast(conv(hex(substring(prefixes, tree * {4 * LEAST_PREFIX} + 1, {4 * LEAST_PREFIX})), 16, -10) as bigint)")
     every = inner.select(F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(TREES - 1).cast("bigint"))).alias("tree"), "*").withColumn("prefix", prefix)
-    sized = every.groupBy("tree", "prefix").agg(F.count(F.lit(1)).alias("n"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi")
+    sized = every.groupBy("tree", "prefix").agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("shingles"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi")
     ends = ends.select(F.col("a").alias("tree"), F.col("b").alias("prefix"), F.lit(True).alias("end")).distinct()
-    regions = cuts.cut(sized.join(ends, ["tree", "prefix"], "left").where(F.col("end") | (F.col("n") > REACH + 1)).select("tree", "prefix", F.ceil(F.col("n") / TILE).alias("blocks")), "regions")
+    regions = cuts.cut(sized.join(ends, ["tree", "prefix"], "left").where(F.col("end") | (F.col("n") > REACH + 1)).select("tree", "prefix", F.greatest(F.ceil(F.col("n") / TILE), F.ceil(F.col("shingles") / SHINGLES)).alias("blocks")), "regions")
     nothing = cuts.spark.createDataFrame([], "a bigint, b bigint")
     if regions.isEmpty():
         return nothing
@@ -333,25 +340,28 @@ def _unmet(nodes: DataFrame, comps: DataFrame, ends: DataFrame, slim: DataFrame,
     active = cuts.cut(tiled.mapInArrow(released(_tile_rows), rows.schema), "active")
     if active.isEmpty():
         return nothing
-    texts = slim.hint("merge").join(active.select("node").distinct(), "node", "left_semi").distinct()
+    texts = texts_of(active.select("node").distinct())
     return active.hint("merge").join(texts, "node").select(*rows.columns, "text").repartition(*key).sortWithinPartitions(*key).mapInArrow(released(_tile_links), "a bigint, b bigint")
 
 
-def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) per row of ``docs``; ids must be integers.
+def _slim(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(doc_id, h, text): h tells the texts of one id apart."""
+    text = F.col(text_col).cast("binary")
+    return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.xxhash64(text).alias("h"), text.alias("text"))
 
-    component_id is the smallest id reachable by confirmed links, kept says that it is the row's own. Texts
-    that are null, empty or without words have n_shingles 0 and link with nothing. Rows with a null id link with
-    nothing: component_id null, kept true. Rows with one id are one node; repeated rows are all returned. Other
-    columns aren't read; an empty table gives none.
+
+def _linked(slim: DataFrame, cuts: Cuts) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Rows as ``described``; classes of equal sets (print, node, n, first); links between classes (node, component).
+
+    ``first`` is the class's smallest (doc_id, h).
     """
-    spark = docs.sparkSession
-    cuts = Cuts(spark)
-    rows = cuts.cut(described(docs, id_col, text_col), "described").withColumn("doc_id", F.col("doc_id").cast("bigint"))
+    rows = cuts.cut(described(slim), "described")
     usable = rows.where("doc_id is not null and print is not null")
-    classes = usable.groupBy("print").agg(F.min("doc_id").alias("node"))
-    reps = classes.groupBy("node").agg(F.min("print").alias("print"))  # an id with several texts: one stands in the trees
-    nodes = cuts.cut(usable.join(reps, (usable["doc_id"] == reps["node"]) & (usable["print"] == reps["print"]), "left_semi").select(F.col("doc_id").alias("node"), "sig", "sketch"), "nodes")
+    classes = usable.groupBy("print").agg(
+        F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "h")).alias("first"), F.first("n_shingles").alias("n_shingles"), F.first("sig").alias("sig"), F.first("sketch").alias("sketch"),
+    )
+    classes = cuts.cut(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
+    nodes = classes.select("node", "n_shingles", "sig", "sketch")
     width = 4 * DEPTH
     trees = nodes.select(F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree"), "node", "sig", "sketch").select(
         "tree", F.expr(f"substring(sig, tree * {width} + 1, {width})").alias("sig"), "node", "sketch")
@@ -360,46 +370,85 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     found = cuts.cut(found.groupBy("a", "b", (F.col("alike") < 0).alias("end")).agg(F.max("alike").alias("alike")), "candidates")
     candidates, ends = found.where("not end").drop("end"), found.where("end")
 
+    def texts_of(wanted: DataFrame) -> DataFrame:
+        firsts = classes.select("node", "first.*").join(wanted, "node", "left_semi")
+        found = slim.hint("merge").join(firsts, ["doc_id", "h"])
+        return found.groupBy("doc_id", "h", "node").agg(F.first("text").alias("text")).select("node", "text")  # repeated rows have one text
+
     involved = candidates.select(F.col("a").alias("node")).union(candidates.select("b")).distinct()
-    slim = docs.select(F.col(id_col).cast("bigint").alias("node"), F.col(text_col).cast("binary").alias("text"))
-    texts = cuts.cut(slim.hint("merge").join(involved, "node", "left_semi"), "texts")
+    texts = cuts.cut(texts_of(involved), "texts")
 
     first = candidates.groupBy("b").agg(F.coalesce(F.min(F.when(F.col("alike") >= LIKELY, F.col("a"))), F.max_by("a", "alike")).alias("a")).select("a", "b")
-    links = cuts.cut(confirmed(first, texts), "links")
+    links = cuts.cut(confirmed(cuts.cut(first, "pairs"), texts), "links")
     comps = components(links, cuts, "first")
     rest = _crossing(candidates, comps).select("a", "b").join(first, ["a", "b"], "left_anti")
-    links = links.unionByName(cuts.cut(confirmed(rest, texts), "links"))
+    links = links.unionByName(cuts.cut(confirmed(cuts.cut(rest, "pairs"), texts), "links"))
     comps = components(links, cuts, "second")
-    unmet = cuts.cut(_unmet(nodes, comps, ends, slim, cuts), "links")
+    unmet = cuts.cut(_unmet(nodes, comps, ends, texts_of, cuts), "links")
     if not unmet.isEmpty():
         links = links.unionByName(unmet)
         comps = components(links, cuts, "regions")
     more = cuts.cut(_leftovers(candidates, comps, nodes, texts), "links")
     if not more.isEmpty():
         comps = components(links.unionByName(more), cuts, "third")
+    return rows, classes.select("print", "node", "n", "first"), comps
+
 
-    of_class = classes.join(comps, "node", "left").select("print", F.coalesce("component", "node").alias("component_id"))
-    joined = usable.select("doc_id", "n_shingles", "print").join(of_class, "print")
+def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept) per row of ``docs``; ids must be integers.
+
+    component_id is the smallest id reachable by confirmed links, kept says that it is the row's own. Texts
+    that are null, empty or without words have n_shingles 0 and link with nothing. Rows with a null id link with
+    nothing: component_id null, kept true. Each text of an id finds its own links, and an id's texts are connected
+    by their id; repeated rows are all returned. Long texts are compared whole, in smaller tiles. Other columns
+    aren't read; an empty table gives none.
+    """
+    cuts = Cuts(docs.sparkSession)
+    rows, classes, comps = _linked(_slim(docs, id_col, text_col), cuts)
+    usable = rows.where("doc_id is not null and print is not null").select("doc_id", "n_shingles", "print")
+    placed = cuts.cut(classes.join(comps, "node", "left").select("print", "n", F.col("first.doc_id").alias("least"), F.coalesce("component", "node").alias("root")), "placed")
+    several = usable.groupBy("doc_id").agg(F.min("print").alias("lo"), F.max("print").alias("hi")).where("lo <> hi").select("doc_id")
+    same_id = usable.join(several, "doc_id", "left_semi").select("doc_id", "print").distinct().join(placed, "print")
+    same_id = same_id.join(same_id.groupBy("doc_id").agg(F.min("root").alias("a")), "doc_id").select("a", F.col("root").alias("b")).where("a <> b")
+    by_id = components(cuts.cut(same_id, "same-id"), cuts, "by-id").withColumnRenamed("node", "root")
+    placed = placed.join(by_id, "root", "left").select("print", "n", "least", F.coalesce("component", "root").alias("root"))
+    smallest = placed.groupBy("root").agg(F.min("least").alias("component_id"))
+    of_class = cuts.cut(placed.join(smallest, "root").select("print", "n", "component_id"), "of-class")
+    joined = join_hot(usable, of_class, "print", "n", rows.count()).select("doc_id", "n_shingles", "component_id")
     alone = rows.where("print is null or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    every = joined.select("doc_id", "n_shingles", "component_id").unionByName(alone)
-    component = F.when(F.col("doc_id").isNotNull(), F.col("component_id"))
-    return every.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    every = joined.unionByName(alone).select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
+    every = cuts.cut(every, "near-duplicates")
+    cuts.drop_all(but="near-duplicates")
+    return every.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+
+
+def _orderable(kind: DataType) -> bool:
+    if isinstance(kind, StructType):
+        return all(_orderable(f.dataType) for f in kind)
+    return _orderable(kind.elementType) if isinstance(kind, ArrayType) else not isinstance(kind, (MapType, VariantType))
 
 
 def without_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with one document of each group of near duplicates, the one with the smallest id."""
-    found = near_duplicates(docs, id_col=id_col, text_col=text_col)
+    """``docs`` with one row of each group of near-duplicate texts: of the smallest id, then of the smallest text hash.
+
+    Rows with a null id and texts that are null, empty or without words all stay, and so do unlike texts that share
+    an id. Of rows that repeat the id and the text, the smallest by its other columns (those that have an order) stays.
+    Columns may have any names and types; an empty table gives none.
+    """
+    named = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])  # no column can clash with those in use here
+    new = dict(zip(docs.columns, named.columns, strict=True))
     cuts = Cuts(docs.sparkSession)
-    gone = cuts.cut(found.where("not kept").select(F.col("doc_id").alias("_gone")).distinct(), "gone")
-    side = F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone
-    kept = docs.join(side, F.col(id_col) == F.col("_gone"), "left_anti")
-    repeated = found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1")
-    return kept if repeated.isEmpty() else _one_each(kept, id_col)
-
-
-def _one_each(docs: DataFrame, id_col: str) -> DataFrame:
-    """One row for each id that isn't null: a third of the rows may have one id, so they are thinned out map-side."""
-    named = docs.where(F.col(id_col).isNotNull())
-    rest = [c for c in docs.columns if c != id_col]
-    one = named.groupBy(F.col(id_col)).agg(F.min(F.struct(*rest)).alias("_row"))
-    return one.select(*[F.col(id_col) if c == id_col else F.col("_row")[c].alias(c) for c in docs.columns]).unionByName(docs.where(F.col(id_col).isNull()))
+    rows, classes, comps = _linked(_slim(named, new[id_col], new[text_col]), cuts)
+    usable = rows.where("doc_id is not null and print is not null").groupBy("doc_id", "h", "print").agg(F.count(F.lit(1)).alias("times"))
+    placed = classes.join(comps, "node", "left").select("print", "n", "first", F.coalesce("component", "node").alias("root"))
+    stays = placed.groupBy("root").agg(F.min("first").alias("stays"))
+    of_class = cuts.cut(placed.join(stays, "root").select("print", "n", "stays"), "of-class")
+    judged = join_hot(usable, of_class, "print", "n", rows.count()).select("doc_id", "h", "times", (F.struct("doc_id", "h") == F.col("stays")).alias("stays"))
+    judged = cuts.cut(judged.where("not stays or times > 1"), "judged")
+    cuts.drop_all(but="judged")
+    keyed = named.select("*", F.col(new[id_col]).cast("bigint").alias("doc_id"), F.xxhash64(F.col(new[text_col]).cast("binary")).alias("h"))
+    once = keyed.join(judged, ["doc_id", "h"], "left_anti").select(*named.columns)
+    again = keyed.join(judged.where("stays"), ["doc_id", "h"], "left_semi")
+    order = F.struct(*[c for c in named.columns if _orderable(named.schema[c].dataType)])
+    again = again.groupBy("doc_id", "h").agg(F.min_by(F.struct(*named.columns), order).alias("row"))
+    return once.unionByName(again.select("row.*")).toDF(*docs.columns)

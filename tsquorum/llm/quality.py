@@ -15,7 +15,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tsquorum.llm.common import BROADCAST_ROWS, Cuts, let
+from tsquorum.llm.common import Cuts, join_spread, let
 
 WINDOW = 8
 
@@ -138,10 +138,9 @@ def judge(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
     counts = cuts.cut(measured(named, id_col=id_col, text_col=text_col, keep=("_stratum",)), "quality-counts")
     found = safe_cutoffs(signals(counts).where(~F.col("base_failed")).select("doc_id", "stratum", *names), labels, alpha=alpha, delta=delta)
     per_stratum = cuts.cut(found.groupBy("stratum").agg(F.map_from_entries(F.collect_list(F.struct("rule", "cutoff"))).alias("cutoffs")), "quality-cutoffs")
-    side = F.broadcast(per_stratum) if per_stratum.count() <= BROADCAST_ROWS else per_stratum
     failed = F.array(*[F.when(F.col(rule) > F.col("cutoffs")[rule], F.lit(rule)) for rule in names])
     judged = counts if not keep else measured(named, id_col=id_col, text_col=text_col, keep=("_stratum", *keep))
-    return signals(judged).join(side, "stratum", "left").select(
+    return join_spread(signals(judged), per_stratum, "stratum").select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
         F.array_compact(failed).alias("failed_rules"), (~F.col("base_failed") & (F.size(F.array_compact(failed)) == 0)).alias("kept"), F.col("kept").alias("kept_cols"),
     )
