@@ -2,6 +2,9 @@
 
 Tokens are aggregated per source, target shares give a repetition rate per source, and each document is
 emitted ``floor(rate)`` times plus one hash-seeded Bernoulli copy with probability ``rate - floor(rate)``.
+
+The hash has ``SEEDS`` seeds to choose from; each source takes the one whose draws bring it nearest to its target.
+So sources with few or very unequal documents come near theirs, too.
 """
 
 from __future__ import annotations
@@ -12,6 +15,9 @@ from pyspark.sql import functions as F
 from tsquorum.llm.common import Cuts, join_spread, unit_draw, word_count
 
 
+SEEDS = 16
+
+
 def source_targets(sizes: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), share: float = 1.0, max_repeat: float = 3.0) -> DataFrame:
     """Targets per source, from (source, source_size).
 
@@ -51,18 +57,22 @@ def plan_mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     """Per document: doc_id, source, ``keep`` columns, size, source_size, target, copies.
 
     Null text has size 0; null source is a source of its own; a null id draws by its text, and repeated rows
-    draw alike. Other columns of the input aren't looked at unless named in ``keep``; an empty table gives none.
+    draw alike. Long texts count whole; equal documents of two sources draw by their source's seed. Other columns of the input aren't looked at unless named in ``keep``; an empty table gives none.
     """
-    slim = docs.select(
-        F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"),
-        unit_draw(F.lit(str(seed)), F.coalesce(F.col(id_col).cast("string"), F.md5(F.coalesce(F.col(text_col), F.lit(""))))).alias("_draw"),
-        F.struct(*[F.col(c) for c in keep] or [F.lit(0).alias("_")]).alias("_kept"),
-    )
     cuts = Cuts(docs.sparkSession)
-    sizes = docs.groupBy(F.col(source_col).alias("source")).agg(F.sum(word_count(F.col(text_col))).cast("long").alias("source_size"))
-    table = cuts.cut(source_targets(sizes, **targets), "mix-targets")
+    text, kept = F.col(text_col), F.struct(*[F.col(c) for c in keep] or [F.lit(0).alias("_")]).alias("_kept")
+    key = F.coalesce(F.col(id_col).cast("string"), F.md5(F.coalesce(text, F.lit("")))).alias("_key")
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(text).alias("size"), key, kept)
+    slim = cuts.cut(rows.select("source", "size", "_key"), "mix-sizes")
+    table = cuts.cut(source_targets(slim.groupBy("source").agg(F.sum("size").cast("long").alias("source_size")), **targets), "mix-targets")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    joined = join_spread(slim, table, "source").withColumn("copies", copies(rate, F.col("_draw")))
+    seeds = range(seed, seed + SEEDS)
+    taken = [F.sum(F.col("size") * copies(rate, unit_draw(F.lit(str(k)), F.col("_key")))).alias(f"_taken_{k}") for k in seeds]
+    sums = join_spread(slim, table, "source").groupBy("source").agg(F.first("source_size").alias("source_size"), F.first("target").alias("target"), *taken)
+    best = F.array_min(F.array(*[F.struct(F.abs(F.col(f"_taken_{k}") - F.col("target")), F.lit(k).alias("seed")) for k in seeds]))["seed"]
+    chosen = cuts.cut(sums.select("source", "source_size", "target", best.cast("string").alias("_seed")), "mix-seeds")
+    joined = join_spread(rows, chosen, "source").withColumn("copies", copies(rate, unit_draw(F.col("_seed"), F.col("_key"))))
+    cuts.drop("mix-sizes"), cuts.drop("mix-targets")
     return joined.select("doc_id", "source", *[F.col("_kept")[c].alias(c) for c in keep], "size", "source_size", "target", "copies")
 
 

@@ -16,9 +16,10 @@ r AS (SELECT *, row_number() OVER o AS place, sum(source_size) OVER ()::DOUBLE A
   sum(w) OVER (ORDER BY lim / w, source IS NULL, encode(source) ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS opened FROM w WINDOW o AS (ORDER BY lim / w, source IS NULL, encode(source))),
 l AS (SELECT arg_min((total - capped) / opened, place) AS level FROM r WHERE lim >= w * (total - capped) / opened),
 t AS (SELECT source, source_size, CASE WHEN source_size > 0 THEN round(least(lim, w * coalesce((SELECT level FROM l), 'inf'::DOUBLE)), 6) ELSE 0.0 END::DOUBLE AS target FROM r),
-p AS (SELECT d.doc_id, d.size::BIGINT AS size, t.source_size, t.target, CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE 0.0 END AS rate, ('0x' || substr(md5('17|' || d.k), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS draw
-  FROM d JOIN t ON t.source IS NOT DISTINCT FROM d.source)
-SELECT doc_id, size, source_size, target, (size * (floor(rate) + CASE WHEN draw < rate - floor(rate) THEN 1 ELSE 0 END))::BIGINT AS taken FROM p
+p AS (SELECT d.doc_id, d.source, d.k, d.size::BIGINT AS size, t.source_size, t.target, CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE 0.0 END AS rate FROM d JOIN t ON t.source IS NOT DISTINCT FROM d.source),
+c AS (SELECT p.*, seed, (size * (floor(rate) + CASE WHEN ('0x' || substr(md5(seed || '|' || k), 1, 8))::BIGINT / 4294967296.0::DOUBLE < rate - floor(rate) THEN 1 ELSE 0 END))::BIGINT AS taken FROM p, range(17, 33) AS r(seed)),
+b AS (SELECT source, arg_min(seed, {'off': abs(sums - target), 'seed': seed}) AS seed FROM (SELECT source, seed, sum(taken) AS sums, any_value(target) AS target FROM c GROUP BY 1, 2) GROUP BY 1)
+SELECT doc_id, size, source_size, target, taken FROM c JOIN b ON c.source IS NOT DISTINCT FROM b.source AND c.seed = b.seed
 """
 
 
