@@ -124,7 +124,7 @@ def judge(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
 
     Null text is empty and fails the base rules; a null stratum is a stratum of its own; a null id is judged but
     never labelled; repeated rows are judged alike. Without labels there are no cutoffs and only the base rules
-    reject. An empty table gives no rows.
+    reject. Long texts are measured whole. Columns may have any names but ``_stratum``. An empty table gives no rows.
     """
     cuts = Cuts(docs.sparkSession)
     named = docs.withColumn("_stratum", F.col(stratum_col) if stratum_col in docs.columns else F.lit(None).cast("string"))
@@ -134,12 +134,13 @@ def judge(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
         stratum = F.coalesce(F.col("kept._stratum").cast("string"), F.lit(""))
         return counts.withColumns({"stratum": stratum, "base_failed": base_failed(), **{rule: F.expr(f"cast({signal} as double)") for rule, signal, _ in RULES}})
 
-    # The counts are kept, not the texts; only where columns are to stay, texts are measured again.
-    counts = cuts.cut(measured(named, id_col=id_col, text_col=text_col, keep=("_stratum",)), "quality-counts")
-    found = safe_cutoffs(signals(counts).where(~F.col("base_failed")).select("doc_id", "stratum", *names), labels, alpha=alpha, delta=delta)
+    # Cutoffs need the labelled documents only; all others are measured once.
+    known = labels.where(F.col("quality") == 1).select(F.col("doc_id").alias("_labelled")).distinct()
+    labelled = named.join(known, named[id_col] == known["_labelled"], "left_semi")
+    found = safe_cutoffs(signals(measured(labelled, id_col=id_col, text_col=text_col, keep=("_stratum",))).where(~F.col("base_failed")).select("doc_id", "stratum", *names), labels, alpha=alpha, delta=delta)
     per_stratum = cuts.cut(found.groupBy("stratum").agg(F.map_from_entries(F.collect_list(F.struct("rule", "cutoff"))).alias("cutoffs")), "quality-cutoffs")
     failed = F.array(*[F.when(F.col(rule) > F.col("cutoffs")[rule], F.lit(rule)) for rule in names])
-    judged = counts if not keep else measured(named, id_col=id_col, text_col=text_col, keep=("_stratum", *keep))
+    judged = measured(named, id_col=id_col, text_col=text_col, keep=("_stratum", *keep))
     return join_spread(signals(judged), per_stratum, "stratum").select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
         F.array_compact(failed).alias("failed_rules"), (~F.col("base_failed") & (F.size(F.array_compact(failed)) == 0)).alias("kept"), F.col("kept").alias("kept_cols"),
