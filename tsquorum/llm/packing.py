@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tsquorum.llm.common import Cuts, ranked, released
+from tsquorum.llm.common import Cuts, chunks_for, ranked, released
 
 CAPACITY = 2048
 #: Words whose ids a worker remembers; bounds its memory.
@@ -60,7 +60,7 @@ class WordTokenizer:
     """A public word-level tokenizer with a bounded memory of words already encoded.
 
     The tokenizer never joins text across blanks or newlines, so encoding the stretches between them one by one
-    gives the ids of the whole text. Strings of special tokens within a text are ordinary text.
+    gives the ids of the whole text. Texts that hold the string of an added token are encoded whole, by the tokenizer as it is.
 
     The words of the first texts stay, up to ``CACHED_WORDS``; words learned later last for one call.
     """
@@ -69,8 +69,10 @@ class WordTokenizer:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
+        self.plain = Tokenizer.from_file(path)
+        self.added = [t.content for t in self.plain.get_added_tokens_decoder().values()]
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = True  # lower-casing may make such a string, which the plain one would not see
         border = self.tokenizer.encode(BORDER, add_special_tokens=False).ids
         self.border = border[0] if len(border) == 1 else None
         self.place: dict[str, int] = {"": 0}
@@ -104,6 +106,13 @@ class WordTokenizer:
         self.place.update(zip(words, range(first, first + len(words)), strict=True))
 
     def encode_all(self, texts: list[str]) -> list[np.ndarray]:
+        whole = [i for i, text in enumerate(texts) if any(a in text for a in self.added)]
+        out = self._encode_ordinary(["" if i in whole else text for i, text in enumerate(texts)] if whole else texts)
+        for i in whole:
+            out[i] = np.array(self.plain.encode(texts[i], add_special_tokens=False).ids, np.uint32)
+        return out
+
+    def _encode_ordinary(self, texts: list[str]) -> list[np.ndarray]:
         rows = [_plain(text).replace("\n", " ").split(" ") for text in texts]
         places = [np.array([*map(self.place.get, words, repeat(-1))], np.int64) for words in rows]
         unknown = [np.flatnonzero(p < 0) for p in places]
@@ -225,7 +234,7 @@ def pack(pieces: DataFrame, *, capacity: int = CAPACITY, order: tuple[str, ...]
     table = np.array(sorted(runs), np.int64).reshape(-1, 4)
     keys = (table[:, 0] << 44) + table[:, 1]
     shared = spark.sparkContext.broadcast((keys, table))
-    with_rank = ranked(pieces, ["length"], list(order), "_rank")
+    with_rank = ranked(pieces, ["length"], list(order), "_rank", chunks=chunks_for(sum(counts.values())))
     names = [c for c in with_rank.columns if c != "_rank"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -246,7 +255,8 @@ def pack(pieces: DataFrame, *, capacity: int = CAPACITY, order: tuple[str, ...]
 def pack_documents(docs: DataFrame, tokenizer_path: str, *, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
     """Pieces with their place: doc_id, piece, start, length, ids_crc32, sequence_id, offset, and ``ids`` if asked for.
 
-    Every row of ``docs`` is packed, repeated ones too. Tokens are made once and written to the shared folder.
+    Every row of ``docs`` is packed, repeated ones too; null and empty texts are the end id alone; texts of any length are
+    tokenized whole and cut. Other columns aren't read; an empty table gives no rows. Tokens are made once and written to the shared folder.
     """
     cuts = Cuts(docs.sparkSession)
     made = tokenized_pieces(docs, tokenizer_path, id_col=id_col, text_col=text_col, capacity=capacity, with_ids=with_ids)

@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tsquorum.llm.common import Cuts, ranked
+from tsquorum.llm.common import Cuts, chunks_for, ranked
 
 #: Buckets for running sums; bounds the tables of bucket sums.
 BUCKETS = 4096
@@ -99,7 +99,8 @@ def shard(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", n_
     homes = spans.groupBy(*GROUP).agg(F.array_sort(F.collect_list("span")).alias("spans"))  # at most n_shards spans
     joined = cuts.cut(slim.drop("start").join(homes, GROUP, "left"), "joined")
 
-    together = ranked(joined.where("spans is not null"), GROUP, ["doc_id"], "_rank")
+    chunks = chunks_for(slim.count())
+    together = ranked(joined.where("spans is not null"), GROUP, ["doc_id"], "_rank", chunks)
     home = F.element_at(F.filter("spans", lambda s: s["first"] <= F.col("_rank")), -1)["shard"]
     together = together.select("doc_id", "size", "text_crc32", home.alias("shard"))
 
@@ -116,4 +117,4 @@ def shard(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", n_
     middle = F.col("_before") + F.col("size") / 2
     place = F.size(F.filter(F.array(*[F.lit(e) for e in edges] or [F.lit(float("inf"))]), lambda e: e <= middle))
     apart = spread.select("doc_id", "size", "text_crc32", place.cast("int").alias("shard"))
-    return ranked(cuts.cut(together.unionByName(apart), "sharded"), ["shard"], ["doc_id", "text_crc32"], "slot", chunks=1024)
+    return ranked(cuts.cut(together.unionByName(apart), "sharded"), ["shard"], ["doc_id", "text_crc32"], "slot", max(1024, chunks))
