@@ -27,23 +27,38 @@ _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _DOTTED = re.compile(r"[0-9]+(?:\.[0-9]+)*")
 _DIGITS = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PLUS = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
-_IBAN = re.compile(r"\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b")
+_IBAN = re.compile(r"\b([A-Z]{2})[0-9]{2}(?=((?: ?[A-Z0-9]){11,30}))")
 _SSN = re.compile(r"(?<![0-9-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9-])")
 _LOCAL_PHONE = re.compile(r"(?<![0-9+.-])(?:\([0-9]{2,4}\) ?|0[0-9]{1,3}[ /-])[0-9]{3,4}[ -][0-9]{3,5}(?![0-9-])")
 
 _PRIOR = {"email": 0.9, "ip": 0.7, "card": 0.9, "phone": 0.8, "iban": 0.9, "ssn": 0.4, "local": 0.4}
+#: The lengths of account numbers by country.
+_IBAN_LENGTH = {
+    "AD": 24, "AE": 23, "AL": 28, "AT": 20, "AZ": 28, "BA": 20, "BE": 16, "BG": 22, "BH": 22, "BR": 29, "BY": 28, "CH": 21, "CR": 22, "CY": 28, "CZ": 24, "DE": 22,
+    "DK": 18, "DO": 28, "EE": 20, "EG": 29, "ES": 24, "FI": 18, "FO": 18, "FR": 27, "GB": 22, "GE": 22, "GI": 23, "GL": 18, "GR": 27, "GT": 28, "HR": 21, "HU": 28,
+    "IE": 22, "IL": 23, "IQ": 23, "IS": 26, "IT": 27, "JO": 30, "KW": 30, "KZ": 20, "LB": 28, "LC": 32, "LI": 21, "LT": 20, "LU": 20, "LV": 21, "MC": 27, "MD": 24,
+    "ME": 22, "MK": 19, "MR": 27, "MT": 31, "MU": 30, "NL": 18, "NO": 15, "PK": 24, "PL": 28, "PS": 29, "PT": 25, "QA": 29, "RO": 24, "RS": 22, "SA": 24, "SE": 24,
+    "SI": 19, "SK": 24, "SM": 27, "TN": 24, "TR": 26, "UA": 29, "VA": 22, "VG": 24, "XK": 20,
+}
 _FOR = {
     "email": ("mail", "contact", "write to"),
     "ip": ("ip", "host", "address", "server"),
     "card": ("card", "visa", "mastercard", "credit", "payment"),
     "phone": ("phone", "tel", "call", "mobile", "fax"),
-    "iban": ("iban", "account", "bank", "konto", "cuenta", "compte"),
+    "iban": ("iban", "account", "bank", "konto", "bankkonto", "kontonummer", "cuenta", "compte"),
     "ssn": ("ssn", "social security", "social-security"),
-    "local": ("phone", "tel", "call", "mobile", "fax", "telefon", "handy", "teléfono", "téléphone"),
+    "local": ("phone", "tel", "call", "mobile", "fax", "telefon", "telefonnummer", "handy", "handynummer", "teléfono", "téléphone"),
 }
 _AGAINST = ("version", "isbn", "order no", "serial", "invoice", "part no", "example")
 
 
+def _any_of(words: tuple[str, ...]) -> re.Pattern[str]:
+    return re.compile(r"(?<!\w)(?:" + "|".join(map(re.escape, words)) + r")s?(?!\w)")
+
+
+_CONTEXT, _COUNTER = {kind: _any_of(words) for kind, words in _FOR.items()}, _any_of(_AGAINST)
+
+
 class Span(NamedTuple):
     kind: str
     start: int
@@ -107,10 +122,18 @@ def _checked(text: str) -> Iterator[tuple[str, int, int]]:
         for m in _PLUS.finditer(text):
             if 9 <= _digit_count(m[0]) <= 15:
                 yield "phone", m.start(), m.end()
+    done = 0
     for m in _IBAN.finditer(text):
-        plain = m[0].replace(" ", "")
-        if 15 <= len(plain) <= 34 and mod97(plain):
-            yield "iban", m.start(), m.end()
+        if m.start() < done or not (length := _IBAN_LENGTH.get(m[1])):
+            continue
+        end, left = m.end(), length - 4
+        while left and end < m.end(2):
+            left -= text[end] != " "
+            end += 1
+        whole = not left and not (end < len(text) and (text[end].isalnum() or text[end] == "_"))
+        if whole and mod97(text[m.start() : end].replace(" ", "")):
+            done = end
+            yield "iban", m.start(), end
     if "-" in text:
         for m in _SSN.finditer(text):
             yield "ssn", m.start(), m.end()
@@ -122,9 +145,9 @@ _DIGIT = re.compile("[0-9]")
 
 
 def scored(text: str, kind: str, start: int, end: int) -> float:
-    around = (text[max(0, start - REACH) : start] + " " + text[end : end + REACH]).lower()
-    up = 0.3 if any(w in around for w in _FOR[kind]) else 0.0
-    down = 0.3 if any(w in around for w in _AGAINST) else 0.0
+    around = (text[max(0, start - REACH) : start] + "\n" + text[end : end + REACH]).lower()
+    up = 0.3 if _CONTEXT[kind].search(around) else 0.0
+    down = 0.3 if _COUNTER.search(around) else 0.0
     return round(min(1.0, max(0.0, _PRIOR[kind] + up - down)), 2)
 
 
