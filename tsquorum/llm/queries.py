@@ -66,7 +66,8 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     archives = Cuts(spark).cut(warc.write_archives(read(spark, sf_dir, "pages")), "archives")
-    return warc.read_archives(spark, archives).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    records = warc.read_archives(spark, archives).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    return warc.resolved(Cuts(spark).cut(records, "records"))
 
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
