@@ -182,6 +182,38 @@ def test_damaged_archives_are_refused():
             list(warc.read_records(io.BytesIO(bad)))
 
 
+def standard(kind, block, content_type="application/http; msgtype=response", **headers):
+    lines = [f"WARC/1.0\r\nWARC-Type: {kind}\r\nContent-Type: {content_type}\r\nContent-Length: {len(block)}", *(f"{k.replace('_', '-')}: {v}" for k, v in headers.items())]
+    return gzip.compress("\r\n".join(lines).encode() + b"\r\n\r\n" + block + b"\r\n\r\n")
+
+
+def test_archives_from_elsewhere(spark, tmp_path):
+    body = b"<p>" + b"x" * 2000
+    chunked = b"HTTP/1.1 200 OK\r\nTransfer-Encoding: chunked\r\n\r\n3\r\n<p>\r\n7d0;a=b\r\n" + b"x" * 2000 + b"\r\n0\r\n\r\n"
+    digest = warc.sha1_base32(body)
+    data = standard("warcinfo", b"software: x\r\n", "application/warc-fields") + standard("request", b"GET / HTTP/1.1\r\n\r\n")
+    data += standard("response", b"HTTP/1.1 200 OK\r\nA: b\r\n\r\n" + body, WARC_Target_URI="http://a/", WARC_Payload_Digest=digest)
+    data += standard("response", chunked, WARC_Target_URI="http://b/", WARC_Payload_Digest=digest) + standard("resource", b"plain", "text/plain", WARC_Payload_Digest="md5:" + hashlib.md5(b"plain").hexdigest())
+    data += standard("revisit", b"HTTP/1.1 200 OK\r\n\r\n", WARC_Target_URI="http://c/", WARC_Payload_Digest=digest) + standard("revisit", b"", WARC_Payload_Digest=warc.sha1_base32(b"unknown"))
+    (tmp_path / "a.warc.gz").write_bytes(data)
+    records = warc.read_archives(spark, spark.createDataFrame([(f"file://{tmp_path}/a.warc.gz",)], "path string"))
+    got = Counter((r["url"], r["payload_bytes"], r["payload_digest"], r["record_type"]) for r in warc.resolved(records).collect())
+    sha = lambda b: hashlib.sha1(b).hexdigest()
+    assert got == Counter([("http://a/", 2003, sha(body), "response"), ("http://b/", 2003, sha(body), "response"), (None, 5, sha(b"plain"), "response"), ("http://c/", 2003, sha(body), "revisit"), (None, None, sha(b"unknown"), "revisit")])
+    for bad in (standard("response", b"no end"), standard("response", b"HTTP/1.1 200 OK\r\n\r\nx", WARC_Payload_Digest=digest), standard("resource", b"x", "a/b", X_Page_ID="y"), standard("resource", b"x", "a/b", WARC_Payload_Digest="sha1:1")):
+        with pytest.raises(warc.WarcError):
+            list(map(warc.page_of, warc.read_records(io.BytesIO(bad))))
+
+
+def test_one_page_as_a_third_of_all(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(warc, "HOT", 10)
+    rows = [(i, "u", "e" * 1500 if i % 3 == 0 else f"{i // 2} " * 500) for i in range(300)]
+    made = warc.write_archives(spark.createDataFrame(rows, "page_id bigint, url string, html string"), folder=f"file://{tmp_path}/h")
+    got = {r["page_id"]: r["refers_to"] for r in warc.read_archives(spark, made).collect()}
+    last = {t: i for i, _, t in rows}
+    assert got == {i: last[t] if last[t] != i else None for i, _, t in rows}
+
+
 # ---- language model
 
 

@@ -114,9 +114,9 @@ def join_spread(rows: DataFrame, side: DataFrame, key: str) -> DataFrame:
     The side is repeated for ``SALTS`` salts, so no key's rows meet in one task; a side small enough to be broadcast
     (by the session's threshold, from the sizes of its files) is, and then nothing is shuffled.
     """
-    salted = side.withColumnRenamed(key, "_key").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    dealt = rows.withColumn("_salt_of", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int"))
-    return dealt.join(salted, F.col(key).eqNullSafe(F.col("_key")) & (F.col("_salt_of") == F.col("_salt")), "left").drop("_key", "_salt", "_salt_of")
+    salted = side.withColumnRenamed(key, "_spread_key").withColumn("_spread_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    dealt = rows.withColumn("_spread_salt_of", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int"))
+    return dealt.join(salted, F.col(key).eqNullSafe(F.col("_spread_key")) & (F.col("_spread_salt_of") == F.col("_spread_salt")), "left").drop("_spread_key", "_spread_salt", "_spread_salt_of")
 
 
 def join_hot(rows: DataFrame, side: DataFrame, key: str, n: str, total: int) -> DataFrame:

@@ -5,7 +5,8 @@ cells. A vector visits cells in the order in which they could hold a near vector
 two sorted lists of half bounds). A bound is how far the half would have to shift to fall into the codeword's
 region; two unit vectors with cosine ``least`` are at most sqrt(2 - 2 * least) apart, so once the bounds of both
 halves together exceed that, no further cell can hold a link: the traversal stops at a recall of 1. What a cell
-holds is then verified in double precision.
+holds is then verified in double precision. Visits carry a vector's components as the table has them (float or
+double), from which the units in double precision are made again where they meet.
 
 Codebooks come from a bounded sample (``SAMPLE`` vectors); every vector is indexed. Equal vectors are one class
 with a multiplicity. Members and visitors of a cell are dealt into tiles of bounded size.
@@ -28,6 +29,8 @@ from tsquorum.llm.graph import components
 LEAST = 0.98
 #: Vectors that the codebooks are fitted on, the first by a hash of their id.
 SAMPLE = 20_000
+#: Bytes of the sample in double precision; of very long vectors fewer are sampled, 1000 at least.
+SAMPLE_BYTES = 64 << 20
 #: Rows of a block; a tile compares two blocks.
 BLOCK = 2048
 #: Vectors a cell would hold if all had one label; settles the number of codewords per half.
@@ -84,9 +87,7 @@ def multi_sequence(first: np.ndarray, second: np.ndarray, limit: float) -> Itera
 
 
 def _units(column: pa.Array, dim: int) -> np.ndarray:
-    flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
-    flat = flat / np.abs(flat).max(axis=1, keepdims=True)  # neither huge nor tiny components overflow
-    return flat / np.sqrt((flat**2).sum(axis=1, keepdims=True))
+    return _unit_rows(column.flatten().to_numpy(zero_copy_only=False).reshape(-1, dim))
 
 
 def fit(sample: list[np.ndarray], words: int) -> dict[int, tuple[np.ndarray, np.ndarray]]:
@@ -98,6 +99,12 @@ def fit(sample: list[np.ndarray], words: int) -> dict[int, tuple[np.ndarray, np.
     return books
 
 
+def _unit_rows(raw: np.ndarray) -> np.ndarray:
+    flat = raw.astype(np.float64)
+    flat = flat / np.abs(flat).max(axis=1, keepdims=True)  # neither huge nor tiny components overflow
+    return flat / np.sqrt((flat**2).sum(axis=1, keepdims=True))
+
+
 def _visits(classes: DataFrame, books: dict, least: float) -> DataFrame:
     """A member row per class in its own cell, and a visitor row in each later cell that may hold a link."""
     shared = classes.sparkSession.sparkContext.broadcast(books)
@@ -120,18 +127,19 @@ def _visits(classes: DataFrame, books: dict, least: float) -> DataFrame:
                         at += [r] * len(later)
                         cells += later
                         visitor += [True] * len(later)
-                taken = part.take(pa.array(at, pa.int64()))
-                units = pa.array([rows[r].tobytes() for r in at], pa.binary())
-                yield pa.RecordBatch.from_arrays([taken.column("label"), taken.column("dim"), pa.array(cells, pa.int64()), pa.array(visitor), taken.column("node"), taken.column("n"), units], ["label", "dim", "cell", "visitor", "node", "n", "unit"])
+                taken = part.select(["label", "dim", "node", "n"]).take(pa.array(at, pa.int64()))
+                raw = part.column("embedding").flatten().to_numpy(zero_copy_only=False).reshape(-1, int(dim))
+                units = pa.array([raw[r].tobytes() for r in at], pa.binary())
+                yield pa.RecordBatch.from_arrays([taken.column("label"), taken.column("dim"), pa.array(cells, pa.int64()), pa.array(visitor), taken.column("node"), taken.column("n"), units], ["label", "dim", "cell", "visitor", "node", "n", "raw"])
 
     kind = classes.schema["label"].dataType.simpleString()
-    return classes.select("label", "dim", "node", "n", "embedding").mapInArrow(released(run), f"label {kind}, dim int, cell bigint, visitor boolean, node bigint, n bigint, unit binary")
+    return classes.select("label", "dim", "node", "n", "embedding").mapInArrow(released(run), f"label {kind}, dim int, cell bigint, visitor boolean, node bigint, n bigint, raw binary")
 
 
-def _tile(rows: pd.DataFrame, least: float) -> pd.DataFrame:
+def _tile(rows: pd.DataFrame, least: float, kind: str) -> pd.DataFrame:
     """Links within a tile: per class the multiplicity it links with, and the smallest class it reaches here."""
     node, n, block = rows["node"].to_numpy(), rows["n"].to_numpy(), rows["block"].to_numpy()
-    unit = np.frombuffer(b"".join(rows["unit"]), np.float64).reshape(len(rows), -1)
+    unit = _unit_rows(np.frombuffer(b"".join(rows["raw"]), kind).reshape(len(rows), -1))
     order = np.argsort(node, kind="stable")
     node, n, block, unit = node[order], n[order], block[order], unit[order]
     mode, visitor = rows["mode"].iloc[0], rows["visitor"].to_numpy()[order]
@@ -164,8 +172,9 @@ def near_vectors(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str
     cuts = Cuts(spark)
     fine = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
     usable = F.col("vec_id").isNotNull() & F.col("label").isNotNull() & F.col("embedding").isNotNull() & fine & F.exists("embedding", lambda x: x != 0)
-    rows = vectors.select(F.col(id_col).cast("bigint").alias("vec_id"), F.col(label_col).alias("label"), F.col(vector_col).cast("array<double>").alias("embedding"))
-    rows = rows.select("vec_id", "label", "embedding", F.coalesce(usable, F.lit(False)).alias("usable"), F.size("embedding").alias("dim"), F.xxhash64("embedding").alias("k1"), F.xxhash64("embedding", F.lit(1)).alias("k2"))
+    kind = "float" if vectors.schema[vector_col].dataType.simpleString() == "array<float>" else "double"
+    rows = vectors.select(F.col(id_col).cast("bigint").alias("vec_id"), F.col(label_col).alias("label"), F.col(vector_col).cast(f"array<{kind}>").alias("embedding"))
+    rows = rows.select("vec_id", "label", "embedding", F.coalesce(usable, F.lit(False)).alias("usable"), F.size("embedding").alias("dim"), F.xxhash64("embedding").alias("k1"), F.xxhash64(F.lit(1), "embedding").alias("k2"))
     key = ["label", "dim", "k1", "k2"]
     keyed = rows.where("usable")
     grouped = cuts.cut(keyed.groupBy(*key).agg(F.min("vec_id").alias("node"), F.count(F.lit(1)).alias("n")), "classes")
@@ -174,10 +183,10 @@ def near_vectors(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str
 
     n = classes.count()
     words = int(min(MOST_WORDS, max(2, (n / PER_CELL) ** 0.5)))
-    picked = classes.orderBy(F.xxhash64("node"), "node").limit(SAMPLE).select("embedding").collect()
-    sample = [np.array(r["embedding"]) for r in picked]
-    sample = [v / np.abs(v).max() for v in sample]
-    books = fit([v / np.sqrt((v**2).sum()) for v in sample], words)
+    widest = max(1, classes.agg(F.max("dim")).first()[0] or 1)
+    most = min(SAMPLE, max(1000, SAMPLE_BYTES // (8 * widest)))
+    picked = classes.orderBy(F.xxhash64("node"), "node").limit(most).select("embedding").toArrow().column(0)
+    books = fit([_unit_rows(v.values.to_numpy(zero_copy_only=False)[None])[0] for v in picked], words)
 
     visits = cuts.cut(_visits(classes, books, least), "visits")
     cell = ["label", "dim", "cell"]
@@ -192,7 +201,7 @@ def near_vectors(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str
         "t1": F.when(F.col("other") < 0, -1).otherwise(F.least("block", "other")), "t2": F.when(F.col("other") < 0, -1).otherwise(F.greatest("block", "other")),
         "mode": F.when(F.col("other") < 0, 0).when(F.col("other") == F.col("block"), 1).otherwise(2),
     })
-    met = tiled.groupBy(*cell, "t1", "t2").applyInPandas(lambda rows: _tile(rows, least), "node bigint, links bigint, root bigint")
+    met = tiled.groupBy(*cell, "t1", "t2").applyInPandas(lambda rows: _tile(rows, least, "float32" if kind == "float" else "float64"), "node bigint, links bigint, root bigint")
     met = cuts.cut(met, "links")
     comps = components(met.where("root <> node").select(F.col("node").alias("a"), F.col("root").alias("b")), cuts)
     found = met.groupBy("node").agg(F.sum("links").alias("links")).join(comps, "node", "left")
