@@ -10,13 +10,17 @@ of all words sum to one; the sum of their logarithms scores the document.
 Counts of words come from the whole corpus, and the vocabulary and with it the trees grow with it. Training is
 data-parallel: each task starts from the shared weights, takes every ``rounds``-th word of all its documents as
 masked examples (the next ones each round, so that all words were masked once in the end), and the tasks' changes
-are averaged by their numbers of examples. Tasks send the rows of weights that they changed, which are summed up
-in slots of ``SLOT_ROWS`` rows, in the order of the tasks, so a rerun over the same partitions gives the same model.
+are averaged by their numbers of examples. Of the choices in a word's tree, each example steps on every other one, at
+random from the first or the second on and with twice the weight. Tasks send the rows of weights that they changed,
+in 8 bits and a scale by row, which are summed up in slots of ``SLOT_ROWS`` rows, in the order of the tasks; so a
+rerun over the same partitions gives the same model.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Iterable, Iterator
+from itertools import chain
 from typing import NamedTuple
 
 import numpy as np
@@ -30,8 +34,10 @@ from tsquorum.llm.common import Cuts, released
 
 #: Words seen as often as this are in the vocabulary.
 LEAST = 5
-CLASSES, WIDTH, HIDDEN, REACH = 128, 16, 16, 2
-ROUNDS, RATE, BATCH = 2, 0.1, 512
+CLASSES, WIDTH, HIDDEN, REACH = 64, 16, 16, 2
+ROUNDS, RATE, BATCH = 2, 0.1, 1024
+#: Different words whose counts a task holds before it sends them.
+HELD_WORDS = 200_000
 #: Rows of weights whose changes one task sums up.
 SLOT_ROWS = 16_384
 EDGE, UNKNOWN, FIRST = 0, 1, 2  # ids of the padding, of words beyond the vocabulary, and of the commonest word
@@ -55,10 +61,24 @@ def _words(text: bytes | None) -> list[bytes]:
 
 
 def word_counts(docs: DataFrame, text_col: str) -> DataFrame:
-    """(word, n) over all documents; words as in ``_words``."""
-    lower = F.translate(F.translate(F.col(text_col), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), "\t\n\x0b\x0c\r", "     ")
-    words = docs.select(F.explode(F.split(lower, " ")).alias("word")).where("word <> ''")
-    return words.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    """(word, n) over all documents; words as in ``_words``, as bytes. Tasks add up their words before they send them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts: Counter[bytes] = Counter()
+
+        def sent() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(list(counts.keys()), pa.binary()), pa.array(list(counts.values()), pa.int64())], ["word", "n"])
+
+        for batch in batches:
+            for text in batch.column(0):
+                counts.update(_words(text.as_py()))
+                if len(counts) > HELD_WORDS:
+                    yield sent()
+                    counts.clear()
+        yield sent()
+
+    texts = docs.select(F.col(text_col).cast("binary").alias("text"))
+    return texts.mapInArrow(released(run), "word binary, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def _hashed(words: list[bytes]) -> np.ndarray:
@@ -72,7 +92,7 @@ def _tallies(counts: DataFrame, least: int) -> tuple[np.ndarray, np.ndarray, int
         letters = np.zeros(257, np.int64)
         rest = 0
         for batch in batches:
-            words, n = [w.encode() for w in batch.column(0).to_pylist()], batch.column(1).to_numpy()
+            words, n = batch.column(0).to_pylist(), batch.column(1).to_numpy()
             letters[:256] += np.bincount(np.frombuffer(b"".join(words), np.uint8), np.repeat(n, [len(w) for w in words]), 256).astype(np.int64)
             letters[256] += n.sum()
             rest += int(n[n < least].sum())
@@ -138,10 +158,10 @@ def vocabulary(counts: DataFrame, least: int = LEAST) -> Model:
     return Model(keys[by_key], (by_key + FIRST).astype(np.int32), seen, of_class, first, sizes, np.log(letters / letters.sum()), weights)
 
 
-def _ids(model: Model, words: list[bytes]) -> np.ndarray:
+def _ids(model: Model, words: Iterable[bytes], n: int) -> np.ndarray:
     if not len(model.keys):
-        return np.full(len(words), UNKNOWN, np.int32)
-    wanted = _hashed(words)
+        return np.full(n, UNKNOWN, np.int32)
+    wanted = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, n)
     at = np.minimum(np.searchsorted(model.keys, wanted), len(model.keys) - 1)
     return np.where(model.keys[at] == wanted, model.ids[at], UNKNOWN).astype(np.int32)
 
@@ -149,20 +169,20 @@ def _ids(model: Model, words: list[bytes]) -> np.ndarray:
 def _encoded(model: Model, texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Ids of all texts in a row, the number of words by text, and the log probability of spelling its unknown words."""
     rows = [_words(text) for text in texts]
-    n = np.array([len(words) for words in rows], np.int64)
-    ids = _ids(model, [w for words in rows for w in words])
-    spelled, at = np.zeros(len(rows)), 0
-    for i, words in enumerate(rows):
-        unknown = np.flatnonzero(ids[at : at + len(words)] == UNKNOWN)
-        at += len(words)
-        if len(unknown):
-            letters = np.frombuffer(b"".join([words[k] for k in unknown]), np.uint8)
-            spelled[i] = model.letters[letters].sum() + len(unknown) * model.letters[256]
+    n = np.fromiter(map(len, rows), np.int64, len(rows))
+    ids, spelled = _ids(model, chain.from_iterable(rows), int(n.sum())), np.zeros(len(rows))
+    unknown = np.flatnonzero(ids == UNKNOWN)
+    if len(unknown):
+        text = np.searchsorted(np.cumsum(n), unknown, side="right")
+        words = [rows[i][k] for i, k in zip(text.tolist(), (unknown - (np.cumsum(n) - n)[text]).tolist(), strict=True)]
+        lengths = np.fromiter(map(len, words), np.int64, len(words))
+        letters = model.letters[np.frombuffer(b"".join(words), np.uint8)]
+        spelled += np.bincount(text, np.add.reduceat(letters, np.cumsum(lengths) - lengths) + model.letters[256], len(rows))
     return ids, n, spelled
 
 
 def encoded(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, ids, spelled) per row: the ids of the words and the log probability of spelling the unknown ones."""
+    """(doc_id, ids, n, spelled) per row: the ids of the words, their number, and the log probability of spelling the unknown ones."""
     shared = docs.sparkSession.sparkContext.broadcast(model._replace(weights=[]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -171,15 +191,16 @@ def encoded(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col:
                 batch = whole.slice(lo, 256)
                 ids, n, spelled = _encoded(shared.value, batch.column(1).to_pylist())
                 lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(n)), pa.int32()), pa.array(ids))
-                yield pa.RecordBatch.from_arrays([batch.column(0), lists, pa.array(spelled)], ["doc_id", "ids", "spelled"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), lists, pa.array(n), pa.array(spelled)], ["doc_id", "ids", "n", "spelled"])
 
     slim = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
-    return slim.mapInArrow(released(run), f"doc_id {slim.schema['doc_id'].dataType.simpleString()}, ids array<int>, spelled double")
+    return slim.mapInArrow(released(run), f"doc_id {slim.schema['doc_id'].dataType.simpleString()}, ids array<int>, n bigint, spelled double")
 
 
-def targets(places: np.ndarray, r: int, rounds: int) -> np.ndarray:
-    """The places masked in round ``r``; over all rounds each place once."""
-    return places[r::rounds]
+def targets(n: np.ndarray, r: int, rounds: int) -> np.ndarray:
+    """Which words of texts with ``n`` words are masked in round ``r``; over all rounds each word once."""
+    at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    return at % rounds == r
 
 
 def _framed(ids: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -197,28 +218,48 @@ def _lists(batch: pa.RecordBatch, size: int = 256) -> Iterator[tuple[int, np.nda
         yield lo, ids, np.diff(lists.offsets.to_numpy())
 
 
-def _choices(model: Model, goal: np.ndarray, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The choices down to the words ``goal``: row of ``goal``, node (as a row of the weights), and right or not."""
+def _choices(model: Model, goal: np.ndarray, classes: np.ndarray, skip: np.ndarray | int = 0, every: int = 1) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The choices down to the words ``goal``, from the last on: row of ``goal``, node (as a row of the weights), and right or not.
+
+    With ``every`` only every such choice of a word, after ``skip`` left out.
+    """
     start = model.first[classes]
     leaf = goal - start + model.sizes[classes]
-    depth = np.frexp(leaf.astype(float))[1] - 1  # exact: leaf < 2 ** 53
+    depth = np.maximum(np.frexp(leaf.astype(float))[1] - 1 - skip + every - 1, 0) // every  # exact: leaf < 2 ** 53
     which = np.repeat(np.arange(len(goal)), depth)
-    up = np.arange(len(which)) - np.repeat(np.cumsum(depth) - depth, depth)
-    child = leaf[which] >> up
+    up = (np.arange(len(which)) - np.repeat(np.cumsum(depth) - depth, depth)) * every
+    child = leaf[which] >> (up if every == 1 else up + skip[which])
     return which, start[which] + (child >> 1), (child & 1).astype(bool)
 
 
+def _aligned(w: np.ndarray) -> np.ndarray:
+    """A float32 copy whose rows begin at multiples of 64 bytes, if they are as long."""
+    room = np.empty(w.size * 4 + 64, np.uint8)
+    at = -room.ctypes.data % 64
+    out = room[at : at + w.size * 4].view(np.float32).reshape(w.shape)
+    out[...] = w
+    return out
+
+
 def _hidden(weights: list[np.ndarray], seen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     flat = weights[0][seen].reshape(len(seen), -1)
     return flat, np.tanh(flat @ weights[3].reshape(-1, HIDDEN) + weights[4])
 
 
-def log_classes(weights: list[np.ndarray], hidden: np.ndarray) -> np.ndarray:
-    """Log probabilities of all classes by row of the hidden layer."""
+def _scores(weights: list[np.ndarray], hidden: np.ndarray) -> np.ndarray:
+    """Scores of all classes by row of the hidden layer, small enough for exp."""
     scores = hidden @ weights[5]
     scores += weights[6]
-    scores -= scores.max(axis=1, keepdims=True)
-    return scores - np.log(np.exp(scores).sum(axis=1, keepdims=True))
+    if np.abs(weights[5]).sum(axis=0).max() + weights[6].max() > 60:  # hidden values are within 1, so else no score is above
+        scores -= scores.max(axis=1, keepdims=True)
+    return scores
+
+
+def _added(rows: np.ndarray, at: np.ndarray, changes: np.ndarray) -> None:
+    """Adds ``changes`` to the rows ``at``, as often as they come; two float32 at a time, as one complex number."""
+    pair = np.complex64 if rows.dtype == np.float32 else np.complex128
+    half = rows.shape[1] // 2
+    np.add.at(rows.reshape(-1).view(pair), (at[:, None] * half + np.arange(half)).ravel(), changes.reshape(-1).view(pair))
 
 
 def log_words(model: Model, row: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -226,11 +267,14 @@ def log_words(model: Model, row: np.ndarray, at: np.ndarray) -> np.ndarray:
     goal = row[at].astype(np.int64)
     classes = model.of_class[goal].astype(np.int64)
     _, h = _hidden(model.weights, row[at[:, None] + _AROUND])
-    out = log_classes(model.weights, h)[np.arange(len(at)), classes].astype(float)
+    scores = _scores(model.weights, h)
+    out = scores[np.arange(len(at)), classes].astype(float)
+    out -= np.log(np.exp(scores, out=scores) @ np.ones(scores.shape[1], scores.dtype))
     which, node, right = _choices(model, goal, classes)
-    odds = np.einsum("ij,ij->i", h[which], model.weights[1][node]) + model.weights[2][node]
-    steps = -np.logaddexp(0, np.where(right, -odds, odds))
-    return out + np.bincount(which, steps, len(at))
+    against = np.einsum("ij,ij->i", h[which], model.weights[1][node]) + model.weights[2][node]
+    np.negative(against, out=against, where=right)
+    steps = np.maximum(against, 0) + np.log1p(np.exp(-np.abs(against)))
+    return out - np.bincount(which, steps, len(at))
 
 
 def _rates(model: Model, rate: float) -> np.ndarray:
@@ -238,128 +282,145 @@ def _rates(model: Model, rate: float) -> np.ndarray:
     return (rate / np.sqrt(1 + len(_AROUND) * BATCH * model.counts / max(1, int(model.counts.sum())))).astype(np.float32)
 
 
-def sgd(model: Model, row: np.ndarray, at: np.ndarray, rate: float, slow: np.ndarray) -> None:
-    """One step per ``BATCH`` of masked places, in place; ``slow`` are the embeddings' rates."""
+def sgd(model: Model, row: np.ndarray, at: np.ndarray, rate: float, slow: np.ndarray, skip: np.ndarray | None = None, used: np.ndarray | None = None) -> None:
+    """One step per ``BATCH`` of masked places, in place; ``slow`` are the embeddings' rates.
+
+    With ``skip`` (0 or 1 by place), a word steps on every other choice only, with twice the weight; ``used`` marks
+    the nodes with steps.
+    """
     embed, nodes, biases, place, bias, out, out_bias = model.weights
+    flat_place, ones = place.reshape(-1, HIDDEN), np.ones(len(out_bias), out.dtype)
     for lo in range(0, len(at), BATCH):
         here = at[lo : lo + BATCH]
         goal = row[here].astype(np.int64)
         classes = model.of_class[goal].astype(np.int64)
         seen = row[here[:, None] + _AROUND]
         flat, h = _hidden(model.weights, seen)
-        scores = h @ out
-        scores += out_bias
-        scores -= scores.max(axis=1, keepdims=True)
+        scores = _scores(model.weights, h)
         np.exp(scores, out=scores)
-        scores /= scores.sum(axis=1, keepdims=True)
+        scores *= (1 / (scores @ ones))[:, None]
         scores[np.arange(len(here)), classes] -= 1
         dh = scores @ out.T
-        which, node, right = _choices(model, goal, classes)
-        inner, hs = nodes[node], h[which]
-        off = 1 / (1 + np.exp(-(np.einsum("ij,ij->i", hs, inner) + biases[node]))) - right
-        off = off.astype(np.float32)
+        which, node, right = _choices(model, goal, classes) if skip is None else _choices(model, goal, classes, skip[lo : lo + BATCH], 2)
         if len(which):
-            some, begins = np.unique(which, return_index=True)
-            dh[some] += np.add.reduceat(inner * off[:, None], begins, axis=0)
+            inner, hs = nodes[node], h[which]
+            off = 1 / (1 + np.exp(-(np.einsum("ij,ij->i", hs, inner) + biases[node]))) - right
+            off = (off if skip is None else 2 * off).astype(h.dtype)
+            begins = np.flatnonzero(np.diff(which, prepend=-1))
+            inner *= off[:, None]
+            dh[which[begins]] += np.add.reduceat(inner, begins, axis=0)
             # Nodes near a root are met by a share of its class's words; classes have about equal mass.
-            step = off * np.float32(-rate / (1 + len(here) / max(1, len(model.first))) ** 0.5)
-            np.add.at(nodes.reshape(-1), (node[:, None] * HIDDEN + np.arange(HIDDEN)).ravel(), (hs * step[:, None]).ravel())
-            np.add.at(biases, node, step)
+            off *= np.float32(-rate / (1 + len(here) / max(1, len(model.first))) ** 0.5)
+            hs *= off[:, None]
+            _added(nodes, node, hs)
+            np.add.at(biases, node, off)
+            if used is not None:
+                used[node] = True
         dh *= 1 - h * h
         whole = np.float32(rate / len(here) ** 0.5 / 4)
-        dx = (dh @ place.reshape(-1, HIDDEN).T).reshape(-1, WIDTH)
+        dx = (dh @ flat_place.T).reshape(-1, WIDTH)
         out -= whole * (h.T @ scores)
         out_bias -= whole * scores.sum(axis=0)
         place -= whole * (flat.T @ dh).reshape(place.shape)
         bias -= whole * dh.sum(axis=0)
         seen = seen.ravel().astype(np.int64)
-        np.add.at(embed.reshape(-1), (seen[:, None] * WIDTH + np.arange(WIDTH)).ravel(), (dx * -slow[seen][:, None]).ravel())
+        dx *= -slow[seen][:, None]
+        _added(embed, seen, dx)
+
+
+_MESSAGE = "slot int, part int, n bigint, " + ", ".join(f"{name} binary" for name in ("rows", "scales", "changes", "node_rows", "node_scales", "node_changes", "biases", "dense"))
+
+
+def _message(slot: int, part: int, n: int, *values: np.ndarray) -> pa.RecordBatch:
+    names = [field.split(" ")[0] for field in _MESSAGE.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array([slot], pa.int32()), pa.array([part], pa.int32()), pa.array([n], pa.int64()), *[pa.array([x.tobytes()], pa.binary()) for x in values]], names)
 
 
-def _message(slot: int, part: int, n: int, rows: np.ndarray, *values: np.ndarray) -> pa.RecordBatch:
-    names = ["slot", "part", "n", "rows", "embed", "nodes", "biases", "dense"]
-    cells = [pa.array([x.tobytes()], pa.binary()) for x in (rows, *values)]
-    return pa.RecordBatch.from_arrays([pa.array([slot], pa.int32()), pa.array([part], pa.int32()), pa.array([n], pa.int64()), *cells], names)
+def _short(changes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A scale by row, and the rows in 8 bits."""
+    scales = (np.abs(changes).max(axis=1, initial=0) / 127 + 1e-7).astype(np.float16)
+    return scales, np.clip(np.rint(changes / scales[:, None]), -127, 127).astype(np.int8)
 
 
-_MESSAGE = "slot int, part int, n bigint, rows binary, embed binary, nodes binary, biases binary, dense binary"
+def _long(scales: bytes, changes: bytes, width: int) -> np.ndarray:
+    return np.frombuffer(changes, np.int8).reshape(-1, width) * np.frombuffer(scales, np.float16)[:, None].astype(float)
 
 
-def _one_round(ids: DataFrame, model: Model, r: int, rounds: int, rate: float) -> Model | None:
-    """The model after a pass over every ``rounds``-th word from the ``r``-th on; None if there is none."""
+def _one_round(ids: DataFrame, model: Model, r: int, rounds: int, rate: float) -> None:
+    """A pass over every ``rounds``-th word from the ``r``-th on; changes the model's weights."""
     spark = ids.sparkSession
+    total = ids.agg(F.sum(F.ceil((F.col("n") - r) / rounds))).first()[0]
+    if not total:
+        return
     small = model._replace(keys=model.keys[:0], ids=model.ids[:0], weights=[w.astype(np.float16) for w in model.weights])
     shared = spark.sparkContext.broadcast(small)
+    del small
     slots = -(-len(model.counts) // SLOT_ROWS)
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value._replace(weights=[w.astype(np.float32) for w in shared.value.weights])
-        touched, n, part = np.zeros(len(m.counts), bool), 0, TaskContext.get().partitionId()
+        m, old = shared.value._replace(weights=[_aligned(w) for w in shared.value.weights]), shared.value.weights
+        seen, used, n, part = np.zeros(len(m.counts), bool), np.zeros(len(m.counts), bool), 0, TaskContext.get().partitionId()
         rng, slow = np.random.default_rng(part), _rates(m, rate)
         for batch in batches:
             for _, values, lengths in _lists(batch):
                 row, places = _framed(values, lengths)
-                at = rng.permutation(targets(places, r, rounds))
-                sgd(m, row, at, rate, slow)
-                touched[row] = True
-                goal = row[at].astype(np.int64)
-                for up in range(1, 64):  # the nodes above the masked words
-                    node = (goal - m.first[m.of_class[goal]] + m.sizes[m.of_class[goal]]) >> up
-                    goal, node = goal[node > 0], node[node > 0]
-                    if not len(goal):
-                        break
-                    touched[m.first[m.of_class[goal]] + node] = True
+                at = places[targets(lengths, r, rounds)]
+                batches_here = -(-len(at) // BATCH) or 1
+                at = np.concatenate([at[i::batches_here] for i in range(batches_here)])  # a batch's words come from all over the texts
+                sgd(m, row, at, rate, slow, rng.integers(0, 2, len(at)), used)
+                seen[row] = True
                 n += len(at)
         if n:
-            gone = [(w - old.astype(np.float32)) for w, old in zip(m.weights, shared.value.weights, strict=True)]
-            rest = np.concatenate([g.ravel() for g in gone[3:]])
-            rows = np.flatnonzero(touched).astype(np.int32)
             for slot in range(slots):
-                own = rows[slice(*np.searchsorted(rows, [slot * SLOT_ROWS, (slot + 1) * SLOT_ROWS]))]
-                if len(own) or slot == 0:
-                    yield _message(slot, part, n, own, *(g[own].astype(np.float16) for g in gone[:3]), rest if slot == 0 else rest[:0])
+                lo, hi = slot * SLOT_ROWS, (slot + 1) * SLOT_ROWS
+                own, inner = np.flatnonzero(seen[lo:hi]), np.flatnonzero(used[lo:hi])
+                if len(own) or len(inner) or slot == 0:
+                    embed, nodes, biases = (w[lo:hi][at] - before[lo:hi][at] for w, before, at in zip(m.weights, old, (own, inner, inner), strict=False))
+                    dense = np.concatenate([(w - before).ravel() for w, before in zip(m.weights[3:], old[3:], strict=True)])
+                    yield _message(slot, part, n, own.astype(np.uint16), *_short(embed), inner.astype(np.uint16), *_short(nodes), biases.astype(np.float16), dense if slot == 0 else dense[:0])
 
     def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        slot, sums, n = None, [], 0
+        slot, sums = None, []
 
         def done() -> pa.RecordBatch:
-            return _message(slot, 0, n, np.zeros(0, np.int32), *(s.astype(np.float32) for s in sums))
+            none = np.zeros(0, np.uint16)
+            embed, nodes, biases, dense = (s.astype(np.float32) for s in sums)
+            return _message(slot, 0, 0, none, none, embed, none, none, nodes, biases, dense)
 
         for batch in batches:
             for message in batch.to_pylist():
                 if message["slot"] != slot:
                     if slot is not None:
                         yield done()
-                    slot, n = message["slot"], 0
+                    slot = message["slot"]
                     sums = [np.zeros((SLOT_ROWS, WIDTH)), np.zeros((SLOT_ROWS, HIDDEN)), np.zeros(SLOT_ROWS), np.zeros(len(message["dense"]) // 4)]
-                rows = np.frombuffer(message["rows"], np.int32) - slot * SLOT_ROWS
-                for total, name in zip(sums[:3], ("embed", "nodes", "biases"), strict=True):
-                    total[rows] += np.frombuffer(message[name], np.float16).astype(float).reshape(-1, *total.shape[1:]) * message["n"]
-                sums[3] += np.frombuffer(message["dense"], np.float32).astype(float) * message["n"]
-                n += message["n"]
+                share = message["n"] / total
+                sums[0][np.frombuffer(message["rows"], np.uint16)] += _long(message["scales"], message["changes"], WIDTH) * share
+                inner = np.frombuffer(message["node_rows"], np.uint16)
+                sums[1][inner] += _long(message["node_scales"], message["node_changes"], HIDDEN) * share
+                sums[2][inner] += np.frombuffer(message["biases"], np.float16) * share
+                sums[3] += np.frombuffer(message["dense"], np.float32) * share
         if slot is not None:
             yield done()
 
     made = ids.select("ids").mapInArrow(released(local), _MESSAGE).repartition("slot").sortWithinPartitions("slot", "part")
-    weights, total = [w.copy() for w in model.weights], None
-    for part in sorted(made.mapInArrow(released(added), _MESSAGE).toLocalIterator(), key=lambda p: p["slot"]):  # as many bytes as the weights
-        total = total or part["n"]  # slot 0 has a message of every task
+    for part in made.mapInArrow(released(added), _MESSAGE).toLocalIterator():  # a row per slot, as many bytes as the weights
         lo = part["slot"] * SLOT_ROWS
-        for w, name in zip(weights[:3], ("embed", "nodes", "biases"), strict=True):
-            w[lo : lo + SLOT_ROWS] += (np.frombuffer(part[name], np.float32).reshape(-1, *w.shape[1:]) / total)[: len(w) - lo]
+        for w, name in zip(model.weights, ("changes", "node_changes", "biases"), strict=False):
+            w[lo : lo + SLOT_ROWS] += np.frombuffer(part[name], np.float32).reshape(-1, *w.shape[1:])[: len(w) - lo]
         if part["dense"]:
-            rest, at = np.frombuffer(part["dense"], np.float32) / total, 0
-            for w in weights[3:]:
-                w += rest[at : at + w.size].reshape(w.shape).astype(np.float32)
+            rest, at = np.frombuffer(part["dense"], np.float32), 0
+            for w in model.weights[3:]:
+                w += rest[at : at + w.size].reshape(w.shape)
                 at += w.size
     shared.unpersist()
-    return model._replace(weights=weights) if total else None
 
 
 def fit(ids: DataFrame, model: Model, *, rounds: int = ROUNDS, rate: float = RATE) -> Model:
     """The model after ``rounds`` passes over ``ids`` (see ``encoded``), in which every word is masked once."""
+    model = model._replace(weights=[w.copy() for w in model.weights])
     for r in range(rounds):
-        model = _one_round(ids, model, r, rounds, rate) or model
+        _one_round(ids, model, r, rounds, rate)
     return model
 
 
@@ -379,7 +440,7 @@ def train(docs: DataFrame, *, text_col: str = "text", rounds: int = ROUNDS, rate
 
 def _log_likelihoods(model: Model, ids: np.ndarray, n: np.ndarray, spelled: np.ndarray) -> np.ndarray:
     row, places = _framed(ids, n)
-    logs = np.concatenate([log_words(model, row, places[lo : lo + 8192]) for lo in range(0, len(places), 8192)] or [np.zeros(0)])
+    logs = np.concatenate([log_words(model, row, places[lo : lo + 2048]) for lo in range(0, len(places), 2048)] or [np.zeros(0)])
     return np.bincount(np.repeat(np.arange(len(n)), n), logs, len(n)) + spelled
 
 
