@@ -223,3 +223,75 @@ def test_least_cuts():
     regions = np.array([0] * 4 + [1] * 10 + [2] * 4)
     b, e = generation.least_cuts(regions, 8)
     assert regions[b] == regions[e - 1] == 1
+
+
+def test_strength_laws():
+    """Mean and variance of each transform's beta law, away from one half."""
+    want = {"extremum": (2, 2), "compress": (1, 1), "stretch": (1, 1), "noise": (3, 1), "smoothing": (1, 1), "hmirror": (1e10, 1), "vmirror": (1e10, 1), "scale": (0.5, 0.5), "pattern": (1, 1)}
+    for kind, law in want.items():
+        rng = np.random.default_rng(5)
+        drawn = np.array([injection.sample_strength(kind, rng) for _ in range(4000)])
+        fair = np.random.default_rng(6).beta(*law, 40_000)
+        fair = fair[np.abs(fair - 0.5) >= 0.05]
+        assert abs(drawn.mean() - fair.mean()) < 0.02 and abs(drawn.var() - fair.var()) < 0.01, kind
+
+
+def plain_range_auc(label, score, buffer):
+    """Threshold by threshold."""
+    n, half = len(label), buffer // 2
+    soft = label.astype(float)
+    ranges = metrics._ranges(label)
+    for b, e in ranges:
+        for at in [*range(max(0, b - half), b), *range(e, min(n, e + half))]:
+            soft[at] = max(soft[at], max(0.0, 1 - (b - at if at < b else at - e + 1) / max(buffer, 1)) ** 0.5)
+    positive, curve = (label.sum() + soft.sum()) / 2, [(0.0, 0.0, 1.0)]
+    for th in np.sort(score)[::-1][np.unique(np.linspace(0, n - 1, 250).astype(int))]:
+        found = score >= th
+        tp, seen = (soft * found).sum(), np.mean([found[max(0, b - half) : e + half].any() for b, e in ranges])
+        curve.append((min(tp / positive, 1) * seen, min(max((found.sum() - tp) / (n - positive), 0), 1), tp / found.sum()))
+    roc = sum((f1 - f0) * (t1 + t0) / 2 for (t0, f0, _), (t1, f1, _) in zip(curve, [*curve[1:], (1.0, 1.0, 0.0)], strict=True))
+    return roc, sum((t1 - t0) * p for (t0, _, _), (t1, _, p) in zip(curve, curve[1:], strict=False))
+
+
+def test_range_areas_equal_a_plain_version():
+    rng = np.random.default_rng(3)
+    for _ in range(20):
+        label, score = np.zeros(200, bool), np.round(rng.random(200), rng.integers(1, 4))
+        for b in rng.integers(0, 190, 3):
+            label[b : b + 8] = True
+        for buffer in (0, 1, 7, 30):
+            assert metrics.range_auc(label, score, buffer) == pytest.approx(plain_range_auc(label, score, buffer), abs=1e-9)
+    assert metrics.volumes(label, score, 10) == pytest.approx(np.mean([metrics.range_auc(label, score, b) for b in range(11)], axis=0))
+
+
+def test_logarithms_fall_back_to_linear(spark):
+    df = spark.createDataFrame([(1, "a", 0, 1.0), (1, "a", 1, 4.0), (1, "b", 0, 0.0), (1, "b", 1, 4.0)], "s int, instance string, t int, score double")
+    got = {(r["instance"], r["t"]): r["score"] for r in scores.regularized(df, ["s"], "inverse-log").collect()}
+    assert got == {("a", 0): pytest.approx(np.log(4)), ("a", 1): 0, ("b", 0): 4, ("b", 1): 0}
+
+
+def test_too_many_candidates_are_an_error(spark, monkeypatch):
+    monkeypatch.setattr(selection, "MOST_CANDIDATES", 2)
+    ranking = spark.createDataFrame([(f"i{k}", k) for k in range(3)], "instance string, rank int")
+    with pytest.raises(ValueError, match="candidates"):
+        selection._listed(ranking)
+
+
+def test_profile_distances_equal_a_plain_version():
+    rng = np.random.default_rng(8)
+    x, width = rng.normal(size=60), 9
+    half, share = 4, 0.05
+    part = lambda at: (x[at : at + half] - x[at : at + half].mean()) / x[at : at + half].std()
+    got = generation.profile_distances(x, 18, width)
+    for at in range(len(x) - width + 1):
+        ours, other = [part(18 + i) for i in range(width - half + 1)], [part(at + i) for i in range(width - half + 1)]
+        near = sorted([min(np.linalg.norm(a - b) for b in other) for a in ours] + [min(np.linalg.norm(a - b) for b in ours) for a in other])
+        assert got[at] == pytest.approx(near[int(np.ceil(share * 2 * width)) - 1], abs=1e-6)
+
+
+def test_regimes_are_found(spark):
+    t = np.arange(600)
+    x = np.where(t < 300, np.sin(2 * np.pi * t / 24), (t % 24) / 12 - 1.0)
+    df = spark.createDataFrame([(1, int(i), float(v), 24) for i, v in zip(t, x, strict=True)], "s int, t bigint, value double, period int")
+    found = generation.regimes(generation.regime_kernel(df, ["s"], "period", 2), ["s"], 24).collect()
+    assert any(r["b"] < 50 and 230 < r["e"] < 320 for r in found) and any(270 < r["b"] < 330 and r["e"] > 500 for r in found)

@@ -35,13 +35,35 @@ def choose_k(areas: DataFrame, by: list[str], tiny: float = 1e-6, least_change:
     return agg.select(*by, F.when(F.col("_min") < tiny, F.col("_argmin")).when(F.coalesce("_max", F.lit(0.0)) < least_change, F.lit(1)).otherwise(F.col("_argmax")).cast("long").alias("k"))
 
 
+def _running_min(rows: np.ndarray, k: int) -> np.ndarray:
+    """The least of each ``k`` neighbours in each row, from running minima of blocks of ``k``."""
+    n = rows.shape[1]
+    blocks = np.pad(rows, ((0, 0), (0, -n % k)), constant_values=np.inf).reshape(len(rows), -1, k)
+    ahead = np.minimum.accumulate(blocks, axis=2).reshape(len(rows), -1)[:, :n]
+    back = np.minimum.accumulate(blocks[:, :, ::-1], axis=2)[:, :, ::-1].reshape(len(rows), -1)[:, :n]
+    return np.minimum(back[:, : n - k + 1], ahead[:, k - 1 :])
+
+
+def profile_distances(x: np.ndarray, start: int, width: int, share: float = 0.05) -> np.ndarray:
+    """Matrix profile distance of the stretch at ``start`` to every stretch of ``width``: alike parts count wherever they are.
+
+    Both stretches are cut into all parts of half the width, z-normalized; of the distances of each part to the
+    nearest one of the other stretch, the value at the place ``share`` * 2 * width from below counts.
+    """
+    half = max(2, width // 2)
+    w = np.lib.stride_tricks.sliding_window_view(x, half).astype(float)
+    z = (w - w.mean(axis=1, keepdims=True)) / np.maximum(w.std(axis=1, keepdims=True), 1e-12)
+    parts, norm = width - half + 1, (z**2).sum(axis=1)
+    d = np.sqrt(np.maximum(norm[start : start + parts, None] + norm - 2 * z[start : start + parts] @ z.T, 0))
+    near = np.concatenate([_running_min(d, parts).T, np.lib.stride_tricks.sliding_window_view(d.min(axis=0), parts)], axis=1)
+    place = min(2 * parts, max(1, int(np.ceil(share * 2 * width)))) - 1
+    return np.partition(near, place, axis=1)[:, place]
+
+
 def snippet_profiles(x: np.ndarray, width: int, k: int) -> tuple[list[int], np.ndarray]:
     """Greedy snippets: non-overlapping subsequences whose distance profiles cover the series best; their profiles."""
-    n = len(x)
-    starts = list(range(0, n - width + 1, width))
-    w = np.lib.stride_tricks.sliding_window_view(x, width).astype(float)
-    z = (w - w.mean(axis=1, keepdims=True)) / np.maximum(w.std(axis=1, keepdims=True), 1e-12)
-    profiles = np.stack([np.sqrt(((z - z[s]) ** 2).sum(axis=1)) for s in starts])
+    starts = list(range(0, len(x) - width + 1, width))
+    profiles = np.stack([profile_distances(x, s, width) for s in starts])
     best, chosen = np.full(profiles.shape[1], np.inf), []
     for _ in range(min(k, len(starts))):
         area = np.minimum(profiles, best).sum(axis=1)

@@ -97,14 +97,14 @@ def _pattern(x, s, rng, span):
 #: The letters of anomaly types in annotation codes, and the beta laws of their strengths.
 TRANSFORMS: dict[str, Transform] = {
     "extremum": Transform("E", (2.0, 2.0), _outlier),
-    "compress": Transform("C", (2.0, 2.0), lambda x, s, rng, span: _all(_resize(x, int(len(x) * (0.25 + (1 - s) * 0.5))))),
-    "stretch": Transform("S", (2.0, 2.0), lambda x, s, rng, span: _all(_resize(x, int(len(x) * (1.25 + 0.75 * s))))),
-    "noise": Transform("N", (2.0, 2.0), lambda x, s, rng, span: _all(x + rng.normal(0, (0.02 + 0.23 * s) * max(x.std(), 1e-12), len(x)))),
-    "smoothing": Transform("M", (2.0, 2.0), lambda x, s, rng, span: _all(np.convolve(x, gaussian_kernel(len(x), s), "same"))),
-    "hmirror": Transform("H", (2.0, 2.0), lambda x, s, rng, span: _all(2 * x.mean() - x)),
-    "vmirror": Transform("V", (2.0, 2.0), lambda x, s, rng, span: _all(x[::-1].copy())),
-    "scale": Transform("A", (2.0, 2.0), lambda x, s, rng, span: _all(x * (0.25 + 2 * s))),
-    "pattern": Transform("P", (2.0, 2.0), _pattern),
+    "compress": Transform("C", (1.0, 1.0), lambda x, s, rng, span: _all(_resize(x, int(len(x) * (0.25 + (1 - s) * 0.5))))),
+    "stretch": Transform("S", (1.0, 1.0), lambda x, s, rng, span: _all(_resize(x, int(len(x) * (1.25 + 0.75 * s))))),
+    "noise": Transform("N", (3.0, 1.0), lambda x, s, rng, span: _all(x + rng.normal(0, (0.02 + 0.23 * s) * max(x.std(), 1e-12), len(x)))),
+    "smoothing": Transform("M", (1.0, 1.0), lambda x, s, rng, span: _all(np.convolve(x, gaussian_kernel(len(x), s), "same"))),
+    "hmirror": Transform("H", (1e10, 1.0), lambda x, s, rng, span: _all(2 * x.mean() - x)),
+    "vmirror": Transform("V", (1e10, 1.0), lambda x, s, rng, span: _all(x[::-1].copy())),
+    "scale": Transform("A", (0.5, 0.5), lambda x, s, rng, span: _all(x * (0.25 + 2 * s))),
+    "pattern": Transform("P", (1.0, 1.0), _pattern),
 }
 
 

@@ -143,25 +143,23 @@ def range_auc(label: np.ndarray, score: np.ndarray, buffer: int = 100, steps: in
     positive = (label.sum() + soft.sum()) / 2
     if not ranges or positive >= n:
         return float("nan"), float("nan")
-    order = np.sort(score)[::-1]
-    tpr, fpr, precision = [0.0], [0.0], [1.0]
-    for th in order[np.unique(np.linspace(0, n - 1, steps).astype(int))]:
-        found = score >= th
-        tp = float((soft * found).sum())
-        seen = sum(found[max(0, b - half) : min(n, e + half)].any() for b, e in ranges) / len(ranges)
-        fp = float(found.sum() - tp)
-        tpr.append(min(tp / positive, 1.0) * seen)
-        fpr.append(min(max(fp / (n - positive), 0.0), 1.0))
-        precision.append(tp / max(1, found.sum()))
-    tpr.append(1.0), fpr.append(1.0)
-    t, f, p = np.array(tpr), np.array(fpr), np.array(precision)
+    order = np.argsort(-score, kind="stable")
+    rank = -score[order]
+    th = rank[np.unique(np.linspace(0, n - 1, steps).astype(int))]
+    count = np.searchsorted(rank, th, side="right")  # points that score as high as each threshold
+    tp = np.append(0.0, np.cumsum(soft[order]))[count]
+    tops = np.array([score[max(0, b - half) : min(n, e + half)].max() for b, e in ranges])
+    seen = (tops[None, :] >= -th[:, None]).mean(axis=1)
+    t = np.concatenate([[0.0], np.minimum(tp / positive, 1.0) * seen, [1.0]])
+    f = np.concatenate([[0.0], np.clip((count - tp) / (n - positive), 0.0, 1.0), [1.0]])
+    p = np.append(1.0, tp / np.maximum(1, count))
     roc = float(((f[1:] - f[:-1]) * (t[1:] + t[:-1]) / 2).sum())
     pr = float(((t[1:-1] - t[:-2]) * p[1:]).sum())
     return roc, pr
 
 
-def volumes(label: np.ndarray, score: np.ndarray, most: int = 100, step: int = 20) -> tuple[float, float]:
-    """Mean range areas over buffers from 0 to ``most``: volumes under the ROC and PR surfaces."""
+def volumes(label: np.ndarray, score: np.ndarray, most: int = 100, step: int = 1) -> tuple[float, float]:
+    """Mean range areas over all buffers from 0 to ``most``: volumes under the ROC and PR surfaces."""
     areas = np.array([range_auc(label, score, b) for b in range(0, most + 1, step)])
     return tuple(np.nan_to_num(areas.mean(axis=0)))
 

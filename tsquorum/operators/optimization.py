@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from tsquorum.functions.scalar import binned_map, canonical_params
 from tsquorum.operators.detectors import DETECTORS, execute
+from tsquorum.operators.metrics import METRICS
 
 #: The states of a search.
 STATUSES = ("active", "max_trials", "max_quality", "terminated", "algo_pruned", "dataset_pruned", "error")
@@ -122,12 +123,15 @@ def proposals(algorithm: str, n: int, seed: int) -> list[dict]:
     return out
 
 
-def run_trials(series: DataFrame, jobs: DataFrame, by: list[str]) -> DataFrame:
-    """(by.., algorithm, params_json, quality, duration): each distinct setting is run once per series; quality is the
-    ROC area; detectors that fail give 0."""
+def run_trials(series: DataFrame, jobs: DataFrame, by: list[str], metric: str = "RangePrAUC") -> DataFrame:
+    """(by.., algorithm, params_json, quality, duration): each distinct setting is run once per series; quality is a
+    metric of ``METRICS`` on the scores; scores that aren't finite, and series without both labels, give 0."""
     import json
     import time
 
+    measure, continuous = METRICS[metric]
+    if not continuous:
+        raise ValueError(f"{metric} takes predictions, not scores")
     spread = series.select(*by, "t", "value", "is_anomaly").join(jobs.select(*by, "algorithm", "params_json").distinct(), by)
 
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
@@ -135,9 +139,7 @@ def run_trials(series: DataFrame, jobs: DataFrame, by: list[str]) -> DataFrame:
         algorithm, params = key[-2], json.loads(key[-1])
         begin = time.monotonic()
         score, y = execute(rows["value"].to_numpy(float), algorithm, params), rows["is_anomaly"].to_numpy(bool)
-        rank = pd.Series(score).rank().to_numpy()
-        pos, neg = int(y.sum()), int((~y).sum())
-        quality = float((rank[y].sum() - pos * (pos + 1) / 2) / (pos * neg)) if pos and neg and np.isfinite(score).all() else 0.0
+        quality = float(np.nan_to_num(measure(y, score))) if y.any() and not y.all() and np.isfinite(score).all() else 0.0
         return pd.DataFrame([{**dict(zip(by, key, strict=False)), "algorithm": algorithm, "params_json": key[-1], "quality": quality, "duration": time.monotonic() - begin}])
 
     keys = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in series.select(*by).schema)

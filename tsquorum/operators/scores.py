@@ -43,12 +43,16 @@ def gaussian_inverse(probability: Column, mean: Column, std: Column) -> Column:
 
 
 def regularized(scores: DataFrame, by: list[str], mode: str, value: str = "score") -> DataFrame:
-    """``inverse-log``, ``inverse-linear`` or ``regular`` (distance above the median)."""
+    """``inverse-log``, ``inverse-linear`` or ``regular`` (distance above the median).
+
+    Instances with a score that isn't above 0 have no logarithm and are inverted linearly.
+    """
     w = Window.partitionBy(*by, "instance")
     x = F.col(value)
+    linear = F.max(x).over(w) - x
     new = {
-        "inverse-log": -F.log(x / F.max(x).over(w)),
-        "inverse-linear": F.max(x).over(w) - x,
+        "inverse-log": F.when(F.min(x).over(w) > 0, -F.log(x / F.max(x).over(w))).otherwise(linear),
+        "inverse-linear": linear,
         "regular": F.greatest(x - F.median(x).over(w), F.lit(0.0)),
     }[mode]
     return scores.withColumn(value, new)

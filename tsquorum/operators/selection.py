@@ -152,7 +152,10 @@ def k_medoids(m: Matrix, k: int, seed: int = 1, rounds: int = 100) -> list[str]:
 
 
 def _listed(ranking: DataFrame) -> list[str]:
-    return [r["instance"] for r in ranking.orderBy("rank").limit(MOST_CANDIDATES).collect()]
+    rows = ranking.orderBy("rank").limit(MOST_CANDIDATES + 1).collect()
+    if len(rows) > MOST_CANDIDATES:
+        raise ValueError(f"more than {MOST_CANDIDATES} candidates")
+    return [r["instance"] for r in rows]
 
 
 #: The rankings that rank aggregation goes over.

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tsquorum.functions import scalar
 from tsquorum.operators import distances, metrics, ranks, scores, selection, slices, views as windows
 from tsquorum.plans import views as v
+from tsquorum.plans import registry
 from tsquorum.plans.registry import query
 
 S = v.SERIES
@@ -223,9 +224,14 @@ def n2_gaussian(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scores.gaussian(v.user_scores(spark, sf_dir), S).select(*S, "instance", "t", F.round("score", 5).alias("score"))
 
 
-@query(f"""{SC} SELECT series_id, instance, t, round(greatest(score - median(score) OVER (PARTITION BY series_id, instance), 0), 7) AS score FROM scores""")
+@query(f"""{SC}, m AS (SELECT *, median(score) OVER w AS mid, min(score) OVER w AS lo, max(score) OVER w AS hi FROM (SELECT series_id, instance, t, score + (series_id % 2) AS score FROM scores) WINDOW w AS (PARTITION BY series_id, instance))
+SELECT 'regular' AS mode, series_id, instance, t, round(greatest(score - mid, 0), 7) AS score FROM m UNION ALL SELECT 'inverse-linear', series_id, instance, t, round(hi - score, 7) FROM m
+UNION ALL SELECT 'inverse-log', series_id, instance, t, round(CASE WHEN lo > 0 THEN -ln(CASE WHEN lo > 0 THEN score / hi ELSE 1 END) ELSE hi - score END, 7) FROM m""")
 def n2b_regularized(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scores.regularized(v.user_scores(spark, sf_dir), S, "regular").select(*S, "instance", "t", F.round("score", 7).alias("score"))
+    """All modes; scores of every other series are raised by 1, so that some have logarithms."""
+    s = v.user_scores(spark, sf_dir).withColumn("score", F.col("score") + F.col("series_id") % 2)
+    parts = [scores.regularized(s, S, mode).select(F.lit(mode).alias("mode"), *S, "instance", "t", (F.round("score", 7) + 0.0).alias("score")) for mode in ("regular", "inverse-linear", "inverse-log")]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
 @query(f"""{SC} SELECT series_id, instance, round(avg(score) + 2 * stddev_pop(score), 6) AS threshold FROM scores GROUP BY 1, 2""")
@@ -368,22 +374,13 @@ def n2c_gaussian_inverse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.select(*S, "instance", "t", R6(back).alias("back"))
 
 
-@query()
-def e7_precision_at_k(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Predictions at each instance's top-k-ranges threshold, joined by or, against the labelled ranges."""
-    s = v.user_scores(spark, sf_dir)
-    th = k10_top_k_ranges(spark, sf_dir)
-    flagged = s.join(th, [*S, "instance"]).withColumn("predicted", F.col("score") >= F.col("threshold"))
-    points = flagged.groupBy(*S, "t").agg(F.bool_or("predicted").alias("predicted"), F.bool_or("is_anomaly").alias("is_anomaly"))
-    return metrics.hit_percentage(points, S, 2).withColumn("hit_percentage", R6(F.col("hit_percentage")))
-
-
-@query()
+@query(f"""SELECT r.*, p.pr_auc, c.accuracy, c.precision, c.recall, c.f1 FROM ({registry.ORACLES["e11_roc_auc"]}) r LEFT JOIN ({registry.ORACLES["e11_pr_auc"]}) p USING (series_id, instance) JOIN ({registry.ORACLES["e9_confusion"]}) c USING (series_id, instance)""")
 def e13_individual_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     """ROC and PR areas and the confusion of every instance on its own, two-deviation predictions."""
     p = _predicted(spark, sf_dir)
     keys = [*S, "instance"]
-    return metrics.roc_auc(p, keys).join(metrics.pr_auc(p, keys), keys, "left").join(metrics.confusion(p, keys), keys)
+    every = metrics.roc_auc(p, keys).join(metrics.pr_auc(p, keys), keys, "left").join(metrics.confusion(p, keys), keys).withColumnRenamed("f_beta", "f1")
+    return every.select(*keys, *[R6(F.col(c)).alias(c) for c in ("roc_auc", "pr_auc", "accuracy", "precision", "recall", "f1")])
 
 
 @query()
@@ -391,12 +388,15 @@ def e11_range_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.range_metrics(_predicted(spark, sf_dir), [*S, "instance"])
 
 
-@query(f"""{SC},\n{ISLANDS}, k AS (SELECT series_id, count(*) AS k FROM islands GROUP BY 1),
+TOP_RANGES = """k AS (SELECT series_id, count(*) AS k FROM islands GROUP BY 1),
 pr AS (SELECT *, lag(score) OVER (PARTITION BY series_id, instance ORDER BY t) AS prev FROM scores),
 st AS (SELECT series_id, instance, score AS th, 1 AS d FROM pr UNION ALL SELECT series_id, instance, least(score, prev), -1 FROM pr WHERE prev IS NOT NULL),
 per AS (SELECT series_id, instance, th, sum(d) AS d FROM st GROUP BY 1, 2, 3),
-run AS (SELECT *, sum(d) OVER (PARTITION BY series_id, instance ORDER BY th DESC ROWS UNBOUNDED PRECEDING) AS n FROM per)
-SELECT series_id, instance, coalesce(max(CASE WHEN n >= k THEN th END), min(th)) AS threshold FROM run JOIN k USING (series_id) GROUP BY 1, 2""")
+run AS (SELECT *, sum(d) OVER (PARTITION BY series_id, instance ORDER BY th DESC ROWS UNBOUNDED PRECEDING) AS n FROM per),
+k10 AS (SELECT series_id, instance, coalesce(max(CASE WHEN n >= k THEN th END), min(th)) AS threshold FROM run JOIN k USING (series_id) GROUP BY 1, 2)"""
+
+
+@query(f"{SC},\n{ISLANDS}, {TOP_RANGES} SELECT * FROM k10")
 def k10_top_k_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = _islands(spark, sf_dir).groupBy(*S).agg(F.count(F.lit(1)).alias("k"))
     s = v.user_scores(spark, sf_dir)
@@ -404,6 +404,18 @@ def k10_top_k_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scores.top_k_ranges(s, [*S, "instance"], per_instance)
 
 
+@query(f"""{SC},\n{ISLANDS}, {TOP_RANGES}, any_p AS (SELECT series_id, t, bool_or(score >= threshold) AS p FROM scores JOIN k10 USING (series_id, instance) GROUP BY 1, 2),
+hit AS (SELECT i.series_id, i.b, bool_or(a.p) AS h FROM islands i LEFT JOIN any_p a ON a.series_id = i.series_id AND a.p AND a.t >= greatest(i.b - 2, 0) AND a.t < i.e + 2 GROUP BY 1, 2)
+SELECT series_id, round(avg(CASE WHEN h THEN 1.0 ELSE 0.0 END), 6) AS hit_percentage FROM hit GROUP BY 1""")
+def e7_precision_at_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predictions at each instance's top-k-ranges threshold, joined by or, against the labelled ranges."""
+    s = v.user_scores(spark, sf_dir)
+    th = k10_top_k_ranges(spark, sf_dir)
+    flagged = s.join(th, [*S, "instance"]).withColumn("predicted", F.col("score") >= F.col("threshold"))
+    points = flagged.groupBy(*S, "t").agg(F.bool_or("predicted").alias("predicted"), F.bool_or("is_anomaly").alias("is_anomaly"))
+    return metrics.hit_percentage(points, S, 2).withColumn("hit_percentage", R6(F.col("hit_percentage")))
+
+
 # ---- distances and selection
 
 
@@ -567,7 +579,12 @@ def r8_average_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranks.average_distance(_votes(spark, sf_dir), G).withColumn("reliability", F.round("reliability", 5))
 
 
-@query()
+@query(f"""{VOTES},\n{VD}, rel AS (SELECT g, voter, 1 / (1e-6 + sum(distance)::DOUBLE / (count(*) + 1)) AS r FROM vd GROUP BY 1, 2),
+gaps AS (SELECT *, lead(r) OVER w - r AS gap, row_number() OVER w AS n FROM rel WINDOW w AS (PARTITION BY g ORDER BY r, voter)),
+split AS (SELECT g, n AS s FROM (SELECT *, row_number() OVER (PARTITION BY g ORDER BY gap DESC, n) AS k FROM gaps WHERE gap IS NOT NULL) WHERE k = 1),
+sided AS (SELECT gaps.*, n > coalesce(s, 0) AS high FROM gaps LEFT JOIN split USING (g)),
+sums AS (SELECT g, sum(CASE WHEN high THEN r ELSE 0 END) AS up, sum(CASE WHEN high THEN 0 ELSE r END) AS down FROM sided GROUP BY 1)
+SELECT g, voter FROM sided JOIN sums USING (g) WHERE high = (up >= down)""")
 def r9_trimmed_voters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranks.trimmed_voters(ranks.average_distance(_votes(spark, sf_dir), G), G)
 
