@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-from functools import reduce
+from collections.abc import Callable, Iterable
+from functools import lru_cache, reduce
 
 import numpy as np
 import pandas as pd
@@ -130,37 +130,51 @@ def range_precision_recall(label: np.ndarray, predicted: np.ndarray, alpha: floa
     return side(found, real, 0.0), side(real, found, alpha)
 
 
-def range_auc(label: np.ndarray, score: np.ndarray, buffer: int = 100, steps: int = 250) -> tuple[float, float]:
-    """(ROC, PR) areas for labels that fade out over ``buffer`` / 2 points on either side (square root slopes), with
-    recall scaled by the share of ranges found, as in volume-under-the-surface evaluation."""
-    n, half = len(label), buffer // 2
-    soft = label.astype(float)
-    ranges = _ranges(label > 0)
+def _range_areas(label: np.ndarray, score: np.ndarray, buffers: Iterable[int], steps: int) -> np.ndarray:
+    """(ROC, PR) areas by buffer; see ``range_auc``."""
+    n, ranges, positives = len(label), _ranges(label > 0), float(label.sum())
+    at = np.arange(n)
+    away = np.full(n, n)  # points to the nearest range
     for b, e in ranges:
-        for at in (np.arange(max(0, b - half), b), np.arange(e, min(n, e + half))):
-            away = np.where(at < b, b - at, at - e + 1)
-            soft[at] = np.maximum(soft[at], np.sqrt(np.maximum(0, 1 - away / max(buffer, 1))))
-    positive = (label.sum() + soft.sum()) / 2
-    if not ranges or positive >= n:
-        return float("nan"), float("nan")
+        away = np.minimum(away, np.maximum(0, np.maximum(b - at, at - e + 1)))
     order = np.argsort(-score, kind="stable")
-    rank = -score[order]
+    rank, away_sorted = -score[order], away[order]
     th = rank[np.unique(np.linspace(0, n - 1, steps).astype(int))]
     count = np.searchsorted(rank, th, side="right")  # points that score as high as each threshold
-    tp = np.append(0.0, np.cumsum(soft[order]))[count]
-    tops = np.array([score[max(0, b - half) : min(n, e + half)].max() for b, e in ranges])
-    seen = (tops[None, :] >= -th[:, None]).mean(axis=1)
-    t = np.concatenate([[0.0], np.minimum(tp / positive, 1.0) * seen, [1.0]])
-    f = np.concatenate([[0.0], np.clip((count - tp) / (n - positive), 0.0, 1.0), [1.0]])
-    p = np.append(1.0, tp / np.maximum(1, count))
-    roc = float(((f[1:] - f[:-1]) * (t[1:] + t[:-1]) / 2).sum())
-    pr = float(((t[1:-1] - t[:-2]) * p[1:]).sum())
-    return roc, pr
+    areas = []
+    for buffer in buffers:
+        half = buffer // 2
+        soft = np.where(away_sorted <= half, np.sqrt(np.maximum(0, 1 - away_sorted / max(buffer, 1))), away_sorted == 0)
+        positive = (positives + soft.sum()) / 2
+        if not ranges or positive >= n:
+            areas.append((float("nan"), float("nan")))
+            continue
+        tp = np.append(0.0, np.cumsum(soft))[count]
+        tops = np.array([score[max(0, b - half) : e + half].max() for b, e in ranges])
+        seen = (tops[None, :] >= -th[:, None]).mean(axis=1)
+        t = np.concatenate([[0.0], np.minimum(tp / positive, 1.0) * seen, [1.0]])
+        f = np.concatenate([[0.0], np.clip((count - tp) / (n - positive), 0.0, 1.0), [1.0]])
+        p = np.append(1.0, tp / np.maximum(1, count))
+        areas.append((((f[1:] - f[:-1]) * (t[1:] + t[:-1]) / 2).sum(), ((t[1:-1] - t[:-2]) * p[1:]).sum()))
+    return np.array(areas)
+
+
+def range_auc(label: np.ndarray, score: np.ndarray, buffer: int = 100, steps: int = 250) -> tuple[float, float]:
+    """(ROC, PR) areas for labels that fade out over ``buffer`` / 2 points on either side (square root slopes), with
+    recall scaled by the share of ranges found, as in volume-under-the-surface evaluation."""
+    roc, pr = _range_areas(label, score, [buffer], steps)[0]
+    return float(roc), float(pr)
 
 
 def volumes(label: np.ndarray, score: np.ndarray, most: int = 100, step: int = 1) -> tuple[float, float]:
     """Mean range areas over all buffers from 0 to ``most``: volumes under the ROC and PR surfaces."""
-    areas = np.array([range_auc(label, score, b) for b in range(0, most + 1, step)])
+    return _volumes(label.tobytes(), label.dtype.str, score.tobytes(), score.dtype.str, most, step)
+
+
+@lru_cache(maxsize=1)
+def _volumes(label: bytes, kind: str, score: bytes, score_kind: str, most: int, step: int) -> tuple[float, float]:
+    """One volume's metric follows the other on the same series, so the last areas are kept."""
+    areas = _range_areas(np.frombuffer(label, kind), np.frombuffer(score, score_kind), range(0, most + 1, step), 250)
     return tuple(np.nan_to_num(areas.mean(axis=0)))
 
 
