@@ -360,7 +360,9 @@ def _linked(slim: DataFrame, cuts: Cuts) -> tuple[DataFrame, DataFrame, DataFram
     classes = usable.groupBy("print").agg(
         F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "h")).alias("first"), F.first("n_shingles").alias("n_shingles"), F.first("sig").alias("sig"), F.first("sketch").alias("sketch"),
     )
-    classes = cuts.cut(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
+    # Nodes are numbered in the order of their first ids, so a group of copies links up with its oldest text first.
+    ordered = classes.repartitionByRange("first").sortWithinPartitions("first")
+    classes = cuts.cut(ordered.withColumn("node", F.monotonically_increasing_id()), "classes")
     nodes = classes.select("node", "n_shingles", "sig", "sketch")
     width = 4 * DEPTH
     trees = nodes.select(F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree"), "node", "sig", "sketch").select(
