@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -116,6 +118,16 @@ def test_kemeny_on_capitals():
     sums = {a: sum(wins[a, b] for b in towns if b != a) for a in towns}
     assert sums == {"Memphis": 126, "Nashville": 194, "Knoxville": 107, "Chattanooga": 173}
     assert ranks.kemeny_exact(wins, towns) == ["Nashville", "Chattanooga", "Knoxville", "Memphis"]
+    rng = np.random.default_rng(3)
+    for n in (1, 2, 5, 6):
+        items = [f"i{k}" for k in range(n)]
+        weight = {(a, b): int(rng.integers(0, 4)) for a in items for b in items if a != b}
+        score = lambda o: sum(weight[a, b] for a, b in itertools.combinations(o, 2))  # noqa: E731, B023
+        assert ranks.kemeny_exact(weight, items[::-1]) == list(max(itertools.permutations(items), key=score))
+    many = [f"i{k:02d}" for k in range(12)]
+    assert ranks.kemeny_exact({(a, b): 1 for a, b in itertools.combinations(many, 2)}, many[::-1]) == many
+    with pytest.raises(ValueError, match="at most 16"):
+        ranks.kemeny_exact({}, [str(k) for k in range(17)])
 
 
 def test_perfect_and_random_scores(spark):

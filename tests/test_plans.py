@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tsquorum.plans import config, pipeline, reports
 from tsquorum.sources import files, synthetic
-from tsquorum.sources.store import Store
+from tsquorum.sources.store import Store, from_jdbc, to_jdbc
 from tsquorum.streaming import sigma
 
 
@@ -52,6 +52,38 @@ def test_store(spark, tmp_path):
     assert store["experiment"].count() == 1 and store["scoring"].count() == 0 and store["execution"].count() == 1
 
 
+def test_store_survives_a_broken_replacement(spark, tmp_path):
+    store = Store(spark, str(tmp_path))
+    row = spark.createDataFrame([(1, "a"), (2, "b")], "id bigint, name string")
+    store.append("experiment", row)
+    (tmp_path / "experiment").rename(tmp_path / ".experiment.old")  # as after a crash between the two renames
+    assert store["experiment"].count() == 2 and store.next_id("experiment") == 3
+    store.append("experiment", spark.createDataFrame([(3, "c")], "id bigint, name string"))
+    assert store["experiment"].count() == 3 and not (tmp_path / ".experiment.old").exists()
+    store.delete_experiment(2)
+    store.delete_experiment(2)
+    assert sorted(r["id"] for r in store["experiment"].collect()) == [1, 3] and not (tmp_path / ".experiment.old").exists()
+
+
+def test_database_round_trip(spark, tmp_path):
+    url, driver = f"jdbc:derby:{tmp_path}/db;create=true", {"driver": "org.apache.derby.jdbc.EmbeddedDriver"}
+    rows = spark.range(20).select("id", F.when(F.col("id") < 99, F.concat(F.lit("n"), "id")).alias("name"), (F.col("id") / 2).alias("x"))
+    to_jdbc(rows, url, "t", **driver)
+    to_jdbc(spark.createDataFrame([(20, None, None)], "id bigint, name string, x double"), url, "t", **driver)
+    got = from_jdbc(spark, url, "t", column="id", bounds=(0, 20), partitions=4, **driver)
+    assert got.rdd.getNumPartitions() == 4 and got.count() == 21
+    assert sorted(tuple(r) for r in got.where("id < 20").collect()) == sorted(tuple(r) for r in rows.collect())
+    assert got.where("name is null").count() == 1
+
+
+def test_final_order(spark):
+    from tsquorum.operators import optimization
+
+    c = spark.createDataFrame([("s", "b", "{}", 0, None), ("s", "a", "{}", 0, 0.2), ("s", "c", "{}", 2, 0.1), ("s", "c", "{1}", 2, 0.5), ("r", "a", "{}", 1, 0.3)], "series_id string, algorithm string, params_json string, no_datasets bigint, mean_train_quality double")
+    got = optimization.final_order(c, ["series_id"]).where("series_id = 's'").orderBy("position").collect()
+    assert [(r["algorithm"], r["params_json"], r["position"]) for r in got] == [("c", "{1}", 0), ("c", "{}", 1), ("a", "{}", 2), ("b", "{}", 3)]
+
+
 def test_config():
     c = config.load({"general": {"max_instances": 3}}, {"TSQUORUM__CLEANING__VOTES": "0.5", "HOME": "x"})
     assert c.general.max_instances == 3 and c.cleaning.votes == 0.5

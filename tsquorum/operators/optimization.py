@@ -100,6 +100,12 @@ def consolidated(trials: DataFrame, epsilon: float = 0.02, threshold: float = 0.
     return sets.join(covered, ["algorithm", "params_id"], "left_anti")
 
 
+def final_order(candidates: DataFrame, by: list[str]) -> DataFrame:
+    """Adds ``position`` from 0: settings best on most series first, then by mean quality, then by name."""
+    order = Window.partitionBy(*by).orderBy(F.col("no_datasets").desc(), F.col("mean_train_quality").desc(), "algorithm", "params_json")
+    return candidates.withColumn("position", (F.row_number().over(order) - 1).cast("long"))
+
+
 def resolve_proxies(state: DataFrame, results: DataFrame, deviation: float = 0.05) -> DataFrame:
     """Datasets pruned in favour of a proxy take the proxy's result where it is at most ``deviation`` worse."""
     joined = state.join(results.select("algorithm", "dataset", F.col("quality").alias("_q")), ["algorithm", "dataset"], "left")

@@ -53,7 +53,7 @@ def training_series(base: DataFrame, periods: DataFrame, config: Config) -> Data
 
 
 def search(train: DataFrame, config: Config) -> DataFrame:
-    """(series_id, algorithm, params_json, no_datasets, mean_train_quality, mean_train_runtime): candidates per series.
+    """(series_id, algorithm, params_json, no_datasets, mean_train_quality, mean_train_runtime, position): candidates per series.
 
     Each round runs a share of the proposals on all training series that still want trials, then prunes the worst
     algorithm per training series. Settings best on some training series, and the defaults, become candidates.
@@ -80,7 +80,7 @@ def search(train: DataFrame, config: Config) -> DataFrame:
     every = won.unionByName(names.select(*S).distinct().crossJoin(F.broadcast(defaults)).withColumn("no_datasets", F.lit(0).cast("long")))
     proxy = trials.groupBy(*S, "algorithm", "params_json").agg(F.avg("quality").alias("mean_train_quality"), F.avg("duration").alias("mean_train_runtime"))
     merged = every.groupBy(*S, "algorithm", "params_json").agg(F.max("no_datasets").alias("no_datasets"))
-    return merged.join(proxy, [*S, "algorithm", "params_json"], "left")
+    return optimization.final_order(merged.join(proxy, [*S, "algorithm", "params_json"], "left"), S)
 
 
 def _jobs(spark: SparkSession, settings: dict[str, dict]) -> DataFrame:

@@ -1,6 +1,8 @@
 """The result store: thirteen tables as Parquet folders, registered as views; imports, baselines, deletes.
 
-Any JDBC database with the same tables can be read by ``from_jdbc``.
+Any JDBC database with the same tables can be read by ``from_jdbc`` and written by ``to_jdbc``. One writer at a time:
+ids are the largest one plus one. Readers may come at any time; a table that is being replaced is read from its old
+folder.
 """
 
 from __future__ import annotations
@@ -18,15 +20,21 @@ class Store:
     def __init__(self, spark: SparkSession, path: str) -> None:
         self.spark, self.path = spark, path.rstrip("/")
 
-    def _exists(self, name: str) -> bool:
+    def _folder(self, name: str):
+        """File system and path of a folder of the store."""
         target = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
-        return target.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(target)
+        return target.getFileSystem(self.spark._jsc.hadoopConfiguration()), target
+
+    def _exists(self, name: str) -> bool:
+        system, target = self._folder(name)
+        return system.exists(target)
 
     def __getitem__(self, name: str) -> DataFrame:
         schema = schemas.STORE[name]
-        if not self._exists(name):
-            return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).parquet(f"{self.path}/{name}")
+        for folder in (name, f".{name}.old"):
+            if self._exists(folder):
+                return self.spark.read.schema(schema).parquet(f"{self.path}/{folder}")
+        return self.spark.createDataFrame([], schema)
 
     def append(self, name: str, rows: DataFrame) -> None:
         """Adds rows; columns are cast to the schema, missing ones are null. Big tables are laid out by series."""
@@ -36,6 +44,7 @@ class Store:
         key = {"timeseries": "dataset_id", "scoring": "algorithm_scoring_id"}.get(name)
         if key:
             out = out.repartition(key).sortWithinPartitions(key, "time")
+        self._restore(name)
         out.write.mode("append").parquet(f"{self.path}/{name}")
 
     def register(self, prefix: str = "") -> None:
@@ -96,7 +105,7 @@ class Store:
         self.append("baseline_execution", new.withColumn("id", F.row_number().over(Window.partitionBy().orderBy("dataset_id", "name")) + base))
 
     def delete_experiment(self, experiment: int) -> None:
-        """Rewrites the tables that hold the experiment's rows, dependants first."""
+        """Rewrites the tables that hold the experiment's rows, dependants first; after a crash, it can be run again."""
         scorings = self["algorithm_scoring"].where(F.col("experiment_id") == experiment).select(F.col("id").alias("algorithm_scoring_id"))
         rankings = self["algorithm_ranking"].where(F.col("experiment_id") == experiment).select(F.col("id").alias("ranking_id"))
         keep = {
@@ -110,19 +119,44 @@ class Store:
         for name, rows in keep.items():
             self._replace(name, rows)
 
+    def _restore(self, name: str) -> None:
+        """Takes the old folder back where a replacement broke off with the table away."""
+        system, target = self._folder(name)
+        aside = self._folder(f".{name}.old")[1]
+        if not system.exists(target) and system.exists(aside):
+            system.rename(aside, target)
+
     def _replace(self, name: str, rows: DataFrame) -> None:
-        new = f"{self.path}/.{name}.new"
-        rows.write.mode("overwrite").parquet(new)
-        path, conf = self.spark._jvm.org.apache.hadoop.fs.Path, self.spark._jsc.hadoopConfiguration()
-        old = path(f"{self.path}/{name}")
-        system = old.getFileSystem(conf)
-        system.delete(old, True)
-        system.rename(path(new), old)
-
-
-def from_jdbc(spark: SparkSession, url: str, table: str, **options: str) -> DataFrame:
-    """A table of a database, filters and columns pushed down."""
-    return spark.read.format("jdbc").option("url", url).option("dbtable", table).options(**options).load()
+        """Writes ``rows`` beside the table, moves the table aside, and the rows into its place; no step loses both."""
+        self._restore(name)
+        rows.write.mode("overwrite").parquet(f"{self.path}/.{name}.new")
+        system, target = self._folder(name)
+        new, aside = self._folder(f".{name}.new")[1], self._folder(f".{name}.old")[1]
+        system.delete(aside, True)
+        if system.exists(target) and not system.rename(target, aside):
+            raise OSError(f"cannot move {target} aside")
+        if not system.rename(new, target):
+            self._restore(name)
+            raise OSError(f"cannot move {new} into place")
+        system.delete(aside, True)
+
+
+def from_jdbc(spark: SparkSession, url: str, table: str, column: str | None = None, bounds: tuple | None = None, partitions: int = 1, **options: str) -> DataFrame:
+    """A table of a database, filters and columns pushed down.
+
+    With a numeric or time ``column`` and its ``bounds``, ``partitions`` tasks read a range each; rows beyond the bounds
+    or with a null there are read, too.
+    """
+    reader = spark.read.format("jdbc").option("url", url).option("dbtable", table).options(**options)
+    if column is not None:
+        low, high = bounds
+        reader = reader.options(partitionColumn=column, lowerBound=low, upperBound=high, numPartitions=partitions)
+    return reader.load()
+
+
+def to_jdbc(rows: DataFrame, url: str, table: str, mode: str = "append", isolation: str = "SERIALIZABLE", **options: str) -> None:
+    """Writes rows to a table of a database, a transaction per partition at the given isolation level."""
+    rows.write.format("jdbc").option("url", url).option("dbtable", table).option("isolationLevel", isolation).options(**options).mode(mode).save()
 
 
 def external_baselines(results: DataFrame, datasets: DataFrame, metric: str) -> dict[str, DataFrame]:
