@@ -251,6 +251,13 @@ def o11_with_defaults(spark: SparkSession, sf_dir: str) -> DataFrame:
     return optimization.with_defaults(_instances(spark, sf_dir), defaults).select("algorithm", F.col("params")["window"].alias("window"), "no_datasets")
 
 
+@query(f"{STATE_SQL}, {WON}, {INSTANCES}, m AS (SELECT algorithm, w, round(avg(quality), 9) AS mean FROM tr GROUP BY 1, 2) SELECT algorithm, w AS window, no_datasets, row_number() OVER (PARTITION BY algorithm ORDER BY no_datasets DESC, mean DESC, w) - 1 AS position FROM inst JOIN m USING (algorithm, w)")
+def o13_final_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mean = _trials(spark, sf_dir).groupBy("algorithm", F.col("params")["window"].alias("window")).agg(F.round(F.avg("quality"), 9).alias("mean_train_quality"))
+    found = _instances(spark, sf_dir).select("algorithm", F.col("params")["window"].alias("window"), "no_datasets").join(mean, ["algorithm", "window"])
+    return optimization.final_order(found.withColumn("params_json", F.col("window").cast("string")), ["algorithm"]).select("algorithm", "window", "no_datasets", "position")
+
+
 @query()
 def o8_consolidated(spark: SparkSession, sf_dir: str) -> DataFrame:
     return optimization.consolidated(_trials(spark, sf_dir)).select("algorithm", "params_id", F.size("datasets").cast("long").alias("n"))

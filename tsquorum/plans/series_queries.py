@@ -178,6 +178,15 @@ def v4_reverse_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return windows.reverse_intervals(scored, _pts(spark, sf_dir), S).withColumn("score", R6(F.col("score")))
 
 
+@query(f"WITH {v.SERIES_SQL} SELECT series_id, t, ntile(4) OVER w AS quarter, lag(value) OVER w AS before, lead(value) OVER w AS after, first_value(value) OVER whole AS first, last_value(value) OVER whole AS last FROM ts WINDOW w AS (PARTITION BY series_id ORDER BY t), whole AS (PARTITION BY series_id ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)")
+def w12_window_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    order = Window.partitionBy("series_id").orderBy("t")
+    whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    return v.series(spark, sf_dir).select(
+        "series_id", "t", F.ntile(4).over(order).cast("long").alias("quarter"), F.lag("value").over(order).alias("before"), F.lead("value").over(order).alias("after"),
+        F.first("value").over(whole).alias("first"), F.last("value").over(whole).alias("last"))
+
+
 @query(f"""{TS}, e AS (SELECT series_id, t, abs(value - coalesce(lag(value) OVER (PARTITION BY series_id ORDER BY t), value)) AS error FROM ts),
 s AS (SELECT series_id, t, avg(error) OVER p AS pm, stddev_pop(error) OVER p AS ps, avg(error) OVER f AS fm FROM e
   WINDOW p AS (PARTITION BY series_id ORDER BY t ROWS BETWEEN 29 PRECEDING AND 1 PRECEDING), f AS (PARTITION BY series_id ORDER BY t ROWS BETWEEN CURRENT ROW AND 4 FOLLOWING))
