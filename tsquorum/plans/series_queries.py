@@ -634,3 +634,9 @@ def r15_inverse_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = ranks.inverse_ranking(_few(spark, sf_dir), G).withColumn("points", R6(F.col("points")))
     behind = F.count(F.lit(1)).over(Window.partitionBy("g").orderBy(F.col("points").desc()).rangeBetween(Window.unboundedPreceding, 0))
     return found.select("g", "item", "points", behind.alias("rank"))
+
+
+@query(f"{VOTES} SELECT g, voter, item, round(exp(-(rank + 1) / 10.0), 9) AS phi, round((rank + 1) / 10.0, 9)::DOUBLE AS theta FROM votes")
+def r17_dispersion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    phi = _votes(spark, sf_dir).select("g", "voter", "item", ranks.theta_to_phi((F.col("rank") + 1) / F.lit(10.0)).alias("phi"))
+    return phi.select("g", "voter", "item", F.round("phi", 9).alias("phi"), F.round(ranks.phi_to_theta(F.col("phi")), 9).alias("theta"))
