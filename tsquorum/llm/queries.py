@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tsquorum.llm import html, lm, mixing, neardup, packing, pii, quality, sharding, vectors, warc
+from tsquorum.llm import html, lm, mixing, neardup, packing, pii, quality, sharding, tokenfile, vectors, warc
 from tsquorum.llm.common import Cuts
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -17,10 +17,10 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def tokenizer_path() -> str:
+def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     import public_tokenizers
 
-    return public_tokenizers.path("word_bpe_49k.json")
+    return public_tokenizers.path(name)
 
 
 def op1_html(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -79,5 +79,11 @@ def op10_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.near_vectors(read(spark, sf_dir, "embeddings"))
 
 
+def op13_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder, files = tokenfile.write_token_files(read(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
+    pieces = Cuts(spark).cut(tokenfile.read_pieces(spark, folder, files), "pieces")
+    return tokenfile.documents_of(pieces, files)
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_html, op2_mix, op3_shard, op4_pack, op5_neardup, op6_likelihood, op7_pii, op8_warc, op9_quality, op10_vectors)}
+    return {f.__name__: f for f in (op1_html, op2_mix, op3_shard, op4_pack, op5_neardup, op6_likelihood, op7_pii, op8_warc, op9_quality, op10_vectors, op13_tokens)}
