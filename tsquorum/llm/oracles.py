@@ -23,6 +23,16 @@ SELECT doc_id, size, source_size, target, taken FROM c JOIN b ON c.source IS NOT
 """
 
 
+NEGATIVES = r"""
+WITH v AS (SELECT row_number() OVER () AS uid, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label::BIGINT + 1) % 10 ELSE label::BIGINT END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.uid, a.vec_id AS anchor_id, o.uid AS other, o.vec_id AS id, o.label = a.label AS same, list_dot_product(a.e, o.e)::BIGINT AS score FROM v a JOIN v o ON a.vec_id % 100 = 0 AND len(a.e) = len(o.e) AND a.uid <> o.uid),
+p AS (SELECT uid, anchor_id, id AS positive_id, score AS positive_score, row_number() OVER (PARTITION BY uid ORDER BY score DESC, id) AS place FROM s WHERE same QUALIFY place <= 5)
+SELECT anchor_id, positive_id, row_number() OVER (PARTITION BY p.uid, place ORDER BY s.score DESC, s.id)::INTEGER AS rank, s.id AS negative_id, positive_score, s.score AS negative_score
+FROM p JOIN s USING (uid, anchor_id) WHERE NOT same AND 30 * positive_score <= 100 * s.score AND 100 * s.score <= 90 * positive_score QUALIFY rank <= 10
+"""
+
+
 def _quality() -> str:
     """The rules' table as rows, and the binomial tail by logarithms of the gamma function."""
     grid = ", ".join(f"('{rule}', {i}, {cut})" for rule, _, cuts in quality.RULES for i, cut in enumerate(cuts))
@@ -50,4 +60,4 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_mix": MIX.strip(), "op9_quality": _quality().strip()}
+    return {"op2_mix": MIX.strip(), "op9_quality": _quality().strip(), "op12_negatives": NEGATIVES.strip()}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tsquorum.llm import html, lm, mixing, neardup, packing, pii, quality, sharding, tokenfile, vectors, warc
+from tsquorum.llm import html, lm, mixing, neardup, negatives, packing, pii, quality, sharding, tokenfile, vectors, warc
 from tsquorum.llm.common import Cuts
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -79,6 +79,12 @@ def op10_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.near_vectors(read(spark, sf_dir, "embeddings"))
 
 
+def op12_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    shifted = F.when(F.col("vec_id") % 7 == 0, (F.col("label").cast("bigint") + 1) % 10).otherwise(F.col("label").cast("bigint"))
+    vectors = read(spark, sf_dir, "embeddings").select("vec_id", "embedding", shifted.alias("label"))
+    return negatives.mine_negatives(vectors, F.col("vec_id") % 100 == 0)
+
+
 def op13_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder, files = tokenfile.write_token_files(read(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
     pieces = Cuts(spark).cut(tokenfile.read_pieces(spark, folder, files), "pieces")
@@ -86,4 +92,4 @@ def op13_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_html, op2_mix, op3_shard, op4_pack, op5_neardup, op6_likelihood, op7_pii, op8_warc, op9_quality, op10_vectors, op13_tokens)}
+    return {f.__name__: f for f in (op1_html, op2_mix, op3_shard, op4_pack, op5_neardup, op6_likelihood, op7_pii, op8_warc, op9_quality, op10_vectors, op12_negatives, op13_tokens)}

@@ -20,6 +20,7 @@ import re
 import struct
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -40,7 +41,7 @@ BLOCK, LANES, INTERVAL = 1 << 20, 1024, 256
 #: Ids of a file, about; there are at least as many files as shuffle partitions.
 FILE_IDS = 1 << 26
 #: Words whose ids a worker remembers; bounds its memory.
-CACHED_WORDS = 400_000
+CACHED_WORDS = 800_000
 
 LOW = 1 << 31
 MAGIC, TABLE = b"TOKRANS1", "<8sIII"
@@ -101,11 +102,14 @@ class ByteTokenizer:
         Words that begin or end with what may be white space have None.
         """
         known, letters, tokenize = self.known, self.letters, self.plain.model.tokenize
+        blank = letters[32]
         others: dict[str, list[str]] = {" ": [], "": []}
         for w in words:
             lead = w[:1] if w[:1] in ("\n", "\x01") else ""
-            if _SIMPLE.match(w):
-                known[w] = struct.pack(f"<{len(found := tokenize((' ' + w).encode().decode('latin-1').translate(letters)))}I", *[t.id for t in found])
+            if w.isascii() and w.isalpha():
+                known[w] = array("I", [t.id for t in tokenize(blank + w)]).tobytes()
+            elif _SIMPLE.match(w):
+                known[w] = array("I", [t.id for t in tokenize(blank + w.encode().decode("latin-1").translate(letters))]).tobytes()
             elif _SOLID.match(w, len(lead)):
                 others["" if lead else " "].append(w)
             else:
