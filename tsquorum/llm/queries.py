@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tsquorum.llm import html, lm, mixing, neardup, negatives, packing, pii, quality, sharding, tokenfile, vectors, warc
+from tsquorum.llm import html, lm, mixing, neardup, negatives, packing, pii, quality, runs, sharding, tokenfile, vectors, warc
 from tsquorum.llm.common import Cuts
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -79,6 +80,27 @@ def op10_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.near_vectors(read(spark, sf_dir, "embeddings"))
 
 
+def rehearsed(doc_id: int | None, words: list[bytes]) -> list[bytes]:
+    """The query's words: in documents that a checksum of their id picks, those from some place on repeat with some period."""
+    h = zlib.crc32(str(doc_id).encode()) if doc_id is not None else 1  # without an id, as they are
+    if h % 10 or not words:
+        return words
+    g, n = h // 10, len(words)
+    a = g % n
+    p = 1 + (n - a) // (3 + g % 8)
+    return words[:a] + (words[a : a + p] * -(-(n - a) // p))[: n - a]
+
+
+def op11_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = runs.find_runs(read(spark, sf_dir, "documents"), prepare=rehearsed)
+    listed = F.array_join(F.transform("runs", lambda r: F.concat_ws(",", r["start"].cast("string"), r["length"].cast("string"), r["period"].cast("string"))), "\n")
+    best = found.withColumn("best", runs.strongest(F.col("runs"))).withColumn("listed", F.when(F.size("runs") > 0, F.concat(listed, F.lit("\n"))).otherwise(F.lit("")))
+    return best.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period", F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+        F.sha2("listed", 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 def op12_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     shifted = F.when(F.col("vec_id") % 7 == 0, (F.col("label").cast("bigint") + 1) % 10).otherwise(F.col("label").cast("bigint"))
     vectors = read(spark, sf_dir, "embeddings").select("vec_id", "embedding", shifted.alias("label"))
@@ -92,4 +114,4 @@ def op13_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_html, op2_mix, op3_shard, op4_pack, op5_neardup, op6_likelihood, op7_pii, op8_warc, op9_quality, op10_vectors, op12_negatives, op13_tokens)}
+    return {f.__name__: f for f in (op1_html, op2_mix, op3_shard, op4_pack, op5_neardup, op6_likelihood, op7_pii, op8_warc, op9_quality, op10_vectors, op11_runs, op12_negatives, op13_tokens)}
