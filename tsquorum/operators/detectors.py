@@ -16,6 +16,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 SEED = 42
+#: Points of the shortest series that is scored.
+LEAST_POINTS = 4
 
 
 def windows(x: np.ndarray, width: int) -> np.ndarray:
@@ -338,29 +340,32 @@ def register(name: str, detector: Detector) -> None:
     DETECTORS[name] = detector
 
 
-def execute(values: np.ndarray, algorithm: str, params: dict, regions: np.ndarray | None = None, seed: int = SEED) -> np.ndarray:
+def execute(values: np.ndarray, algorithm: str | Detector, params: dict, regions: np.ndarray | None = None, seed: int = SEED) -> np.ndarray:
     """Scores of one series. With ``regions`` (a number per point) windows don't cross from one region to another;
-    regions too short to be scored take the least score. Failures give NaN scores, so that the instance drops out."""
-    detector = DETECTORS[algorithm]
+    regions too short to be scored take the least score.
+
+    A series with fewer than ``LEAST_POINTS`` points, or with values that aren't finite, has NaN scores, so that the instance drops out;
+    whatever else goes wrong is an error. Workers don't know of detectors registered on the driver: hand over the detector itself there.
+    """
+    detector = DETECTORS[algorithm] if isinstance(algorithm, str) else algorithm
     params = detector.defaults | {k: v for k, v in params.items() if k in detector.defaults}
     values = np.asarray(values, float)
 
     def one(x: np.ndarray) -> np.ndarray:
         return np.asarray(detector.run(x, dict(params), np.random.default_rng(seed)), float)
 
-    try:
-        if regions is None or len(np.unique(regions)) < 2:
-            return one(values)
-        out = np.full(len(values), np.nan)
-        need = max((int(v) for k, v in params.items() if k.endswith("window_size")), default=4)
-        for r in np.unique(regions):
-            at = regions == r
-            if at.sum() >= need:
-                out[at] = one(values[at])
-        good = np.isfinite(out)
-        return np.where(good, out, min(0.0, out[good].min()) if detector.view == "separated" and good.any() else (out[good].min() if good.any() else np.nan))
-    except (ValueError, FloatingPointError, np.linalg.LinAlgError, IndexError):
+    if len(values) < LEAST_POINTS or not np.isfinite(values).all():
         return np.full(len(values), np.nan)
+    if regions is None or len(np.unique(regions)) < 2:
+        return one(values)
+    out = np.full(len(values), np.nan)
+    need = max((int(v) for k, v in params.items() if k.endswith("window_size")), default=LEAST_POINTS)
+    for r in np.unique(regions):
+        at = regions == r
+        if at.sum() >= max(need, LEAST_POINTS):
+            out[at] = one(values[at])
+    good = np.isfinite(out)
+    return np.where(good, out, min(0.0, out[good].min()) if detector.view == "separated" and good.any() else (out[good].min() if good.any() else np.nan))
 
 
 def run_detectors(points: DataFrame, jobs: DataFrame, by: list[str], region: str | None = None, seed: int = SEED) -> DataFrame:
@@ -374,7 +379,7 @@ def run_detectors(points: DataFrame, jobs: DataFrame, by: list[str], region: str
     listed = [r.asDict() for r in jobs.select("instance", "algorithm", "params_json").collect()]  # tens of detector settings
     column = F.array(*[F.lit(j["instance"]) for j in listed])
     spread = points.select(*by, "t", "value", (F.col(region) if region else F.lit(0)).cast("long").alias("_region"), F.explode(column).alias("instance"))
-    settings = {j["instance"]: (j["algorithm"], json.loads(j["params_json"] or "{}")) for j in listed}
+    settings = {j["instance"]: (DETECTORS[j["algorithm"]], json.loads(j["params_json"] or "{}")) for j in listed}
 
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("t")

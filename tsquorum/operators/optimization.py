@@ -138,13 +138,15 @@ def run_trials(series: DataFrame, jobs: DataFrame, by: list[str], metric: str =
     measure, continuous = METRICS[metric]
     if not continuous:
         raise ValueError(f"{metric} takes predictions, not scores")
+    registered = dict(DETECTORS)  # with what was registered here, which workers don't know of
     spread = series.select(*by, "t", "value", "is_anomaly").join(jobs.select(*by, "algorithm", "params_json").distinct(), by)
 
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("t")
         algorithm, params = key[-2], json.loads(key[-1])
+        detector = registered[algorithm]
         begin = time.monotonic()
-        score, y = execute(rows["value"].to_numpy(float), algorithm, params), rows["is_anomaly"].to_numpy(bool)
+        score, y = execute(rows["value"].to_numpy(float), detector, params), rows["is_anomaly"].to_numpy(bool)
         quality = float(np.nan_to_num(measure(y, score))) if y.any() and not y.all() and np.isfinite(score).all() else 0.0
         return pd.DataFrame([{**dict(zip(by, key, strict=False)), "algorithm": algorithm, "params_json": key[-1], "quality": quality, "duration": time.monotonic() - begin}])
 

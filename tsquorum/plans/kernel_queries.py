@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tsquorum.functions import scalar
-from tsquorum.operators import detectors, generation, injection, optimization, selective
+from tsquorum.operators import detectors, generation, injection, optimization, selective, studies
 from tsquorum.plans import views as v
 from tsquorum.plans.registry import query
 from tsquorum.plans.series_queries import SC, S, TS
@@ -281,6 +281,35 @@ def o1_trials(spark: SparkSession, sf_dir: str) -> DataFrame:
     return optimization.run_trials(v.series(spark, sf_dir), jobs.select(*S, "j.*"), S).drop("duration")
 
 
+def _cluster_trials(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The qualities of the table's series as trials of k-means, by dataset, numbered in the order of the series."""
+    q = v.quality(spark, sf_dir).where("instance = 'zscore'").select((F.col("series_id") % 5).alias("dataset"), F.lit("kmeans").alias("algorithm"), "series_id", "quality")
+    params = F.to_json(F.struct((F.col("series_id") % 49 + 2).alias("n_clusters"), (F.col("series_id") % 90 + 10).alias("window_size")))
+    number = F.row_number().over(Window.partitionBy("dataset").orderBy("series_id")) - 1
+    return q.select("dataset", "algorithm", number.cast("long").alias("number"), params.alias("params_json"), "quality")
+
+
+@query()
+def o2_next_trials(spark: SparkSession, sf_dir: str) -> DataFrame:
+    trials = _cluster_trials(spark, sf_dir)
+    asked = studies.next_trials(trials.select("dataset", "algorithm").distinct(), trials, ["dataset"], 4, startup=4)
+    return asked.select("dataset", "algorithm", "number", F.get_json_object("params_json", "$.window_size").cast("long").alias("window_size"), F.get_json_object("params_json", "$.n_clusters").cast("long").alias("n_clusters"))
+
+
+@query()
+def o3_study_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two rounds of studies of two detectors on the hourly series, with its period's and the known settings first."""
+    series = v.hourly(spark, sf_dir)
+    wanted = series.select(*S).distinct().select(*S, F.explode(F.array(F.lit("dwt_mlead"), F.lit("kmeans"))).alias("algorithm"), F.lit(24).alias("period"))
+    log = studies.TrialLog(spark, studies.scratch(spark, "trials"))
+    return studies.run_studies(series, wanted, S, log, 2, 4, startup=2).select(*S, "algorithm", "round", "number", "params_json", R6(F.col("quality")).alias("quality"))
+
+
+@query()
+def o6_regret_bound(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return studies.remaining_improvement(_cluster_trials(spark, sf_dir), ["dataset"], 5).withColumn("bound", R6(F.col("bound")))
+
+
 # ---- selective ensembles
 
 

@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tsquorum.operators import detectors, generation, injection, metrics, optimization, scores, selection, slices
+from tsquorum.operators import detectors, generation, injection, metrics, optimization, scores, selection, slices, studies
 from tsquorum.plans.config import Config
 
 S = ["series_id"]
@@ -52,28 +52,19 @@ def training_series(base: DataFrame, periods: DataFrame, config: Config) -> Data
     return made.select(*S, F.concat_ws("-", F.col("series_id").cast("string"), "anomaly_type", F.col("length").cast("string")).alias("dataset"), F.col("series_id").alias("base"), "anomaly_type", "length", "t", "value", "is_anomaly")
 
 
-def search(train: DataFrame, config: Config) -> DataFrame:
+def search(train: DataFrame, config: Config, folder: str | None = None) -> DataFrame:
     """(series_id, algorithm, params_json, no_datasets, mean_train_quality, mean_train_runtime, position): candidates per series.
 
-    Each round runs a share of the proposals on all training series that still want trials, then prunes the worst
-    algorithm per training series. Settings best on some training series, and the defaults, become candidates.
+    A study per algorithm and training series; each round runs some trials of every open one, asked for from those before, then
+    studies stop and the worst algorithm of each training series is pruned. Trials are kept in ``folder``, from which a
+    search that broke off resumes. Settings best on some training series, and the defaults, become candidates.
     """
     o, spark = config.optimization, train.sparkSession
     keys = [*S, "dataset"]
     names = train.select(*keys).distinct()
-    per_round = max(1, o.max_trials // o.rounds)
-    trials, state = None, None
-    for r in range(o.rounds):
-        rows = [(a, json.dumps(p, sort_keys=True)) for a in config.general.algorithms for p in optimization.proposals(a, per_round * o.rounds, config.general.seed)[r * per_round : (r + 1) * per_round + (r == 0) * 2]]
-        wanted = names.crossJoin(F.broadcast(spark.createDataFrame(rows, "algorithm string, params_json string")))  # tens of settings each
-        if state is not None:
-            closed = state.where("status <> 'active'").select(F.col("dataset"), "algorithm")
-            wanted = wanted.join(closed, ["dataset", "algorithm"], "left_anti")
-        done = optimization.run_trials(train, wanted, keys).persist()
-        trials = done if trials is None else trials.unionByName(done)
-        per = trials.groupBy("algorithm", "dataset").agg(F.count(F.lit(1)).alias("n_completed"), F.max("quality").alias("best_score"), F.count_if(F.col("quality") >= o.quality).alias("_good"))
-        status = F.when(F.col("_good") >= o.enough, "max_quality").otherwise("active")
-        state = optimization.prune_worst(per.select("algorithm", "dataset", status.alias("status"), "n_completed", F.lit(o.max_trials).cast("long").alias("n_desired"), "best_score"))
+    wanted = names.withColumn("algorithm", F.explode(F.array(*[F.lit(a) for a in config.general.algorithms])))
+    log = studies.TrialLog(spark, folder or studies.scratch(spark, "trials"))
+    trials = studies.run_studies(train, wanted, keys, log, o.rounds, max(2, -(-o.max_trials // o.rounds)), seed=config.general.seed, max_trials=o.max_trials, quality=o.quality, enough=o.enough, startup=min(studies.STARTUP, max(2, o.max_trials // 4)))
     order = Window.partitionBy(*keys).orderBy(F.col("quality").desc(), "algorithm", "params_json")
     won = trials.withColumn("_n", F.row_number().over(order)).where("_n = 1").groupBy(*S, "algorithm", "params_json").agg(F.countDistinct("dataset").alias("no_datasets"))
     defaults = spark.createDataFrame([(a, json.dumps(detectors.DETECTORS[a].defaults, sort_keys=True)) for a in config.general.algorithms], "algorithm string, params_json string")
@@ -90,13 +81,13 @@ def _jobs(spark: SparkSession, settings: dict[str, dict]) -> DataFrame:
 def execute(points: DataFrame, candidates: DataFrame, config: Config) -> DataFrame:
     """(series_id, instance, t, score) of every candidate on its target series."""
     named = candidates.select(*S, F.concat_ws("-", "algorithm", F.md5("params_json")).alias("instance"), "algorithm", "params_json")
-    spread = points.select(*S, "t", "value").join(named, S)
+    spread, registered = points.select(*S, "t", "value").join(named, S), dict(detectors.DETECTORS)
 
     def run(key, rows):
         import pandas as pd
 
         rows = rows.sort_values("t")
-        score = detectors.execute(rows["value"].to_numpy(float), rows["algorithm"].iloc[0], json.loads(rows["params_json"].iloc[0]), seed=config.general.seed)
+        score = detectors.execute(rows["value"].to_numpy(float), registered[rows["algorithm"].iloc[0]], json.loads(rows["params_json"].iloc[0]), seed=config.general.seed)
         return pd.DataFrame({"series_id": key[0], "instance": key[1], "t": rows["t"].to_numpy(), "score": score})
 
     kind = points.schema["series_id"].dataType.simpleString()
@@ -135,7 +126,7 @@ def run(points: DataFrame, config: Config | None = None, folder: str | None = No
     periods = stage(spark, folder, "periods", lambda: estimate_period(points, config))
     base = stage(spark, folder, "base", lambda: base_series(points, periods, config))
     train = stage(spark, folder, "train", lambda: training_series(base, periods, config))
-    found = stage(spark, folder, "candidates", lambda: search(train, config))
+    found = stage(spark, folder, "candidates", lambda: search(train, config, folder and f"{folder.rstrip('/')}/trials"))
     scored = stage(spark, folder, "scores", lambda: execute(points, found, config))
     s = config.scoring
     return stage(spark, folder, "combined", lambda: combine(scored, found, config, s.normalizations[0], s.combinations[0]))
