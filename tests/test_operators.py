@@ -142,10 +142,10 @@ def test_perfect_and_random_scores(spark):
 
 def test_detectors_find_a_planted_anomaly():
     rng = np.random.default_rng(0)
-    x = np.sin(np.arange(1500) / 10) + rng.normal(0, 0.05, 1500)
-    x[900:930] += 1.5
-    y = np.zeros(1500, bool)
-    y[900:930] = True
+    x = np.sin(np.arange(3000) / 10) + rng.normal(0, 0.05, 3000)
+    x[2000:2030] += 1.5  # after the 1000 points that the echo state network trains on
+    y = np.zeros(3000, bool)
+    y[2000:2030] = True
     for name, d in detectors.DETECTORS.items():
         s = detectors.execute(x, name, d.for_period(63))
         rank = np.argsort(np.argsort(s))

@@ -12,9 +12,12 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tsquorum.operators.echo import echo_scores
+from tsquorum.operators.grammar import Grammar, covering_mean, density, sparse_intervals
+
 SEED = 42
 #: Points of the shortest series that is scored.
 LEAST_POINTS = 4
@@ -200,33 +203,8 @@ def cluster_anomalies(counts: np.ndarray, d_max: float, least: float = 2) -> lis
 
 
 def echo_state(x: np.ndarray, params: dict, rng: np.random.Generator) -> np.ndarray:
-    """Prediction error of an echo state network: reservoir states of scaled contexts, a ridge readout trained on the
-    first part, errors compared between a short future and a long past window."""
-    n, ctx = len(x), max(2, params["context_window_size"])
-    if n < ctx + 20:
-        return np.zeros(n)
-    lo, hi = x.min(), x.max()
-    z = 2 * (x - lo) / (hi - lo) - 1 if hi > lo else np.zeros(n)
-    size = params["reservoir_size"]
-    w = np.zeros((size, size))
-    nnz = max(1, int(params["density"] * size))
-    for r in range(size):
-        w[r, rng.choice(size, nnz, replace=False)] = rng.uniform(-1, 1, nnz)
-    radius = np.abs(np.linalg.eigvals(w)).max()
-    w *= params["spectral_radius"] / max(radius, 1e-12)
-    win = rng.uniform(-1, 1, (size, ctx)) * params["input_scale"]
-    inputs = windows(z, ctx)[:-1]
-    state, states = np.zeros(size), np.zeros((len(inputs), size))
-    for t, u in enumerate(inputs):
-        state = np.tanh(win @ u + w @ state)
-        states[t] = state
-    goal = z[ctx:]
-    cut = max(10, int(len(goal) * params["train_share"]))
-    full = np.hstack([states, inputs, np.ones((len(inputs), 1))])
-    a = full[:cut]
-    readout = np.linalg.solve(a.T @ a + params["tikhonov_beta"] * np.eye(a.shape[1]), a.T @ goal[:cut])
-    error = np.concatenate([np.zeros(ctx), np.abs(full @ readout - goal)])
-    return past_future(error, params["scoring_small_window_size"], params["scoring_large_window_size"])
+    """Prediction error of an echo state network over blocks of points, see ``operators.echo``."""
+    return echo_scores(x, params, rng)
 
 
 def past_future(error: np.ndarray, small: int, large: int) -> np.ndarray:
@@ -257,49 +235,26 @@ def paa(w: np.ndarray, segments: int) -> np.ndarray:
 BREAKPOINTS = {3: (-0.43, 0.43), 4: (-0.67, 0.0, 0.67), 5: (-0.84, -0.25, 0.25, 0.84), 6: (-0.97, -0.43, 0.0, 0.43, 0.97)}
 
 
-def sax(x: np.ndarray, width: int, segments: int, alphabet: int, flat: float = 0.01) -> list[str]:
-    """A word per window, of the z-normalized window's segment means."""
-    w = windows(x, width).astype(float)
-    std = w.std(axis=1, keepdims=True)
-    z = (w - w.mean(axis=1, keepdims=True)) / np.where(std < flat, 1.0, std)
-    codes = np.searchsorted(BREAKPOINTS[alphabet], paa(z, segments), side="right")
-    return ["".join(chr(97 + c) for c in row) for row in codes]
+def sax(x: np.ndarray, width: int, segments: int, alphabet: int, flat: float = 0.01, together: int = 10_000) -> list[str]:
+    """A word per window, of the z-normalized window's segment means; windows are taken ``together`` at a time."""
+    every, out = windows(x, width), []
+    for lo in range(0, len(every), together):
+        w = every[lo : lo + together].astype(float)
+        std = w.std(axis=1, keepdims=True)
+        z = (w - w.mean(axis=1, keepdims=True)) / np.where(std < flat, 1.0, std)
+        codes = np.searchsorted(BREAKPOINTS[alphabet], paa(z, segments), side="right").astype(np.uint8) + 97
+        out += [row.tobytes().decode() for row in codes]
+    return out
 
 
 def rule_density(x: np.ndarray, params: dict, rng: np.random.Generator) -> np.ndarray:
-    """Grammar-rule density: words of the series are compressed pair by pair into rules; points under few rules are
-    odd. Repeats of a word in a row count once."""
+    """Grammar-rule density: the words of the series become a grammar (``operators.grammar``); stretches under fewer rules than the
+    densest one are anomalies, and a point takes the mean score of those that cover it. Repeats of a word in a row count once."""
     width = max(2, min(params["window_size"], len(x) // 2))
     words = sax(x, width, params["paa_size"], params["alphabet_size"], params.get("normalization_threshold", 0.01))
-    at = [i for i in range(len(words)) if i == 0 or words[i] != words[i - 1]]
-    tokens, spans = [words[i] for i in at], [(i, i + width) for i in at]
-    cover = np.zeros(len(x) + 1)
-    fresh = 0
-    while len(tokens) > 1:
-        pairs: dict[tuple[str, str], list[int]] = {}
-        last: dict[tuple[str, str], int] = {}
-        for i, pair in enumerate(zip(tokens, tokens[1:], strict=False)):
-            if last.get(pair, -2) < i - 1:
-                pairs.setdefault(pair, []).append(i)
-                last[pair] = i
-        best = max(pairs.items(), key=lambda kv: (len(kv[1]), kv[0]), default=None)
-        if best is None or len(best[1]) < 2:
-            break
-        fresh += 1
-        places, new_t, new_s, i = set(best[1]), [], [], 0
-        while i < len(tokens):
-            if i in places:
-                span = (spans[i][0], spans[i + 1][1])
-                cover[span[0]] += 1
-                cover[min(span[1], len(x))] -= 1
-                new_t.append(f"R{fresh}"), new_s.append(span)
-                i += 2
-            else:
-                new_t.append(tokens[i]), new_s.append(spans[i])
-                i += 1
-        tokens, spans = new_t, new_s
-    density = np.cumsum(cover)[: len(x)]
-    return density.max() - density
+    at = np.array([i for i in range(len(words)) if i == 0 or words[i] != words[i - 1]])
+    cover = density(Grammar.of(words[i] for i in at), at, at + width, len(x))
+    return covering_mean(sparse_intervals(cover), len(x))
 
 
 @dataclass(frozen=True)
@@ -311,10 +266,12 @@ class Detector:
     space: dict = field(default_factory=dict)
     bad_defaults: dict = field(default_factory=dict)
     view: str = "sliding"
+    #: Settings known to be good, instead of windows of one period.
+    tuned: dict = field(default_factory=dict)
 
     def for_period(self, period: int) -> dict:
-        """Defaults with windows of one period."""
-        return self.defaults | {k: period for k in ("window_size", "context_window_size") if k in self.defaults}
+        """Defaults with windows of one period, or the known settings."""
+        return self.defaults | (self.tuned or {k: period for k in ("window_size", "context_window_size") if k in self.defaults})
 
 
 #: Names, default parameters and search spaces of the base detectors.
@@ -327,10 +284,11 @@ DETECTORS: dict[str, Detector] = {
     "dwt_mlead": Detector(dwt_mlead, {"start_level": 3, "quantile_epsilon": 0.01}, {"start_level": (1, 10), "quantile_epsilon": (0.001, 0.5)}, {"start_level": 1, "quantile_epsilon": 0.1}, "separated"),
     "torsk": Detector(
         echo_state,
-        {"context_window_size": 10, "reservoir_size": 100, "density": 0.1, "spectral_radius": 0.9, "input_scale": 0.5, "train_share": 0.4, "tikhonov_beta": 1e-3, "scoring_small_window_size": 10, "scoring_large_window_size": 100},
-        {"context_window_size": (5, 100), "reservoir_size": (20, 300), "density": (0.01, 0.5), "spectral_radius": (0.5, 2.0), "input_scale": (0.1, 1.0), "scoring_small_window_size": (5, 50), "scoring_large_window_size": (50, 300)},
-        {"context_window_size": 5, "reservoir_size": 30, "density": 0.5, "spectral_radius": 2.0, "input_scale": 1.0, "train_share": 0.2, "tikhonov_beta": 1.0, "scoring_small_window_size": 5, "scoring_large_window_size": 20},
+        {"input_map_size": 10, "input_map_scale": 0.001, "context_window_size": 10, "train_window_size": 20, "prediction_window_size": 10, "transient_window_size": 10, "spectral_radius": 1.0, "density": 1.0, "imed_loss": False, "train_method": "pinv_svd", "tikhonov_beta": None, "scoring_small_window_size": 10, "scoring_large_window_size": 50},
+        {"context_window_size": (10, 1000), "density": (0.0001, 1.0), "imed_loss": [True, False], "input_map_scale": (0.001, 1.0), "input_map_size": (10, 2000), "scoring_large_window_size": (50, 1000), "scoring_small_window_size": (10, 500), "spectral_radius": (1.0, 10.0), "train_window_size": (10, 1000), "prediction_window_size": (10, 1000), "transient_window_size": (10, 1000)},
+        {"input_map_scale": 0.01, "train_window_size": 2, "prediction_window_size": 1, "transient_window_size": 1, "spectral_radius": 0.5},
         "tumbling",
+        {"density": 0.01, "input_map_scale": 0.125, "input_map_size": 100, "prediction_window_size": 5, "scoring_large_window_size": 100, "spectral_radius": 2.0, "train_window_size": 100, "transient_window_size": 20},
     ),
     "grammarviz": Detector(rule_density, {"window_size": 100, "paa_size": 4, "alphabet_size": 4, "normalization_threshold": 0.01}, {"window_size": (10, 1000), "paa_size": (2, 6), "alphabet_size": (3, 6)}, {"window_size": 170, "paa_size": 4, "alphabet_size": 4}, "separated"),
 }
@@ -416,9 +374,7 @@ def haar_frame(points: DataFrame, by: list[str]) -> DataFrame:
 
 
 def knn_frame(vectors: DataFrame, by: list[str], k: int) -> DataFrame:
-    """(by.., id, distance to the k-th neighbour) of vectors within ``by``: arrays compared pairwise, for small groups."""
-    other = vectors.select(*by, F.col("id").alias("id2"), F.col("vector").alias("v2"))
-    d = F.sqrt(F.aggregate(F.zip_with("vector", "v2", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x))
-    pairs = vectors.join(other, by).where("id <> id2").withColumn("d", d)
-    place = F.row_number().over(Window.partitionBy(*by, "id").orderBy("d", "id2"))
-    return pairs.withColumn("_n", place).where(F.col("_n") <= k).groupBy(*by, "id").agg(F.max("d").alias("distance"))
+    """(by.., id, distance to the k-th neighbour, or to the last one where there are fewer) of vectors within ``by``, see ``operators.neighbours``."""
+    from tsquorum.operators.neighbours import nearest_vectors
+
+    return nearest_vectors(vectors, by, k).where(F.size("distances") > 0).select(*by, "id", F.array_max("distances").alias("distance"))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tsquorum.functions import scalar
-from tsquorum.operators import detectors, generation, injection, optimization, selective, studies
+from tsquorum.operators import detectors, echo, generation, grammar, injection, neighbours, optimization, selective, studies
 from tsquorum.plans import views as v
 from tsquorum.plans.registry import query
 from tsquorum.plans.series_queries import SC, S, TS
@@ -50,6 +50,47 @@ for _name in detectors.DETECTORS:
     query()(_f)
 
 
+DAYS = f"""WITH {v.HOURLY_SQL}, w0 AS (SELECT series_id, t, list(value) OVER (PARTITION BY series_id ORDER BY t ROWS BETWEEN CURRENT ROW AND 23 FOLLOWING) AS w FROM ts), w AS (SELECT * FROM w0 WHERE len(w) = 24)"""
+
+
+@query(f"""{DAYS}, d AS (SELECT a.series_id, a.t, b.t AS u, list_distance(a.w, b.w) AS d FROM w a JOIN w b ON a.series_id = b.series_id AND a.t <> b.t)
+SELECT series_id, t AS id, round(avg(d), 5) AS mean, round(max(d), 5) AS distance FROM (SELECT *, row_number() OVER (PARTITION BY series_id, t ORDER BY d, u) AS n FROM d) WHERE n <= 5 GROUP BY 1, 2""")
+def m2_nearest_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five nearest windows of 24 hours each, the series cut into parts of 100 windows."""
+    near = neighbours.nearest_windows(v.hourly(spark, sf_dir), S, F.lit(24), 5, length=100)
+    mean = F.aggregate("distances", F.lit(0.0), lambda s, x: s + x) / F.size("distances")
+    return near.select(*S, "id", F.round(mean, 5).alias("mean"), F.round(F.array_max("distances"), 5).alias("distance"))
+
+
+@query(f"""{DAYS}, z AS (SELECT series_id, t, list_transform(w, lambda x: x - list_avg(w)) AS c, list_stddev_pop(w) < 1e-12 AS flat FROM w),
+d AS (SELECT a.series_id, a.t, CASE WHEN a.flat AND b.flat THEN 0.0 WHEN a.flat OR b.flat THEN sqrt(24.0) ELSE sqrt(greatest(48 * (1 - least(1, greatest(-1, list_cosine_similarity(a.c, b.c)))), 0)) END AS d
+  FROM z a JOIN z b ON a.series_id = b.series_id AND abs(a.t - b.t) > 6)
+SELECT series_id, t AS id, round(min(d), 4) AS distance FROM d GROUP BY 1, 2""")
+def m4_matrix_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The matrix profile of days of hours, the series cut into parts of 100 windows."""
+    near = neighbours.nearest_windows(v.hourly(spark, sf_dir), S, F.lit(24), 1, normalized=True, apart=lambda m: max(1, m // 4), length=100)
+    return near.select(*S, "id", F.round(F.get("distances", F.lit(0)), 4).alias("distance"))
+
+
+@query()
+def m1_lof_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.lof_scores(v.hourly(spark, sf_dir), S, 24, 20, length=100).withColumn("score", R6(F.col("score")))
+
+
+@query(f"""{TS}, p AS (SELECT series_id, t // 8 AS block, j, sum(value * cos(pi() * (t % 8 + 0.5) * j / 8)) AS s, count(*) AS n FROM ts, range(4) AS r(j) GROUP BY 1, 2, 3)
+SELECT series_id, block, j::INTEGER AS j, round(CASE WHEN j = 0 THEN sqrt(1 / 8.0::DOUBLE) ELSE sqrt(2 / 8.0::DOUBLE) END * s, 6) AS coefficient FROM p WHERE n = 8""")
+def m7_block_cosines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return echo.block_cosines(v.series(spark, sf_dir), S, 8, 4).withColumn("coefficient", R6(F.col("coefficient")))
+
+
+@query(f"""{SC}, i AS (SELECT series_id, t AS start, 5 + t % 4 AS length, score FROM scores WHERE instance = 'zscore' AND t % 3 = 0 AND score > 0.5)
+SELECT s.series_id, s.t, round(coalesce(avg(i.score), 0), 9) AS score FROM (SELECT DISTINCT series_id, t FROM scores) s LEFT JOIN i ON s.series_id = i.series_id AND s.t >= start AND s.t < start + length GROUP BY 1, 2""")
+def m8_covering_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    points = v.user_scores(spark, sf_dir).where("instance = 'zscore'")
+    intervals = points.where("t % 3 = 0 and score > 0.5").select(*S, F.col("t").alias("start"), (5 + F.col("t") % 4).alias("length"), "score")
+    return grammar.covering_mean_frame(intervals, points, S).withColumn("score", F.round("score", 9))
+
+
 @query(f"""{TS}, p AS (SELECT series_id, t // 2 AS t, max(CASE WHEN t % 2 = 0 THEN value END) AS a, max(CASE WHEN t % 2 = 1 THEN value END) AS b FROM ts GROUP BY 1, 2)
 SELECT series_id, t, round((a + b) / sqrt(2.0), 6) AS approximation, round((a - b) / sqrt(2.0), 6) AS detail FROM p WHERE b IS NOT NULL""")
 def m6_haar_level(spark: SparkSession, sf_dir: str) -> DataFrame:
