@@ -609,6 +609,11 @@ def r11_kemeny(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranks.kemeny(_votes(spark, sf_dir), G)
 
 
+@query()
+def r12_kemeny_best(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranks.kemeny_best(_votes(spark, sf_dir), G)
+
+
 def _few(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _votes(spark, sf_dir).withColumn("rank", F.col("rank") + 1)
 
