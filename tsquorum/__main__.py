@@ -1,4 +1,4 @@
-"""Command line: run, estimate-period, db (load-dataset, delete-experiment, list), baselines select."""
+"""Command line: run, estimate-period, db (load-dataset, load-result-backups, load-baseline-results, delete-experiment, list), baselines select."""
 
 from __future__ import annotations
 
@@ -26,6 +26,11 @@ def parser() -> argparse.ArgumentParser:
     load.add_argument("--paper", action="store_true")
     delete = dbs.add_parser("delete-experiment")
     delete.add_argument("experiment", type=int)
+    backups = dbs.add_parser("load-result-backups", help="tar.gz archives of finished runs; those that are there are left out")
+    backups.add_argument("path", nargs="+")
+    folders = dbs.add_parser("load-baseline-results", help="result folders below a folder")
+    folders.add_argument("path")
+    folders.add_argument("--name", help="the baseline of folders that don't name theirs")
     dbs.add_parser("list")
     base = sub.add_parser("baselines", help="selective ensemble without training")
     base.add_argument("path", nargs="+")
@@ -41,7 +46,7 @@ def main(argv: list[str] | None = None) -> int:
     from tsquorum.operators import detectors, selective
     from tsquorum.plans import config as cfg
     from tsquorum.plans import pipeline
-    from tsquorum.sources import files
+    from tsquorum.sources import archives, files
     from tsquorum.sources.store import Store
 
     spark = SparkSession.builder.appName("tsquorum").getOrCreate()
@@ -51,6 +56,10 @@ def main(argv: list[str] | None = None) -> int:
             store.load_dataset(args.path, args.collection, args.paper)
         elif args.action == "delete-experiment":
             store.delete_experiment(args.experiment)
+        elif args.action == "load-result-backups":
+            print(archives.import_archives(store, args.path), "new experiments")
+        elif args.action == "load-baseline-results":
+            print(archives.import_baseline_folders(store, args.path, args.name), "new baseline results")
         else:
             store["dataset"].orderBy("collection", "name").show(1000, truncate=False)
         return 0
