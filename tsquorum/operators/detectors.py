@@ -21,6 +21,8 @@ from tsquorum.operators.grammar import Grammar, covering_mean, density, sparse_i
 SEED = 42
 #: Points of the shortest series that is scored.
 LEAST_POINTS = 4
+#: Settings that ride with every series.
+MOST_JOBS = 1000
 
 
 def windows(x: np.ndarray, width: int) -> np.ndarray:
@@ -334,7 +336,9 @@ def run_detectors(points: DataFrame, jobs: DataFrame, by: list[str], region: str
     """
     import json
 
-    listed = [r.asDict() for r in jobs.select("instance", "algorithm", "params_json").collect()]  # tens of detector settings
+    listed = [r.asDict() for r in jobs.select("instance", "algorithm", "params_json").limit(MOST_JOBS + 1).collect()]
+    if len(listed) > MOST_JOBS:
+        raise ValueError(f"more than {MOST_JOBS} settings; run them as trials, which are a table")
     column = F.array(*[F.lit(j["instance"]) for j in listed])
     spread = points.select(*by, "t", "value", (F.col(region) if region else F.lit(0)).cast("long").alias("_region"), F.explode(column).alias("instance"))
     settings = {j["instance"]: (DETECTORS[j["algorithm"]], json.loads(j["params_json"] or "{}")) for j in listed}

@@ -96,6 +96,17 @@ def sampled_regimes(n: int, length: int, overlap: float, most: int, rng: np.rand
     return sorted(taken)
 
 
+#: Pairs of base series of one run that a driver loop goes through.
+MOST_PAIRS = 1_000_000
+
+
+def _few(rows: DataFrame) -> list:
+    found = rows.limit(MOST_PAIRS + 1).collect()
+    if len(found) > MOST_PAIRS:
+        raise ValueError(f"more than {MOST_PAIRS} pairs of base series")
+    return found
+
+
 def prune_overlaps(masks: DataFrame, n_points: int, share: float = 0.1) -> list:
     """Base ids that stay: of two masks that share more than a part of all points the one with more coverage goes.
 
@@ -106,7 +117,7 @@ def prune_overlaps(masks: DataFrame, n_points: int, share: float = 0.1) -> list:
     pairs = left.select("i", F.explode(F.slice("ids", F.col("p") + 2, F.size("ids"))).alias("j")).groupBy("i", "j").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > share * n_points)
     size = {r["base"]: r["n"] for r in masks.where("keep").groupBy("base").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row per base series
     gone: set = set()
-    for r in pairs.orderBy("i", "j").collect():
+    for r in _few(pairs.orderBy("i", "j")):
         if r["i"] not in gone and r["j"] not in gone:
             gone.add(r["i"] if size[r["i"]] >= size[r["j"]] else r["j"])
     return [b for b in sorted(size) if b not in gone]
@@ -118,7 +129,7 @@ def prune_similar(distances: DataFrame, lengths: dict, periods: dict, limit: flo
     for p in periods.values():
         often[p] = often.get(p, 0) + 1
     gone: set = set()
-    for r in distances.orderBy("i", "j").collect():  # a row per pair of base series
+    for r in _few(distances.orderBy("i", "j")):
         i, j = r["i"], r["j"]
         if i in gone or j in gone or lengths[i] != lengths[j] or r["d"] >= limit * lengths[i]:
             continue

@@ -1,4 +1,9 @@
-"""Ranks and rank aggregation: rows (by.., voter, item, rank), ranks from 0 unless said otherwise."""
+"""Ranks and rank aggregation: rows (by.., voter, item, rank), ranks from 0 unless said otherwise.
+
+Voters are training series or detectors and items are detectors, tens to hundreds in a group, whatever the length of the series. Kendall distances make
+a row per pair of items and voter; those between voters (``voter_distances`` and what builds on it) a row per pair of items and pair of
+voters, in parallel over groups.
+"""
 
 from __future__ import annotations
 

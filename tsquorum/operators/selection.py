@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 from tsquorum.operators import ranks
 from tsquorum.operators.distances import DISTANCES
 
-#: More candidates than this don't go through a driver loop.
-MOST_CANDIDATES = 5000
+#: More candidates than this don't go through a driver loop; their distances are half a million numbers there.
+MOST_CANDIDATES = 1000
 
 
 def by_coverage(candidates: DataFrame) -> DataFrame:
@@ -59,9 +59,9 @@ class Matrix:
         self.coverage = np.array([r["no_datasets"] or 0 for r in rows], float)
         place = {n: i for i, n in enumerate(self.names)}
         self.d = np.zeros((len(rows), len(rows)))
-        for r in distances.groupBy("i", "j").agg(F.avg("d").alias("d")).collect():
-            if r["i"] in place and r["j"] in place:
-                self.d[place[r["i"]], place[r["j"]]] = self.d[place[r["j"]], place[r["i"]]] = r["d"]
+        found = distances.where(F.col("i").isin(self.names) & F.col("j").isin(self.names)).groupBy("i", "j").agg(F.avg("d").alias("d")).toArrow()
+        at = [np.array([place[n] for n in found.column(c).to_pylist()], int) for c in ("i", "j")]
+        self.d[at[0], at[1]] = self.d[at[1], at[0]] = found.column("d").to_numpy()
 
 
 def greedy_farthest(m: Matrix, k: int) -> list[str]:

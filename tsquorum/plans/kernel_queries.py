@@ -222,10 +222,11 @@ def f15_period_fault(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def g4_regimes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Series that turn from a wave into a saw half way, on the hours of the hourly series."""
-    hours = v.hourly(spark, sf_dir).withColumn("half", F.max("t").over(Window.partitionBy(*S)) / 2)
-    shape = F.when(F.col("t") < F.col("half"), F.sin(F.col("t") * F.lit(2 * 3.141592653589793 / 24))).otherwise((F.col("t") % 24) / 12 - 1)
-    points = hours.withColumn("value", shape).withColumn("period", F.lit(24))
+    """The hourly values: summed up in the first half of the series, as they are in the second; where that changes is a cut."""
+    hours = v.hourly(spark, sf_dir).withColumn("half", F.floor(F.max("t").over(Window.partitionBy(*S)) / 2))
+    centred = hours.withColumn("off", F.col("value") - F.avg("value").over(Window.partitionBy(*S)))
+    summed = F.sum("off").over(Window.partitionBy(*S).orderBy("t"))
+    points = centred.withColumn("value", F.when(F.col("t") < F.col("half"), summed).otherwise(F.col("off"))).withColumn("period", F.lit(24))
     return generation.regimes(generation.regime_kernel(points, S, "period", 2), S, 24)
 
 

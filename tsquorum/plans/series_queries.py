@@ -397,6 +397,29 @@ def e11_range_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.range_metrics(_predicted(spark, sf_dir), [*S, "instance"])
 
 
+RANGE_AREAS = """n AS (SELECT series_id, count(*) AS n, count(*) FILTER (WHERE is_anomaly) AS positives FROM ts GROUP BY 1),
+edge AS (SELECT series_id, t, is_anomaly AS y, row_number() OVER (PARTITION BY series_id ORDER BY t) - row_number() OVER (PARTITION BY series_id, is_anomaly ORDER BY t) AS island FROM ts),
+ranges AS (SELECT series_id, min(t) AS b, max(t) + 1 AS e FROM edge WHERE y GROUP BY series_id, island),
+soft AS (SELECT ts.series_id, ts.t, coalesce(max(CASE WHEN greatest(0, b - ts.t, ts.t - e + 1) <= 50 THEN sqrt(1 - greatest(0, b - ts.t, ts.t - e + 1) / 100.0::DOUBLE) END), 0) AS soft FROM ts LEFT JOIN ranges USING (series_id) GROUP BY 1, 2),
+total AS (SELECT series_id, n, (positives + sum(soft)) / 2 AS positive FROM soft JOIN n USING (series_id) GROUP BY series_id, n, positives),
+ord AS (SELECT s.series_id, s.instance, s.score, soft, row_number() OVER (PARTITION BY s.series_id, s.instance ORDER BY s.score DESC, s.t) - 1 AS place FROM scores s JOIN soft USING (series_id, t)),
+th AS (SELECT DISTINCT o.series_id, o.instance, o.score AS th FROM ord o JOIN n USING (series_id) WHERE EXISTS (SELECT 1 FROM range(250) AS r(i) WHERE CASE WHEN i = 249 THEN n - 1 ELSE floor(i * ((n - 1) / 249.0::DOUBLE))::BIGINT END = place)),
+cum AS (SELECT th.series_id, th.instance, th, count(*) AS k, sum(soft) AS tp FROM th JOIN ord o ON o.series_id = th.series_id AND o.instance = th.instance AND o.score >= th GROUP BY 1, 2, 3),
+tops AS (SELECT r.series_id, r.b, s.instance, max(s.score) AS top FROM ranges r JOIN scores s ON s.series_id = r.series_id AND s.t >= r.b - 50 AND s.t < r.e + 50 GROUP BY 1, 2, 3),
+seen AS (SELECT th.series_id, th.instance, th, avg((top >= th)::INT) AS seen FROM th JOIN tops USING (series_id, instance) GROUP BY 1, 2, 3),
+curve AS (SELECT c.series_id, c.instance, c.th, least(tp / positive, 1) * seen AS t, greatest(0, least(1, (k - tp) / (n - positive))) AS f, tp / k AS p FROM cum c JOIN seen USING (series_id, instance, th) JOIN total USING (series_id) WHERE positive < n),
+step AS (SELECT *, coalesce(lag(t) OVER w, 0) AS t0, coalesce(lag(f) OVER w, 0) AS f0, row_number() OVER (PARTITION BY series_id, instance ORDER BY th) = 1 AS last FROM curve WINDOW w AS (PARTITION BY series_id, instance ORDER BY th DESC))
+SELECT series_id, instance, round(sum((t - t0) * p), 6) AS pr, round(sum((f - f0) * (t + t0) / 2) + sum(CASE WHEN last THEN (1 - f) * (1 + t) / 2 ELSE 0 END), 6) AS roc FROM step GROUP BY 1, 2"""
+
+
+@query(f"{SC},\n{RANGE_AREAS}")
+def e11_range_areas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The default quality of the search, and its ROC twin, where a series has anomalies and normal points."""
+    found = metrics.range_metrics(_predicted(spark, sf_dir), [*S, "instance"], ["RangePrAUC", "RangeRocAUC"]).where(~F.isnan("value"))
+    wide = found.groupBy(*S, "instance").pivot("metric", ["RangePrAUC", "RangeRocAUC"]).agg(F.first("value"))
+    return wide.select(*S, "instance", R6(F.col("RangePrAUC")).alias("pr"), R6(F.col("RangeRocAUC")).alias("roc"))
+
+
 TOP_RANGES = """k AS (SELECT series_id, count(*) AS k FROM islands GROUP BY 1),
 pr AS (SELECT *, lag(score) OVER (PARTITION BY series_id, instance ORDER BY t) AS prev FROM scores),
 st AS (SELECT series_id, instance, score AS th, 1 AS d FROM pr UNION ALL SELECT series_id, instance, least(score, prev), -1 FROM pr WHERE prev IS NOT NULL),

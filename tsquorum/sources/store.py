@@ -159,6 +159,58 @@ def to_jdbc(rows: DataFrame, url: str, table: str, mode: str = "append", isolati
     rows.write.format("jdbc").option("url", url).option("dbtable", table).option("isolationLevel", isolation).options(**options).mode(mode).save()
 
 
+#: Kinds of database columns that hold a type of ours without loss.
+_HOLDS = {"string": ("string", "varchar", "char"), "bigint": ("bigint", "int", "smallint"), "double": ("double", "float", "decimal"), "boolean": ("boolean",), "timestamp": ("timestamp", "timestamp_ntz")}
+#: The keys of the result store's tables.
+KEYS = {
+    "dataset": ("hexhash",), "timeseries": ("dataset_id", "time"), "configuration": ("id",), "experiment": ("id",), "algorithm_scoring": ("id",), "scoring": ("algorithm_scoring_id", "time"), "algorithm_ranking": ("id",),
+    "algorithm_ranking_entry": ("ranking_id", "rank"), "algorithm_execution": ("id",), "execution": ("id",), "baseline_execution": ("id",), "runtime_trace": ("experiment_id", "position"), "cleaning_metrics": (),
+}
+
+
+def reflect(spark: SparkSession, url: str, prefix: str = "", **options: str) -> list[str]:
+    """What a database lacks of the store's 13 tables: missing tables and columns, columns whose kind can't hold ours, and primary keys that
+    differ. An empty list: it can be used. Names are compared without regard to case; columns beyond ours don't matter.
+
+    Tables and keys come from the database's catalogue, by JDBC metadata; columns from an empty read of each table. No rows are read.
+    """
+    props = spark._jvm.java.util.Properties()
+    for k, value in options.items():
+        props.setProperty(k, value)
+    if "driver" in options:
+        spark._jvm.org.apache.spark.sql.execution.datasources.jdbc.DriverRegistry.register(options["driver"])
+    connection = spark._jvm.java.sql.DriverManager.getConnection(url, props)
+    wrong = []
+    try:
+        meta = connection.getMetaData()
+        listed = meta.getTables(None, None, "%", None)
+        there = {}
+        while listed.next():
+            there[listed.getString("TABLE_NAME").lower()] = (listed.getString("TABLE_SCHEM"), listed.getString("TABLE_NAME"))
+        for name, schema in schemas.STORE.items():
+            full = (prefix + name).lower()
+            if full not in there:
+                wrong.append(f"{prefix}{name}: no such table")
+                continue
+            found = meta.getPrimaryKeys(None, *there[full])
+            keys = {}
+            while found.next():
+                keys[found.getInt("KEY_SEQ")] = found.getString("COLUMN_NAME").lower()
+            own = tuple(keys[k] for k in sorted(keys))
+            if set(own) != set(KEYS[name]):
+                wrong.append(f"{prefix}{name}: its primary key is ({', '.join(own)}), not ({', '.join(KEYS[name])})")
+            columns = {f.name.lower(): f.dataType.simpleString().split("(")[0] for f in from_jdbc(spark, url, there[full][1], **options).schema}
+            for part in schema.split(", "):
+                column, kind = part.split()
+                if column not in columns:
+                    wrong.append(f"{prefix}{name}: no column {column}")
+                elif columns[column] not in _HOLDS[kind]:
+                    wrong.append(f"{prefix}{name}: column {column} is {columns[column]}, not {kind}")
+    finally:
+        connection.close()
+    return wrong
+
+
 def external_baselines(results: DataFrame, datasets: DataFrame, metric: str) -> dict[str, DataFrame]:
     """From benchmark results (collection, dataset, algorithm, <metric>, runtime): the best algorithm per dataset, the
     mean over algorithms, and single algorithms, joined to the store's datasets."""
