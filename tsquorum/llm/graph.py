@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tsquorum.llm.common import Cuts
 
 
-#: Edges that a task joins up at once.
+#: Edges that a task joins up at once; as many stay joined up in one task, which then has all of them.
 CHUNK = 100_000
 
 
@@ -46,13 +46,17 @@ def components(edges: DataFrame, cuts: Cuts, name: str = "components") -> DataFr
 
     ``edges`` has columns a and b. Every round joins up the edges that lie in one partition, then hands each node's
     larger neighbours, then its smaller ones, to the smallest node it sees, till nothing changes. Nodes stay spread:
-    a node with many neighbours is split by the adaptive join. Each round is written to the shared folder.
+    a node with many neighbours is split by the adaptive join. Once no more than ``CHUNK`` edges are left, one task joins them up
+    to the end. Each round is written to the shared folder.
     Self-loops, repeated edges and null ends are ignored; no edges, no rows. Nodes must be integers.
     """
     pairs = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     state, seen = cuts.cut(pairs.mapInArrow(_joined_up, "u bigint, v bigint"), name), None
     while True:
         mark = state.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v")), F.bit_xor(F.hash("u", "v"))).first()
+        if 0 < mark[0] <= CHUNK:
+            state, seen = cuts.cut(state.coalesce(1).mapInArrow(_joined_up, "u bigint, v bigint"), name), mark
+            cuts.drop(name, keep_last=True)
         if mark == seen or mark[0] == 0:
             return state.select(F.col("u").alias("node"), F.col("v").alias("component"))
         seen = mark

@@ -383,14 +383,15 @@ def _linked(slim: DataFrame, cuts: Cuts) -> tuple[DataFrame, DataFrame, DataFram
     first = candidates.groupBy("b").agg(F.coalesce(F.min(F.when(F.col("alike") >= LIKELY, F.col("a"))), F.max_by("a", "alike")).alias("a")).select("a", "b")
     links = cuts.cut(confirmed(cuts.cut(first, "pairs"), texts), "links")
     comps = components(links, cuts, "first")
-    rest = _crossing(candidates, comps).select("a", "b").join(first, ["a", "b"], "left_anti")
+    crossing = cuts.cut(_crossing(candidates, comps).select("a", "b", "alike"), "crossing")  # what is connected stays so
+    rest = crossing.select("a", "b").join(first, ["a", "b"], "left_anti")
     links = links.unionByName(cuts.cut(confirmed(cuts.cut(rest, "pairs"), texts), "links"))
     comps = components(links, cuts, "second")
     unmet = cuts.cut(_unmet(nodes, comps, ends, texts_of, cuts), "links")
     if not unmet.isEmpty():
         links = links.unionByName(unmet)
         comps = components(links, cuts, "regions")
-    more = cuts.cut(_leftovers(candidates, comps, nodes, texts), "links")
+    more = cuts.cut(_leftovers(crossing, comps, nodes, texts), "links")
     if not more.isEmpty():
         comps = components(links.unionByName(more), cuts, "third")
     return rows, classes.select("print", "node", "n", "first"), comps
