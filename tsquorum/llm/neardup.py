@@ -189,15 +189,16 @@ def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def _crossing(candidates: DataFrame, comps: DataFrame) -> DataFrame:
-    """Candidates whose ends aren't connected yet, with the ends' components."""
+    """Pairs (a, b, ..) whose ends aren't connected yet, with the ends' components."""
     one = comps.select(F.col("node").alias("a"), F.col("component").alias("ca"))
     two = comps.select(F.col("node").alias("b"), F.col("component").alias("cb"))
     joined = candidates.join(one, "a", "left").join(two, "b", "left")
-    return joined.select("a", "b", "alike", F.coalesce("ca", "a").alias("ca"), F.coalesce("cb", "b").alias("cb")).where("ca <> cb")
+    return joined.select(*candidates.columns, F.coalesce("ca", "a").alias("ca"), F.coalesce("cb", "b").alias("cb")).where("ca <> cb")
 
 
-def _leftovers(candidates: DataFrame, comps: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
-    """Links (a, b) between components that met without one, if there are any.
+def _leftovers(meetings: DataFrame, comps: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links (a, b) between components that met without one, if there are any; ``meetings`` (a, b, met) counts candidates by the
+    components that their ends were in at an earlier time, each named by a node of it.
 
     A document may link with few members of a large region only, and those needn't be among its neighbours in any
     list. So the smaller of two such components is compared with the whole larger one, in blocks of both sides:
@@ -205,7 +206,7 @@ def _leftovers(candidates: DataFrame, comps: DataFrame, nodes: DataFrame, texts:
     """
     node = nodes.select("node", "n_shingles", "sketch").join(comps, "node", "left").select("node", "n_shingles", "sketch", F.coalesce("component", "node").alias("component"))
     size = node.groupBy("component").agg(F.count(F.lit(1)).alias("n"), F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("n_shingles") / SHINGLES)).cast("int").alias("blocks"))
-    met = _crossing(candidates, comps).groupBy(F.least("ca", "cb").alias("x"), F.greatest("ca", "cb").alias("y")).agg(F.count(F.lit(1)).alias("met"))
+    met = _crossing(meetings, comps).groupBy(F.least("ca", "cb").alias("x"), F.greatest("ca", "cb").alias("y")).agg(F.sum("met").alias("met"))
     sized = met.join(size.select(F.col("component").alias("x"), F.col("n").alias("nx"), F.col("blocks").alias("bx")), "x").join(size.select(F.col("component").alias("y"), F.col("n").alias("ny"), F.col("blocks").alias("by")), "y")
     smaller = F.col("nx") < F.col("ny")
     sides = sized.where(F.col("nx") * F.col("ny") > F.col("met")).select(F.when(smaller, F.col("x")).otherwise(F.col("y")).alias("small"), F.when(smaller, F.col("y")).otherwise(F.col("x")).alias("large"), F.when(smaller, F.col("by")).otherwise(F.col("bx")).alias("blocks"))
@@ -383,7 +384,8 @@ def _linked(slim: DataFrame, cuts: Cuts) -> tuple[DataFrame, DataFrame, DataFram
     first = candidates.groupBy("b").agg(F.coalesce(F.min(F.when(F.col("alike") >= LIKELY, F.col("a"))), F.max_by("a", "alike")).alias("a")).select("a", "b")
     links = cuts.cut(confirmed(cuts.cut(first, "pairs"), texts), "links")
     comps = components(links, cuts, "first")
-    crossing = cuts.cut(_crossing(candidates, comps).select("a", "b", "alike"), "crossing")  # what is connected stays so
+    crossing = cuts.cut(_crossing(candidates.select("a", "b"), comps), "crossing")  # what is connected stays so
+    meetings = crossing.groupBy(F.col("ca").alias("a"), F.col("cb").alias("b")).agg(F.count(F.lit(1)).alias("met"))
     rest = crossing.select("a", "b").join(first, ["a", "b"], "left_anti")
     links = links.unionByName(cuts.cut(confirmed(cuts.cut(rest, "pairs"), texts), "links"))
     comps = components(links, cuts, "second")
@@ -391,7 +393,7 @@ def _linked(slim: DataFrame, cuts: Cuts) -> tuple[DataFrame, DataFrame, DataFram
     if not unmet.isEmpty():
         links = links.unionByName(unmet)
         comps = components(links, cuts, "regions")
-    more = cuts.cut(_leftovers(crossing, comps, nodes, texts), "links")
+    more = cuts.cut(_leftovers(meetings, comps, nodes, texts), "links")
     if not more.isEmpty():
         comps = components(links.unionByName(more), cuts, "third")
     return rows, classes.select("print", "node", "n", "first"), comps
