@@ -196,7 +196,7 @@ def _crossing(candidates: DataFrame, comps: DataFrame) -> DataFrame:
     return joined.select(*candidates.columns, F.coalesce("ca", "a").alias("ca"), F.coalesce("cb", "b").alias("cb")).where("ca <> cb")
 
 
-def _leftovers(meetings: DataFrame, comps: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
+def _leftovers(meetings: DataFrame, comps: DataFrame, nodes: DataFrame, texts_of: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """Links (a, b) between components that met without one, if there are any; ``meetings`` (a, b, met) counts candidates by the
     components that their ends were in at an earlier time, each named by a node of it.
 
@@ -241,7 +241,8 @@ def _leftovers(meetings: DataFrame, comps: DataFrame, nodes: DataFrame, texts: D
                     break
         return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
 
-    tiles = rows.unionByName(ask).hint("merge").join(texts, "node")
+    placed = rows.unionByName(ask)
+    tiles = placed.hint("merge").join(texts_of(placed.select("node").distinct()), "node")  # also nodes that no list paired
     return tiles.groupBy("large", "p", "q").applyInPandas(compare, "a bigint, b bigint")
 
 
@@ -393,7 +394,7 @@ def _linked(slim: DataFrame, cuts: Cuts) -> tuple[DataFrame, DataFrame, DataFram
     if not unmet.isEmpty():
         links = links.unionByName(unmet)
         comps = components(links, cuts, "regions")
-    more = cuts.cut(_leftovers(meetings, comps, nodes, texts), "links")
+    more = cuts.cut(_leftovers(meetings, comps, nodes, texts_of), "links")
     if not more.isEmpty():
         comps = components(links.unionByName(more), cuts, "third")
     return rows, classes.select("print", "node", "n", "first"), comps
