@@ -63,7 +63,8 @@ def plan_mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     text, kept = F.col(text_col), F.struct(*[F.col(c) for c in keep] or [F.lit(0).alias("_")]).alias("_kept")
     key = F.coalesce(F.col(id_col).cast("string"), F.md5(F.coalesce(text, F.lit("")))).alias("_key")
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(text).alias("size"), key, kept)
-    slim = cuts.cut(rows.select("source", "size", "_key"), "mix-sizes")
+    # Words are counted once: what the plan returns is written with the sizes, unless whole rows would be.
+    slim = cuts.cut(rows.select("source", "size", "_key") if keep else rows, "mix-sizes")
     table = cuts.cut(source_targets(slim.groupBy("source").agg(F.sum("size").cast("long").alias("source_size")), **targets), "mix-targets")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     seeds = range(seed, seed + SEEDS)
@@ -71,8 +72,10 @@ def plan_mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     sums = join_spread(slim, table, "source").groupBy("source").agg(F.first("source_size").alias("source_size"), F.first("target").alias("target"), *taken)
     best = F.array_min(F.array(*[F.struct(F.abs(F.col(f"_taken_{k}") - F.col("target")), F.lit(k).alias("seed")) for k in seeds]))["seed"]
     chosen = cuts.cut(sums.select("source", "source_size", "target", best.cast("string").alias("_seed")), "mix-seeds")
-    joined = join_spread(rows, chosen, "source").withColumn("copies", copies(rate, unit_draw(F.col("_seed"), F.col("_key"))))
-    cuts.drop("mix-sizes"), cuts.drop("mix-targets")
+    joined = join_spread(rows if keep else slim, chosen, "source").withColumn("copies", copies(rate, unit_draw(F.col("_seed"), F.col("_key"))))
+    cuts.drop("mix-targets")
+    if keep:
+        cuts.drop("mix-sizes")
     return joined.select("doc_id", "source", *[F.col("_kept")[c].alias(c) for c in keep], "size", "source_size", "target", "copies")
 
 
