@@ -134,13 +134,15 @@ def judge(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
         stratum = F.coalesce(F.col("kept._stratum").cast("string"), F.lit(""))
         return counts.withColumns({"stratum": stratum, "base_failed": base_failed(), **{rule: F.expr(f"cast({signal} as double)") for rule, signal, _ in RULES}})
 
-    # Cutoffs need the labelled documents only; all others are measured once.
-    known = labels.where(F.col("quality") == 1).select(F.col("doc_id").alias("_labelled")).distinct()
-    labelled = named.join(known, named[id_col] == known["_labelled"], "left_semi")
-    found = safe_cutoffs(signals(measured(labelled, id_col=id_col, text_col=text_col, keep=("_stratum",))).where(~F.col("base_failed")).select("doc_id", "stratum", *names), labels, alpha=alpha, delta=delta)
+    judged = measured(named, id_col=id_col, text_col=text_col, keep=("_stratum", *keep))
+    if keep:  # the counts would be written with whole rows, so labelled documents are measured apart, for the cutoffs
+        known = labels.where(F.col("quality") == 1).select(F.col("doc_id").alias("_labelled")).distinct()
+        labelled = measured(named.join(known, named[id_col] == known["_labelled"], "left_semi"), id_col=id_col, text_col=text_col, keep=("_stratum",))
+    else:
+        judged = labelled = cuts.cut(judged, "quality-counts")
+    found = safe_cutoffs(signals(labelled).where(~F.col("base_failed")).select("doc_id", "stratum", *names), labels, alpha=alpha, delta=delta)
     per_stratum = cuts.cut(found.groupBy("stratum").agg(F.map_from_entries(F.collect_list(F.struct("rule", "cutoff"))).alias("cutoffs")), "quality-cutoffs")
     failed = F.array(*[F.when(F.col(rule) > F.col("cutoffs")[rule], F.lit(rule)) for rule in names])
-    judged = measured(named, id_col=id_col, text_col=text_col, keep=("_stratum", *keep))
     return join_spread(signals(judged), per_stratum, "stratum").select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
         F.array_compact(failed).alias("failed_rules"), (~F.col("base_failed") & (F.size(F.array_compact(failed)) == 0)).alias("kept"), F.col("kept").alias("kept_cols"),
