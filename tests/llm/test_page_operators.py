@@ -325,12 +325,18 @@ def test_every_word_is_masked_once_over_the_rounds():
         assert [m.sum() for m in masked] == [np.ceil((n - r) / rounds).clip(0).sum() for r in range(rounds)]
 
 
-def test_every_other_choice_counts_twice(model):
+def test_choices_lead_down_to_every_word(model):
+    """Each class's words are the leaves of a tree whose inner nodes are all chosen at, from the last on."""
     goal = np.arange(lm.UNKNOWN, len(model.counts))
     classes = model.of_class[goal].astype(int)
-    every = sorted(zip(*lm._choices(model, goal, classes), strict=True))
-    halves = [list(zip(*lm._choices(model, goal, classes, np.full(len(goal), skip), 2), strict=True)) for skip in (0, 1)]
-    assert sorted(halves[0] + halves[1]) == every and set(halves[0]).isdisjoint(halves[1])
+    which, node, right = lm._choices(model, goal, classes)
+    for i, (word, c) in enumerate(zip(goal, classes, strict=True)):
+        leaf, size = 1, int(model.sizes[c])
+        for at, turn in zip(node[which == i][::-1], right[which == i][::-1], strict=True):
+            assert at == model.first[c] + leaf and leaf < size
+            leaf = 2 * leaf + turn
+        assert leaf - size == word - model.first[c]
+    assert set(node) == {f + k for f, n in zip(model.first, model.sizes, strict=True) for k in range(1, n)}
 
 
 def test_production_training_on_documents(spark, sf_dir):

@@ -218,17 +218,13 @@ def _lists(batch: pa.RecordBatch, size: int = 256) -> Iterator[tuple[int, np.nda
         yield lo, ids, np.diff(lists.offsets.to_numpy())
 
 
-def _choices(model: Model, goal: np.ndarray, classes: np.ndarray, skip: np.ndarray | int = 0, every: int = 1) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The choices down to the words ``goal``, from the last on: row of ``goal``, node (as a row of the weights), and right or not.
-
-    With ``every`` only every such choice of a word, after ``skip`` left out.
-    """
+def _choices(model: Model, goal: np.ndarray, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The choices down to the words ``goal``, from the last on: row of ``goal``, node (as a row of the weights), and right or not."""
     start = model.first[classes]
     leaf = goal - start + model.sizes[classes]
-    depth = np.maximum(np.frexp(leaf.astype(float))[1] - 1 - skip + every - 1, 0) // every  # exact: leaf < 2 ** 53
+    depth = np.frexp(leaf.astype(float))[1] - 1  # exact: leaf < 2 ** 53
     which = np.repeat(np.arange(len(goal)), depth)
-    up = (np.arange(len(which)) - np.repeat(np.cumsum(depth) - depth, depth)) * every
-    child = leaf[which] >> (up if every == 1 else up + skip[which])
+    child = leaf[which] >> np.arange(len(which)) - np.repeat(np.cumsum(depth) - depth, depth)
     return which, start[which] + (child >> 1), (child & 1).astype(bool)
 
 
@@ -282,12 +278,8 @@ def _rates(model: Model, rate: float) -> np.ndarray:
     return (rate / np.sqrt(1 + len(_AROUND) * BATCH * model.counts / max(1, int(model.counts.sum())))).astype(np.float32)
 
 
-def sgd(model: Model, row: np.ndarray, at: np.ndarray, rate: float, slow: np.ndarray, skip: np.ndarray | None = None, used: np.ndarray | None = None) -> None:
-    """One step per ``BATCH`` of masked places, in place; ``slow`` are the embeddings' rates.
-
-    With ``skip`` (0 or 1 by place), a word steps on every other choice only, with twice the weight; ``used`` marks
-    the nodes with steps.
-    """
+def sgd(model: Model, row: np.ndarray, at: np.ndarray, rate: float, slow: np.ndarray, used: np.ndarray | None = None) -> None:
+    """One step per ``BATCH`` of masked places, in place; ``slow`` are the embeddings' rates, ``used`` marks the nodes with steps."""
     embed, nodes, biases, place, bias, out, out_bias = model.weights
     flat_place, ones = place.reshape(-1, HIDDEN), np.ones(len(out_bias), out.dtype)
     for lo in range(0, len(at), BATCH):
@@ -301,11 +293,11 @@ def sgd(model: Model, row: np.ndarray, at: np.ndarray, rate: float, slow: np.nda
         scores *= (1 / (scores @ ones))[:, None]
         scores[np.arange(len(here)), classes] -= 1
         dh = scores @ out.T
-        which, node, right = _choices(model, goal, classes) if skip is None else _choices(model, goal, classes, skip[lo : lo + BATCH], 2)
+        which, node, right = _choices(model, goal, classes)
         if len(which):
             inner, hs = nodes[node], h[which]
             off = 1 / (1 + np.exp(-(np.einsum("ij,ij->i", hs, inner) + biases[node]))) - right
-            off = (off if skip is None else 2 * off).astype(h.dtype)
+            off = off.astype(h.dtype)
             begins = np.flatnonzero(np.diff(which, prepend=-1))
             inner *= off[:, None]
             dh[which[begins]] += np.add.reduceat(inner, begins, axis=0)
@@ -360,14 +352,14 @@ def _one_round(ids: DataFrame, model: Model, r: int, rounds: int, rate: float) -
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m, old = shared.value._replace(weights=[_aligned(w) for w in shared.value.weights]), shared.value.weights
         seen, used, n, part = np.zeros(len(m.counts), bool), np.zeros(len(m.counts), bool), 0, TaskContext.get().partitionId()
-        rng, slow = np.random.default_rng(part), _rates(m, rate)
+        slow = _rates(m, rate)
         for batch in batches:
             for _, values, lengths in _lists(batch):
                 row, places = _framed(values, lengths)
                 at = places[targets(lengths, r, rounds)]
                 batches_here = -(-len(at) // BATCH) or 1
                 at = np.concatenate([at[i::batches_here] for i in range(batches_here)])  # a batch's words come from all over the texts
-                sgd(m, row, at, rate, slow, rng.integers(0, 2, len(at)), used)
+                sgd(m, row, at, rate, slow, used)
                 seen[row] = True
                 n += len(at)
         if n:
