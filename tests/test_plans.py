@@ -120,6 +120,17 @@ def test_pipeline_finds_planted_anomalies_and_resumes(spark, tmp_path):
     assert every.count() == 8 and pipeline.oracle_choice(every).count() == 2
 
 
+def test_base_series_cleaned_by_labels(spark):
+    rows = [(0, t, float(t), 10 <= t < 20) for t in range(100)] + [(1, t, float(t), True) for t in range(30)] + [(2, 0, 1.0, None)]
+    points = spark.createDataFrame(rows, "series_id bigint, t bigint, value double, is_anomaly boolean")
+    periods = spark.createDataFrame([(s, 1) for s in range(3)], "series_id bigint, period bigint")
+    for limit, want in ((1000, [*range(10), *range(20, 100)]), (85, [*range(5), *range(20, 100)]), (80, [*range(20, 100)]), (30, [*range(20, 50)])):
+        c = config.load({"cleaning": {"by_labels": True}, "data_gen": {"least_length": limit}}, {})
+        base = pipeline.base_series(points, periods, c).orderBy("series_id", "t").collect()
+        assert [(r["series_id"], r["t"], r["value"]) for r in base] == [(0, t, float(x)) for t, x in enumerate(want)] + [(2, 0, 1.0)]
+        assert not any(r["is_anomaly"] for r in base)
+
+
 def test_synthetic_series(spark):
     f = synthetic.frame(spark, (0, 4))
     assert {(r["series_id"], r["n"], r["a"]) for r in f.groupBy("series_id").agg(F.count(F.lit(1)).alias("n"), F.count_if("is_anomaly").alias("a")).collect()} == {("gt-0", 10_000, 300), ("gt-4", 13_000, 240)}

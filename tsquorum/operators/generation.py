@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tsquorum.operators import scores as sc
-from tsquorum.operators.slices import close_gaps, mask_to_slices, slices_to_mask
+from tsquorum.operators.slices import close_gaps, index_mapping, invert_slices, mask_to_slices, slices_to_mask
 
 
 def peak_period(points: DataFrame, by: list[str], reach: int = 100) -> DataFrame:
@@ -191,6 +191,21 @@ def limited(points: DataFrame, kept: DataFrame, by: list[str]) -> DataFrame:
     return points.join(slices_to_mask(kept, lengths, by).where("flag").select(*by, "t"), [*by, "t"])
 
 
+def cleaned(points: DataFrame, cuts: DataFrame, by: list[str], limits: DataFrame) -> DataFrame:
+    """(by.., t, t_orig, value): the points outside ``cuts``, renumbered; the longest stretches first, up to ``limit`` points.
+
+    ``limits`` has a limit per series; a stretch that crosses it is shortened. Series that are all cut give no rows.
+    """
+    lengths = points.groupBy(*by).agg(F.count(F.lit(1)).alias("n"))
+    kept = invert_slices(cuts, by, lengths).join(limits, by)
+    order = Window.partitionBy(*by).orderBy((F.col("e") - F.col("b")).desc(), "b")
+    before = F.coalesce(F.sum(F.col("e") - F.col("b")).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    room = kept.withColumn("_room", F.col("limit") - before).where("_room > 0")
+    chosen = room.select(*by, "b", F.least("e", F.col("b") + F.col("_room")).cast("long").alias("e"))
+    found = limited(points, chosen, by).withColumnRenamed("t", "t_orig")
+    return index_mapping(found, by).select(*by, "t", "t_orig", "value")
+
+
 def regime_kernel(points: DataFrame, by: list[str], period_col: str, k: int = 3) -> DataFrame:
     """(by.., regime, t, distance) snippet profiles for many series, one in memory each."""
 

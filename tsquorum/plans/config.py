@@ -51,6 +51,7 @@ class Cleaning:
     quantile: float = 0.9
     votes: float = 0.7
     reach: int = 100
+    by_labels: bool = False
 
     def check(self) -> None:
         _need(0 < self.quantile < 1 and 0 < self.votes <= 1, "quantile and votes must lie in (0, 1]")

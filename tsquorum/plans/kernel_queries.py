@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tsquorum.functions import scalar
-from tsquorum.operators import detectors, echo, generation, grammar, injection, neighbours, optimization, selective, studies
+from tsquorum.operators import detectors, echo, generation, grammar, injection, neighbours, optimization, selective, slices, studies
 from tsquorum.plans import views as v
 from tsquorum.plans.registry import query
 from tsquorum.plans.series_queries import SC, S, TS
@@ -236,6 +236,16 @@ def g11_cleaning_cuts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return generation.voted_cuts(votes, S, 5)
 
 
+@query(f"""{TS}, stretches AS (SELECT series_id, min(t) AS b, max(t) + 1 AS e FROM (SELECT series_id, t, t - row_number() OVER (PARTITION BY series_id ORDER BY t) AS run FROM ts WHERE NOT is_anomaly) GROUP BY series_id, run),
+placed AS (SELECT *, 60 - coalesce(sum(e - b) OVER (PARTITION BY series_id ORDER BY e - b DESC, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS room FROM stretches),
+chosen AS (SELECT series_id, b, least(e, b + room) AS e FROM placed WHERE room > 0)
+SELECT ts.series_id, row_number() OVER (PARTITION BY ts.series_id ORDER BY t) - 1 AS t, t AS t_orig, value FROM ts JOIN chosen c ON ts.series_id = c.series_id AND t >= b AND t < e""")
+def g12_label_cleaning(spark: SparkSession, sf_dir: str) -> DataFrame:
+    points = v.series(spark, sf_dir)
+    cuts = slices.mask_to_slices(points, S, "is_anomaly")
+    return generation.cleaned(points, cuts, S, points.select(*S).distinct().withColumn("limit", F.lit(60)))
+
+
 # ---- search
 
 

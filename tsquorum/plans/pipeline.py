@@ -28,19 +28,21 @@ def estimate_period(points: DataFrame, config: Config) -> DataFrame:
 
 
 def base_series(points: DataFrame, periods: DataFrame, config: Config) -> DataFrame:
-    """Cleaned and length-limited base series, labels dropped, renumbered."""
-    jobs = _jobs(points.sparkSession, {a: detectors.DETECTORS[a].for_period(20) for a in ("subsequence_knn", "kmeans", "dwt_mlead") if a in config.general.algorithms})
-    scored = detectors.run_detectors(points, jobs, S, seed=config.general.seed)
-    votes = generation.cleaning_votes(scored, S, F.lit(20), config.cleaning.quantile)
-    cuts = generation.voted_cuts(votes, S, 10, config.cleaning.votes)
-    lengths = points.groupBy(*S).agg(F.count(F.lit(1)).alias("n"))
-    kept = slices.invert_slices(cuts, S, lengths).join(periods.select(*S, "period"), S)
+    """Cleaned and length-limited base series, labels dropped, renumbered.
+
+    With ``cleaning.by_labels`` the labelled anomalies are cut out instead of what the detectors vote for, to tell what
+    imperfect cleaning costs; only then are labels looked at, and null ones count as normal.
+    """
+    if config.cleaning.by_labels:
+        cuts = slices.mask_to_slices(points, S, "is_anomaly")
+    else:
+        jobs = _jobs(points.sparkSession, {a: detectors.DETECTORS[a].for_period(20) for a in ("subsequence_knn", "kmeans", "dwt_mlead") if a in config.general.algorithms})
+        scored = detectors.run_detectors(points, jobs, S, seed=config.general.seed)
+        votes = generation.cleaning_votes(scored, S, F.lit(20), config.cleaning.quantile)
+        cuts = generation.voted_cuts(votes, S, 10, config.cleaning.votes)
     limit = generation.length_limit(F.col("period"), config.data_gen.least_length, config.data_gen.periods)
-    order = Window.partitionBy(*S).orderBy((F.col("e") - F.col("b")).desc(), "b")
-    before = F.coalesce(F.sum(F.col("e") - F.col("b")).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    chosen = kept.withColumn("_before", before).where(F.col("_before") < limit).select(*S, "b", F.least("e", F.col("b") + limit - F.col("_before")).cast("long").alias("e"))
-    clean = generation.limited(points, chosen, S).withColumnRenamed("t", "t_orig")
-    return slices.index_mapping(clean, S).select(*S, "t", "value", F.lit(False).alias("is_anomaly"))
+    clean = generation.cleaned(points, cuts, S, periods.select(*S, limit.alias("limit")))
+    return clean.select(*S, "t", "value", F.lit(False).alias("is_anomaly"))
 
 
 def training_series(base: DataFrame, periods: DataFrame, config: Config) -> DataFrame:
@@ -121,7 +123,7 @@ def stage(spark: SparkSession, folder: str | None, name: str, make: Callable[[],
 
 
 def run(points: DataFrame, config: Config | None = None, folder: str | None = None) -> DataFrame:
-    """(series_id, t, score) for series (series_id, t, value, is_anomaly); labels are not used."""
+    """(series_id, t, score) for series (series_id, t, value, is_anomaly); labels are not used, unless the settings clean by them."""
     config, spark = config or Config(), points.sparkSession
     periods = stage(spark, folder, "periods", lambda: estimate_period(points, config))
     base = stage(spark, folder, "base", lambda: base_series(points, periods, config))
