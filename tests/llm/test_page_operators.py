@@ -447,3 +447,32 @@ def test_bounds_never_exceed_the_true_shift():
     own_y = vectors.squared(y, words).argmin(axis=1)
     _, need = vectors.bounds(x, words)
     assert (need[np.arange(200), own_y] <= ((x - y) ** 2).sum(axis=1) + 1e-9).all()
+
+
+def test_keys_are_found_by_their_leading_bits():
+    rng = np.random.default_rng(4)
+    for n in (1, 2, 1000):
+        crowd = rng.integers(0, 50, n, dtype=np.uint64)  # all in the first bucket
+        for keys in (rng.integers(0, 2**64, n, dtype=np.uint64, endpoint=False), crowd, np.append(crowd, np.uint64(2**64 - 1))):
+            keys = np.unique(keys)
+            wanted = np.concatenate([keys, keys + np.uint64(1), rng.integers(0, 2**64, 500, dtype=np.uint64), np.array([0, 2**64 - 1], np.uint64)])
+            at = lm._found(keys, lm._starts(keys), wanted)
+            assert (np.isin(wanted, keys) == (keys[at] == wanted)).all()
+
+
+def test_choices_of_one_step_are_of_the_first_words(spark):
+    """In the order by depth, each step's choices are of a stretch of the first words, so no row of the hidden layer is copied."""
+    rng = np.random.default_rng(5)
+    model = lm.vocabulary(spark.createDataFrame([(f"w{i}".encode(), int(n)) for i, n in enumerate(rng.zipf(1.3, 1500).clip(1, 10**6))], "word binary, n bigint"))
+    for w in model.weights[:2]:
+        w += rng.normal(size=w.shape).astype(np.float32)
+    goal = rng.integers(lm.UNKNOWN, len(model.counts), 200)
+    goal = goal[lm._by_depth(lm._leaves(model, goal, model.of_class[goal])[1])]
+    which, node, right = lm._choices(model, goal, model.of_class[goal])
+    steps = lm._steps(which)
+    assert len(steps) > 1 and all((which[own] == np.arange(200)[rows]).all() for own, rows in steps)
+    assert sum(own.stop - own.start for own, _ in steps) == len(which) == len(node) == len(right)
+    assert lm._steps(which[:0]) == [] and len(lm._choices(model, goal[:0], goal[:0])[0]) == 0
+    row, places = lm._framed(goal.astype(np.int32), np.array([200]))
+    together = lm.log_words(model, row, places)
+    assert together == pytest.approx([lm.log_words(model, row, places[k : k + 1])[0] for k in range(200)], abs=1e-4)

@@ -52,15 +52,15 @@ def _remove(spark: SparkSession, path: str) -> None:
 class Cuts:
     """Tables written to the shared folder to cut lineage; a lost executor re-reads, not recomputes.
 
-    ``cut`` writes and re-reads a DataFrame. ``drop`` deletes the tables that nothing needs any more.
+    ``cut`` writes and re-reads a DataFrame, compressed as Parquet is by default or by ``codec``. ``drop`` deletes the tables that nothing needs any more.
     """
 
     def __init__(self, spark: SparkSession) -> None:
         self.spark, self.paths = spark, {}
 
-    def cut(self, df: DataFrame, name: str) -> DataFrame:
+    def cut(self, df: DataFrame, name: str, codec: str | None = None) -> DataFrame:
         path = fresh_path(self.spark, name)
-        df.write.parquet(path)
+        df.write.parquet(path, compression=codec)
         self.paths.setdefault(name, []).append(path)
         return self.spark.read.schema(df.schema).parquet(path)
 

@@ -10,14 +10,17 @@ of all words sum to one; the sum of their logarithms scores the document.
 Counts of words come from the whole corpus, and the vocabulary and with it the trees grow with it. Training is
 data-parallel: each task starts from the shared weights, takes every ``rounds``-th word of all its documents as
 masked examples (the next ones each round, so that all words were masked once in the end), and the tasks' changes
-are averaged by their numbers of examples. Of the choices in a word's tree, each example steps on every other one, at
-random from the first or the second on and with twice the weight. Tasks send the rows of weights that they changed,
-in 8 bits and a scale by row, which are summed up in slots of ``SLOT_ROWS`` rows, in the order of the tasks; so a
-rerun over the same partitions gives the same model.
+are averaged by their numbers of examples. Each example steps on all choices in its word's tree. Tasks send the rows of
+weights that they changed, in 8 bits and a scale by row, which are summed up in slots of ``SLOT_ROWS`` rows, in the
+order of the tasks; so a rerun over the same partitions gives the same model.
+
+Examples are taken by falling depth of their words: those with a choice at some level of the trees are then the first
+ones, and each level's rows of the hidden layer are a slice of it rather than copies.
 """
 
 from __future__ import annotations
 
+import itertools
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from itertools import chain
@@ -158,19 +161,40 @@ def vocabulary(counts: DataFrame, least: int = LEAST) -> Model:
     return Model(keys[by_key], (by_key + FIRST).astype(np.int32), seen, of_class, first, sizes, np.log(letters / letters.sum()), weights)
 
 
-def _ids(model: Model, words: Iterable[bytes], n: int) -> np.ndarray:
+def _ids(model: Model, words: Iterable[bytes], n: int, starts: tuple[np.uint64, np.ndarray] | None = None) -> np.ndarray:
     if not len(model.keys):
         return np.full(n, UNKNOWN, np.int32)
     wanted = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, n)
-    at = np.minimum(np.searchsorted(model.keys, wanted), len(model.keys) - 1)
-    return np.where(model.keys[at] == wanted, model.ids[at], UNKNOWN).astype(np.int32)
+    at = _found(model.keys, _starts(model.keys) if starts is None else starts, wanted)
+    return np.where(np.take(model.keys, at) == wanted, np.take(model.ids, at), UNKNOWN).astype(np.int32)
+
+
+def _starts(keys: np.ndarray) -> tuple[np.uint64, np.ndarray]:
+    """A shift, and the number of sorted ``keys`` below each value of their leading bits, of which there are about as many as keys."""
+    bits = max(1, len(keys).bit_length())
+    heads = (keys >> np.uint64(64 - bits)).astype(np.int64)
+    return np.uint64(64 - bits), np.append(0, np.cumsum(np.bincount(heads, minlength=1 << bits))).astype(np.int32)
+
 
+def _found(keys: np.ndarray, starts: tuple[np.uint64, np.ndarray], wanted: np.ndarray) -> np.ndarray:
+    """Places of ``wanted`` in the sorted ``keys``; of what isn't there, the place of some other key."""
+    shift, begins = starts
+    head = (wanted >> shift).astype(np.int64)
+    at = np.minimum(np.take(begins, head), len(keys) - 1)
+    left = np.flatnonzero(np.take(keys, at) < wanted)
+    ends = np.take(begins, np.take(head, left) + 1) - 1
+    while len(left):  # a bucket has one key on average, so few steps are left
+        at[left] += at[left] < ends
+        more = (np.take(keys, np.take(at, left)) < np.take(wanted, left)) & (np.take(at, left) < ends)
+        left, ends = left[more], ends[more]
+    return at
 
-def _encoded(model: Model, texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+
+def _encoded(model: Model, texts: list[bytes | None], starts: tuple[np.uint64, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Ids of all texts in a row, the number of words by text, and the log probability of spelling its unknown words."""
     rows = [_words(text) for text in texts]
     n = np.fromiter(map(len, rows), np.int64, len(rows))
-    ids, spelled = _ids(model, chain.from_iterable(rows), int(n.sum())), np.zeros(len(rows))
+    ids, spelled = _ids(model, chain.from_iterable(rows), int(n.sum()), starts), np.zeros(len(rows))
     unknown = np.flatnonzero(ids == UNKNOWN)
     if len(unknown):
         text = np.searchsorted(np.cumsum(n), unknown, side="right")
@@ -186,10 +210,11 @@ def encoded(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col:
     shared = docs.sparkSession.sparkContext.broadcast(model._replace(weights=[]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        starts = _starts(shared.value.keys)
         for whole in batches:
             for lo in range(0, whole.num_rows, 256):
                 batch = whole.slice(lo, 256)
-                ids, n, spelled = _encoded(shared.value, batch.column(1).to_pylist())
+                ids, n, spelled = _encoded(shared.value, batch.column(1).to_pylist(), starts)
                 lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(n)), pa.int32()), pa.array(ids))
                 yield pa.RecordBatch.from_arrays([batch.column(0), lists, pa.array(n), pa.array(spelled)], ["doc_id", "ids", "n", "spelled"])
 
@@ -218,14 +243,43 @@ def _lists(batch: pa.RecordBatch, size: int = 256) -> Iterator[tuple[int, np.nda
         yield lo, ids, np.diff(lists.offsets.to_numpy())
 
 
+def _leaves(model: Model, goal: np.ndarray, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Leaves and depths of the words ``goal`` in their classes' trees."""
+    leaf = goal - np.take(model.first, classes) + np.take(model.sizes, classes)
+    return leaf, np.frexp(leaf.astype(float))[1] - 1  # exact: leaf < 2 ** 53
+
+
+def _by_depth(depth: np.ndarray) -> np.ndarray:
+    """An order by falling depth, which is at most 62."""
+    return np.argsort((-depth).astype(np.int8), kind="stable")
+
+
 def _choices(model: Model, goal: np.ndarray, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The choices down to the words ``goal``, from the last on: row of ``goal``, node (as a row of the weights), and right or not."""
-    start = model.first[classes]
-    leaf = goal - start + model.sizes[classes]
-    depth = np.frexp(leaf.astype(float))[1] - 1  # exact: leaf < 2 ** 53
-    which = np.repeat(np.arange(len(goal)), depth)
-    child = leaf[which] >> np.arange(len(which)) - np.repeat(np.cumsum(depth) - depth, depth)
-    return which, start[which] + (child >> 1), (child & 1).astype(bool)
+    """The choices down to the words ``goal``: row of ``goal``, node (as a row of the weights), and right or not.
+
+    The last choices of all words come first, then those before them. If depths fall, each step is of the first rows.
+    """
+    leaf, depth = _leaves(model, goal, classes)
+    sizes = len(depth) - np.cumsum(np.bincount(depth))  # of the steps; the last is empty
+    steps = np.repeat(np.arange(len(sizes)), sizes)
+    which = np.take(_by_depth(depth), np.arange(len(steps)) - np.repeat(np.cumsum(sizes) - sizes, sizes))
+    child = np.take(leaf, which) >> steps
+    return which, np.take(np.take(model.first, classes), which) + (child >> 1), (child & 1).astype(bool)
+
+
+def _steps(which: np.ndarray) -> list[tuple[slice, slice]]:
+    """By step of choices in which depths fall: its choices, and the rows they are of."""
+    begins = np.append(np.flatnonzero(which == 0), len(which)).tolist()
+    return [(slice(lo, hi), slice(0, hi - lo)) for lo, hi in itertools.pairwise(begins)]
+
+
+def _odds(h: np.ndarray, inner: np.ndarray, biases: np.ndarray, steps: list[tuple[slice, slice]]) -> np.ndarray:
+    """Log odds of going right at each choice, from the hidden layer and the weights of the choices' nodes."""
+    odds = np.empty(len(inner), np.result_type(h, inner))
+    for own, rows in steps:
+        np.einsum("ij,ij->i", h[rows], inner[own], out=odds[own])
+    odds += biases
+    return odds
 
 
 def _aligned(w: np.ndarray) -> np.ndarray:
@@ -238,7 +292,7 @@ def _aligned(w: np.ndarray) -> np.ndarray:
 
 
 def _hidden(weights: list[np.ndarray], seen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    flat = weights[0][seen].reshape(len(seen), -1)
+    flat = np.take(weights[0], seen, axis=0).reshape(len(seen), -1)  # much faster than by an index
     return flat, np.tanh(flat @ weights[3].reshape(-1, HIDDEN) + weights[4])
 
 
@@ -255,22 +309,31 @@ def _added(rows: np.ndarray, at: np.ndarray, changes: np.ndarray) -> None:
     """Adds ``changes`` to the rows ``at``, as often as they come; two float32 at a time, as one complex number."""
     pair = np.complex64 if rows.dtype == np.float32 else np.complex128
     half = rows.shape[1] // 2
-    np.add.at(rows.reshape(-1).view(pair), (at[:, None] * half + np.arange(half)).ravel(), changes.reshape(-1).view(pair))
+    places = np.repeat(at * half, half)
+    places += np.tile(np.arange(half), len(at))
+    np.add.at(rows.reshape(-1).view(pair), places, changes.reshape(-1).view(pair))
 
 
 def log_words(model: Model, row: np.ndarray, at: np.ndarray) -> np.ndarray:
     """Log probability of each word at the places ``at`` of ``row``, given the words around it."""
-    goal = row[at].astype(np.int64)
-    classes = model.of_class[goal].astype(np.int64)
-    _, h = _hidden(model.weights, row[at[:, None] + _AROUND])
+    goal = np.take(row, at).astype(np.int64)
+    classes = np.take(model.of_class, goal).astype(np.int64)
+    order = _by_depth(_leaves(model, goal, classes)[1])
+    at, goal, classes = np.take(at, order), np.take(goal, order), np.take(classes, order)
+    _, h = _hidden(model.weights, np.take(row, at[:, None] + _AROUND))
     scores = _scores(model.weights, h)
     out = scores[np.arange(len(at)), classes].astype(float)
     out -= np.log(np.exp(scores, out=scores) @ np.ones(scores.shape[1], scores.dtype))
     which, node, right = _choices(model, goal, classes)
-    against = np.einsum("ij,ij->i", h[which], model.weights[1][node]) + model.weights[2][node]
+    steps = _steps(which)
+    against = _odds(h, np.take(model.weights[1], node, axis=0), np.take(model.weights[2], node), steps)
     np.negative(against, out=against, where=right)
-    steps = np.maximum(against, 0) + np.log1p(np.exp(-np.abs(against)))
-    return out - np.bincount(which, steps, len(at))
+    costs = np.maximum(against, 0) + np.log1p(np.exp(-np.abs(against)))
+    for own, rows in steps:
+        out[rows] -= costs[own]
+    logs = np.empty_like(out)
+    logs[order] = out
+    return logs
 
 
 def _rates(model: Model, rate: float) -> np.ndarray:
@@ -284,9 +347,11 @@ def sgd(model: Model, row: np.ndarray, at: np.ndarray, rate: float, slow: np.nda
     flat_place, ones = place.reshape(-1, HIDDEN), np.ones(len(out_bias), out.dtype)
     for lo in range(0, len(at), BATCH):
         here = at[lo : lo + BATCH]
-        goal = row[here].astype(np.int64)
-        classes = model.of_class[goal].astype(np.int64)
-        seen = row[here[:, None] + _AROUND]
+        goal = np.take(row, here).astype(np.int64)
+        classes = np.take(model.of_class, goal).astype(np.int64)
+        order = _by_depth(_leaves(model, goal, classes)[1])
+        here, goal, classes = np.take(here, order), np.take(goal, order), np.take(classes, order)
+        seen = np.take(row, here[:, None] + _AROUND)
         flat, h = _hidden(model.weights, seen)
         scores = _scores(model.weights, h)
         np.exp(scores, out=scores)
@@ -295,16 +360,16 @@ def sgd(model: Model, row: np.ndarray, at: np.ndarray, rate: float, slow: np.nda
         dh = scores @ out.T
         which, node, right = _choices(model, goal, classes)
         if len(which):
-            inner, hs = nodes[node], h[which]
-            off = 1 / (1 + np.exp(-(np.einsum("ij,ij->i", hs, inner) + biases[node]))) - right
-            off = off.astype(h.dtype)
-            begins = np.flatnonzero(np.diff(which, prepend=-1))
+            steps, inner = _steps(which), np.take(nodes, node, axis=0)
+            off = 1 / (1 + np.exp(-_odds(h, inner, np.take(biases, node), steps))) - right
             inner *= off[:, None]
-            dh[which[begins]] += np.add.reduceat(inner, begins, axis=0)
+            for own, rows in steps:
+                dh[rows] += inner[own]
             # Nodes near a root are met by a share of its class's words; classes have about equal mass.
             off *= np.float32(-rate / (1 + len(here) / max(1, len(model.first))) ** 0.5)
-            hs *= off[:, None]
-            _added(nodes, node, hs)
+            for own, rows in steps:
+                np.multiply(h[rows], off[own, None], out=inner[own])
+            _added(nodes, node, inner)
             np.add.at(biases, node, off)
             if used is not None:
                 used[node] = True
@@ -316,7 +381,7 @@ def sgd(model: Model, row: np.ndarray, at: np.ndarray, rate: float, slow: np.nda
         place -= whole * (flat.T @ dh).reshape(place.shape)
         bias -= whole * dh.sum(axis=0)
         seen = seen.ravel().astype(np.int64)
-        dx *= -slow[seen][:, None]
+        dx *= -np.take(slow, seen)[:, None]
         _added(embed, seen, dx)
 
 
@@ -424,7 +489,7 @@ def train(docs: DataFrame, *, text_col: str = "text", rounds: int = ROUNDS, rate
     """
     cuts = Cuts(docs.sparkSession)
     model = vocabulary(cuts.cut(word_counts(docs, text_col), "words"), least)
-    ids = cuts.cut(encoded(docs.withColumn("_none", F.lit(0)), model, id_col="_none", text_col=text_col), "ids")
+    ids = cuts.cut(encoded(docs.withColumn("_none", F.lit(0)), model, id_col="_none", text_col=text_col), "ids", "zstd")
     model = fit(ids, model, rounds=rounds, rate=rate)
     cuts.drop("words"), cuts.drop("ids")
     return model
@@ -472,6 +537,6 @@ def train_and_score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     """``score`` of all documents by a model of the same documents, which are cut into words once."""
     cuts = Cuts(docs.sparkSession)
     model = vocabulary(cuts.cut(word_counts(docs, text_col), "words"))
-    ids = cuts.cut(encoded(docs, model, id_col=id_col, text_col=text_col), "ids")
+    ids = cuts.cut(encoded(docs, model, id_col=id_col, text_col=text_col), "ids", "zstd")
     cuts.drop("words")
     return score_encoded(ids, fit(ids, model))
