@@ -6,6 +6,7 @@ import hashlib
 import random
 import re
 import zlib
+from collections import Counter
 from fractions import Fraction
 
 import duckdb
@@ -234,3 +235,36 @@ def test_damage_is_found():
         tokenfile.read_block(data, other)
     with pytest.raises(tokenfile.TokenFileError):
         tokenfile.Frequencies.from_bytes(table.to_bytes()[:-1])
+
+
+def test_each_different_word_is_looked_up_once():
+    """Words are found in the memory once per call, however often they come; marks and digits need no search of whole words."""
+    tokenizer = tokenfile.ByteTokenizer(queries.tokenizer_path("byte_bpe_50k.json"))
+    looked = []
+
+    class Memory(dict):
+        def __getitem__(self, w):
+            looked.append(w)
+            return super().__getitem__(w)
+
+        def get(self, w, default=None):
+            looked.append(w)
+            return super().get(w, default)
+
+    tokenizer.known = Memory()
+    texts = ["one two. three, one 1.2.3.4 wasn't a×b é÷é### two!\n\none  x\n" * 300, "two one", "a\u00a0b two \u2003", "", "it's \x01 odd"]
+    for _ in range(2):
+        looked.clear()
+        got = tokenizer.encode_all(texts)
+        assert [ids.tolist() for ids in got] == [tokenizer.plain.encode(t, add_special_tokens=False).ids for t in texts]
+        assert len(looked) < 60
+
+
+def test_ids_are_counted_as_they_are_written(spark):
+    path = queries.tokenizer_path("byte_bpe_50k.json")
+    docs = spark.createDataFrame([(i, f"word{i} and " * (i % 7) if i % 5 else None) for i in range(60)], "doc_id bigint, text string").repartition(4)
+    made = tokenfile._tokenized(docs, path, "doc_id", "text", 2).cache()
+    want = Counter(int(t) for r in made.where("ids IS NOT NULL").collect() for t in tokenfile._unpacked(bytes(r["ids"])))
+    assert {r["id"]: r["n"] for r in tokenfile._counted(made.select("counts")).collect()} == want and want[2] == 60
+    assert tokenfile.tokenized(docs, path).count() == 60
+    assert tokenfile._counted(tokenfile._tokenized(docs.limit(0), path, "doc_id", "text", 2)).collect() == []

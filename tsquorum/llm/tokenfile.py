@@ -14,6 +14,7 @@ the words, checksum of all that. A document may go on over any number of blocks,
 
 from __future__ import annotations
 
+import functools
 import os
 import posixpath
 import re
@@ -26,6 +27,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -58,7 +60,9 @@ class TokenFileError(ValueError):
 _STOPS = re.compile(r" \x01(?<![^\W_] \x01)")
 #: A word whose ends are white space by no definition.
 _SOLID = re.compile(r"(?s)[!-~\w](.*[!-~\w])?\Z")
-_SIMPLE = re.compile(r"[A-Za-zÀ-ɏ]+\Z")
+#: A word of letters, digits and marks (but apostrophes, which may lead an ending), and its runs of one kind, which are tokens before merging.
+_PLAIN = re.compile(r"[!-&(-~À-ÖØ-öø-ɏ]+\Z")
+_RUNS = re.compile(r"[A-Za-zÀ-ÖØ-öø-ɏ]+|[0-9]+|[!-&(-/:-@\[-`{-~]+")
 
 
 def _byte_letters() -> dict[int, str]:
@@ -85,8 +89,8 @@ class ByteTokenizer:
         self.letters = _byte_letters()
         line = self.plain.encode("\n", add_special_tokens=False).ids
         self.line = line[0] if len(line) == 1 else -1
-        probe = "Some plain words, été À Öl.\nAnother's line: 12 of 34, end"
-        self.known: dict[str, bytes | None] = {}
+        probe = "Some plain words, été À Öl.\nAnother's line: 12 of 34, end x9.87###"
+        self.known: dict[str, bytes] = {}
         self.splits = "ByteLevel(add_prefix_space=False" in str(self.plain.pre_tokenizer) and self.plain.normalizer is None and self._joined(self._words(probe)) == self._whole(probe)
 
     def _whole(self, text: str) -> bytes:
@@ -94,12 +98,12 @@ class ByteTokenizer:
 
     def _joined(self, words: list[str]) -> bytes:
         self._learn(words)
-        return b"".join(self.known[w] or b"" for w in words)
+        return b"".join(map(self.known.__getitem__, words))
 
     def _learn(self, words: list[str]) -> None:
         """Ids of words: plain ones follow a blank, ``\\n`` leads those after a line end (with its id), ``\\x01`` those after neither.
 
-        Words that begin or end with what may be white space have None.
+        Words that begin or end with what may be white space have none.
         """
         known, letters, tokenize = self.known, self.letters, self.plain.model.tokenize
         blank = letters[32]
@@ -108,12 +112,16 @@ class ByteTokenizer:
             lead = w[:1] if w[:1] in ("\n", "\x01") else ""
             if w.isascii() and w.isalpha():
                 known[w] = array("I", [t.id for t in tokenize(blank + w)]).tobytes()
-            elif _SIMPLE.match(w):
-                known[w] = array("I", [t.id for t in tokenize(blank + w.encode().decode("latin-1").translate(letters))]).tobytes()
+            elif _PLAIN.match(w, len(lead)):
+                runs = _RUNS.findall(w, len(lead))
+                if not lead:
+                    runs[0] = " " + runs[0]
+                ids = [t.id for run in runs for t in tokenize(run if run.isascii() and run[0] != " " else run.encode().decode("latin-1").translate(letters))]
+                known[w] = array("I", [self.line, *ids] if lead == "\n" else ids).tobytes()
             elif _SOLID.match(w, len(lead)):
                 others["" if lead else " "].append(w)
             else:
-                known[w] = None
+                known[w] = b""
         line = np.uint32(self.line).tobytes()
         for lead, kind in others.items():
             for lo in range(0, len(kind), 500):
@@ -125,27 +133,41 @@ class ByteTokenizer:
                     known[w] = (line if w[0] == "\n" else b"") + ids[start:end].tobytes()
                     start = end + 1
 
-    def _words(self, text: str) -> list[str]:
+    def _marked(self, text: str) -> str:
+        """The text with a blank between any two words, led as ``_learn`` says."""
         lined = text.replace("\n", " \n")
         apart = lined.replace(". ", " \x01. ").replace(", ", " \x01, ")
-        words = (lined if _STOPS.search(apart) else apart).split(" ")
-        words[0] = "\x01" + words[0]
-        return words
+        return "\x01" + (lined if _STOPS.search(apart) else apart)
+
+    def _words(self, text: str) -> list[str]:
+        return self._marked(text).split(" ")
 
     def encode_all(self, texts: list[str]) -> list[np.ndarray]:
-        rows = [self._words(t) if self.splits and t and "\x01" not in t and not any(a in t for a in self.added) else None for t in texts]
-        new = set().union(*(r for r in rows if r is not None)) - self.known.keys()
-        self._learn(list(new))
-        out = []
-        for words, text in zip(rows, texts, strict=True):
-            try:
-                out.append(np.frombuffer(b"".join(map(self.known.__getitem__, words)), "<u4"))
-            except TypeError:  # no words, or one without ids
-                out.append(np.frombuffer(self._whole(text), "<u4"))
-        if len(self.known) > CACHED_WORDS:
-            for w in new:
-                del self.known[w]
-        return out
+        """The ids of each text. Each different word of all texts is looked up once; the rest is arithmetic on its places."""
+        out: list[np.ndarray | None] = [None] * len(texts)
+        plain = [k for k, t in enumerate(texts) if self.splits and t and "\x01" not in t and not any(a in t for a in self.added)]
+        if plain:
+            split = pc.split_pattern(pa.array([self._marked(texts[k]) for k in plain], pa.large_string()), " ")
+            coded = split.flatten().dictionary_encode()
+            words = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+            found = list(map(self.known.get, words))
+            new = [k for k, x in enumerate(found) if x is None]
+            self._learn([words[k] for k in new])
+            full = len(self.known) > CACHED_WORDS
+            for k in new:
+                found[k] = self.known.pop(words[k]) if full else self.known[words[k]]
+            ids = np.frombuffer(b"".join(found), "<u4")
+            sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
+            at = coded.indices.to_numpy()
+            n = np.take(sizes, at)
+            before = np.cumsum(n) - n
+            ids = np.take(ids, np.repeat(np.take(np.cumsum(sizes) - sizes, at) - before, n) + np.arange(n.sum()))
+            firsts = split.offsets.to_numpy()[:-1]
+            odd = np.logical_or.reduceat(n == 0, firsts).tolist()  # texts with a word without ids
+            for k, own, whole in zip(plain, np.split(ids, before[firsts[1:]]), odd, strict=True):
+                if not whole:
+                    out[k] = own
+        return [np.frombuffer(self._whole(t), "<u4") if own is None else own for own, t in zip(out, texts, strict=True)]
 
 
 _tokenizers: dict[str, ByteTokenizer] = {}
@@ -172,7 +194,12 @@ class Frequencies:
         top = int(self.ids[-1]) + 1 if len(self.ids) else 0
         self.place = np.full(top, -1, np.int64)
         self.place[self.ids] = np.arange(len(self.ids))
-        self.slots = np.repeat(np.arange(len(self.ids), dtype=np.int32), self.freq)
+
+    @functools.cached_property
+    def slots(self) -> np.ndarray:
+        """By slot: frequency of its id, its place among that id's slots, and place of the id, in 64 bits."""
+        of = np.repeat(np.arange(len(self.ids)), self.freq)
+        return (self.freq[of] << 2 * SCALE | np.arange(len(of)) - self.cum[of] << SCALE | of).astype(np.uint64)
 
     @classmethod
     def of_counts(cls, ids: np.ndarray, counts: np.ndarray) -> Frequencies:
@@ -213,21 +240,23 @@ def _lanes(n: int) -> int:
 
 def encode_ids(ids: np.ndarray, table: Frequencies) -> tuple[np.ndarray, list[tuple[int, int, np.ndarray]]]:
     """The words, and per checkpoint (place in the words, checksum of its ids, states of the lanes), for at least one id."""
-    at = table.place[ids]
-    freq, cum = table.freq[at].astype(np.uint64), table.cum[at].astype(np.uint64)
+    at = np.take(table.place, ids)
+    freq, cum = np.take(table.freq.astype(np.uint64), at), np.take(table.cum.astype(np.uint64), at)
     lanes = _lanes(len(ids))
     steps = -(-len(ids) // lanes)
     state, out, marks = np.full(lanes, LOW, np.uint64), [], []
-    limit, scale, half = freq << np.uint64(63 - SCALE), np.uint64(SCALE), np.uint64(32)
+    limit, rest, half = freq << np.uint64(63 - SCALE), np.uint64(1 << SCALE) - freq, np.uint64(32)
     for step in range(steps - 1, -1, -1):
         here = slice(step * lanes, (step + 1) * lanes)
         f = freq[here]
         x = state[: len(f)]
         over = x >= limit[here]
         out.append(x[over].astype(np.uint32))  # the low 32 bits
-        x = np.where(over, x >> half, x)
+        np.right_shift(x, half, out=x, where=over)
         q = x // f
-        state[: len(f)] = (q << scale) + (x - q * f) + cum[here]
+        q *= rest[here]
+        x += q  # the quotient times 2 ** SCALE, and the remainder
+        x += cum[here]
         if step % INTERVAL == 0:
             marks.append((step, len(out), state.copy()))
     sizes = np.cumsum([len(w) for w in out])
@@ -242,7 +271,7 @@ def decode_ids(words: np.ndarray, marks: list[tuple[int, int, np.ndarray]], n: i
     steps = -(-n // lanes)
     last = len(marks) if last is None else last
     parts, mask, scale, half = [], np.uint64((1 << SCALE) - 1), np.uint64(SCALE), np.uint64(32)
-    freq, cum, words = table.freq.astype(np.uint64), table.cum.astype(np.uint64), words.astype(np.uint64)
+    twice, slots, words = np.uint64(2 * SCALE), table.slots, words.astype(np.uint64)
     state, place = marks[first][2].copy(), marks[first][0]
     for k in range(first, last):
         if place != marks[k][0] or not np.array_equal(state, marks[k][2]):
@@ -250,17 +279,16 @@ def decode_ids(words: np.ndarray, marks: list[tuple[int, int, np.ndarray]], n: i
         found = []
         for step in range(k * INTERVAL, min((k + 1) * INTERVAL, steps)):
             x = state[: min(lanes, n - step * lanes)]
-            slot = x & mask
-            symbol = table.slots[slot]
-            x = freq[symbol] * (x >> scale) + slot - cum[symbol]
+            code = np.take(slots, (x & mask).view(np.int64))
+            x = (x >> scale) * (code >> twice) + (code >> scale & mask)
             low = np.flatnonzero(x < LOW)
             if place + len(low) > len(words):
                 raise TokenFileError("the words end early")
             x[low] = (x[low] << half) | words[place : place + len(low)]
             place += len(low)
             state[: len(x)] = x
-            found.append(symbol)
-        ids = table.ids[np.concatenate(found)].astype("<u4")
+            found.append(code)
+        ids = np.take(table.ids.astype("<u4"), (np.concatenate(found) & mask).view(np.int64))
         if zlib.crc32(ids) != marks[k][1]:
             raise TokenFileError("ids don't have their checksum")
         parts.append(ids)
@@ -347,22 +375,38 @@ class _Blocks:
             yield self._close(False)
 
 
-def tokenized(docs: DataFrame, tokenizer_path: str, *, id_col: str = "doc_id", text_col: str = "text", end_id: int = END_ID) -> DataFrame:
-    """(doc_id, row, n, ids): each document's ids and ``end_id`` as compressed 32-bit numbers, rows numbered in table order."""
+_TOKENIZED = "doc_id bigint, row bigint, n bigint, ids binary"
+
+
+def _tokenized(docs: DataFrame, tokenizer_path: str, id_col: str, text_col: str, end_id: int) -> DataFrame:
+    """The rows of ``tokenized``, and per partition one that has in ``counts`` alone how often each id occurs in it: all ids, then all numbers."""
     if not isinstance(docs.schema[id_col].dataType, IntegralType):
         raise TypeError(f"{id_col} must be an integer")
+    names = [c.split()[0] for c in _TOKENIZED.split(", ")] + ["counts"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = _tokenizer(tokenizer_path)
+        total = np.zeros(0, np.int64)
         for whole in batches:
-            for lo in range(0, whole.num_rows, 512):
-                batch = whole.slice(lo, 512)
+            for lo in range(0, whole.num_rows, 1024):
+                batch = whole.slice(lo, 1024)
                 rows = [np.append(ids, np.uint32(end_id)) for ids in tokenizer.encode_all([t or "" for t in batch.column(2).to_pylist()])]
+                more = np.bincount(np.concatenate(rows), minlength=len(total))
+                more[: len(total)] += total
+                total = more
                 packed = [_packed(ids) for ids in rows]
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([len(ids) for ids in rows], pa.int64()), pa.array(packed, pa.binary())], ["doc_id", "row", "n", "ids"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([len(ids) for ids in rows], pa.int64()), pa.array(packed, pa.binary()), pa.nulls(len(rows), pa.binary())], names)
+        some = np.flatnonzero(total)
+        if len(some):
+            yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64())] * 3 + [pa.nulls(1, pa.binary()), pa.array([np.concatenate([some, total[some]]).astype("<i8").tobytes()], pa.binary())], names)
 
     slim = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.monotonically_increasing_id().alias("row"), F.col(text_col).cast("string").alias("text"))
-    return slim.mapInArrow(released(run), "doc_id bigint, row bigint, n bigint, ids binary")
+    return slim.mapInArrow(released(run), _TOKENIZED + ", counts binary")
+
+
+def tokenized(docs: DataFrame, tokenizer_path: str, *, id_col: str = "doc_id", text_col: str = "text", end_id: int = END_ID) -> DataFrame:
+    """(doc_id, row, n, ids): each document's ids and ``end_id`` as compressed 32-bit numbers, rows numbered in table order."""
+    return _tokenized(docs, tokenizer_path, id_col, text_col, end_id).where("counts IS NULL").drop("counts")
 
 
 def _packed(ids: np.ndarray) -> bytes:
@@ -378,20 +422,19 @@ def _unpacked(data: bytes) -> np.ndarray:
 
 
 def _counted(ids: DataFrame) -> DataFrame:
-    """(id, n): how often each id occurs, summed up by partition before it is shuffled."""
+    """(id, n): how often each id occurs, from the ``counts`` of ``_tokenized``; summed up by partition before it is shuffled."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(0, np.int64)
         for batch in batches:
             for data in batch.column(0):
-                more = np.bincount(_unpacked(data.as_py()))
-                if len(more) > len(total):
-                    total = np.append(total, np.zeros(len(more) - len(total), np.int64))
-                total[: len(more)] += more
+                some, n = np.frombuffer(data.as_py(), "<i8").reshape(2, -1)
+                total = np.append(total, np.zeros(max(0, int(some[-1]) + 1 - len(total)), np.int64))
+                total[some] += n
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array(total[some], pa.int64())], ["id", "n"])
 
-    return ids.select("ids").mapInArrow(released(run), "id bigint, n bigint").groupBy("id").agg(F.sum("n").alias("n"))
+    return ids.where("counts IS NOT NULL").select("counts").mapInArrow(released(run), "id bigint, n bigint").groupBy("id").agg(F.sum("n").alias("n"))
 
 
 def write_token_files(docs: DataFrame, tokenizer_path: str, *, id_col: str = "doc_id", text_col: str = "text", end_id: int = END_ID, folder: str | None = None, block: int = BLOCK) -> tuple[str, DataFrame]:
@@ -402,12 +445,12 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, *, id_col: str = "do
     it needs. An empty table gives a table of frequencies and no files. Other columns aren't read.
 
     A task writes under a name of its own and renames it when complete, so a repeated task leaves one file. The ids
-    are written once to the shared folder before they are counted and sorted, and deleted when the files are there.
+    are counted as they are written to the shared folder, once, before they are sorted, and deleted when the files are there.
     """
     spark = docs.sparkSession
     cuts = Cuts(spark)
     folder = folder or fresh_path(spark, "tokens")
-    ids = cuts.cut(tokenized(docs, tokenizer_path, id_col=id_col, text_col=text_col, end_id=end_id), "ids")
+    ids = cuts.cut(_tokenized(docs, tokenizer_path, id_col, text_col, end_id), "ids")
     counts = _counted(ids).toArrow()  # a row per id of the vocabulary at most
     table = Frequencies.of_counts(counts.column(0).to_numpy(), counts.column(1).to_numpy())
     data = table.to_bytes()
@@ -450,7 +493,7 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, *, id_col: str = "do
         yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([posixpath.join(folder, name)]), pa.array([n_docs], pa.int64()), pa.array([sum(r[3] for r in index)], pa.int64())], ["part", "path", "n_docs", "n_ids"])
 
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(counts.column(1).to_numpy().sum()) // FILE_IDS + 1)
-    dealt = ids.repartitionByRange(parts, "doc_id", "row").sortWithinPartitions("doc_id", "row").select("doc_id", "ids")
+    dealt = ids.where("counts IS NULL").select("doc_id", "row", "ids").repartitionByRange(parts, "doc_id", "row").sortWithinPartitions("doc_id", "row").select("doc_id", "ids")
     files = cuts.cut(dealt.mapInArrow(released(run), "part int, path string, n_docs bigint, n_ids bigint"), "files")
     cuts.drop("ids")
     return folder, files
