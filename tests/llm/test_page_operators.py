@@ -476,3 +476,55 @@ def test_choices_of_one_step_are_of_the_first_words(spark):
     row, places = lm._framed(goal.astype(np.int32), np.array([200]))
     together = lm.log_words(model, row, places)
     assert together == pytest.approx([lm.log_words(model, row, places[k : k + 1])[0] for k in range(200)], abs=1e-4)
+
+
+def test_words_are_cut_and_hashed_together():
+    """All texts at once give the words of each text, and a word has one hash wherever it begins."""
+    rng = random.Random(6)
+    texts = [None, b"", b" ", b"a", "\u00c9 ZE\u0301\u2003x".encode(), b"A\x0bB\x0c c\x1cd\x85e\t\r\n", bytes(range(256)), b"x" * 5000, b"\0 \0\0 " + bytes(8) + b" " + bytes(9)]
+    texts += [b" ".join(bytes(rng.choices(b"abC", k=rng.randrange(1, 30))) for _ in range(rng.randrange(40))) for _ in range(50)]
+    for lo in range(0, len(texts), 7):
+        some = texts[lo : lo + 7]
+        row, begins, lengths, n = lm._cut(some)
+        words = [w for text in some for w in lm._words(text)]
+        assert [bytes(row[i : i + k]) for i, k in zip(begins, lengths, strict=True)] == words
+        assert n.tolist() == [len(lm._words(text)) for text in some]
+        assert (lm._hashes(row, begins, lengths) == lm._hashed(words)).all()
+    words = {w for text in texts for w in lm._words(text)} | {bytes(97 + (i >> k & 1) for k in range(17)) for i in range(1 << 12)}
+    assert len(set(lm._hashed(list(words)).tolist())) == len(words) > 4096
+    assert all(len(x) == 0 for x in (*lm._cut([])[1:], lm._hashed([])))
+
+
+def test_words_are_counted_by_hash(spark):
+    """Only hashes leave the tasks; vocabulary, counts and letters are those of the table of words."""
+    texts = [None, "", "a b b", "B \u00e9t\u00e9 \u00c9", *("the cat sees %d" % (k % 9) for k in range(80)), "x" * 3000]
+    docs = spark.createDataFrame([(t,) for t in texts], "words string").repartition(3)
+    one, two = lm.corpus_vocabulary(docs, "words"), lm.vocabulary(lm.word_counts(docs, "words"))
+    assert len(one.keys) > 4 and one.counts[lm.UNKNOWN] == two.counts[lm.UNKNOWN] > 1
+    for a, b in zip(one, two, strict=True):
+        assert all((x == y).all() for x, y in zip(a, b, strict=True)) if isinstance(a, list) else (a == b).all()
+
+
+def test_ids_are_stored_in_parts(spark):
+    """Of 70,000 words: every id is read back, and no row has a value per word."""
+    words = [f"w{i}" for i in range(70_000)]
+    model = lm._untrained(np.sort(lm._hashed([w.encode() for w in words])), np.arange(70_000) + 5, 3, np.ones(257))
+    texts = [None, "W1 unknown", *(" ".join(words[k : k + 999]) for k in range(0, 70_000, 999)), ""]
+    table = lm.encoded(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").coalesce(1), model)
+    assert not any("array" in kind for _, kind in table.dtypes)
+    found = table.toArrow().combine_chunks().to_batches()[0]
+    ids, n = (np.concatenate(x) for x in list(zip(*lm._lists(found, 10), strict=True))[1:])
+    assert n.tolist() == [len((t or "").split()) for t in texts] and ids.max() == 70_001
+    assert (ids == lm._ids(model, [w.encode() for t in texts for w in (t or "").lower().split()], len(ids))).all() and (ids == lm.UNKNOWN).sum() == 1
+
+
+def test_rows_are_added_as_often_as_they_come():
+    rng = np.random.default_rng(7)
+    for kind in (np.float32, np.float64):
+        rows, at, changes = rng.normal(size=(5, 16)).astype(kind), rng.integers(0, 5, 200), rng.normal(size=(200, 16)).astype(kind)
+        wanted = rows.copy()
+        for k, change in zip(at, changes, strict=True):
+            wanted[k] += change
+        lm._added(rows, at, changes)
+        assert (rows == wanted).all()
+    assert (lm._wide(np.arange(3.0), 2) == [[0, 0], [1, 1], [2, 2]]).all()

@@ -23,12 +23,11 @@ from __future__ import annotations
 import itertools
 from collections import Counter
 from collections.abc import Iterable, Iterator
-from itertools import chain
+from itertools import islice
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -41,6 +40,12 @@ CLASSES, WIDTH, HIDDEN, REACH = 64, 16, 16, 2
 ROUNDS, RATE, BATCH = 2, 0.1, 1024
 #: Different words whose counts a task holds before it sends them.
 HELD_WORDS = 200_000
+#: Words whose hashes a task holds before it adds them up and sends them.
+HELD_HASHES = 1 << 21
+#: Texts that are cut into words at once.
+TEXTS = 64
+#: Words that are scored at once.
+SCORED = 8192
 #: Rows of weights whose changes one task sums up.
 SLOT_ROWS = 16_384
 EDGE, UNKNOWN, FIRST = 0, 1, 2  # ids of the padding, of words beyond the vocabulary, and of the commonest word
@@ -84,32 +89,67 @@ def word_counts(docs: DataFrame, text_col: str) -> DataFrame:
     return texts.mapInArrow(released(run), "word binary, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
 
 
+def _cut(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Bytes of all texts in lower case, begins and lengths of the words that ``_words`` finds, and their number by text."""
+    sizes = np.fromiter((len(text or b"") + 1 for text in texts), np.int64, len(texts))
+    row = b"\n".join([b"", *(text or b"" for text in texts), b"\n" * (16 - (int(sizes.sum()) + 1) % 8)]).lower()
+    letters = np.frombuffer(row, np.uint8)
+    space = (letters == 32) | ((letters >= 9) & (letters <= 13))
+    edges = np.flatnonzero(space[1:] != space[:-1]) + 1
+    begins = edges[::2]
+    return letters, begins, edges[1::2] - begins, np.diff(np.searchsorted(begins, np.append(0, np.cumsum(sizes)) + 1))
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """One to one, every bit of the result from all bits of ``x``: the last steps of splitmix64."""
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
+    return x ^ (x >> np.uint64(31))
+
+
+def _hashes(letters: np.ndarray, begins: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """64-bit hashes of words in ``letters``, a multiple of 8 bytes of which the last 8 are in no word: eight bytes of each at a time, mixed with what came before.
+
+    Different words of one length up to 8 have different hashes.
+    """
+    eights, found = letters.view("<u8"), lengths.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    masks = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+    at, begin, left = np.arange(len(begins)), begins, lengths
+    while len(at):
+        place, over = begin >> 3, ((begin & 7) << 3).astype(np.uint64)
+        own = np.take(eights, place) >> over
+        own |= (np.take(eights, place + 1) << np.uint64(1)) << (np.uint64(63) - over)
+        own &= np.take(masks, np.minimum(left, 8))
+        found[at] = _mixed(np.take(found, at) ^ own)
+        more = np.flatnonzero(left > 8)
+        at, begin, left = np.take(at, more), np.take(begin, more) + 8, np.take(left, more) - 8
+    return found
+
+
 def _hashed(words: list[bytes]) -> np.ndarray:
-    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
+    lengths = np.fromiter(map(len, words), np.int64, len(words))
+    row = b"".join(words)
+    return _hashes(np.frombuffer(row + bytes(16 - len(row) % 8), np.uint8), np.cumsum(lengths) - lengths, lengths)
 
 
-def _tallies(counts: DataFrame, least: int) -> tuple[np.ndarray, np.ndarray, int, np.ndarray]:
-    """Hashes and counts of the words seen ``least`` times, the number of the other words, and of each letter in all words."""
+_TALLY = "kind int, key bigint, n bigint"
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        letters = np.zeros(257, np.int64)
-        rest = 0
-        for batch in batches:
-            words, n = batch.column(0).to_pylist(), batch.column(1).to_numpy()
-            letters[:256] += np.bincount(np.frombuffer(b"".join(words), np.uint8), np.repeat(n, [len(w) for w in words]), 256).astype(np.int64)
-            letters[256] += n.sum()
-            rest += int(n[n < least].sum())
-            often = np.flatnonzero(n >= least)
-            keys = _hashed([words[i] for i in often]).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(often), np.int32)), pa.array(keys), pa.array(n[often])], ["kind", "key", "n"])
-        at = np.arange(258)
-        yield pa.RecordBatch.from_arrays([pa.array(np.ones(258, np.int32)), pa.array(at), pa.array(np.append(letters, rest))], ["kind", "key", "n"])
-
-    found = counts.select("word", "n").mapInArrow(released(run), "kind int, key bigint, n bigint").groupBy("kind", "key").agg(F.sum("n").alias("n")).toArrow()
+
+def _tally(kind: int, key: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.full(len(key), kind, np.int32)), pa.array(key.view(np.int64)), pa.array(n)], ["kind", "key", "n"])
+
+
+def _summed(tallies: DataFrame, least: int) -> tuple[np.ndarray, np.ndarray, int, np.ndarray]:
+    """Hashes and counts of the words seen ``least`` times, the number of the other words, and of each letter in all words.
+
+    ``tallies`` has hashes with counts (kind 0), and how often each byte and, at 256, a word's end came (kind 1).
+    """
+    found = tallies.groupBy("kind", "key").agg(F.sum("n").alias("n")).where((F.col("kind") == 1) | (F.col("n") >= least)).toArrow()
     kind, key, n = (found.column(c).to_numpy() for c in ("kind", "key", "n"))
-    letters = np.zeros(258, np.int64)
+    letters = np.zeros(257, np.int64)
     letters[key[kind == 1]] = n[kind == 1]
-    return key[kind == 0].view(np.uint64), n[kind == 0], int(letters[257]), letters[:257] + 1
+    key, n = key[kind == 0].view(np.uint64), n[kind == 0]
+    return key, n, int(letters[256] - n.sum()), letters + 1
 
 
 def _tree_biases(n: np.ndarray) -> np.ndarray:
@@ -132,12 +172,55 @@ def _tree_biases(n: np.ndarray) -> np.ndarray:
 
 
 def vocabulary(counts: DataFrame, least: int = LEAST) -> Model:
-    """The model before training: its probabilities are the words' shares of the corpus, whatever is around.
+    """The model before training, from (word, n): its probabilities are the words' shares of the corpus, whatever is around.
 
     All words seen ``least`` times, commonest first (ties by hash); the driver holds a hash and a count of each.
     Words are told apart by 64-bit hashes.
     """
-    keys, n, rest, letters = _tallies(counts, least)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        letters = np.zeros(257, np.int64)
+        for batch in batches:
+            words, n = batch.column(0).to_pylist(), batch.column(1).to_numpy()
+            letters[:256] += np.bincount(np.frombuffer(b"".join(words), np.uint8), np.repeat(n, [len(w) for w in words]), 256).astype(np.int64)
+            letters[256] += n.sum()
+            yield _tally(0, _hashed(words), n)
+        yield _tally(1, np.arange(257), letters)
+
+    return _untrained(*_summed(counts.select("word", "n").mapInArrow(released(run), _TALLY), least))
+
+
+def corpus_vocabulary(docs: DataFrame, text_col: str, least: int = LEAST) -> Model:
+    """``vocabulary`` of the ``word_counts`` of ``docs``. Only hashes leave the tasks, which sort them to add them up."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        letters, held, n = np.zeros(257, np.int64), [], 0
+
+        def sent() -> pa.RecordBatch:
+            keys = np.sort(np.concatenate(held or [np.zeros(0, np.uint64)]))
+            begins = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])[: len(keys)])
+            held.clear()
+            return _tally(0, keys[begins], np.diff(np.append(begins, len(keys))))
+
+        for batch in batches:
+            for lo in range(0, batch.num_rows, TEXTS):
+                row, begins, lengths, _ = _cut(batch.column(0).slice(lo, TEXTS).to_pylist())
+                held.append(_hashes(row, begins, lengths))
+                letters[:256] += np.bincount(row, minlength=256)
+                letters[256] += len(begins)
+                n += len(begins)
+                if n > HELD_HASHES:
+                    yield sent()
+                    n = 0
+        letters[[9, 10, 11, 12, 13, 32]] = 0  # between words
+        yield sent()
+        yield _tally(1, np.arange(257), letters)
+
+    texts = docs.select(F.col(text_col).cast("binary").alias("text"))
+    return _untrained(*_summed(texts.mapInArrow(released(run), _TALLY), least))
+
+
+def _untrained(keys: np.ndarray, n: np.ndarray, rest: int, letters: np.ndarray) -> Model:
     order = np.lexsort([keys, -n])
     keys, n = keys[order], n[order]
     seen = np.concatenate([[0, max(1, rest)], n])
@@ -161,14 +244,18 @@ def vocabulary(counts: DataFrame, least: int = LEAST) -> Model:
     return Model(keys[by_key], (by_key + FIRST).astype(np.int32), seen, of_class, first, sizes, np.log(letters / letters.sum()), weights)
 
 
-def _ids(model: Model, words: Iterable[bytes], n: int, starts: tuple[np.uint64, np.ndarray] | None = None) -> np.ndarray:
+def _known(model: Model, wanted: np.ndarray, starts: tuple[np.uint64, np.ndarray] | None = None) -> np.ndarray:
+    """Ids of the words with the hashes ``wanted``."""
     if not len(model.keys):
-        return np.full(n, UNKNOWN, np.int32)
-    wanted = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, n)
+        return np.full(len(wanted), UNKNOWN, np.int32)
     at = _found(model.keys, _starts(model.keys) if starts is None else starts, wanted)
     return np.where(np.take(model.keys, at) == wanted, np.take(model.ids, at), UNKNOWN).astype(np.int32)
 
 
+def _ids(model: Model, words: Iterable[bytes], n: int) -> np.ndarray:
+    return _known(model, _hashed(list(islice(words, n))))
+
+
 def _starts(keys: np.ndarray) -> tuple[np.uint64, np.ndarray]:
     """A shift, and the number of sorted ``keys`` below each value of their leading bits, of which there are about as many as keys."""
     bits = max(1, len(keys).bit_length())
@@ -192,34 +279,41 @@ def _found(keys: np.ndarray, starts: tuple[np.uint64, np.ndarray], wanted: np.nd
 
 def _encoded(model: Model, texts: list[bytes | None], starts: tuple[np.uint64, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Ids of all texts in a row, the number of words by text, and the log probability of spelling its unknown words."""
-    rows = [_words(text) for text in texts]
-    n = np.fromiter(map(len, rows), np.int64, len(rows))
-    ids, spelled = _ids(model, chain.from_iterable(rows), int(n.sum()), starts), np.zeros(len(rows))
+    row, begins, lengths, n = _cut(texts)
+    ids, spelled = _known(model, _hashes(row, begins, lengths), starts), np.zeros(len(texts))
     unknown = np.flatnonzero(ids == UNKNOWN)
     if len(unknown):
         text = np.searchsorted(np.cumsum(n), unknown, side="right")
-        words = [rows[i][k] for i, k in zip(text.tolist(), (unknown - (np.cumsum(n) - n)[text]).tolist(), strict=True)]
-        lengths = np.fromiter(map(len, words), np.int64, len(words))
-        letters = model.letters[np.frombuffer(b"".join(words), np.uint8)]
-        spelled += np.bincount(text, np.add.reduceat(letters, np.cumsum(lengths) - lengths) + model.letters[256], len(rows))
+        begins, lengths = begins[unknown], lengths[unknown]
+        first = np.cumsum(lengths) - lengths
+        letters = model.letters[row[np.arange(lengths.sum()) + np.repeat(begins - first, lengths)]]
+        spelled += np.bincount(text, np.add.reduceat(letters, first) + model.letters[256], len(texts))
     return ids, n, spelled
 
 
+#: Parts of ids, which are stored apart: each packs better than the ids do, and a row has few values to be copied.
+_PARTS = {"low": np.dtype(np.uint8), "middle": np.dtype(np.uint8), "high": np.dtype("<u2")}
+
+
 def encoded(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, ids, n, spelled) per row: the ids of the words, their number, and the log probability of spelling the unknown ones."""
+    """(doc_id, low, middle, high, n, spelled) per row: the ids of the words, their number, and the log probability of spelling the unknown ones.
+
+    Of the ids, ``low`` holds bits 0 to 7 (a byte per word), ``middle`` bits 8 to 15 and ``high`` the rest (two bytes, the lower first).
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model._replace(weights=[]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         starts = _starts(shared.value.keys)
         for whole in batches:
-            for lo in range(0, whole.num_rows, 256):
-                batch = whole.slice(lo, 256)
+            for lo in range(0, whole.num_rows, TEXTS):
+                batch = whole.slice(lo, TEXTS)
                 ids, n, spelled = _encoded(shared.value, batch.column(1).to_pylist(), starts)
-                lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(n)), pa.int32()), pa.array(ids))
-                yield pa.RecordBatch.from_arrays([batch.column(0), lists, pa.array(n), pa.array(spelled)], ["doc_id", "ids", "n", "spelled"])
+                ends = np.append(0, np.cumsum(n))
+                parts = [pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer((ends * kind.itemsize).astype(np.int32)), pa.py_buffer((ids >> shift).astype(kind))]) for shift, kind in zip((0, 8, 16), _PARTS.values(), strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column(0), *parts, pa.array(n), pa.array(spelled)], ["doc_id", *_PARTS, "n", "spelled"])
 
     slim = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
-    return slim.mapInArrow(released(run), f"doc_id {slim.schema['doc_id'].dataType.simpleString()}, ids array<int>, n bigint, spelled double")
+    return slim.mapInArrow(released(run), f"doc_id {slim.schema['doc_id'].dataType.simpleString()}, low binary, middle binary, high binary, n bigint, spelled double")
 
 
 def targets(n: np.ndarray, r: int, rounds: int) -> np.ndarray:
@@ -238,9 +332,9 @@ def _framed(ids: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def _lists(batch: pa.RecordBatch, size: int = 256) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     for lo in range(0, batch.num_rows, size):
-        lists = batch.slice(lo, size).column("ids")
-        ids = lists.flatten().to_numpy(zero_copy_only=False)
-        yield lo, ids, np.diff(lists.offsets.to_numpy())
+        rows = batch.slice(lo, size)
+        low, middle, high = (np.frombuffer(b"".join(rows.column(name).to_pylist()), kind).astype(np.int32) for name, kind in _PARTS.items())
+        yield lo, low | middle << 8 | high << 16, rows.column("n").to_numpy()
 
 
 def _leaves(model: Model, goal: np.ndarray, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -254,17 +348,28 @@ def _by_depth(depth: np.ndarray) -> np.ndarray:
     return np.argsort((-depth).astype(np.int8), kind="stable")
 
 
+def _path(leaf: np.ndarray, depth: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[tuple[slice, slice]]]:
+    """The choices down to leaves of falling depth, the last ones first: nodes (as rows of the weights), 1 where it is right, and steps.
+
+    ``first`` are the first rows of the leaves' classes. Steps are as of ``_steps``.
+    """
+    sizes = (len(depth) - np.cumsum(np.bincount(depth)))[:-1]  # of the steps
+    ends = np.cumsum(sizes)
+    which = np.arange(sizes.sum()) - np.repeat(ends - sizes, sizes)
+    child = np.take(leaf, which) >> np.repeat(np.arange(len(sizes)), sizes)
+    steps = [(slice(hi - size, hi), slice(0, size)) for size, hi in zip(sizes.tolist(), ends.tolist(), strict=True)]
+    return np.take(first, which) + (child >> 1), (child & 1).astype(np.float32), steps
+
+
 def _choices(model: Model, goal: np.ndarray, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The choices down to the words ``goal``: row of ``goal``, node (as a row of the weights), and right or not.
 
     The last choices of all words come first, then those before them. If depths fall, each step is of the first rows.
     """
     leaf, depth = _leaves(model, goal, classes)
-    sizes = len(depth) - np.cumsum(np.bincount(depth))  # of the steps; the last is empty
-    steps = np.repeat(np.arange(len(sizes)), sizes)
-    which = np.take(_by_depth(depth), np.arange(len(steps)) - np.repeat(np.cumsum(sizes) - sizes, sizes))
-    child = np.take(leaf, which) >> steps
-    return which, np.take(np.take(model.first, classes), which) + (child >> 1), (child & 1).astype(bool)
+    order = _by_depth(depth)
+    node, right, steps = _path(np.take(leaf, order), np.take(depth, order), np.take(np.take(model.first, classes), order))
+    return np.concatenate([order[rows] for _, rows in steps] or [order[:0]]), node, right.astype(bool)
 
 
 def _steps(which: np.ndarray) -> list[tuple[slice, slice]]:
@@ -275,9 +380,10 @@ def _steps(which: np.ndarray) -> list[tuple[slice, slice]]:
 
 def _odds(h: np.ndarray, inner: np.ndarray, biases: np.ndarray, steps: list[tuple[slice, slice]]) -> np.ndarray:
     """Log odds of going right at each choice, from the hidden layer and the weights of the choices' nodes."""
-    odds = np.empty(len(inner), np.result_type(h, inner))
+    products = np.empty(inner.shape, np.result_type(h, inner))
     for own, rows in steps:
-        np.einsum("ij,ij->i", h[rows], inner[own], out=odds[own])
+        np.multiply(h[rows], inner[own], out=products[own])
+    odds = products @ np.ones(inner.shape[1], products.dtype)  # much faster than a sum by row
     odds += biases
     return odds
 
@@ -305,29 +411,33 @@ def _scores(weights: list[np.ndarray], hidden: np.ndarray) -> np.ndarray:
     return scores
 
 
+def _wide(x: np.ndarray, width: int) -> np.ndarray:
+    """``x`` in each of ``width`` columns; products with it are much faster than with one column."""
+    return np.repeat(x, width).reshape(-1, width)
+
+
 def _added(rows: np.ndarray, at: np.ndarray, changes: np.ndarray) -> None:
-    """Adds ``changes`` to the rows ``at``, as often as they come; two float32 at a time, as one complex number."""
+    """Adds ``changes`` to the rows ``at``, as often as they come; by column, two float32 at a time as one complex number."""
     pair = np.complex64 if rows.dtype == np.float32 else np.complex128
-    half = rows.shape[1] // 2
-    places = np.repeat(at * half, half)
-    places += np.tile(np.arange(half), len(at))
-    np.add.at(rows.reshape(-1).view(pair), places, changes.reshape(-1).view(pair))
+    rows, changes = rows.view(pair), changes.view(pair)
+    for k in range(rows.shape[1]):
+        np.add.at(rows[:, k], at, changes[:, k])
 
 
 def log_words(model: Model, row: np.ndarray, at: np.ndarray) -> np.ndarray:
     """Log probability of each word at the places ``at`` of ``row``, given the words around it."""
     goal = np.take(row, at).astype(np.int64)
     classes = np.take(model.of_class, goal).astype(np.int64)
-    order = _by_depth(_leaves(model, goal, classes)[1])
-    at, goal, classes = np.take(at, order), np.take(goal, order), np.take(classes, order)
+    leaf, depth = _leaves(model, goal, classes)
+    order = _by_depth(depth)
+    at, classes, leaf, depth = (np.take(x, order) for x in (at, classes, leaf, depth))
     _, h = _hidden(model.weights, np.take(row, at[:, None] + _AROUND))
     scores = _scores(model.weights, h)
     out = scores[np.arange(len(at)), classes].astype(float)
     out -= np.log(np.exp(scores, out=scores) @ np.ones(scores.shape[1], scores.dtype))
-    which, node, right = _choices(model, goal, classes)
-    steps = _steps(which)
+    node, right, steps = _path(leaf, depth, np.take(model.first, classes))
     against = _odds(h, np.take(model.weights[1], node, axis=0), np.take(model.weights[2], node), steps)
-    np.negative(against, out=against, where=right)
+    against *= 1 - 2 * right
     costs = np.maximum(against, 0) + np.log1p(np.exp(-np.abs(against)))
     for own, rows in steps:
         out[rows] -= costs[own]
@@ -349,8 +459,9 @@ def sgd(model: Model, row: np.ndarray, at: np.ndarray, rate: float, slow: np.nda
         here = at[lo : lo + BATCH]
         goal = np.take(row, here).astype(np.int64)
         classes = np.take(model.of_class, goal).astype(np.int64)
-        order = _by_depth(_leaves(model, goal, classes)[1])
-        here, goal, classes = np.take(here, order), np.take(goal, order), np.take(classes, order)
+        leaf, depth = _leaves(model, goal, classes)
+        order = _by_depth(depth)
+        here, classes, leaf, depth = (np.take(x, order) for x in (here, classes, leaf, depth))
         seen = np.take(row, here[:, None] + _AROUND)
         flat, h = _hidden(model.weights, seen)
         scores = _scores(model.weights, h)
@@ -358,30 +469,33 @@ def sgd(model: Model, row: np.ndarray, at: np.ndarray, rate: float, slow: np.nda
         scores *= (1 / (scores @ ones))[:, None]
         scores[np.arange(len(here)), classes] -= 1
         dh = scores @ out.T
-        which, node, right = _choices(model, goal, classes)
-        if len(which):
-            steps, inner = _steps(which), np.take(nodes, node, axis=0)
-            off = 1 / (1 + np.exp(-_odds(h, inner, np.take(biases, node), steps))) - right
-            inner *= off[:, None]
-            for own, rows in steps:
-                dh[rows] += inner[own]
+        node, right, steps = _path(leaf, depth, np.take(model.first, classes))
+        if len(node):
+            inner = np.take(nodes, node, axis=0)
+            off = _odds(h, inner, np.take(biases, node), steps)
+            np.exp(np.negative(off, out=off), out=off)
+            off += 1
+            np.subtract(np.reciprocal(off, out=off), right, out=off)
             # Nodes near a root are met by a share of its class's words; classes have about equal mass.
-            off *= np.float32(-rate / (1 + len(here) / max(1, len(model.first))) ** 0.5)
+            step = np.float32(-rate / (1 + len(here) / max(1, len(model.first))) ** 0.5)
+            each_off, moves = _wide(off, HIDDEN), h * step
+            inner *= each_off
             for own, rows in steps:
-                np.multiply(h[rows], off[own, None], out=inner[own])
+                dh[rows] += inner[own]
+                np.multiply(moves[rows], each_off[own], out=inner[own])
             _added(nodes, node, inner)
-            np.add.at(biases, node, off)
+            np.add.at(biases, node, off * step)
             if used is not None:
                 used[node] = True
         dh *= 1 - h * h
-        whole = np.float32(rate / len(here) ** 0.5 / 4)
+        whole, each = np.float32(rate / len(here) ** 0.5 / 4), np.ones(len(here), h.dtype)
         dx = (dh @ flat_place.T).reshape(-1, WIDTH)
         out -= whole * (h.T @ scores)
-        out_bias -= whole * scores.sum(axis=0)
+        out_bias -= whole * (each @ scores)
         place -= whole * (flat.T @ dh).reshape(place.shape)
-        bias -= whole * dh.sum(axis=0)
+        bias -= whole * (each @ dh)
         seen = seen.ravel().astype(np.int64)
-        dx *= -np.take(slow, seen)[:, None]
+        dx *= _wide(-np.take(slow, seen), WIDTH)
         _added(embed, seen, dx)
 
 
@@ -460,7 +574,7 @@ def _one_round(ids: DataFrame, model: Model, r: int, rounds: int, rate: float) -
         if slot is not None:
             yield done()
 
-    made = ids.select("ids").mapInArrow(released(local), _MESSAGE).repartition("slot").sortWithinPartitions("slot", "part")
+    made = ids.select(*_PARTS, "n").mapInArrow(released(local), _MESSAGE).repartition("slot").sortWithinPartitions("slot", "part")
     for part in made.mapInArrow(released(added), _MESSAGE).toLocalIterator():  # a row per slot, as many bytes as the weights
         lo = part["slot"] * SLOT_ROWS
         for w, name in zip(model.weights, ("changes", "node_changes", "biases"), strict=False):
@@ -488,16 +602,16 @@ def train(docs: DataFrame, *, text_col: str = "text", rounds: int = ROUNDS, rate
     ordered by hash. No words: a model that spells every word.
     """
     cuts = Cuts(docs.sparkSession)
-    model = vocabulary(cuts.cut(word_counts(docs, text_col), "words"), least)
+    model = corpus_vocabulary(docs, text_col, least)
     ids = cuts.cut(encoded(docs.withColumn("_none", F.lit(0)), model, id_col="_none", text_col=text_col), "ids", "zstd")
     model = fit(ids, model, rounds=rounds, rate=rate)
-    cuts.drop("words"), cuts.drop("ids")
+    cuts.drop("ids")
     return model
 
 
 def _log_likelihoods(model: Model, ids: np.ndarray, n: np.ndarray, spelled: np.ndarray) -> np.ndarray:
     row, places = _framed(ids, n)
-    logs = np.concatenate([log_words(model, row, places[lo : lo + 2048]) for lo in range(0, len(places), 2048)] or [np.zeros(0)])
+    logs = np.concatenate([log_words(model, row, places[lo : lo + SCORED]) for lo in range(0, len(places), SCORED)] or [np.zeros(0)])
     return np.bincount(np.repeat(np.arange(len(n)), n), logs, len(n)) + spelled
 
 
@@ -520,7 +634,7 @@ def score_encoded(ids: DataFrame, model: Model) -> DataFrame:
                 mean = pa.array(sums / np.maximum(n, 1), mask=n == 0)
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n.astype(np.int64)), pa.array(sums), mean], ["doc_id", "n_tokens", "log_likelihood", "mean_log_likelihood"])
 
-    return ids.select("doc_id", "ids", "spelled").mapInArrow(released(run), f"doc_id {ids.schema['doc_id'].dataType.simpleString()}, n_tokens bigint, log_likelihood double, mean_log_likelihood double")
+    return ids.select("doc_id", *_PARTS, "n", "spelled").mapInArrow(released(run), f"doc_id {ids.schema['doc_id'].dataType.simpleString()}, n_tokens bigint, log_likelihood double, mean_log_likelihood double")
 
 
 def score(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -536,7 +650,6 @@ def score(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: st
 def train_and_score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``score`` of all documents by a model of the same documents, which are cut into words once."""
     cuts = Cuts(docs.sparkSession)
-    model = vocabulary(cuts.cut(word_counts(docs, text_col), "words"))
+    model = corpus_vocabulary(docs, text_col)
     ids = cuts.cut(encoded(docs, model, id_col=id_col, text_col=text_col), "ids", "zstd")
-    cuts.drop("words")
     return score_encoded(ids, fit(ids, model))
