@@ -528,3 +528,21 @@ def test_rows_are_added_as_often_as_they_come():
         lm._added(rows, at, changes)
         assert (rows == wanted).all()
     assert (lm._wide(np.arange(3.0), 2) == [[0, 0], [1, 1], [2, 2]]).all()
+
+
+def test_batches_planned_together_are_the_single_ones(spark):
+    rng = np.random.default_rng(8)
+    model = lm.vocabulary(spark.createDataFrame([(f"w{i}".encode(), int(n)) for i, n in enumerate(rng.zipf(1.3, 1500).clip(1, 10**6))], "word binary, n bigint"))
+    row, places = lm._framed(rng.integers(lm.UNKNOWN, len(model.counts), lm.PLANNED * lm.BATCH + 1500).astype(np.int32), np.array([lm.PLANNED * lm.BATCH + 1500]))
+    got = list(lm._batches(model, row, places))
+    assert [len(b[0]) for b in got] == [lm.BATCH] * (lm.PLANNED + 1) + [1500 - lm.BATCH]
+    for k in (0, 1, lm.PLANNED - 1, lm.PLANNED, lm.PLANNED + 1):
+        classes, seen, node, right, steps = got[k]
+        at = places[k * lm.BATCH : (k + 1) * lm.BATCH]
+        at = at[lm._by_depth(lm._leaves(model, row[at], model.of_class[row[at]])[1])]
+        assert (classes == model.of_class[row[at]]).all() and (seen == row[at[:, None] + lm._AROUND]).all()
+        which, nodes, turns = lm._choices(model, row[at].astype(np.int64), classes)
+        assert (node == nodes).all() and (right == turns).all() and steps == lm._steps(which)
+    assert list(lm._batches(model, row, places[:0])) == []
+    alone = list(lm._batches(model, np.full(5, lm.UNKNOWN, np.int32), np.array([2])))  # a class of one word has no choices
+    assert len(alone) == 1 and len(alone[0][2]) == 0 and alone[0][4] == []

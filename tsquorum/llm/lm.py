@@ -33,6 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tsquorum.llm.common import Cuts, released
+from tsquorum.llm.neardup import _mixed
 
 #: Words seen as often as this are in the vocabulary.
 LEAST = 5
@@ -44,6 +45,8 @@ HELD_WORDS = 200_000
 HELD_HASHES = 1 << 21
 #: Texts that are cut into words at once.
 TEXTS = 64
+#: Batches whose words are looked up at once, at most 512.
+PLANNED = 16
 #: Words that are scored at once.
 SCORED = 8192
 #: Rows of weights whose changes one task sums up.
@@ -100,13 +103,6 @@ def _cut(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray,
     return letters, begins, edges[1::2] - begins, np.diff(np.searchsorted(begins, np.append(0, np.cumsum(sizes)) + 1))
 
 
-def _mixed(x: np.ndarray) -> np.ndarray:
-    """One to one, every bit of the result from all bits of ``x``: the last steps of splitmix64."""
-    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
-        x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
-    return x ^ (x >> np.uint64(31))
-
-
 def _hashes(letters: np.ndarray, begins: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """64-bit hashes of words in ``letters``, a multiple of 8 bytes of which the last 8 are in no word: eight bytes of each at a time, mixed with what came before.
 
@@ -348,17 +344,35 @@ def _by_depth(depth: np.ndarray) -> np.ndarray:
     return np.argsort((-depth).astype(np.int8), kind="stable")
 
 
-def _path(leaf: np.ndarray, depth: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[tuple[slice, slice]]]:
-    """The choices down to leaves of falling depth, the last ones first: nodes (as rows of the weights), 1 where it is right, and steps.
+def _paths(leaf: np.ndarray, depth: np.ndarray, first: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, list[tuple[slice, list[tuple[slice, slice]]]]]:
+    """The choices down to leaves, in groups of ``size`` leaves in which depths fall: nodes (as rows of the weights), and 1 where it is right.
 
-    ``first`` are the first rows of the leaves' classes. Steps are as of ``_steps``.
+    ``first`` are the first rows of the leaves' classes. A group's last choices come first. With them, by group, a slice
+    of its choices, and its steps as of ``_steps``, counted within the group.
     """
-    sizes = (len(depth) - np.cumsum(np.bincount(depth)))[:-1]  # of the steps
-    ends = np.cumsum(sizes)
-    which = np.arange(sizes.sum()) - np.repeat(ends - sizes, sizes)
-    child = np.take(leaf, which) >> np.repeat(np.arange(len(sizes)), sizes)
-    steps = [(slice(hi - size, hi), slice(0, size)) for size, hi in zip(sizes.tolist(), ends.tolist(), strict=True)]
-    return np.take(first, which) + (child >> 1), (child & 1).astype(np.float32), steps
+    group, most = np.arange(len(leaf)) // size, int(depth.max(initial=0))
+    deep = np.bincount(group * (most + 1) + depth, minlength=(len(leaf) + size - 1) // size * (most + 1)).reshape(-1, most + 1)
+    sizes = (deep.sum(axis=1, keepdims=True) - np.cumsum(deep, axis=1))[:, :-1]  # of the steps, by group
+    ends, flat = np.cumsum(sizes).reshape(sizes.shape), sizes.ravel()
+    before = ends - sizes - size * np.arange(len(sizes))[:, None]
+    which = np.arange(flat.sum()) - np.repeat(before.ravel(), flat)
+    child = np.take(leaf, which) >> np.repeat(np.tile(np.arange(most), len(sizes)), flat)
+    groups, lo = [], 0
+    for own in sizes.tolist():
+        steps, at = [], 0
+        for k in own:
+            if k:
+                steps.append((slice(at, at + k), slice(0, k)))
+                at += k
+        groups.append((slice(lo, lo + at), steps))
+        lo += at
+    return np.take(first, which) + (child >> 1), (child & 1).astype(np.float32), groups
+
+
+def _path(leaf: np.ndarray, depth: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[tuple[slice, slice]]]:
+    """``_paths`` of one group, and its steps."""
+    node, right, groups = _paths(leaf, depth, first, max(1, len(leaf)))
+    return node, right, groups[0][1] if groups else []
 
 
 def _choices(model: Model, goal: np.ndarray, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -378,9 +392,9 @@ def _steps(which: np.ndarray) -> list[tuple[slice, slice]]:
     return [(slice(lo, hi), slice(0, hi - lo)) for lo, hi in itertools.pairwise(begins)]
 
 
-def _odds(h: np.ndarray, inner: np.ndarray, biases: np.ndarray, steps: list[tuple[slice, slice]]) -> np.ndarray:
-    """Log odds of going right at each choice, from the hidden layer and the weights of the choices' nodes."""
-    products = np.empty(inner.shape, np.result_type(h, inner))
+def _odds(h: np.ndarray, inner: np.ndarray, biases: np.ndarray, steps: list[tuple[slice, slice]], products: np.ndarray | None = None) -> np.ndarray:
+    """Log odds of going right at each choice, from the hidden layer and the weights of the choices' nodes; ``products`` is overwritten."""
+    products = np.empty(inner.shape, np.result_type(h, inner)) if products is None else products
     for own, rows in steps:
         np.multiply(h[rows], inner[own], out=products[own])
     odds = products @ np.ones(inner.shape[1], products.dtype)  # much faster than a sum by row
@@ -436,7 +450,8 @@ def log_words(model: Model, row: np.ndarray, at: np.ndarray) -> np.ndarray:
     out = scores[np.arange(len(at)), classes].astype(float)
     out -= np.log(np.exp(scores, out=scores) @ np.ones(scores.shape[1], scores.dtype))
     node, right, steps = _path(leaf, depth, np.take(model.first, classes))
-    against = _odds(h, np.take(model.weights[1], node, axis=0), np.take(model.weights[2], node), steps)
+    inner = np.take(model.weights[1], node, axis=0)
+    against = _odds(h, inner, np.take(model.weights[2], node), steps, inner)
     against *= 1 - 2 * right
     costs = np.maximum(against, 0) + np.log1p(np.exp(-np.abs(against)))
     for own, rows in steps:
@@ -451,25 +466,38 @@ def _rates(model: Model, rate: float) -> np.ndarray:
     return (rate / np.sqrt(1 + len(_AROUND) * BATCH * model.counts / max(1, int(model.counts.sum())))).astype(np.float32)
 
 
-def sgd(model: Model, row: np.ndarray, at: np.ndarray, rate: float, slow: np.ndarray, used: np.ndarray | None = None) -> None:
-    """One step per ``BATCH`` of masked places, in place; ``slow`` are the embeddings' rates, ``used`` marks the nodes with steps."""
-    embed, nodes, biases, place, bias, out, out_bias = model.weights
-    flat_place, ones = place.reshape(-1, HIDDEN), np.ones(len(out_bias), out.dtype)
-    for lo in range(0, len(at), BATCH):
-        here = at[lo : lo + BATCH]
+def _batches(model: Model, row: np.ndarray, at: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[tuple[slice, slice]]]]:
+    """By ``BATCH`` of places, by falling depth of their words: classes, ids around, and the choices as ``_paths`` has them.
+
+    None of it depends on the weights, so it is made for some batches at once.
+    """
+    for lo in range(0, len(at), PLANNED * BATCH):
+        here = at[lo : lo + PLANNED * BATCH]
         goal = np.take(row, here).astype(np.int64)
         classes = np.take(model.of_class, goal).astype(np.int64)
         leaf, depth = _leaves(model, goal, classes)
-        order = _by_depth(depth)
+        order = np.argsort((np.arange(len(here)) // BATCH * 64 + 63 - depth).astype(np.int16), kind="stable")
         here, classes, leaf, depth = (np.take(x, order) for x in (here, classes, leaf, depth))
-        seen = np.take(row, here[:, None] + _AROUND)
+        seen = np.take(row, here[:, None] + _AROUND).astype(np.int64)
+        node, right, groups = _paths(leaf, depth, np.take(model.first, classes), BATCH)
+        for k, (own, steps) in enumerate(groups):
+            mine = slice(k * BATCH, (k + 1) * BATCH)
+            yield classes[mine], seen[mine], node[own], right[own], steps
+
+
+def sgd(model: Model, row: np.ndarray, at: np.ndarray, rate: float, slow: np.ndarray, used: np.ndarray | None = None) -> None:
+    """One step per ``BATCH`` of masked places, in place; ``slow`` are the embeddings' rates, ``used`` marks the nodes with steps."""
+    embed, nodes, biases, place, bias, out, out_bias = model.weights
+    flat_place, ones = place.reshape(-1, HIDDEN), np.ones(len(out_bias), out.dtype)
+    for classes, seen, node, right, steps in _batches(model, row, at):
         flat, h = _hidden(model.weights, seen)
         scores = _scores(model.weights, h)
         np.exp(scores, out=scores)
-        scores *= (1 / (scores @ ones))[:, None]
-        scores[np.arange(len(here)), classes] -= 1
+        sums = scores @ ones
+        scores[np.arange(len(h)), classes] -= sums
+        shares = 1 / sums  # of the classes, with which the errors are multiplied where there are fewer columns
         dh = scores @ out.T
-        node, right, steps = _path(leaf, depth, np.take(model.first, classes))
+        dh *= _wide(shares, HIDDEN)
         if len(node):
             inner = np.take(nodes, node, axis=0)
             off = _odds(h, inner, np.take(biases, node), steps)
@@ -477,7 +505,7 @@ def sgd(model: Model, row: np.ndarray, at: np.ndarray, rate: float, slow: np.nda
             off += 1
             np.subtract(np.reciprocal(off, out=off), right, out=off)
             # Nodes near a root are met by a share of its class's words; classes have about equal mass.
-            step = np.float32(-rate / (1 + len(here) / max(1, len(model.first))) ** 0.5)
+            step = np.float32(-rate / (1 + len(h) / max(1, len(model.first))) ** 0.5)
             each_off, moves = _wide(off, HIDDEN), h * step
             inner *= each_off
             for own, rows in steps:
@@ -488,13 +516,13 @@ def sgd(model: Model, row: np.ndarray, at: np.ndarray, rate: float, slow: np.nda
             if used is not None:
                 used[node] = True
         dh *= 1 - h * h
-        whole, each = np.float32(rate / len(here) ** 0.5 / 4), np.ones(len(here), h.dtype)
+        whole = np.float32(rate / len(h) ** 0.5 / 4)
         dx = (dh @ flat_place.T).reshape(-1, WIDTH)
-        out -= whole * (h.T @ scores)
-        out_bias -= whole * (each @ scores)
+        out -= whole * ((h * _wide(shares, HIDDEN)).T @ scores)
+        out_bias -= whole * (shares @ scores)
         place -= whole * (flat.T @ dh).reshape(place.shape)
-        bias -= whole * (each @ dh)
-        seen = seen.ravel().astype(np.int64)
+        bias -= whole * (np.ones(len(h), h.dtype) @ dh)
+        seen = seen.ravel()
         dx *= _wide(-np.take(slow, seen), WIDTH)
         _added(embed, seen, dx)
 
