@@ -30,7 +30,7 @@ def choose_k(areas: DataFrame, by: list[str], tiny: float = 1e-6, least_change:
     """Number of snippets from (by.., k, area): the first k with almost no area, else 1 if the area never falls by
     much, else the k with the largest relative fall."""
     w = Window.partitionBy(*by).orderBy("k")
-    change = areas.withColumn("_c", F.lag("area").over(w) / F.col("area") - 1)
+    change = areas.withColumn("_c", F.try_divide(F.lag("area").over(w), F.col("area")) - 1)  # no change to an area of 0, whose k is the answer
     agg = change.groupBy(*by).agg(F.min("area").alias("_min"), F.min_by("k", F.struct("area", "k")).alias("_argmin"), F.max("_c").alias("_max"), F.max_by("k", F.struct("_c", -F.col("k"))).alias("_argmax"))
     return agg.select(*by, F.when(F.col("_min") < tiny, F.col("_argmin")).when(F.coalesce("_max", F.lit(0.0)) < least_change, F.lit(1)).otherwise(F.col("_argmax")).cast("long").alias("k"))
 
