@@ -5,7 +5,10 @@ from __future__ import annotations
 from datetime import datetime, timedelta
 
 import duckdb
+import numpy as np
+import pytest
 
+from tsquorum.operators import ranks
 from tsquorum.plans import kernel_queries, registry
 
 
@@ -28,3 +31,68 @@ def test_choose_k_where_a_block_has_no_area(spark, tmp_path):
     folder = events(spark, tmp_path, rows)
     found = sorted(map(tuple, kernel_queries.g3_choose_k(spark, folder).collect()))
     assert found == by_sql("g3_choose_k", folder) and found[:2] == [(1, 1), (2, 2)]
+
+
+def ballots(seed, voters, items, different, missing):
+    """Voters with one of some rankings each, with equal ranks and, if ``missing``, without some items."""
+    rng = np.random.default_rng(seed)
+    kinds = [{f"i{i:02d}": int(r) for i, r in enumerate(rng.integers(0, items, items)) if not missing or rng.random() < 0.7 or i == k % items} for k in range(different)]
+    return {v: kinds[int(rng.integers(different))] for v in range(voters)}
+
+
+def rows_of(spark, groups):
+    return spark.createDataFrame([(g, v, i, r) for g, cast in groups.items() for v, one in cast.items() for i, r in one.items()], "g bigint, voter bigint, item string, rank bigint")
+
+
+def inversions(x, y):
+    return sum(x[a] < x[b] and y[a] > y[b] for a in x if a in y for b in x if b in y)
+
+
+def borda(cast):
+    points = {i: sum(one[i] for one in cast.values() if i in one) for one in cast.values() for i in one}
+    return {i: n for n, i in enumerate(sorted(points, key=lambda i: (points[i], i)))}
+
+
+def by_pairs(cast, metric, k=3):
+    """Reliabilities voter by voter, from the definitions."""
+    rows = {v: sorted(inversions(x, y) for u, y in cast.items() if u != v and set(x) & set(y)) for v, x in cast.items()}
+    if metric == "proximity":
+        return {v: 1 / max(np.mean(d[:k]), 1e-12) for v, d in rows.items() if d}
+    if metric == "averagedistance":
+        return {v: 1 / (1e-6 + sum(d) / (len(d) + 1)) for v, d in rows.items() if d}
+    fit = lambda some: np.mean([inversions(x, borda(some)) for x in some.values()])
+    return {v: fit({u: x for u, x in cast.items() if u != v}) - fit(cast) for v in cast} if len(cast) > 1 else {}
+
+
+GROUPS = {0: ballots(1, 40, 5, 9, False), 1: ballots(2, 25, 6, 25, True), 2: ballots(3, 2, 4, 2, False), 3: ballots(4, 1, 3, 1, False), 4: ballots(5, 30, 4, 2, True)}
+
+
+@pytest.mark.parametrize("metric", ["influence"])
+def test_reliabilities_are_those_of_all_pairs(spark, metric, monkeypatch):
+    monkeypatch.setattr(ranks, "MOST_BALLOTS", 4)  # several parts
+    found = ranks.RELIABILITIES[metric](rows_of(spark, GROUPS), ["g"]).collect()
+    want = {(g, v): r for g, cast in GROUPS.items() for v, r in by_pairs(cast, metric).items()}
+    assert len(found) == len(want) and {(r["g"], r["voter"]): r["reliability"] for r in found} == pytest.approx(want)
+
+
+def most_rows(frame):
+    """The rows out of the plan's busiest operator."""
+    frame.collect()
+
+    def walk(node):
+        name = node.getClass().getSimpleName()
+        if name == "AdaptiveSparkPlanExec":
+            return walk(node.executedPlan())
+        if "QueryStageExec" in name:
+            return walk(node.plan())
+        rows = node.metrics().get("numOutputRows")
+        children = node.children()
+        return max([rows.get().value() if rows.isDefined() else 0, *[walk(children.apply(i)) for i in range(children.size())]])
+
+    return walk(frame._jdf.queryExecution().executedPlan())
+
+
+@pytest.mark.parametrize("metric", ["influence"])
+def test_rows_grow_with_voters_not_their_pairs(spark, metric):
+    """300 voters of 5 items, of whom each pair would be 25 rows and more."""
+    assert most_rows(ranks.RELIABILITIES[metric](rows_of(spark, {0: ballots(1, 300, 5, 9, False)}), ["g"])) < 300 * 25

@@ -1,8 +1,8 @@
 """Ranks and rank aggregation: rows (by.., voter, item, rank), ranks from 0 unless said otherwise.
 
-Voters are training series or detectors and items are detectors, tens to hundreds in a group, whatever the length of the series. Kendall distances make
-a row per pair of items and voter; those between voters (``voter_distances`` and what builds on it) a row per pair of items and pair of
-voters, in parallel over groups.
+Voters are training series or detectors, and items are detectors, tens to hundreds in a group, whatever the length of the series; a voter ranks an
+item once. Kendall distances make a row per pair of items and voter, ``voter_distances`` one per pair of items and pair of voters. Reliabilities
+go by counts over pairs of items and different rankings instead; only ``proximity`` compares all different ones with each other.
 """
 
 from __future__ import annotations
@@ -56,14 +56,45 @@ def objective(ranks: DataFrame, consensus: DataFrame, by: list[str]) -> DataFram
     return kendall(ranks, consensus, [*by, "voter"], by).groupBy(*by).agg(F.avg("distance").alias("objective"))
 
 
+def _ballots(ranks: DataFrame, by: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(by.., voter, ballot), a voter's items and ranks as one array, and (by.., ballot, m, first): the different ballots, the number of
+    their voters and the first one. What follows from a ballot and from counts over all of them is worked out once per different one."""
+    ballots = ranks.groupBy(*by, "voter").agg(F.array_sort(F.collect_list(F.struct("item", "rank"))).alias("ballot"))
+    return ballots, ballots.groupBy(*by, "ballot").agg(F.count(F.lit(1)).alias("m"), F.min("voter").alias("first"))
+
+
+def _pairs(kinds: DataFrame, by: list[str]) -> DataFrame:
+    """(by.., ballot, m, a, b) with items in the order a, b."""
+    one = kinds.select(*by, "ballot", "m", F.explode("ballot").alias("_a")).select("*", F.explode("ballot").alias("_b"))
+    return one.where("_a.rank < _b.rank").select(*by, "ballot", "m", F.col("_a.item").alias("a"), F.col("_b.item").alias("b"))
+
+
+def _preferences(kinds: DataFrame, by: list[str]) -> DataFrame:
+    """(by.., a, b, n): the number of voters that have a before b, where there are any."""
+    return _pairs(kinds, by).groupBy(*by, "a", "b").agg(F.sum("m").alias("n"))
+
+
+def _influence(kinds: DataFrame, by: list[str]) -> DataFrame:
+    """(by.., ballot, first, reliability). Distances to a consensus add up over pairs of items, so with the numbers of voters by pair those
+    of all others come from the consensus without the voter and its own pairs; no voter meets another."""
+    points = kinds.select(*by, "m", F.explode("ballot").alias("_i")).groupBy(*by, F.col("_i.item").alias("a")).agg(F.sum(F.col("m") * F.col("_i.rank")).alias("_s"))
+    voters = kinds.groupBy(*by).agg(F.sum("m").alias("_v"))
+    counted = _preferences(kinds, by).join(points, [*by, "a"]).join(points.withColumnsRenamed({"a": "b", "_s": "_t"}), [*by, "b"])
+    inverted = F.when(F.struct("_s", "a") > F.struct("_t", "b"), F.col("n")).otherwise(0)
+    whole = counted.groupBy(*by).agg(F.sum(inverted).alias("_w"))
+    own = F.map_from_entries("ballot")
+    mine = kinds.select(*by, "ballot", "first", own.alias("_own")).join(counted, by, "left").withColumns({"_x": F.try_element_at("_own", "a"), "_y": F.try_element_at("_own", "b")})
+    without = F.struct(F.col("_s") - F.coalesce("_x", F.lit(0)), "a") > F.struct(F.col("_t") - F.coalesce("_y", F.lit(0)), "b")
+    others = F.when(without, F.col("n") - F.when(F.col("_x") < F.col("_y"), 1).otherwise(0)).otherwise(0)
+    sums = mine.groupBy(*by, "ballot", "first").agg(F.coalesce(F.sum(others), F.lit(0)).alias("_o")).join(voters.where("_v > 1"), by).join(whole, by, "left")
+    change = F.coalesce("_w", F.lit(0)) / F.col("_v") - F.col("_o") / (F.col("_v") - 1)
+    return sums.select(*by, "ballot", "first", (-change).alias("reliability"))
+
+
 def influence(ranks: DataFrame, by: list[str]) -> DataFrame:
     """(by.., voter, reliability): how much better the Borda consensus fits all others without this voter, negated."""
-    whole = objective(ranks, borda(ranks, by), by)
-    voters = ranks.select(*by, F.col("voter").alias("left_out")).distinct()
-    without = ranks.join(voters, by).where("voter <> left_out")
-    keys = [*by, "left_out"]
-    part = objective(without, borda(without, keys), keys).withColumnRenamed("objective", "_without")
-    return part.join(whole, by).select(*by, F.col("left_out").alias("voter"), (-(F.col("objective") - F.col("_without"))).alias("reliability"))
+    ballots, kinds = _ballots(ranks, by)
+    return ballots.join(_influence(kinds, by), [*by, "ballot"]).select(*by, "voter", "reliability")
 
 
 def minimum_influence(ranks: DataFrame, by: list[str]) -> DataFrame:
