@@ -75,6 +75,12 @@ def test_reliabilities_are_those_of_all_pairs(spark, metric, monkeypatch):
     assert len(found) == len(want) and {(r["g"], r["voter"]): r["reliability"] for r in found} == pytest.approx(want)
 
 
+def test_the_voter_of_least_influence_is_the_first_of_the_most_reliable(spark):
+    found = ranks.minimum_influence(rows_of(spark, GROUPS), ["g"]).select("g", "voter").distinct().collect()
+    reliable = {g: by_pairs(cast, "influence") for g, cast in GROUPS.items() if len(cast) > 1}
+    assert {r["g"]: r["voter"] for r in found} == {g: min(r, key=lambda v: (-round(r[v], 9), v)) for g, r in reliable.items()}
+
+
 def most_rows(frame):
     """The rows out of the plan's busiest operator."""
     frame.collect()

@@ -99,8 +99,9 @@ def influence(ranks: DataFrame, by: list[str]) -> DataFrame:
 
 def minimum_influence(ranks: DataFrame, by: list[str]) -> DataFrame:
     """The ranking of the most reliable voter, ties by voter."""
-    best = influence(ranks, by).withColumn("_n", F.row_number().over(Window.partitionBy(*by).orderBy(F.col("reliability").desc(), "voter"))).where("_n = 1")
-    return ranks.join(best.select(*by, "voter"), [*by, "voter"], "left_semi")
+    found = _influence(_ballots(ranks, by)[1], by)
+    best = found.groupBy(*by).agg(F.min(F.struct(-F.col("reliability"), F.col("first").alias("voter"))).alias("_b"))
+    return ranks.join(best.select(*by, "_b.voter"), [*by, "voter"], "left_semi")
 
 
 def voter_distances(ranks: DataFrame, by: list[str]) -> DataFrame:
