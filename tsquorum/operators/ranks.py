@@ -9,8 +9,12 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 
 def max_ranks(scores: DataFrame, keys: list[str], over: list[str] | None = None, value: str = "score") -> DataFrame:
@@ -114,10 +118,60 @@ def voter_distances(ranks: DataFrame, by: list[str]) -> DataFrame:
     return both.join(mates, keys).groupBy(*keys).agg(F.sum(F.when(inverted, 1).otherwise(0)).cast("long").alias("distance"))
 
 
+#: Different ballots of a part, and cells of its matrix of pairs of items, that meet another part in one task.
+MOST_BALLOTS, MOST_CELLS = 2000, 4_000_000
+
+
+def _nearest(kinds: DataFrame, by: list[str], k: int) -> DataFrame:
+    """(by.., ballot, near): distances to the ``k`` nearest other voters with an item in common, in rising order.
+
+    All pairs of different ballots meet, part by part: a task holds two parts and keeps ``k`` distances per ballot.
+    """
+    items = kinds.select(*by, F.posexplode("ballot").alias("_p", "_i"))
+    sizes = items.groupBy(*by).agg(F.array_sort(F.collect_set("_i.item")).alias("_names"), F.count(F.lit(1)).alias("_c"), F.count_if(F.col("_p") == 0).alias("_k"))
+    parts = F.greatest(F.ceil(F.col("_c") * F.size("_names") / MOST_CELLS), F.ceil(F.col("_k") / MOST_BALLOTS))
+    own = F.map_from_entries("ballot")
+    dense = kinds.join(sizes.select(*by, "_names", parts.alias("_parts")), by).withColumn("_own", own)
+    dense = dense.select(*by, "ballot", "m", F.transform("_names", lambda n: F.try_element_at("_own", n).cast("double")).alias("x"), "_parts", F.pmod(F.xxhash64("ballot"), "_parts").alias("_at"))
+    every = F.explode(F.sequence(F.lit(0).cast("long"), F.col("_parts") - 1)).alias("_to")
+    left = dense.select(*by, "ballot", "m", "x", F.col("_at").alias("_i"), every.alias("_j"), F.lit(True).alias("_left"))
+    right = dense.select(*by, "ballot", "m", "x", every.alias("_i"), F.col("_at").alias("_j"), F.lit(False).alias("_left"))
+
+    kept = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in kinds.select(*by, "ballot").schema) + ", near array<double>"
+    out = to_arrow_schema(StructType.fromDDL(kept))
+
+    def run(rows: pa.Table) -> pa.Table:
+        x = np.array(rows.column("x").to_pylist(), float)
+        mine = np.array(rows.column("_left"), bool)
+        p, q = x[mine], x[~mine]
+        if not len(p) or not len(q):
+            return out.empty_table()
+        before = (p[:, :, None] < p[:, None, :]).reshape(len(p), -1).astype(np.float32)
+        behind = (q[:, :, None] > q[:, None, :]).reshape(len(q), -1).astype(np.float32)
+        d = before @ behind.T
+        shared = (~np.isnan(p)).astype(np.float32) @ (~np.isnan(q)).astype(np.float32).T
+        often = np.broadcast_to(rows.column("m").to_numpy()[~mine], d.shape).copy()
+        place = {row.tobytes(): n for n, row in enumerate(q)}
+        for n, row in enumerate(p):
+            if (same := place.get(row.tobytes())) is not None:
+                often[n, same] -= 1
+        d[(shared == 0) | (often == 0)] = np.inf
+        most = min(k, len(q))
+        near = np.argpartition(d, most - 1, axis=1)[:, :most]
+        values, counts = np.take_along_axis(d, near, axis=1), np.minimum(np.take_along_axis(often, near, axis=1), k)
+        found = [sorted(v for v, c in zip(vs, cs, strict=True) for _ in range(c) if v < np.inf)[:k] for vs, cs in zip(values.tolist(), counts.tolist(), strict=True)]
+        return rows.filter(pa.array(mine)).select([*by, "ballot"]).append_column("near", pa.array(found, pa.list_(pa.float64()))).cast(out)
+
+    met = left.unionByName(right).groupBy(*by, "_i", "_j").applyInArrow(run, kept)
+    return met.groupBy(*by, "ballot").agg(F.slice(F.array_sort(F.flatten(F.collect_list("near"))), 1, k).alias("near")).where(F.size("near") > 0)
+
+
 def proximity(ranks: DataFrame, by: list[str], k: int = 3) -> DataFrame:
     """Reliability as the inverse of the mean distance to the ``k`` nearest voters."""
-    near = F.row_number().over(Window.partitionBy(*by, "voter").orderBy("distance", "other"))
-    return voter_distances(ranks, by).withColumn("_n", near).where(F.col("_n") <= k).groupBy(*by, "voter").agg((1 / F.greatest(F.avg("distance"), F.lit(1e-12))).alias("reliability"))
+    ballots, kinds = _ballots(ranks, by)
+    mean = F.aggregate("near", F.lit(0.0), lambda s, d: s + d) / F.size("near")
+    found = _nearest(kinds, by, k).select(*by, "ballot", (1 / F.greatest(mean, F.lit(1e-12))).alias("reliability"))
+    return ballots.join(found, [*by, "ballot"]).select(*by, "voter", "reliability")
 
 
 def average_distance(ranks: DataFrame, by: list[str]) -> DataFrame:
