@@ -67,7 +67,7 @@ def by_pairs(cast, metric, k=3):
 GROUPS = {0: ballots(1, 40, 5, 9, False), 1: ballots(2, 25, 6, 25, True), 2: ballots(3, 2, 4, 2, False), 3: ballots(4, 1, 3, 1, False), 4: ballots(5, 30, 4, 2, True)}
 
 
-@pytest.mark.parametrize("metric", ["influence", "proximity"])
+@pytest.mark.parametrize("metric", ["influence", "averagedistance", "proximity"])
 def test_reliabilities_are_those_of_all_pairs(spark, metric, monkeypatch):
     monkeypatch.setattr(ranks, "MOST_BALLOTS", 4)  # several parts
     found = ranks.RELIABILITIES[metric](rows_of(spark, GROUPS), ["g"]).collect()
@@ -98,7 +98,7 @@ def most_rows(frame):
     return walk(frame._jdf.queryExecution().executedPlan())
 
 
-@pytest.mark.parametrize("metric", ["influence", "proximity"])
+@pytest.mark.parametrize("metric", ["influence", "averagedistance", "proximity"])
 def test_rows_grow_with_voters_not_their_pairs(spark, metric):
     """300 voters of 5 items, of whom each pair would be 25 rows and more."""
     assert most_rows(ranks.RELIABILITIES[metric](rows_of(spark, {0: ballots(1, 300, 5, 9, False)}), ["g"])) < 300 * 25

@@ -175,9 +175,20 @@ def proximity(ranks: DataFrame, by: list[str], k: int = 3) -> DataFrame:
 
 
 def average_distance(ranks: DataFrame, by: list[str]) -> DataFrame:
-    """Reliability as 1 / (1e-6 + mean of the voter's row of distances, its own 0 included)."""
-    sums = voter_distances(ranks, by).groupBy(*by, "voter").agg(F.sum("distance").alias("_s"), (F.count(F.lit(1)) + 1).alias("_n"))
-    return sums.select(*by, "voter", (1 / (F.lit(1e-6) + F.col("_s") / F.col("_n"))).alias("reliability"))
+    """Reliability as 1 / (1e-6 + mean of the voter's row of distances, its own 0 included).
+
+    A row of distances adds up to the voters that have the voter's pairs of items the other way round; who shares an item with whom
+    follows from the different sets of items.
+    """
+    ballots, kinds = _ballots(ranks, by)
+    against = _preferences(kinds, by).select(*by, F.col("b").alias("a"), F.col("a").alias("b"), "n")
+    sums = _pairs(kinds, by).join(against, [*by, "a", "b"]).groupBy(*by, "ballot").agg(F.sum("n").alias("_s"))
+    sets = kinds.groupBy(*by, F.transform("ballot", lambda i: i["item"]).alias("_items")).agg(F.sum("m").alias("_m"))
+    met = sets.select(*by, "_items").join(sets.withColumnRenamed("_items", "_other"), by).where(F.arrays_overlap("_items", "_other"))
+    shared = met.groupBy(*by, "_items").agg(F.sum("_m").alias("_n")).where("_n > 1")
+    every = kinds.select(*by, "ballot", F.transform("ballot", lambda i: i["item"]).alias("_items")).join(shared, [*by, "_items"]).join(sums, [*by, "ballot"], "left")
+    found = every.select(*by, "ballot", (1 / (F.lit(1e-6) + F.coalesce("_s", F.lit(0)) / F.col("_n"))).alias("reliability"))
+    return ballots.join(found, [*by, "ballot"]).select(*by, "voter", "reliability")
 
 
 def trimmed_voters(reliability: DataFrame, by: list[str], top: int | None = None) -> DataFrame:
