@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 from datetime import datetime, timedelta
 
 import duckdb
@@ -75,6 +76,22 @@ def test_reliabilities_are_those_of_all_pairs(spark, metric, monkeypatch):
     assert len(found) == len(want) and {(r["g"], r["voter"]): r["reliability"] for r in found} == pytest.approx(want)
 
 
+def kept(reliability):
+    """The side of the largest gap that adds up to more, voter by voter."""
+    order = sorted(reliability, key=lambda v: (reliability[v], v))
+    gaps = [reliability[b] - reliability[a] for a, b in itertools.pairwise(order)]
+    split = gaps.index(max(gaps)) + 1 if gaps else 0
+    high, low = order[split:], order[:split]
+    return set(high if sum(reliability[v] for v in high) >= sum(reliability[v] for v in low) else low)
+
+
+def test_trimmed_voters_are_a_side_of_the_largest_gap(spark):
+    some = {0: [0.5, 2.0, 2.25, 0.5], 1: [1.0], 2: [1.0, 1.0], 3: [1.0] * 5, 4: [3.0, 1.0, 2.0], 5: [1.0, 1.5, 1.25, 9.0]}
+    table = spark.createDataFrame([(g, v, r) for g, rs in some.items() for v, r in enumerate(rs)], "g bigint, voter bigint, reliability double")
+    found = {(r["g"], r["voter"]) for r in ranks.trimmed_voters(table, ["g"]).collect()}
+    assert found == {(g, v) for g, rs in some.items() for v in kept(dict(enumerate(rs)))}
+
+
 def test_the_voter_of_least_influence_is_the_first_of_the_most_reliable(spark):
     found = ranks.minimum_influence(rows_of(spark, GROUPS), ["g"]).select("g", "voter").distinct().collect()
     reliable = {g: by_pairs(cast, "influence") for g, cast in GROUPS.items() if len(cast) > 1}

@@ -194,17 +194,22 @@ def average_distance(ranks: DataFrame, by: list[str]) -> DataFrame:
 def trimmed_voters(reliability: DataFrame, by: list[str], top: int | None = None) -> DataFrame:
     """The reliable voters: the ``top`` ones, or the side of the largest gap whose reliabilities add up to more.
 
-    In one dimension two single-linkage clusters are parted by the largest gap; of equal gaps the first.
+    In one dimension two single-linkage clusters are parted by the largest gap; of equal gaps the first. If all are equal, that is the one
+    behind the first voter. Windows go over the different values; each voter meets one row, its group's.
     """
-    w = Window.partitionBy(*by).orderBy("reliability", "voter")
     if top is not None:
         order = Window.partitionBy(*by).orderBy(F.col("reliability").desc(), "voter")
         return reliability.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= top).select(*by, "voter")
-    gaps = reliability.withColumn("_gap", F.lead("reliability").over(w) - F.col("reliability")).withColumn("_n", F.row_number().over(w))
-    split = gaps.where("_gap is not null").withColumn("_g", F.row_number().over(Window.partitionBy(*by).orderBy(F.col("_gap").desc(), "_n"))).where("_g = 1").select(*by, F.col("_n").alias("_split"))
-    sided = gaps.join(split, by, "left").withColumn("_high", F.col("_n") > F.coalesce("_split", F.lit(0)))
-    sums = sided.groupBy(*by).agg(F.sum(F.when(F.col("_high"), F.col("reliability")).otherwise(0.0)).alias("_up"), F.sum(F.when(~F.col("_high"), F.col("reliability")).otherwise(0.0)).alias("_down"))
-    return sided.join(sums, by).where(F.col("_high") == (F.col("_up") >= F.col("_down"))).select(*by, "voter")
+    w = Window.partitionBy(*by).orderBy("reliability")
+    values = reliability.groupBy(*by, "reliability").agg(F.count(F.lit(1)).alias("_c"), F.min("voter").alias("_first"))
+    gaps = values.withColumn("_gap", F.lead("reliability").over(w) - F.col("reliability"))
+    cut = F.max(F.struct("_gap", (-F.col("reliability")).alias("_below"))).over(Window.partitionBy(*by))  # a last value has no gap and is the least
+    sided = gaps.withColumn("_cut", cut).select("*", F.col("_cut._gap").isNotNull().alias("_parted"), (-F.col("_cut._below")).alias("_at"))
+    high = F.when(F.col("_parted"), F.when(F.col("reliability") > F.col("_at"), F.col("_c")).otherwise(0)).otherwise(F.greatest(F.col("_c") - 1, F.lit(1)))
+    low = F.when(F.col("_parted"), F.when(F.col("reliability") > F.col("_at"), 0).otherwise(F.col("_c"))).otherwise(F.least(F.col("_c") - 1, F.lit(1)))
+    sums = sided.groupBy(*by).agg(F.sum(F.col("reliability") * high).alias("_up"), F.sum(F.col("reliability") * low).alias("_down"), F.bool_and("_parted").alias("_parted"), F.max("_at").alias("_at"), F.sum("_c").alias("_all"), F.min("_first").alias("_first"))
+    upper = F.when(F.col("_parted"), F.col("reliability") > F.col("_at")).otherwise((F.col("voter") != F.col("_first")) | (F.col("_all") == 1))
+    return reliability.join(sums, by).where(upper == (F.col("_up") >= F.col("_down"))).select(*by, "voter")
 
 
 RELIABILITIES = {"influence": influence, "proximity": proximity, "averagedistance": average_distance}
