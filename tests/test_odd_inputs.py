@@ -90,6 +90,9 @@ def test_trimmed_voters_are_a_side_of_the_largest_gap(spark):
     table = spark.createDataFrame([(g, v, r) for g, rs in some.items() for v, r in enumerate(rs)], "g bigint, voter bigint, reliability double")
     found = {(r["g"], r["voter"]) for r in ranks.trimmed_voters(table, ["g"]).collect()}
     assert found == {(g, v) for g, rs in some.items() for v in kept(dict(enumerate(rs)))}
+    left = ranks.trimmed_borda(rows_of(spark, GROUPS), ["g"], "averagedistance").where("g = 1").collect()
+    who = kept(by_pairs(GROUPS[1], "averagedistance"))
+    assert {r["item"]: r["rank"] for r in left} == borda({v: GROUPS[1][v] for v in who})
 
 
 def test_the_voter_of_least_influence_is_the_first_of_the_most_reliable(spark):
