@@ -9,7 +9,7 @@ import duckdb
 import numpy as np
 import pytest
 
-from tsquorum.operators import ranks
+from tsquorum.operators import batches, detectors, ranks
 from tsquorum.plans import kernel_queries, registry
 
 
@@ -122,3 +122,33 @@ def most_rows(frame):
 def test_rows_grow_with_voters_not_their_pairs(spark, metric):
     """300 voters of 5 items, of whom each pair would be 25 rows and more."""
     assert most_rows(ranks.RELIABILITIES[metric](rows_of(spark, {0: ballots(1, 300, 5, 9, False)}), ["g"])) < 300 * 25
+
+
+def many_series(seed, number):
+    """Short and long, constant, rounded, with repeats, NaN, and too short ones."""
+    rng = np.random.default_rng(seed)
+    made = [np.round(rng.exponential(50, int(rng.integers(4, 140))), int(rng.integers(0, 3))) for _ in range(number)]
+    return [*made, np.full(40, 3.0), np.repeat([1.0, 2.0], 20), np.arange(11.0), np.arange(2.0), rng.random(300), np.array([1.0, np.nan, 2.0, 1.0, 5.0])]
+
+
+@pytest.mark.parametrize("params", [{}, {"n_trees": 7, "window_size": 3}, {"n_trees": 9, "max_samples": 40, "window_size": 5}, {"bootstrap": True, "n_trees": 5}, {"window_size": 1, "n_trees": 5}])
+def test_forests_of_many_series_are_those_of_each(params):
+    series, params = many_series(1, 25), {"window_size": 10, "n_trees": 30} | params
+    for x, found in zip(series, detectors.execute_many(series, detectors.DETECTORS["subsequence_if"], params), strict=True):
+        assert np.array_equal(found, detectors.execute(x, "subsequence_if", params), equal_nan=True)
+
+
+def test_forests_are_made_of_many_series_at_once(spark, monkeypatch):
+    """Whatever the batches, the scores are those of each series; those that can't be scored have none."""
+    series = many_series(2, 30)
+    points = spark.createDataFrame([(s, t, float(v)) for s, x in enumerate(series) for t, v in enumerate(x)], "s int, t bigint, value double").repartition(3)
+    jobs = spark.createDataFrame([("a", "subsequence_if", '{"window_size": 10, "n_trees": 10}'), ("b", "subsequence_if", '{"window_size": 4, "n_trees": 3}')], "instance string, algorithm string, params_json string")
+    for most in (1, 500, batches.MOST_ROWS):
+        monkeypatch.setattr(batches.by_batches, "__defaults__", (most,))
+        frame = detectors.run_detectors(points, jobs, ["s"])
+        assert "FlatMapGroupsInPandas" not in frame._jdf.queryExecution().executedPlan().toString()
+        found = {(r["s"], r["instance"], r["t"]): r["score"] for r in frame.collect()}
+        for s, x in enumerate(series):
+            for name, params in (("a", {"window_size": 10, "n_trees": 10}), ("b", {"window_size": 4, "n_trees": 3})):
+                want = detectors.execute(x, "subsequence_if", params)
+                assert [found[s, name, t] for t in range(len(x))] == [None if np.isnan(v) else v for v in want]

@@ -9,12 +9,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tsquorum.operators.batches import by_batches
 from tsquorum.operators.echo import echo_scores
 from tsquorum.operators.grammar import Grammar, covering_mean, density, sparse_intervals
 
@@ -79,18 +82,18 @@ def knn(x: np.ndarray, params: dict, rng: np.random.Generator) -> np.ndarray:
     return to_points(score, w.shape[1], len(x))
 
 
+def _expected_path(k: np.ndarray) -> np.ndarray:
+    k = np.asarray(k, float)
+    return np.where(k > 2, 2 * (np.log(np.maximum(k - 1, 1)) + np.euler_gamma) - 2 * (k - 1) / np.maximum(k, 1), np.where(k == 2, 1.0, 0.0))
+
+
 def isolation_forest(x: np.ndarray, params: dict, rng: np.random.Generator) -> np.ndarray:
     """Isolation forest of subsequences: 2 ** (-mean path / expected path)."""
     w = windows(x, params["window_size"])
     n = len(w)
     m = int(min(n, params["max_samples"] if params["max_samples"] > 1 else max(2, params["max_samples"] * n)))
     limit = int(np.ceil(np.log2(max(m, 2))))
-
-    def expected(k: np.ndarray) -> np.ndarray:
-        k = np.asarray(k, float)
-        return np.where(k > 2, 2 * (np.log(np.maximum(k - 1, 1)) + np.euler_gamma) - 2 * (k - 1) / np.maximum(k, 1), np.where(k == 2, 1.0, 0.0))
-
-    total = np.zeros(n)
+    expected, total = _expected_path, np.zeros(n)
 
     def grow(sample: np.ndarray, rows: np.ndarray, depth: int) -> None:
         if depth >= limit or len(sample) <= 1 or not len(rows):
@@ -113,6 +116,110 @@ def isolation_forest(x: np.ndarray, params: dict, rng: np.random.Generator) -> n
     return to_points(score, w.shape[1], len(x))
 
 
+#: Windows of the longest series whose forest is made along with others, and trees times windows squared, which its table of draws grows with.
+MOST_WINDOWS, MOST_DRAWS = 128, 2_000_000
+
+
+@lru_cache(maxsize=1)
+def _draws(seed: int, trees: int, width: int, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray] | None:
+    """What numpy's generator draws from its words, enough of them for ``trees`` over ``most`` windows: their halves, the lower one first;
+    columns below ``width`` from halves; numbers in [0, 1) from words; and the half after a permutation of n that begins at a half, by n - 1.
+
+    A permutation draws a number up to each i from n - 1 to 1 and takes the next half until its lower bits are no more than i. None if
+    a half would be drawn again for a column.
+    """
+    raw = np.random.default_rng(seed).bit_generator.random_raw(trees * (most + 2 * most + 2) + 500)
+    halves = np.stack([raw & 0xFFFFFFFF, raw >> 32], axis=1).ravel()
+    if ((halves * np.uint64(width) & np.uint64(0xFFFFFFFF)) < (2**32 - width) % width).any():
+        return None
+    end = len(halves)
+    ends = np.empty((most, end + 1), np.int32)
+    ends[0] = np.arange(end + 1)
+    for i in range(1, most):
+        fits = np.where(halves & np.uint64((1 << i.bit_length()) - 1) <= i, np.arange(1, end + 1), end)
+        ends[i, :end] = ends[i - 1][np.minimum.accumulate(fits[::-1])[::-1]]
+        ends[i, end] = end
+    return halves, (halves * np.uint64(width) >> np.uint64(32)).astype(np.int64), (raw >> 11) * 2.0**-53, ends
+
+
+def isolation_forests(series: list[np.ndarray], params: dict, seed: int) -> list[np.ndarray]:
+    """Isolation forests of many series at once, each as ``isolation_forest`` makes it with a generator of its own: the same draws
+    in the same order, a node of every series in one step.
+
+    Long series, and those with more windows than ``max_samples``, whose trees see only some, go one by one.
+    """
+    width, trees = params["window_size"], params["n_trees"]
+    n = np.array([len(x) - width + 1 for x in series])
+    whole = (n > 1) & (n <= min(params["max_samples"], MOST_WINDOWS)) & (trees * n * n <= MOST_DRAWS) & (width > 1) & (not params.get("bootstrap")) & (params["max_samples"] > 1)
+    limit = np.ceil(np.log2(np.maximum(n, 2))).astype(int)
+    most = int(n[whole].max(initial=0))
+    drawn = _draws(seed, trees, width, 1 << max(most - 1, 1).bit_length()) if whole.any() else None
+    if drawn is None:
+        whole[:] = False
+    out = [None if w else isolation_forest(x, params, np.random.default_rng(seed)) for x, w in zip(series, whole, strict=True)]
+    lanes = np.flatnonzero(whole)
+    if not len(lanes):
+        return out
+    halves, columns, uniform, ends = drawn
+    n, limit, x = n[lanes], limit[lanes], np.concatenate([series[i] for i in lanes])
+    x_at = np.cumsum([0, *(len(series[i]) for i in lanes)])[:-1]
+    w_at = np.cumsum(n) - n
+    window = np.arange(n.sum()) - np.repeat(w_at, n)  # each series' windows, those of a node side by side
+    expected, total = _expected_path(np.arange(most + 1)), np.zeros(n.sum())
+    word, half, half_of, done, top = (np.zeros(len(n), int) for _ in range(5))  # the next word, whether the upper half of ``half_of`` comes first
+    stack = np.zeros((len(n), int(limit.max()) + 2, 3), int)
+    mask = np.array([(1 << int(k - 1).bit_length()) - 1 for k in n], np.uint64)
+    live = np.arange(len(n))
+    while True:
+        fresh = live[top[live] == 0]
+        if len(fresh):
+            fresh = fresh[done[fresh] < trees]
+            last = n[fresh] - 1
+            fits = (half[fresh] > 0) & (halves[2 * half_of[fresh] + 1] & mask[fresh] <= last)
+            after = ends[last - fits, 2 * word[fresh]]
+            word[fresh], half[fresh], half_of[fresh] = (after + 1) // 2, after % 2, (after - 1) // 2
+            stack[fresh, 0] = np.stack([np.zeros(len(fresh), int), n[fresh], np.zeros(len(fresh), int)], axis=1)
+            done[fresh], top[fresh] = done[fresh] + 1, 1
+            live = live[top[live] > 0]
+        if not len(live):
+            break
+        top[live] -= 1
+        b, e, depth = stack[live, top[live]].T
+        upper, first = half[live], word[live]
+        column = columns[np.where(upper, 2 * half_of[live] + 1, 2 * first)]
+        half_of[live], half[live], after = np.where(upper, half_of[live], first), 1 - upper, first + 1 - upper
+        size = e - b
+        begin = np.cumsum(size) - size
+        lane, place = np.repeat(np.arange(len(live)), size), np.arange(size.sum())
+        at = place + (w_at[live] + b - begin)[lane]
+        rows = window[at]
+        value = x[rows + (x_at[live] + column)[lane]]
+        lo, hi = np.minimum.reduceat(value, begin), np.maximum.reduceat(value, begin)
+        split = lo < hi
+        word[live] = after + split
+        cut = lo + (hi - lo) * uniform[after]
+        less = value < cut[lane]
+        lefts = np.cumsum(less)
+        left = lefts[begin + size - 1] - lefts[begin] + less[begin]
+        rank = lefts - (lefts[begin] - less[begin])[lane]
+        moved = np.empty_like(rows)
+        moved[np.where(less, begin[lane] + rank - 1, left[lane] + place - rank)] = rows
+        window[at] = moved
+        right, deep = size - left, depth + 1 >= limit[live]
+        ends_left, ends_right = split & (deep | (left <= 1)), split & (deep | (right <= 1))
+        path_left = np.where(ends_left, depth + 1 + expected[left], 0.0)
+        path_right = np.where(split, np.where(ends_right, depth + 1 + expected[right], 0.0), depth + expected[size])
+        total[rows + w_at[live][lane]] += np.where(less, path_left[lane], path_right[lane])
+        for goes, lower, higher in ((split & ~ends_right, b + left, e), (split & ~ends_left, b, b + left)):
+            to = live[goes]
+            stack[to, top[to]] = np.stack([lower[goes], higher[goes], depth[goes] + 1], axis=1)
+            top[to] += 1
+    for i, (at, k) in zip(lanes, zip(w_at, n, strict=True), strict=True):
+        score = 2 ** (-total[at : at + k] / trees / max(float(expected[k]), 1e-12))
+        out[i] = to_points(score, width, len(series[i]))
+    return out
+
+
 def matrix_profile(x: np.ndarray, params: dict, rng: np.random.Generator) -> np.ndarray:
     """Distance of z-normalized subsequences to their nearest non-trivial match, by running dot products."""
     m = max(3, min(params["window_size"], len(x) // 2))
@@ -270,6 +377,8 @@ class Detector:
     view: str = "sliding"
     #: Settings known to be good, instead of windows of one period.
     tuned: dict = field(default_factory=dict)
+    #: The same for many series at once: (values of each, params, seed) -> scores of each.
+    many: Callable[[list[np.ndarray], dict, int], list[np.ndarray]] | None = None
 
     def for_period(self, period: int) -> dict:
         """Defaults with windows of one period, or the known settings."""
@@ -280,7 +389,7 @@ class Detector:
 DETECTORS: dict[str, Detector] = {
     "subsequence_lof": Detector(lof, {"window_size": 100, "n_neighbors": 20, "p": 2}, {"window_size": (10, 1000), "n_neighbors": (1, 100), "p": (1, 4)}, {"window_size": 50, "n_neighbors": 50, "p": 1}),
     "subsequence_knn": Detector(knn, {"window_size": 100, "n_neighbors": 5, "method": "largest", "p": 2}, {"window_size": (10, 1000), "n_neighbors": (1, 100), "method": ["largest", "mean", "median"], "p": (1, 4)}, {"window_size": 50, "n_neighbors": 50, "method": "mean", "p": 1}),
-    "subsequence_if": Detector(isolation_forest, {"window_size": 100, "n_trees": 100, "max_samples": 256, "bootstrap": False}, {"window_size": (10, 1000), "n_trees": (10, 1000), "max_samples": (0.1, 1.0), "bootstrap": [True, False]}, {"window_size": 50, "n_trees": 10, "max_samples": 64, "bootstrap": True}),
+    "subsequence_if": Detector(isolation_forest, {"window_size": 100, "n_trees": 100, "max_samples": 256, "bootstrap": False}, {"window_size": (10, 1000), "n_trees": (10, 1000), "max_samples": (0.1, 1.0), "bootstrap": [True, False]}, {"window_size": 50, "n_trees": 10, "max_samples": 64, "bootstrap": True}, many=isolation_forests),
     "stomp": Detector(matrix_profile, {"window_size": 100}, {"window_size": (10, 1000)}, {"window_size": 30}),
     "kmeans": Detector(k_means, {"window_size": 100, "n_clusters": 20}, {"window_size": (10, 1000), "n_clusters": (2, 100)}, {"window_size": 20, "n_clusters": 2}, "custom"),
     "dwt_mlead": Detector(dwt_mlead, {"start_level": 3, "quantile_epsilon": 0.01}, {"start_level": (1, 10), "quantile_epsilon": (0.001, 0.5)}, {"start_level": 1, "quantile_epsilon": 0.1}, "separated"),
@@ -328,6 +437,14 @@ def execute(values: np.ndarray, algorithm: str | Detector, params: dict, regions
     return np.where(good, out, min(0.0, out[good].min()) if detector.view == "separated" and good.any() else (out[good].min() if good.any() else np.nan))
 
 
+def execute_many(series: list[np.ndarray], detector: Detector, params: dict, seed: int = SEED) -> list[np.ndarray]:
+    """Scores of many series, those of ``execute`` for each."""
+    params = detector.defaults | {k: v for k, v in params.items() if k in detector.defaults}
+    good = [len(x) >= LEAST_POINTS and bool(np.isfinite(x).all()) for x in series]
+    found = iter(detector.many([x for x, g in zip(series, good, strict=True) if g], params, seed))
+    return [np.asarray(next(found), float) if g else np.full(len(x), np.nan) for x, g in zip(series, good, strict=True)]
+
+
 def run_detectors(points: DataFrame, jobs: DataFrame, by: list[str], region: str | None = None, seed: int = SEED) -> DataFrame:
     """(by.., instance, t, score) for every series and every job (instance, algorithm, params_json).
 
@@ -350,6 +467,19 @@ def run_detectors(points: DataFrame, jobs: DataFrame, by: list[str], region: str
         return pd.DataFrame({**{k: v for k, v in zip(by, key, strict=False)}, "instance": key[-1], "t": rows["t"].to_numpy(), "score": score})
 
     schema = ", ".join([f"{f.name} {f.dataType.simpleString()}" for f in points.select(*by).schema] + ["instance string, t bigint, score double"])
+    if region is None and all(detector.many for detector, _ in settings.values()):
+
+        def run_many(table: pa.Table, begins: np.ndarray) -> pa.Table:
+            names = table.column("instance").take(pa.array(begins)).to_pylist()
+            series = np.split(table.column("value").to_numpy().astype(float), begins[1:])
+            scores: list = [None] * len(series)
+            for name in dict.fromkeys(names):
+                own = [i for i, one in enumerate(names) if one == name]
+                for i, s in zip(own, execute_many([series[i] for i in own], *settings[name], seed), strict=True):
+                    scores[i] = s
+            return table.select([*by, "instance", "t"]).append_column("score", pa.array(np.concatenate(scores), pa.float64(), from_pandas=True))
+
+        return by_batches(spread.select(*by, "instance", F.col("t").cast("long").alias("t"), "value"), [*by, "instance"], run_many, schema)
     return spread.groupBy(*by, "instance").applyInPandas(run, schema)
 
 
