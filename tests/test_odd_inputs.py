@@ -9,7 +9,7 @@ import duckdb
 import numpy as np
 import pytest
 
-from tsquorum.operators import batches, detectors, ranks
+from tsquorum.operators import batches, detectors, ranks, selection
 from tsquorum.plans import kernel_queries, registry
 
 
@@ -152,3 +152,23 @@ def test_forests_are_made_of_many_series_at_once(spark, monkeypatch):
             for name, params in (("a", {"window_size": 10, "n_trees": 10}), ("b", {"window_size": 4, "n_trees": 3})):
                 want = detectors.execute(x, "subsequence_if", params)
                 assert [found[s, name, t] for t in range(len(x))] == [None if np.isnan(v) else v for v in want]
+
+
+def candidates_and_scores(spark):
+    rng = np.random.default_rng(4)
+    names = [f"i{k}" for k in range(6)]
+    known = spark.createDataFrame([(n, int(rng.integers(9)), float(rng.random())) for n in names], "instance string, no_datasets bigint, mean_train_quality double")
+    return known, spark.createDataFrame([(s, n, t, float(rng.random())) for s in range(4) for n in names for t in range(20)], "s int, instance string, t bigint, score double")
+
+
+@pytest.mark.parametrize("method", ["aggregated-minimum-influence", "aggregated-robust-borda"])
+def test_aggregated_selections_work_out_distances_once(spark, monkeypatch, method):
+    known, scored = candidates_and_scores(spark)
+    calls = []
+    monkeypatch.setitem(selection.DISTANCES, "euclidean", lambda *a, once=selection.DISTANCES["euclidean"]: calls.append(1) or once(*a))
+    names = selection.select_instances(known, scored, ["s"], method, 3)
+    votes = selection.rankings(known, scored, ["s"], 3).collect()
+    for voter, name in enumerate(selection.AGGREGATED):
+        order = selection.SELECTIONS[name](known, scored, ["s"], 3 if "clustering" in name else 6)
+        assert sorted((r["rank"], r["item"]) for r in votes if r["voter"] == voter and r["rank"] < 6) == list(enumerate(order))
+    assert len(names) == 3 and len(calls) == 2 + 5

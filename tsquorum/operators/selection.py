@@ -163,11 +163,16 @@ AGGREGATED = ("training-coverage", "training-quality", "training-result", "affin
 
 
 def rankings(candidates: DataFrame, scores: DataFrame, by: list[str], k: int) -> DataFrame:
-    """(g, voter, item, rank) of the rankings in AGGREGATED, g being 0; an instance that a voter leaves out takes rank n."""
+    """(g, voter, item, rank) of the rankings in AGGREGATED, g being 0; an instance that a voter leaves out takes rank n.
+
+    Scores are gone through once per kind of distance, not once per ranking.
+    """
     names = _listed(by_coverage(candidates))
+    matrices = {d: Matrix(candidates, DISTANCES[d](scores, by)) for d in dict.fromkeys(LOOPED[m][0] for m in AGGREGATED if m in LOOPED)}
     rows = []
     for voter, method in enumerate(AGGREGATED):
-        order = SELECTIONS[method](candidates, scores, by, k if "clustering" in method else len(names))
+        most = k if "clustering" in method else len(names)
+        order = LOOPED[method][1](matrices[LOOPED[method][0]], most) if method in LOOPED else SELECTIONS[method](candidates, scores, by, most)
         place = {n: i for i, n in enumerate(order)}
         rows += [(0, voter, n, place.get(n, len(names))) for n in names]
     return candidates.sparkSession.createDataFrame(rows, "g bigint, voter bigint, item string, rank bigint")
@@ -179,6 +184,19 @@ def aggregated(candidates: DataFrame, scores: DataFrame, by: list[str], k: int,
     return [r["item"] for r in result.orderBy("rank", "item").limit(k).collect()]
 
 
+#: The methods that loop over a matrix, with its distance.
+LOOPED: dict[str, tuple[str, Callable[[Matrix, int], list[str]]]] = {
+    "affinity-propagation-clustering": ("euclidean", lambda m, k: affinity_propagation(m)[:k]),
+    "kmedoids-clustering": ("euclidean", k_medoids),
+    "greedy-euclidean": ("euclidean", greedy_farthest),
+    "greedy-annotation-overlap": ("annotation-overlap", greedy_farthest),
+    "mmq-euclidean": ("euclidean", marginal_quality),
+    "mmq-annotation-overlap": ("annotation-overlap", marginal_quality),
+    "interchange-euclidean": ("euclidean", interchange),
+    "interchange-annotation-overlap": ("annotation-overlap", interchange),
+}
+
+
 def _looped(distance: str, method: Callable[[Matrix, int], list[str]]) -> Callable:
     return lambda candidates, scores, by, k: method(Matrix(candidates, DISTANCES[distance](scores, by)), k)
 
@@ -187,14 +205,7 @@ SELECTIONS: dict[str, Callable[[DataFrame, DataFrame, list[str], int], list[str]
     "training-coverage": lambda c, s, by, k: _listed(top_k(by_coverage(c), k)),
     "training-quality": lambda c, s, by, k: _listed(top_k(by_quality(c), k)),
     "training-result": lambda c, s, by, k: _listed(top_k(by_result(c), k)),
-    "affinity-propagation-clustering": lambda c, s, by, k: affinity_propagation(Matrix(c, DISTANCES["euclidean"](s, by)))[:k],
-    "kmedoids-clustering": _looped("euclidean", k_medoids),
-    "greedy-euclidean": _looped("euclidean", greedy_farthest),
-    "greedy-annotation-overlap": _looped("annotation-overlap", greedy_farthest),
-    "mmq-euclidean": _looped("euclidean", marginal_quality),
-    "mmq-annotation-overlap": _looped("annotation-overlap", marginal_quality),
-    "interchange-euclidean": _looped("euclidean", interchange),
-    "interchange-annotation-overlap": _looped("annotation-overlap", interchange),
+    **{name: _looped(*made) for name, made in LOOPED.items()},
     "aggregated-minimum-influence": lambda c, s, by, k: aggregated(c, s, by, k),
     "aggregated-robust-borda": lambda c, s, by, k: aggregated(c, s, by, k, "robust-borda"),
 }
