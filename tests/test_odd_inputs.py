@@ -172,3 +172,15 @@ def test_aggregated_selections_work_out_distances_once(spark, monkeypatch, metho
         order = selection.SELECTIONS[name](known, scored, ["s"], 3 if "clustering" in name else 6)
         assert sorted((r["rank"], r["item"]) for r in votes if r["voter"] == voter and r["rank"] < 6) == list(enumerate(order))
     assert len(names) == 3 and len(calls) == 2 + 5
+
+
+def test_candidates_are_worked_out_once(spark):
+    known, scored = candidates_and_scores(spark)
+    runs = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        runs.add(1)
+        yield from batches
+
+    selection.select_instances(known.coalesce(1).mapInArrow(counted, known.schema), scored, ["s"], "aggregated-robust-borda", 3)
+    assert runs.value == 1

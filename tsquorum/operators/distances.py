@@ -34,9 +34,10 @@ def _products(scores: DataFrame, by: list[str], value: Column) -> DataFrame:
         sums: dict[tuple, np.ndarray] = {}
         listed: dict[tuple, list[str]] = {}
         for batch in batches:
-            keys = list(zip(*(batch.column(c).to_pylist() for c in range(len(by))), strict=True))
-            for key in dict.fromkeys(keys):
-                at = np.flatnonzero([k == key for k in keys])
+            rows: dict[tuple, list[int]] = {}
+            for n, key in enumerate(zip(*(batch.column(c).to_pylist() for c in range(len(by))), strict=True)):
+                rows.setdefault(key, []).append(n)
+            for key, at in rows.items():
                 part = batch.take(pa.array(at))
                 if key not in listed:
                     listed[key] = part.column(len(by))[0].as_py()

@@ -216,4 +216,7 @@ def select_instances(candidates: DataFrame, scores: DataFrame, by: list[str], me
     name = method.lower().replace(" ", "-").replace("_", "-")
     if name not in SELECTIONS:
         raise ValueError(f"no selection method {method!r}")
-    return SELECTIONS[name](candidates, scores, by, min(k, candidates.count()))
+    known = candidates.limit(MOST_CANDIDATES + 1).collect()
+    if len(known) > MOST_CANDIDATES:
+        return SELECTIONS[name](candidates, scores, by, min(k, candidates.count()))
+    return SELECTIONS[name](candidates.sparkSession.createDataFrame(known, candidates.schema), scores, by, min(k, len(known)))  # worked out once
