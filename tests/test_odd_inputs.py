@@ -9,7 +9,7 @@ import duckdb
 import numpy as np
 import pytest
 
-from tsquorum.operators import batches, detectors, ranks, selection
+from tsquorum.operators import batches, detectors, metrics, ranks, selection
 from tsquorum.plans import kernel_queries, registry
 
 
@@ -184,3 +184,49 @@ def test_candidates_are_worked_out_once(spark):
 
     selection.select_instances(known.coalesce(1).mapInArrow(counted, known.schema), scored, ["s"], "aggregated-robust-borda", 3)
     assert runs.value == 1
+
+
+def areas_one_by_one(label, score, buffer, steps=250):
+    """(ROC, PR) areas point by point and range by range."""
+    n, half = len(label), buffer // 2
+    ranges = metrics._ranges(label)
+    away = [min([max(0, b - t, t - e + 1) for b, e in ranges], default=n) for t in range(n)]
+    soft = np.array([np.sqrt(max(0, 1 - a / max(buffer, 1))) if a <= half else 0.0 for a in away])
+    positive = (label.sum() + soft.sum()) / 2
+    if not ranges or positive >= n:
+        return np.nan, np.nan
+    order = sorted(range(n), key=lambda t: -score[t])
+    curve = []
+    for th in dict.fromkeys(score[order[int(i)]] for i in np.linspace(0, n - 1, steps)):
+        high = score >= th
+        tp, k = soft[high].sum(), high.sum()
+        seen = np.mean([score[max(0, b - half) : e + half].max() >= th for b, e in ranges])
+        curve.append((min(tp / positive, 1) * seen, min(max((k - tp) / (n - positive), 0), 1), tp / k))
+    t, f, p = ([0.0, *x] for x in zip(*curve, strict=True))
+    pr = sum((t[i] - t[i - 1]) * p[i] for i in range(1, len(t)))
+    t, f = [*t, 1.0], [*f, 1.0]
+    return sum((f[i] - f[i - 1]) * (t[i] + t[i - 1]) / 2 for i in range(1, len(t))), pr
+
+
+def test_range_areas_of_all_buffers_at_once(monkeypatch):
+    rng = np.random.default_rng(6)
+    for n, share in ((40, 0.2), (90, 0.1), (30, 1.0), (30, 0.0), (1, 1.0), (60, 0.5)):
+        label, score = rng.random(n) < share, np.round(rng.random(n), 1)
+        for most in (metrics.MOST_NUMBERS, 50):
+            monkeypatch.setattr(metrics, "MOST_NUMBERS", most)
+            found = metrics._range_areas(label, score, (0, 1, 7, 30, 100), 250)
+            assert found == pytest.approx(np.array([areas_one_by_one(label, score, b) for b in (0, 1, 7, 30, 100)]), nan_ok=True)
+
+
+def test_range_metrics_come_from_batches_of_series(spark):
+    rng = np.random.default_rng(8)
+    rows = [(s, t, bool(rng.random() < 0.2 and s), float(rng.random()), bool(rng.random() < 0.2)) for s in range(12) for t in range(int(rng.integers(1, 60)))]
+    points = spark.createDataFrame(rows, "s int, t bigint, is_anomaly boolean, score double, predicted boolean")
+    frame = metrics.range_metrics(points.repartition(3), ["s"])
+    assert "FlatMapGroupsInPandas" not in frame._jdf.queryExecution().executedPlan().toString()
+    found = {(r["s"], r["metric"]): r["value"] for r in frame.collect()}
+    for s in range(12):
+        y, score, p = (np.array([r[c] for r in rows if r[0] == s]) for c in (2, 3, 4))
+        for name, (f, continuous) in metrics.METRICS.items():
+            want = f(y, score if continuous else p)
+            assert found[s, name] == (None if np.isnan(want) else want)

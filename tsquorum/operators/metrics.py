@@ -6,10 +6,11 @@ from collections.abc import Callable, Iterable
 from functools import lru_cache, reduce
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tsquorum.operators.batches import by_batches
 from tsquorum.operators.slices import mask_to_slices
 
 
@@ -118,64 +119,90 @@ def range_precision_recall(label: np.ndarray, predicted: np.ndarray, alpha: floa
     """Range-based precision and recall with flat bias: existence weighs ``alpha``, overlap the rest; several
     fragments over one range are worth their overlap divided by their number."""
 
-    def side(those: list[tuple[int, int]], others: list[tuple[int, int]], weight: float) -> float:
-        total = 0.0
-        for b, e in those:
-            cut = [min(e, y) - max(b, x) for x, y in others if x < e and y > b]
-            overlap = sum(cut) / (e - b) / max(1, len(cut))
-            total += weight * bool(cut) + (1 - weight) * overlap
-        return total / len(those) if those else 0.0
+    return _kept_precision_recall((label > 0).tobytes(), (predicted > 0).tobytes(), alpha)
 
-    real, found = _ranges(label), _ranges(predicted)
-    return side(found, real, 0.0), side(real, found, alpha)
+
+@lru_cache(maxsize=1)
+def _kept_precision_recall(labels: bytes, predictions: bytes, alpha: float) -> tuple[float, float]:
+    """Precision, recall and F-score follow each other on the same series."""
+    label, predicted = np.frombuffer(labels, bool), np.frombuffer(predictions, bool)
+
+    def side(those: np.ndarray, others: np.ndarray, flags: np.ndarray, weight: float) -> float:
+        if not len(those):
+            return 0.0
+        b, e = those.T
+        fragments = np.searchsorted(others[:, 0], e) - np.searchsorted(others[:, 1], b, side="right")
+        inside = np.concatenate([[0], np.cumsum(flags)])
+        overlap = (inside[e] - inside[b]) / (e - b) / np.maximum(1, fragments)
+        return float(np.cumsum(weight * (fragments > 0) + (1 - weight) * overlap)[-1] / len(those))
+
+    real, found = (np.array(_ranges(x), int).reshape(-1, 2) for x in (label, predicted))
+    return side(found, real, label, 0.0), side(real, found, predicted, alpha)
+
+
+#: Numbers in a matrix of buffers by points beyond which buffers are taken apart.
+MOST_NUMBERS = 2_000_000
 
 
 def _range_areas(label: np.ndarray, score: np.ndarray, buffers: Iterable[int], steps: int) -> np.ndarray:
     """(ROC, PR) areas by buffer; see ``range_auc``."""
-    n, ranges, positives = len(label), _ranges(label > 0), float(label.sum())
-    at = np.arange(n)
-    away = np.full(n, n)  # points to the nearest range
-    for b, e in ranges:
-        away = np.minimum(away, np.maximum(0, np.maximum(b - at, at - e + 1)))
+    n, ranges, positives = len(label), np.array(_ranges(label > 0), int).reshape(-1, 2), float(label.sum())
+    buffers = np.array(list(buffers))
+    if not len(ranges):
+        return np.full((len(buffers), 2), np.nan)
+    at, hot = np.arange(n), label > 0
+    before = at - np.maximum.accumulate(np.where(hot, at, -n))
+    away = np.minimum(before, np.minimum.accumulate(np.where(hot, at, 2 * n)[::-1])[::-1] - at)  # points to the nearest range
     order = np.argsort(-score, kind="stable")
     rank, away_sorted = -score[order], away[order]
     th = rank[np.unique(np.linspace(0, n - 1, steps).astype(int))]
     count = np.searchsorted(rank, th, side="right")  # points that score as high as each threshold
-    areas = []
-    for buffer in buffers:
-        half = buffer // 2
-        soft = np.where(away_sorted <= half, np.sqrt(np.maximum(0, 1 - away_sorted / max(buffer, 1))), away_sorted == 0)
-        positive = (positives + soft.sum()) / 2
-        if not ranges or positive >= n:
-            areas.append((float("nan"), float("nan")))
-            continue
-        tp = np.append(0.0, np.cumsum(soft))[count]
-        tops = np.array([score[max(0, b - half) : e + half].max() for b, e in ranges])
-        seen = (tops[None, :] >= -th[:, None]).mean(axis=1)
-        t = np.concatenate([[0.0], np.minimum(tp / positive, 1.0) * seen, [1.0]])
-        f = np.concatenate([[0.0], np.clip((count - tp) / (n - positive), 0.0, 1.0), [1.0]])
-        p = np.append(1.0, tp / np.maximum(1, count))
-        areas.append((((f[1:] - f[:-1]) * (t[1:] + t[:-1]) / 2).sum(), ((t[1:-1] - t[:-2]) * p[1:]).sum()))
-    return np.array(areas)
+    # The largest score of each range and up to as many points on either side as a buffer reaches, side by side.
+    b, e = ranges.T
+    reach = np.arange(1, int(buffers.max()) // 2 + 1)
+    padded = np.concatenate([score, [-np.inf]])
+    beside = np.maximum(padded[np.where(b[:, None] >= reach, b[:, None] - reach, n)], padded[np.minimum(e[:, None] + reach - 1, n)])
+    inner = np.maximum.reduceat(padded, ranges.ravel())[::2]
+    tops = np.maximum.accumulate(np.concatenate([inner[:, None], beside], axis=1), axis=1).T
+    def areas(some: np.ndarray) -> np.ndarray:
+        half = some // 2
+        near = np.sqrt(np.maximum(0, 1 - away_sorted / np.maximum(some, 1)[:, None]))
+        soft = np.where(away_sorted <= half[:, None], near, 0.0)
+        positive = ((positives + soft.sum(axis=1)) / 2)[:, None]
+        none, one = np.zeros((len(some), 1)), np.ones((len(some), 1))
+        tp = np.concatenate([none, np.cumsum(soft, axis=1)], axis=1)[:, count]
+        seen = found[half]
+        with np.errstate(divide="ignore", invalid="ignore"):
+            t = np.concatenate([none, np.minimum(tp / positive, 1.0) * seen, one], axis=1)
+            f = np.concatenate([none, np.clip((count - tp) / (n - positive), 0.0, 1.0), one], axis=1)
+        p = tp / np.maximum(1, count)
+        roc = ((f[:, 1:] - f[:, :-1]) * (t[:, 1:] + t[:, :-1]) / 2).sum(axis=1)
+        pr = ((t[:, 1:-1] - t[:, :-2]) * p).sum(axis=1)
+        return np.where(positive < n, np.stack([roc, pr], axis=1), np.nan)
+
+    first = np.searchsorted(th, -tops) + (len(th) + 1) * np.arange(len(tops))[:, None]  # the threshold from which on a range is found
+    found = np.cumsum(np.bincount(first.ravel(), minlength=len(tops) * (len(th) + 1)).reshape(len(tops), -1), axis=1)[:, :-1] / len(ranges)
+    step = max(1, MOST_NUMBERS // n)
+    return np.concatenate([areas(buffers[i : i + step]) for i in range(0, len(buffers), step)])
 
 
 def range_auc(label: np.ndarray, score: np.ndarray, buffer: int = 100, steps: int = 250) -> tuple[float, float]:
     """(ROC, PR) areas for labels that fade out over ``buffer`` / 2 points on either side (square root slopes), with
     recall scaled by the share of ranges found, as in volume-under-the-surface evaluation."""
-    roc, pr = _range_areas(label, score, [buffer], steps)[0]
+    roc, pr = _kept_areas(label.tobytes(), label.dtype.str, score.tobytes(), score.dtype.str, (buffer,), steps)[0]
     return float(roc), float(pr)
 
 
 def volumes(label: np.ndarray, score: np.ndarray, most: int = 100, step: int = 1) -> tuple[float, float]:
     """Mean range areas over all buffers from 0 to ``most``: volumes under the ROC and PR surfaces."""
-    return _volumes(label.tobytes(), label.dtype.str, score.tobytes(), score.dtype.str, most, step)
+    areas = _kept_areas(label.tobytes(), label.dtype.str, score.tobytes(), score.dtype.str, range(0, most + 1, step), 250)
+    return tuple(np.nan_to_num(areas.mean(axis=0)))
 
 
-@lru_cache(maxsize=1)
-def _volumes(label: bytes, kind: str, score: bytes, score_kind: str, most: int, step: int) -> tuple[float, float]:
-    """One volume's metric follows the other on the same series, so the last areas are kept."""
-    areas = _range_areas(np.frombuffer(label, kind), np.frombuffer(score, score_kind), range(0, most + 1, step), 250)
-    return tuple(np.nan_to_num(areas.mean(axis=0)))
+@lru_cache(maxsize=2)
+def _kept_areas(label: bytes, kind: str, score: bytes, score_kind: str, buffers: Iterable[int], steps: int) -> np.ndarray:
+    """One area's or volume's metric follows the other on the same series, so the last areas are kept."""
+    return _range_areas(np.frombuffer(label, kind), np.frombuffer(score, score_kind), buffers, steps)
 
 
 #: A metric maps (labels, scores or predictions) to a number, and says whether it takes continuous scores.
@@ -199,21 +226,25 @@ def register_metric(name: str, metric: Callable[[np.ndarray, np.ndarray], float]
 
 
 def range_metrics(points: DataFrame, by: list[str], names: list[str] | None = None) -> DataFrame:
-    """(by.., metric, value) of registered metrics; many series at a time, one group in memory each.
+    """(by.., metric, value) of registered metrics; many series at a time, each in memory whole.
 
     ``points`` has t, is_anomaly, score and predicted.
     """
     names = names or sorted(METRICS)
     chosen = {n: METRICS[n] for n in names}
 
-    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("t")
-        y, s, p = rows["is_anomaly"].to_numpy(bool), rows["score"].to_numpy(float), rows["predicted"].to_numpy(bool)
-        values = [f(y, s if continuous else p) for f, continuous in chosen.values()]
-        return pd.DataFrame({**{k: [v] * len(names) for k, v in zip(by, key, strict=True)}, "metric": list(chosen), "value": values})
+    def run(table: pa.Table, begins: np.ndarray) -> pa.Table:
+        labels, predicted = (np.array(table.column(c).combine_chunks().fill_null(False)) for c in ("is_anomaly", "predicted"))
+        scores = table.column("score").to_numpy().astype(float)
+        values = []
+        for y, s, p in zip(*(np.split(x, begins[1:]) for x in (labels, scores, predicted)), strict=True):
+            values += [f(y, s if continuous else p) for f, continuous in chosen.values()]
+        found = table.select(by).take(pa.array(np.repeat(begins, len(chosen))))
+        found = found.append_column("metric", pa.array(list(chosen) * len(begins), pa.string()))
+        return found.append_column("value", pa.array(np.array(values, float), pa.float64(), from_pandas=True))
 
     schema = ", ".join([f"{f.name} {f.dataType.simpleString()}" for f in points.select(*by).schema] + ["metric string", "value double"])
-    return points.select(*by, "t", "is_anomaly", "score", "predicted").groupBy(*by).applyInPandas(run, schema)
+    return by_batches(points.select(*by, "t", "is_anomaly", "score", "predicted"), by, run, schema)
 
 
 def panel(points: DataFrame, by: list[str]) -> DataFrame:
