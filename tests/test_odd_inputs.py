@@ -8,8 +8,9 @@ from datetime import datetime, timedelta
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from tsquorum.operators import batches, detectors, metrics, ranks, selection
+from tsquorum.operators import batches, detectors, injection, metrics, ranks, selection
 from tsquorum.plans import kernel_queries, registry
 
 
@@ -230,3 +231,26 @@ def test_range_metrics_come_from_batches_of_series(spark):
         for name, (f, continuous) in metrics.METRICS.items():
             want = f(y, score if continuous else p)
             assert found[s, name] == (None if np.isnan(want) else want)
+
+
+def test_injections_of_many_series_are_those_of_each(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    series = [np.round(rng.exponential(9, int(rng.integers(2, 90))), 2) for _ in range(14)] + [np.full(60, 2.0)]
+    labels = [rng.random(len(x)) < 0.02 for x in series]
+    points = spark.createDataFrame([(s, t, float(v), bool(y[t])) for s, (x, y) in enumerate(zip(series, labels, strict=True)) for t, v in enumerate(x)], "s int, t bigint, value double, is_anomaly boolean")
+    plan = injection.injection_plan(points.select("s").distinct().where("s <> 3"), ["s"], list(injection.TRANSFORMS), F.array(F.lit(4), F.lit(8)))
+    want = {}
+    for s, (x, y) in enumerate(zip(series, labels, strict=True)):
+        for kind, length in itertools.product(injection.TRANSFORMS, (4, 8)):
+            v, z, _, notes = injection.inject(x, y, np.zeros(0, int), [kind], length, np.random.default_rng(42))
+            if notes and s != 3:
+                want[s, kind, length] = [(t, a, b, notes if t == 0 else None) for t, (a, b) in enumerate(zip(v.tolist(), z.tolist(), strict=True))]
+    for most in (100, batches.MOST_ROWS):
+        monkeypatch.setattr(injection, "MOST_ROWS", most)
+        frame = injection.inject_all(points.repartition(3), plan, ["s"])
+        assert "FlatMapGroupsInPandas" not in frame._jdf.queryExecution().executedPlan().toString()
+        found = {}
+        for r in sorted(frame.collect(), key=lambda r: r["t"]):
+            notes = r["annotations"] and [n.asDict() for n in r["annotations"]]
+            found.setdefault((r["s"], r["anomaly_type"], r["length"]), []).append((r["t"], r["value"], r["is_anomaly"], notes))
+        assert found == want

@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 MOST_ROWS = 150_000
 
 
-def by_batches(points: DataFrame, by: list[str], run: Callable[[pa.Table, np.ndarray], pa.Table], schema: str, most: int = MOST_ROWS) -> DataFrame:
-    """``run`` over tables of whole series, rows sorted by ``by`` and t, and the places where the series begin.
+def by_batches(points: DataFrame, by: list[str], run: Callable[[pa.Table, np.ndarray], pa.Table | Iterator[pa.Table]], schema: str, most: int = MOST_ROWS) -> DataFrame:
+    """What ``run`` makes, at once or in parts, of tables of whole series, rows sorted by ``by`` and t, and the places where the series begin.
 
     The window deals and sorts the rows, without a shuffle where they are dealt that way already; its place, from 1, tells where a series
     begins, and that it is whole.
@@ -40,6 +40,8 @@ def by_batches(points: DataFrame, by: list[str], run: Callable[[pa.Table, np.nda
             begins = np.flatnonzero(places == 1)
             if not np.array_equal(places - 1, np.arange(len(places)) - np.repeat(begins, np.diff(np.append(begins, len(places))))):
                 raise ValueError("a series in parts")
-            yield from run(table.drop_columns("_place"), begins).to_batches()
+            made = run(table.drop_columns("_place"), begins)
+            for out in [made] if isinstance(made, pa.Table) else made:
+                yield from out.to_batches()
 
     return points.withColumn("_place", place).mapInArrow(whole, schema)
